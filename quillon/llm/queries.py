@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, quality, simhash
+from . import decontaminate, licenses, lines, packing, quality, simhash, substrings, tokens, urls, warc
 from .common import table
 
 SEQUENCE, END_ID = 1024, 2
@@ -19,12 +19,21 @@ def tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     field = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.quality(docs, field, carry=["doc_id"]).select("doc_id", "quality.*")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.prefix_table(table(spark, sf_dir, "documents"), tokenizer())
+    return tokens.within_budget(found, SEQUENCE)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -34,18 +43,45 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), tokenizer(), SEQUENCE, END_ID), SEQUENCE)
 
 
+def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, bad): a page shows the document whose number ends its path; bad is that one's quality 0."""
+    _, path = urls.host_and_path(F.col("url"))
+    shown = pages.select("page_id", F.regexp_extract(path, r"/([0-9]{1,18})(?:\\.html|/)?$", 1).alias("n")).where("n <> ''")
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
+    return shown.select("page_id", F.col("n").cast("bigint").alias("doc_id")).join(known, "doc_id").select("page_id", "bad")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.url_filter(pages, page_outcomes(pages, table(spark, sf_dir, "labels"))).drop("posterior", "bound")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"), least=100)
+    return warc.digest_table(warc.read_archive(spark, archive))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = lines.line_dedup(docs, min_docs=10, min_chars=1)
     return found.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.encode("lines.kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.substring_dedup(table(spark, sf_dir, "documents"), length=50, with_kept=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op4_simhash, op5_packing, op7_decontamination, op9_line_dedup)}
+    own = (
+        op1_license_scan, op2_quality_rules, op3_token_counts, op4_simhash, op5_packing, op6_url_filter, op7_decontamination,
+        op8_warc, op9_line_dedup, op10_substring_dedup,
+    )
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
