@@ -28,9 +28,10 @@ from ..session import ship
 from .common import documents, map_batches, small, stored, utf8
 
 #: Bytes of an anchor; text that is scanned at once.
-K, PART = 16, 4_000_000
-#: Bytes of one bucket of strings, and bounds for broadcasts: rows and bytes.
-BUCKET, FEW, FEW_BYTES = 6_000_000, 500_000, 64_000_000
+K, PART = 24, 1_500_000
+#: Bytes of one bucket of strings and of the text that one transform is made of; documents
+#: whose findings are gathered in one task; bounds for broadcasts: rows and bytes.
+BUCKET, TRANSFORM, GATHER, FEW, FEW_BYTES = 6_000_000, 2_000_000, 20_000, 500_000, 64_000_000
 _NONE = np.iinfo(np.int64).max  # stands for a null id: after all others
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -57,9 +58,11 @@ class Scan:
         if n < length:
             return
         h, base, step = self.body.astype(np.uint64) + np.uint64(1), int(_MIX) | 1, 1
-        while step < K:
+        while 2 * step <= K:
             h = h[:-step] * np.uint64(base) + h[step:]
             base, step = base * base % 2**64, 2 * step
+        if step < K:  # two overlapping halves
+            h = h[: len(h) - (K - step)] * np.uint64(base) + h[K - step :]
         h ^= h >> np.uint64(33)
         h *= np.uint64(0xC2B2AE3D27D4EB4F)
         h ^= h >> np.uint64(29)
@@ -71,7 +74,7 @@ class Scan:
         fits[(self.start + size - length + 1)[long]] -= 1
         least[np.cumsum(fits)[: len(least)] == 0] = 0
         edge = np.zeros(width - 1, np.uint64)
-        self.h, self.least = h, least
+        self.h, self.least, self.width = h, least, width
         self.at = np.flatnonzero(_sliding(np.maximum, np.concatenate((edge, least, edge)), width) == h)
 
     def doc(self, places: np.ndarray) -> np.ndarray:
@@ -81,15 +84,21 @@ class Scan:
         """Six bytes of the hashes."""
         return self.h[places] >> np.uint64(16)
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """All windows' starts and their anchors' places (the first of equal ones)."""
-        i = np.flatnonzero(self.least)
+    def windows(self, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The windows with one of the places `among` as anchor (the first of equal ones): starts and anchors."""
+        near = np.zeros(len(self.h) + 1, np.int32)
+        np.add.at(near, np.maximum(among - self.width + 1, 0), 1)
+        np.add.at(near, among + 1, -1)
+        i = np.flatnonzero((np.cumsum(near)[: len(self.least)] > 0) & (self.least > 0))
         k = np.searchsorted(self.at, i)
-        while True:
-            off = self.h[self.at[k]] != self.least[i]
-            if not off.any():
-                return i, self.at[k]
-            k[off] += 1
+        todo = np.arange(len(i))
+        while len(todo):
+            todo = todo[self.h[self.at[k[todo]]] != self.least[i[todo]]]
+            k[todo] += 1
+        wanted = np.zeros(len(self.at), bool)
+        wanted[np.searchsorted(self.at, among)] = True
+        ok = wanted[k]
+        return i[ok], self.at[k[ok]]
 
 
 def _parts(texts: list[bytes]):
@@ -137,11 +146,37 @@ def _per_doc(doc: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes
 
 
 ANCHORS = "bucket int, settled boolean, docs binary, hashes binary, doc_id bigint"
-REPEATED = "doc_id bigint, hashes binary"
+FOUND = "part int, docs binary, a binary, b binary"
 
 
-def repeated_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(REPEATED): of each document, anchors that another one has too. A hash may come up falsely."""
+def _packed(doc: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int) -> pa.Table:
+    """(FOUND): findings of documents, a row for each part of the documents."""
+    part = np.where(doc == _NONE, 0, doc % parts)
+    order = np.argsort(part, kind="stable")
+    part, doc, a, b = part[order], doc[order], a[order], b[order]
+    starts, sizes = _groups(part)
+    cut = [slice(i, i + n) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    raw = lambda x: pa.array([x[c].tobytes() for c in cut], pa.binary())
+    return pa.table({"part": pa.array(part[starts], pa.int32()), "docs": raw(doc), "a": raw(a), "b": raw(b)})
+
+
+def _gathered(found: DataFrame, merge, schema: str) -> DataFrame:
+    """A row for each document out of the findings of all buckets: merge(a, b) gives its columns."""
+
+    def gather(key, table):
+        doc, a, b = (np.concatenate([np.frombuffer(x, np.int64) for x in table.column(n).to_pylist()]) for n in ("docs", "a", "b"))
+        order = np.argsort(doc, kind="stable")
+        doc, a, b = doc[order], a[order], b[order]
+        starts, sizes = _groups(doc)
+        rows = [merge(a[i : i + n], b[i : i + n]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        cols = [pa.array(c, pa.binary()) for c in zip(*rows, strict=True)]
+        return pa.table([_id_array(doc[starts]), *cols], names=[x.split()[0] for x in schema.split(", ")])
+
+    return found.groupBy("part").applyInArrow(gather, schema)
+
+
+def repeated_anchors(docs: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
+    """(doc_id, hashes): of each document, anchors that another one has too. A hash may come up falsely."""
 
     def batch(b: pa.RecordBatch) -> pa.Table:
         ids, texts = _ids(b.column(0)), utf8(b.column(1))
@@ -183,14 +218,18 @@ def repeated_anchors(docs: DataFrame, length: int, buckets: int) -> DataFrame:
         d, h = d[order], h[order]
         _, sizes = _groups(h)
         many = np.repeat(sizes > 1, sizes)
-        docs_, found = _per_doc(d[many], h[many])
-        docs_ += [_NONE if x is None else x for x, s in zip(ids, settled, strict=True) if s]
-        found += [x for x, s in zip(hashes, settled, strict=True) if s]
-        return pa.table({"doc_id": _id_array(docs_), "hashes": pa.array(found, pa.binary())})
+        d, h = [d[many]], [h[many]]
+        for own, raw, s in zip(ids, hashes, settled, strict=True):
+            if s:
+                h.append(_unsix(raw))
+                d.append(np.full(len(h[-1]), _NONE if own is None else own, np.int64))
+        h = np.concatenate(h).astype(np.int64)
+        return _packed(np.concatenate(d), h, np.zeros(len(h), np.int64), parts)
 
     rows = map_batches(docs, batch, ANCHORS)
     ship(docs.sparkSession)
-    return rows.groupBy("bucket").applyInArrow(bucket, REPEATED)
+    found = rows.groupBy("bucket").applyInArrow(bucket, FOUND)
+    return _gathered(found, lambda a, b: (_six(a.astype(np.uint64)),), "doc_id bigint, hashes binary")
 
 
 def classes(strings: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -260,18 +299,10 @@ def _boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
 
 
 STRINGS = "bucket int, settled boolean, docs binary, starts binary, sizes binary, anchors binary, blob binary"
-SPANS = "doc_id bigint, starts binary, ends binary"
-
 
-def _span_rows(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[tuple[int, bytes, bytes]]:
-    order = np.lexsort((start, doc))
-    doc, start, end = doc[order], start[order], end[order]
-    firsts, sizes = _groups(doc)
-    return [(int(doc[i]), start[i : i + n].astype("<i4").tobytes(), end[i : i + n].astype("<i4").tobytes()) for i, n in zip(firsts.tolist(), sizes.tolist(), strict=True)]
 
-
-def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: int) -> DataFrame:
-    """(SPANS): the spans of documents that windows of smaller documents cover; they may overlap."""
+def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
+    """(doc_id, starts, ends): the spans of documents that windows of smaller documents cover, merged."""
 
     def batch(b: pa.RecordBatch) -> pa.Table:
         ids, texts, known = _ids(b.column(0)), utf8(b.column(1)), b.column(2).to_pylist()
@@ -281,14 +312,13 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
             scan = Scan(texts[i:j], length)
             if not len(scan.at):
                 continue
-            w, anchor = scan.windows()
             salt = lambda d: (d.astype(np.uint64) + np.uint64(1)) * _MIX
-            mine = [_unsix(b"".join(x)) ^ salt(np.array([k], np.int64)) for k, x in enumerate(known[i:j])]
-            d = scan.doc(w)
-            ok = np.isin(scan.short(anchor) ^ salt(d), np.concatenate(mine))
-            w, anchor, d = w[ok], anchor[ok], d[ok]
+            mine = [_unsix(x) ^ salt(np.array([k], np.int64)) for k, x in enumerate(known[i:j])]
+            there = np.isin(scan.short(scan.at) ^ salt(scan.doc(scan.at)), np.concatenate(mine))
+            w, anchor = scan.windows(scan.at[there])
             if not len(w):
                 continue
+            d = scan.doc(w)
             new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (w[1:] != w[:-1] + 1))))
             lo, hi = w[new], np.append(w[new[1:] - 1], w[-1]) + length
             body, marks = scan.body.tobytes(), scan.short(anchor[new]).tolist()
@@ -358,7 +388,7 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
         cut, size = [0], 0
         for k, i in enumerate(order.tolist()):  # parts of some megabytes, between anchors
             size += len(texts[i])
-            if size > BUCKET and k + 1 < len(order) and a[order[k + 1]] != a[i]:
+            if size > TRANSFORM and k + 1 < len(order) and a[order[k + 1]] != a[i]:
                 cut.append(k + 1)
                 size = 0
         cut.append(len(order))
@@ -379,27 +409,29 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
                 ends = np.append(offset[new[1:] - 1], offset[-1]) + length
                 own = owner[string[new]]
                 lose(own[:, 0], own[:, 1] + offset[new], own[:, 1] + ends)
-        rows = _span_rows(np.concatenate(doc), np.concatenate(start), np.concatenate(end)) if doc else []
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        return pa.table({"doc_id": _id_array(cols[0]), "starts": pa.array(cols[1], pa.binary()), "ends": pa.array(cols[2], pa.binary())})
+        none = [np.zeros(0, np.int64)]
+        return _packed(*(np.concatenate(none + x) for x in (doc, start, end)), parts)
 
-    side = repeated.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes"))
-    joined = docs.join(side.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "hashes")
-    return map_batches(joined, batch, STRINGS).groupBy("bucket").applyInArrow(bucket, SPANS)
+    joined = docs.join(repeated.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "hashes")
+    found = map_batches(joined, batch, STRINGS).groupBy("bucket").applyInArrow(bucket, FOUND)
+    return _gathered(found, _union, "doc_id bigint, starts binary, ends binary")
 
 
-def _cut(text: bytes, starts: list[bytes] | None, ends: list[bytes] | None, whole: bool):
-    if whole:
-        return [0], [len(text)], b""
-    if not starts:
-        return [], [], text
-    a, b = np.frombuffer(b"".join(starts), "<i4").astype(np.int64), np.frombuffer(b"".join(ends), "<i4").astype(np.int64)
+def _union(a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
+    """The maximal runs that the spans [a, b) cover."""
     order = np.lexsort((b, a))
     a, reach = a[order], np.maximum.accumulate(b[order])
     new = np.flatnonzero(np.concatenate(([True], a[1:] > reach[:-1])))
-    lo, hi = a[new].tolist(), np.append(reach[new[1:] - 1], reach[-1]).tolist()
-    kept = b"".join(text[i:j] for i, j in zip([0, *hi], [*lo, len(text)], strict=True))
-    return lo, hi, kept
+    return a[new].tobytes(), np.append(reach[new[1:] - 1], reach[-1]).tobytes()
+
+
+def _cut(text: bytes, starts: bytes | None, ends: bytes | None, whole: bool):
+    if whole:
+        return [0], [len(text)], b""
+    if starts is None:
+        return [], [], text
+    lo, hi = (np.frombuffer(x, np.int64).tolist() for x in (starts, ends))
+    return lo, hi, b"".join(text[i:j] for i, j in zip([0, *hi], [*lo, len(text)], strict=True))
 
 
 def substring_dedup(
@@ -429,15 +461,15 @@ def substring_dedup(
     if not twice.isEmpty():
         gone = gone.join(twice, "copy", "left_anti")
     texts = own.where(F.octet_length("text") >= length).join(gone, F.col("doc_id").eqNullSafe(F.col("copy")), "left_anti")
-    parts = max(16, min(4096, 2 * own.rdd.getNumPartitions()))
-    repeated = stored(repeated_anchors(texts, length, parts), "repeated")
-    bytes_ = repeated.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 6 * 75
-    buckets = int(max(parts, min(100_000, bytes_ // BUCKET + 1)))
-    spans = stored(repeated_spans(texts, repeated, length, buckets), "spans")
-    by_doc = stored(spans.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"), F.collect_list("ends").alias("ends"), F.sum(F.octet_length("starts")).alias("size")), "spans")
-    size = by_doc.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    side = by_doc.drop("size").withColumnRenamed("doc_id", "at")
-    side = F.broadcast(side) if size <= FEW_BYTES and small(by_doc, FEW) else side
+    inputs = max(16, min(4096, 2 * own.rdd.getNumPartitions()))
+    parts = max(16, marks.count() // GATHER + 1)
+    repeated = stored(repeated_anchors(texts, length, inputs, parts), "repeated")
+    size = repeated.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 6 * 65
+    buckets = int(max(inputs, min(100_000, size // BUCKET + 1)))
+    spans = stored(repeated_spans(texts, repeated, length, buckets, parts), "spans")
+    size = spans.agg(F.coalesce(F.sum(F.octet_length("starts")), F.lit(0))).first()[0]
+    side = spans.withColumnRenamed("doc_id", "at")
+    side = F.broadcast(side) if size <= FEW_BYTES and small(spans, FEW) else side
     joined = own.join(side, F.col("doc_id").eqNullSafe(F.col("at")), "left").drop("at")
     gone = gone.withColumn("whole", F.lit(True)).withColumnRenamed("copy", "at")
     joined = joined.join(gone, F.col("doc_id").eqNullSafe(F.col("at")), "left")
