@@ -267,7 +267,7 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 _STATS = f"""with {_SCORES}, {_LONG}, s as (select f, avg(v) as m, stddev_samp(v) as sd, max(abs(v)) as mx, sum(v) as t, count(*) as n, count_if(v <> 0) as nz from long group by f)"""
 
 
-@query(f"{_STATS} select cast(f as bigint) as a, cast(f as bigint) as b, nz as nonzero, round(m, 6) as mean, round(sd, 6) as sd, round(mx, 6) as max_abs from s")
+@query(f"{_STATS} select cast(f as bigint) as a, cast(f as bigint) as b, cast(nz as bigint) as nonzero, round(m, 6) as mean, round(sd, 6) as sd, round(mx, 6) as max_abs from s")
 def column_statistics(spark, d):
     samples, features = _score_data(spark, d)
     found = stats.statistics(stats.single_values(features), samples.count())
@@ -323,9 +323,9 @@ _LP = "(least(z, 0) - ln(1 + exp(-abs(z))))"
 _NLL = f"-(case when label then {_LP} else {_LP} - z end)"
 
 
-@query(f"with {_Z} select sample_id, label, cast(member as integer) as member, round(z + 1e-9, 5) as z from z")
+@query(f"with {_Z} select sample_id, label, cast(member as integer) as member, round(z, 7) as z from z")
 def linear_score(spark, d):
-    return _rounded(linear.linear_scores(*_score_data(spark, d), MODEL), 5, "z")
+    return _rounded(linear.linear_scores(*_score_data(spark, d), MODEL), 7, "z")
 
 
 @query(f"with {_Z} select sample_id, label, round(avg({_LP}), 6) as prediction from z group by all")
@@ -513,7 +513,7 @@ def combine_max(spark, d):
     return ensemble.combine(_members(spark, d), _MEMBERS, "max")
 
 
-@query(f"with {_COEF} select a, b, count_if(theta <> 0) as stability, round(coalesce(sum(abs(theta)) / nullif(count_if(theta <> 0), 0), 'nan'::double), 6) as mean from coef group by a, b")
+@query(f"with {_COEF} select a, b, cast(count_if(theta <> 0) as bigint) as stability, round(coalesce(sum(abs(theta)) / nullif(count_if(theta <> 0), 0), 'nan'::double), 6) as mean from coef group by a, b")
 def stability(spark, d):
     return _rounded(ensemble.stability(_members(spark, d)), 6, "mean")
 
