@@ -17,8 +17,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Chunks, and pairs of tokens, that a worker remembers; beyond that it starts anew.
-REMEMBER = 400_000
+#: Chunks that a worker remembers, and as many of the time before.
+REMEMBER = 250_000
 _UNSAFE = re.compile(r" \s| \Z")
 #: Characters below this are classified alike by every Unicode version in use.
 _LATIN = re.compile("[^\x00-ɏ]")
@@ -26,6 +26,24 @@ _LATIN = re.compile("[^\x00-ɏ]")
 _RUN = re.compile(r"\s\s")
 
 
+class Memory(dict):
+    """Results of make(key); what isn't asked for while REMEMBER others come in is forgotten."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= REMEMBER:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def _differences(counts: list[int]) -> bytes:
     return array("h", [b - a for a, b in zip([0, *counts], counts, strict=False)]).tobytes()
 
@@ -56,9 +74,9 @@ class Bpe:
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.split_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self._ids: dict[str, bytes] = {}
-        self._deltas: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._ids = Memory(self._whole_ids)
+        self._deltas = Memory(self._chunk_deltas)
+        self._pieces = Memory(lambda piece: _differences(self._piece_counts(piece)))
         self._pairs: dict[int, bool] = {}
 
     # ids
@@ -68,16 +86,7 @@ class Bpe:
         chunks = self._chunks(text)
         if chunks is None:
             return self._whole_ids(text)
-        known = self._ids
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._whole_ids(c)
-            return b"".join(map(known.__getitem__, chunks))
+        return b"".join(map(self._ids.__getitem__, chunks))
 
     def _whole_ids(self, text: str) -> bytes:
         if _LATIN.search(text) or self.split_special.search(text):
@@ -140,18 +149,10 @@ class Bpe:
             found[1] = 2  # the prefix 'l of 'll is two pre-tokens
         return found
 
-    def _piece_deltas(self, piece: str) -> bytes:
-        found = self._pieces.get(piece)
-        if found is None:
-            if len(self._pieces) > REMEMBER:
-                self._pieces.clear()
-            found = self._pieces[piece] = _differences(self._piece_counts(piece))
-        return found
-
     def _chunk_deltas(self, chunk: str) -> bytes:
         if _LATIN.search(chunk) or _RUN.search(chunk):
             return _differences(self.counts(chunk))
-        return b"".join(map(self._piece_deltas, self.pattern.findall(chunk)))
+        return b"".join(map(self._pieces.__getitem__, self.pattern.findall(chunk)))
 
     def counts(self, text: str) -> list[int]:
         """Token counts of the prefixes of 1, 2, ... characters of a text without special tokens."""
@@ -178,13 +179,7 @@ class Bpe:
         """Differences of the token counts of the text's prefixes, by character; they add up to its tokens."""
         chunks = self._chunks(text)
         if chunks is not None:
-            known = self._deltas
-            if len(known) > REMEMBER:
-                known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = self._chunk_deltas(c)
-            return np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<i2")
+            return np.frombuffer(b"".join(map(self._deltas.__getitem__, chunks)), "<i2")
         parts, at = [], 0
         for m in self.split_special.finditer(text):
             # up to its last character a special string is ordinary text
