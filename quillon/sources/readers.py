@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -82,5 +83,5 @@ def read_bed(spark: SparkSession, path: str) -> DataFrame:
 def with_ids(df: DataFrame, name: str = "sample_id") -> DataFrame:
     """df with ids from 0 without gaps, in the order in which it is read."""
     spark = df.sparkSession
-    schema = df.schema.add(name, "bigint")
+    schema = StructType([*df.schema.fields, StructField(name, LongType())])
     return spark.createDataFrame(df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1])), schema)
