@@ -298,7 +298,7 @@ def _boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
     return split
 
 
-STRINGS = "bucket int, settled boolean, docs binary, starts binary, sizes binary, anchors binary, blob binary"
+STRINGS = "bucket int, settled boolean, docs binary, starts binary, sizes binary, anchors binary, blob binary, counts binary"
 
 
 def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
@@ -306,7 +306,7 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
 
     def batch(b: pa.RecordBatch) -> pa.Table:
         ids, texts, known = _ids(b.column(0)), utf8(b.column(1)), b.column(2).to_pylist()
-        seen: dict[bytes, tuple[int, int, int]] = {}
+        seen: dict[bytes, tuple[int, int, list[int]]] = {}  # document, anchor, all places in the document
         gone: list[tuple[int, int, int]] = []
         for i, j in _parts(texts):
             scan = Scan(texts[i:j], length)
@@ -326,27 +326,35 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
                 text = body[s:e]
                 old = seen.get(text)
                 if old is None:
-                    seen[text] = (own, start, a)
+                    seen[text] = (own, a, [start])
+                elif own == old[0]:
+                    old[2].append(start)
                 elif own < old[0]:
-                    gone.append((old[0], old[1], old[1] + len(text)))
-                    seen[text] = (own, start, a)
-                elif own > old[0]:
+                    gone += [(old[0], x, x + len(text)) for x in old[2]]
+                    seen[text] = (own, a, [start])
+                else:
                     gone.append((own, start, start + len(text)))
         rows: list[tuple] = []
         if seen:
             text = list(seen)
-            info = np.array(list(seen.values()), np.int64)
-            bucket = info[:, 2] % buckets
+            places = [x for _, _, x in seen.values()]
+            info = np.array([x[:2] for x in seen.values()], np.int64)
+            bucket = info[:, 1] % buckets
             order = np.argsort(bucket, kind="stable")
             firsts, sizes = _groups(bucket[order])
             for i, n in zip(firsts.tolist(), sizes.tolist(), strict=True):
                 own = order[i : i + n]
-                rows.append((int(bucket[own[0]]), False, info[own, 0].tobytes(), info[own, 1].astype("<i4").tobytes(), np.array([len(text[k]) for k in own], "<i4").tobytes(), info[own, 2].tobytes(), b"".join(text[k] for k in own)))
+                texts_, at = [text[k] for k in own], [places[k] for k in own]
+                rows.append((
+                    int(bucket[own[0]]), False, info[own, 0].tobytes(), np.array([x for p in at for x in p], "<i4").tobytes(),
+                    np.array([len(x) for x in texts_], "<i4").tobytes(), info[own, 1].tobytes(), b"".join(texts_),
+                    np.array([len(p) for p in at], "<i4").tobytes(),
+                ))
         if gone:
             g = np.array(gone, np.int64)
-            rows.append((int(g[0, 0] % buckets), True, g[:, 0].tobytes(), g[:, 1].astype("<i4").tobytes(), g[:, 2].astype("<i4").tobytes(), None, None))
-        cols = list(zip(*rows, strict=True)) or [[]] * 7
-        kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 5
+            rows.append((int(g[0, 0] % buckets), True, g[:, 0].tobytes(), g[:, 1].astype("<i4").tobytes(), g[:, 2].astype("<i4").tobytes(), None, None, None))
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 6
         return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(STRINGS.split(", "), cols, kinds, strict=True)})
 
     def bucket(key, table):
@@ -359,25 +367,28 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
             start.append(np.asarray(a, np.int64))
             end.append(np.asarray(b, np.int64))
 
-        for settled, ids, starts, sizes, marks, blob in zip(*(table.column(n).to_pylist() for n in ("settled", "docs", "starts", "sizes", "anchors", "blob")), strict=True):
+        names = ("settled", "docs", "starts", "sizes", "anchors", "blob", "counts")
+        for settled, ids, starts, sizes, marks, blob, counts in zip(*(table.column(n).to_pylist() for n in names), strict=True):
             ids, starts, sizes = np.frombuffer(ids, np.int64), np.frombuffer(starts, "<i4"), np.frombuffer(sizes, "<i4")
             if settled:
                 lose(ids, starts, sizes)  # here the ends
                 continue
-            at, late = 0, []
-            for own, s, n, a in zip(ids.tolist(), starts.tolist(), sizes.tolist(), np.frombuffer(marks, np.int64).tolist(), strict=True):
-                text = blob[at : at + n]
-                at += n
+            places, at, k, late = starts.tolist(), 0, 0, []
+            for own, n, a, c in zip(ids.tolist(), sizes.tolist(), np.frombuffer(marks, np.int64).tolist(), np.frombuffer(counts, "<i4").tolist(), strict=True):
+                text, mine = blob[at : at + n], places[k : k + c]
+                at, k = at + n, k + c
                 old = best.get(text)
                 if old is None:
-                    best[text] = (own, s)
+                    best[text] = (own, mine)
                     texts.append(text)
                     anchors.append(a)
+                elif own == old[0]:
+                    best[text] = (own, old[1] + mine)
                 elif own < old[0]:
-                    late.append((old[0], old[1], old[1] + n))
-                    best[text] = (own, s)
-                elif own > old[0]:
-                    late.append((own, s, s + n))
+                    late += [(old[0], x, x + n) for x in old[1]]
+                    best[text] = (own, mine)
+                else:
+                    late += [(own, x, x + n) for x in mine]
             if late:
                 lose(*np.array(late, np.int64).T)
         # an anchor with one string has no other windows to compare
@@ -396,19 +407,23 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
             part = [texts[i] for i in order[lo:hi].tolist()]
             if not part:
                 continue
-            owner = np.array([best[t] for t in part], np.int64)
+            owner = np.array([best[t][0] for t in part], np.int64)
+            count = np.array([len(best[t][1]) for t in part], np.int64)
+            places = np.array([x for t in part for x in best[t][1]], np.int64)
             string, offset, cls = classes(part, length)
             least = np.full(int(cls.max()) + 1, _NONE)
-            np.minimum.at(least, cls, owner[string, 0])
-            late = owner[string, 0] > least[cls]
+            np.minimum.at(least, cls, owner[string])
+            late = owner[string] > least[cls]
             string, offset = string[late], offset[late]
             by = np.lexsort((offset, string))
             string, offset = string[by], offset[by]
             if len(string):
                 new = np.flatnonzero(np.concatenate(([True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))))
                 ends = np.append(offset[new[1:] - 1], offset[-1]) + length
-                own = owner[string[new]]
-                lose(own[:, 0], own[:, 1] + offset[new], own[:, 1] + ends)
+                s = string[new]  # every place of the string in its document loses the run
+                n = count[s]
+                at = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(count) - count)[s], n)]
+                lose(np.repeat(owner[s], n), at + np.repeat(offset[new], n), at + np.repeat(ends, n))
         none = [np.zeros(0, np.int64)]
         return _packed(*(np.concatenate(none + x) for x in (doc, start, end)), parts)
 
@@ -443,7 +458,7 @@ def substring_dedup(
     starts in a document of a smaller id; what counts is the input. starts and ends:
     the maximal removed runs; kept: what is left, as bytes (null unless with_kept).
     A null text is empty. Null ids come after all others and are one document. Rows that
-    share an id take nothing from each other. A copy of an earlier text goes as a whole,
+    share an id take nothing from each other; they must have one text, as spans are found by id. A copy of an earlier text goes as a whole,
     without taking part in the search.
     """
     if length < 2 * K:

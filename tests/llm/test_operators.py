@@ -27,6 +27,8 @@ def corpus():
         w = base.split(" ")
         w[i * 9] = word()
         texts.append(" ".join(w))
+    twice = line(25)
+    texts += [twice + "\n" + line(9), f"{line(4)} {twice} {line(6)} {twice} {line(3)} {twice}", f"{line(7)} {twice}\n{line(2)} {twice}"]
     texts += [base] * 4 + ["tail\n" + base + "\x00\x01" + base, line(4000), "<|endoftext|> and  \n two", "日本語 " * 20]
     return [(i, t) for i, t in enumerate(texts)]
 
