@@ -248,10 +248,13 @@ def quality(
     A null text has no words and fails. Texts without a line feed are one line.
     """
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() != "quality"]
-    packed = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # a carried text goes to the workers once, inside its row
+    at = carry.index(text_col) if text_col in carry and dict(docs.dtypes)[text_col] == "string" else None
+    text = [] if at is not None else [F.col(text_col).cast("string").alias("text")]
+    packed = docs.select(F.struct(*carry).alias("row"), *text)
 
     def batch(b: pa.RecordBatch) -> pa.Table | None:
-        texts = utf8(b.column(1))
+        texts = utf8(b.column(0).field(at) if at is not None else b.column(1))
         cut, size = [0], 0
         for i, x in enumerate(texts):  # parts of some megabytes bound the features in memory
             size += len(x)
