@@ -46,7 +46,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_outcomes(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """(page_id, bad): a page shows the document whose number ends its path; bad is that one's quality 0."""
     _, path = urls.host_and_path(F.col("url"))
-    shown = pages.select("page_id", F.regexp_extract(path, r"/([0-9]{1,18})(?:\\.html|/)?$", 1).alias("n")).where("n <> ''")
+    shown = pages.select("page_id", F.regexp_extract(path, r"/([0-9]{1,18})(?:\.html|/)?$", 1).alias("n")).where("n <> ''")
     known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max(1 - F.col("quality")).alias("bad"))
     return shown.select("page_id", F.col("n").cast("bigint").alias("doc_id")).join(known, "doc_id").select("page_id", "bad")
 

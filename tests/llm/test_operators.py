@@ -214,6 +214,23 @@ def test_url_filter(spark):
     assert urls.url_filter(pages.where("false"), bad.where("false")).count() == 0
 
 
+def test_outcomes_of_pages_that_end_in_html(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    urls_ = [f"http://bad.net/p/{i}.html" for i in range(60)] + [f"http://good.net/p/{i}/" for i in range(60, 90)] + [f"http://good.net/{i}" for i in range(90, 120)]
+    urls_ += ["http://bad.net/p/3xhtml", "http://bad.net/p/4.htm", "http://bad.net/p/\\\\xhtml", "http://bad.net/"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id bigint, url string")
+    labels = spark.createDataFrame([(i, int(i >= 60)) for i in range(120)], "doc_id bigint, quality int")
+    assert rows(queries.page_outcomes(pages, labels), "page_id", "bad") == [(i, int(i < 60)) for i in range(120)]
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    with duckdb.connect() as con:
+        for name in ("pages", "labels"):
+            con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+        want = sorted(con.execute(f"select page_id, host, path, rule, verdict from ({queries.URLS_SQL})").fetchall())
+    got = rows(queries.op6_url_filter(spark, str(tmp_path)), "page_id", "host", "path", "rule", "verdict")
+    assert got == want and {v for _, h, _, _, v in got if h == "bad.net"} == {"block"}
+
+
 def test_reputation_is_shrunk(spark):
     rows_ = [("a.x.com", "x.com", "com", 2, 2), ("b.x.com", "x.com", "com", 200, 4), ("c.y.com", "y.com", "com", 0, 0), ("z.org", "z.org", "org", 300, 150)]
     got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(rows_, "host string, domain string, suffix string, n bigint, bad bigint")).collect()}
