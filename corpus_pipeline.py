@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, lines, packing, quality, simhash
+from quillon.llm import decontaminate, lines, minhash, packing, quality
 from quillon.llm.common import small, stored, table
 from quillon.llm.queries import END_ID, SEQUENCE, tokenizer
 
@@ -45,8 +45,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies the document of the smallest id stays."""
-    found = simhash.near_duplicates(docs)
+    """Of each component of near copies the document of the smallest id stays.
+
+    Near copies have a Jaccard similarity of five-word shingles of 0.8 or more.
+    """
+    found = minhash.near_duplicates(docs, least=0.8, size=5)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return _without(docs, gone.select(F.col("doc_id").alias("gone")))
 

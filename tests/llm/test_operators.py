@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, licenses, lines, packing, quality, queries, simhash, substrings, tokens, urls, warc
+from quillon.llm import bpe, decontaminate, licenses, lines, minhash, packing, quality, queries, simhash, substrings, tokens, urls, warc
 from quillon.llm.components import components
 from tests.llm import brute
 
@@ -159,6 +159,60 @@ def test_near_duplicates(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def jaccard_components(texts, least=0.8, size=5):
+    sets = []
+    for _, t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return [texts[top(i)][0] for i in range(len(sets))]
+
+
+def test_jaccard_near_copies(spark, docs, texts, empty):
+    """Links on both sides of 0.8; chains whose least class is no hub; copies in many fingerprint bits; a group that all but links."""
+    r = random.Random(11)
+    more = list(texts)
+    for base_size, edits in ((46, 1), (60, 2), (100, 2), (220, 5), (900, 30)):
+        base = [f"v{r.randrange(5000)}" for _ in range(base_size)]
+        for _ in range(12):
+            w = list(base)
+            for at in r.sample(range(base_size), edits):
+                w[at] = f"e{r.randrange(10**6)}"
+            more.append((len(more), " ".join(w)))
+    w = [f"c{r.randrange(5000)}" for _ in range(120)]
+    for k in range(30):  # each a neighbour of the last
+        w = w[2:] + [f"c{r.randrange(5000)}" for _ in range(2)]
+        more.append((len(more), " ".join(w)))
+    df = spark.createDataFrame(more, "doc_id bigint, text string").repartition(3)
+    assert [c for _, c in rows(minhash.near_duplicates(df), "doc_id", "component_id")] == jaccard_components(more)
+    assert minhash.near_duplicates(empty).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(5)
+    texts = []
+    for _ in range(40):
+        base = [f"w{r.randrange(3000)}" for _ in range(150)]
+        near = list(base)
+        for at in r.sample(range(150), 2):
+            near[at] = "other"
+        texts += [base, near]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id bigint, text string")
+    assert [i for i, in rows(pipeline.near_dedup(spark, df, ""), "doc_id")] == list(range(0, 80, 2))
+
+
 def test_links_in_deep_tries(spark, monkeypatch):
     """A node bound of few fingerprints makes the tables' traversal go down many levels."""
     monkeypatch.setattr(simhash, "NODE", 8)
