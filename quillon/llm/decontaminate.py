@@ -84,7 +84,7 @@ class Index:
             return []
         step, get, none = max(64, self.longest), self.terms.get, len(self.terms)
         ids = np.fromiter((get(w, none) for d in docs for w in d), np.int64)
-        length = np.array([len(d) for d in docs])
+        length = np.array([len(d) for d in docs], np.int64)
         steps = -(-length // step)
         passages = np.maximum(steps - 1, np.minimum(steps, 1))
         start = np.cumsum(length) - length
@@ -140,13 +140,13 @@ def contaminated(
     item_text_col: str = "text",
     least_score: float = 0.5,
     least_overlap: float = 0.8,
-    least_answer: float = 0.5,
 ) -> DataFrame:
     """A row for each document and test item that it holds (SCHEMA), best passage first.
 
     Every passage of every document is a query. Retrieved items are verified by shingles
     of five words (an item of fewer words is one shingle): least_overlap of the item's
-    and least_answer of its answer's must stand in the passage. Null or empty texts and
+    must stand in the passage, whichever they are; the shares of question and answer
+    are reported. Null or empty texts and
     items without words match nothing; repeated rows give repeated results. The index
     holds SHARD items at most and goes with the tasks; a larger benchmark is dealt over
     several by its id, each queried by all passages.
@@ -157,12 +157,12 @@ def contaminated(
     sc, found = docs.sparkSession.sparkContext, None
     for k in range(shards):
         index = sc.broadcast(Index((x.item, x.text) for x in items.where(dealt == k).collect()))
-        rows = map_batches(documents(docs, id_col, text_col), _matcher(index, least_score, least_overlap, least_answer), SCHEMA)
+        rows = map_batches(documents(docs, id_col, text_col), _matcher(index, least_score, least_overlap), SCHEMA)
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
-def _matcher(index, least_score, least_overlap, least_answer):
+def _matcher(index, least_score, least_overlap):
     def batch(b: pa.RecordBatch) -> pa.Table:
         own: Index = index.value
         out: list[tuple] = []
@@ -174,7 +174,7 @@ def _matcher(index, least_score, least_overlap, least_answer):
             best: dict[tuple[int, int], tuple] = {}
             for d, at, item, score in own.retrieve(group, least_score):
                 every, q, a = own.verify(group[d][at : at + span], item)
-                if every >= least_overlap and a >= least_answer:
+                if every >= least_overlap:
                     row = (every, score, q, a, -at)
                     best[d, item] = max(best.get((d, item), row), row)
             for (d, item), (every, score, q, a, at) in sorted(best.items()):

@@ -310,6 +310,21 @@ def test_decontamination(spark, docs, texts, empty):
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_an_item_without_its_tail_is_found(spark):
+    words = [f"w{i}" for i in range(40)]
+    df = spark.createDataFrame([(0, "x y z " + " ".join(words[:33]) + " q r"), (1, " ".join(words[:32])), (2, " ".join(words))], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
+    got = {r.doc_id: r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {0, 2} and got[0].overlap == 29 / 36 and got[0].answer_overlap < 0.5
+
+
+def test_a_batch_that_ends_with_a_long_text(spark):
+    words = " ".join(f"w{i}" for i in range(40))
+    df = spark.createDataFrame([(0, words), (1, "a " * (decontaminate._PART + 1) + words)], "doc_id bigint, text string").coalesce(1)
+    bench = spark.createDataFrame([(7, words)], "item_id bigint, text string")
+    assert {r.doc_id for r in decontaminate.contaminated(df, bench).collect()} == {0, 1}
+
+
 def test_block_bounds_lose_no_item():
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(80)]
