@@ -43,7 +43,7 @@ def prefix_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     def batch(b: pa.RecordBatch) -> pa.Table:
         model = bpe.load(tokenizer)
         texts = b.column(1).to_pylist()
-        deltas = [model.deltas(t) for t in texts]
+        deltas = list(model.deltas(texts))
         return pa.table(
             {
                 "doc_id": b.column(0),
