@@ -14,7 +14,10 @@ from .common import documents, map_batches, stored
 
 #: Items that are packed together; islands that work on each such block, their
 #: solutions, the epochs between which elites migrate, and generations an epoch.
-BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 4096, 2, 4, 2, 8
+BLOCK, ISLANDS, POPULATION, EPOCHS, GENERATIONS = 16384, 2, 4, 3, 16
+#: Mutations of a child; of how many of the emptiest bins and of how many others each; every
+#: CROSS-th child is a mutated elite, the others come from a crossover.
+MUTATIONS, WORST, OTHERS, CROSS = 6, 12, 28, 2
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -115,6 +118,47 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
     return child.astype(np.int32)
 
 
+def _fullest(sizes: list[int], room: int) -> list[int]:
+    """Places of items whose sizes add up to the most that room holds, by the sums that can be reached."""
+    reached, before = 1, []
+    whole = (1 << (room + 1)) - 1
+    for x in sizes:
+        before.append(reached)
+        reached |= (reached << x) & whole
+    left, taken = reached.bit_length() - 1, []
+    for k in range(len(sizes) - 1, -1, -1):
+        if not before[k] >> left & 1:
+            taken.append(k)
+            left -= sizes[k]
+    return taken
+
+
+def mutate(at: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator, worst: int, others: int) -> np.ndarray:
+    """The emptiest bins and some others are dissolved and filled again, each around the
+    largest document left, as full as the rest allows. A solution that it doesn't better stays."""
+    fill = np.bincount(at, sizes)
+    n = len(fill)
+    gone = np.union1d(np.argsort(fill, kind="stable")[:worst], rng.choice(n, min(n, others), replace=False))
+    pool = np.flatnonzero(np.isin(at, gone))
+    rng.shuffle(pool)
+    items = pool[np.argsort(-sizes[pool], kind="stable")].tolist()
+    bins: list[list[int]] = []
+    while items and len(bins) <= len(gone):
+        head, rest = items[0], items[1:]
+        small = rest[::-1] if len(bins) % 2 else rest
+        taken = {small[k] for k in _fullest([int(sizes[i]) for i in small], capacity - int(sizes[head]))}
+        bins.append([head, *taken])
+        items = [i for i in rest if i not in taken]
+    new = np.array([sizes[b].sum() for b in bins], float)
+    if items or (-len(bins), np.square(new).sum()) <= (-len(gone), np.square(fill[gone]).sum()):
+        return at
+    child = at.copy()
+    names = np.concatenate((gone, [n]))
+    for k, b in zip(names, bins, strict=False):
+        child[b] = k
+    return np.unique(child, return_inverse=True)[1].astype(np.int32)
+
+
 def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, seed: int, generations: int, size: int) -> list[np.ndarray]:
     """The island's next population, best first. It stops at the lower bound of bins."""
     rng, bound = np.random.default_rng(seed), -(-int(sizes.sum()) // capacity)
@@ -123,16 +167,23 @@ def evolve(population: list[np.ndarray], sizes: np.ndarray, capacity: int, seed:
     scored = [(_fitness(p, sizes, capacity), p) for p in people]
     best = max(s for s, _ in scored)
     while len(scored) < size and -best[0] > bound:
-        p = _pack(plain, np.argsort(-sizes * rng.uniform(0.8, 1.0, len(sizes)), kind="stable"), capacity)
+        p = _pack(plain, np.argsort(-sizes * rng.uniform(0.9, 1.0, len(sizes)), kind="stable"), capacity)
         scored.append((_fitness(p, sizes, capacity), p))
-    for _ in range(generations):
+    for g in range(generations):
         scored.sort(key=lambda x: x[0], reverse=True)
         scored = scored[:size]
-        if -scored[0][0][0] <= bound or len(scored) < 2:
+        if -scored[0][0][0] <= bound:
             break
-        i, j = rng.choice(len(scored), 2, replace=False)
-        child = crossover(scored[i][1], scored[j][1], sizes, capacity, rng)
-        scored.append((_fitness(child, sizes, capacity), child))
+        if g % CROSS and len(scored) > 1:
+            i, j = rng.choice(len(scored), 2, replace=False)
+            child = crossover(scored[i][1], scored[j][1], sizes, capacity, rng)
+        else:
+            child = scored[0][1]
+        for _ in range(MUTATIONS):
+            child = mutate(child, sizes, capacity, rng, WORST, OTHERS)
+        score = _fitness(child, sizes, capacity)
+        if all(score != s for s, _ in scored):
+            scored.append((score, child))
     scored.sort(key=lambda x: x[0], reverse=True)
     return [p for _, p in scored[:size]]
 
@@ -182,7 +233,10 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     """cut (columns doc_id, piece, start, length and any others) with sequence_id and offset added.
 
     Pieces of full length are sequences of their own. The others are dealt into blocks
-    of about BLOCK by a hash, each packed by best_bins. Sequences have no gaps.
+    of about BLOCK by a hash, each packed by best_bins. Sequences have no gaps. Ties in
+    length go by doc_id (null first), piece and checksum. Rows that are repeated, texts
+    of null and documents without an id are pieces like others; an empty table gives an
+    empty one.
     """
     cut = stored(cut, "pieces")
     full = cut.where(F.col("length") >= capacity).withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("bigint"))
