@@ -122,7 +122,7 @@ def url(u, rules):
 def archive(pages):
     """pages: list of (page_id, html)."""
     first = {}
-    for p, h in sorted(pages, key=lambda x: x[0]):
+    for p, h in sorted(pages, key=lambda x: (x[0] is None, x[0] or 0)):
         first.setdefault(h or "", p)
     out = []
     for p, h in pages:
