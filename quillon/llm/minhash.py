@@ -1,4 +1,4 @@
-"""Near copies by the exact Jaccard similarity of word shingles; MinHash finds the candidates."""
+"""What near copies by Jaccard similarity need: shingle sets, MinHash bands, verification of pairs of classes."""
 
 from __future__ import annotations
 
@@ -8,8 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, stored, utf8
-from .components import components
+from .common import map_batches, stored, utf8
 
 #: A candidate pair agrees in all ROWS minima of one of BANDS bands. A pair of similarity
 #: s is missed with a chance of (1 - s ** ROWS) ** BANDS: 5e-8 at 0.8, less above.
@@ -20,14 +19,17 @@ _ODD = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 _PART = 1 << 17  # shingles that are hashed again at once
 
 
-def shingles(text: bytes, size: int = 5) -> np.ndarray:
-    """The distinct XXH64 of the lower-cased text's shingles, sorted; fewer words are one shingle, none are none."""
+def hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 of the lower-cased text's shingles in order; fewer words are one shingle, none are none."""
     words = text.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    n = max(1, len(words) - size + 1)
+    n = max(1, len(words) - size + 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(words[i : i + size]), 42) for i in range(n)), np.uint64, n))
+    return np.fromiter((digest(b" ".join(words[i : i + size]), 42) for i in range(n)), np.uint64, n)
+
+
+def shingles(text: bytes, size: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted."""
+    return np.unique(hashes(text, size))
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -53,27 +55,20 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, text, cls, n, bands): cls is one for equal shingle sets, n the set's size; no word: cls 0, no bands."""
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(x, size) for x in utf8(b.column(1))]
-        cls = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) if len(x) else 0 for x in sets], np.uint64)
-        keys: list = [None] * len(sets)
-        part: list[int] = []
-        held = 0
-        for i, x in enumerate(sets):
-            if len(x):
-                part.append(i)
-                held += len(x)
-            if part and (held >= _PART or i + 1 == len(sets)):
-                for j, row in zip(part, bands([sets[j] for j in part]).view(np.int64), strict=True):
-                    keys[j] = row
-                part, held = [], 0
-        cols = [b.column(0), b.column(1), pa.array(cls.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        return pa.record_batch(cols, names=["doc_id", "text", "cls", "n", "bands"])
-
-    return map_batches(documents(docs, id_col, text_col), batch, "doc_id bigint, text string, cls bigint, n bigint, bands array<bigint>")
+def keys(sets: list[np.ndarray]) -> list[np.ndarray | None]:
+    """The bands of many sets, some thousand shingles at once; None for an empty set."""
+    out: list[np.ndarray | None] = [None] * len(sets)
+    part: list[int] = []
+    held = 0
+    for i, x in enumerate(sets):
+        if len(x):
+            part.append(i)
+            held += len(x)
+        if part and (held >= _PART or i + 1 == len(sets)):
+            for j, row in zip(part, bands([sets[j] for j in part]).view(np.int64), strict=True):
+                out[j] = row
+            part, held = [], 0
+    return out
 
 
 def _texts(own: DataFrame, ends: DataFrame) -> DataFrame:
@@ -81,7 +76,7 @@ def _texts(own: DataFrame, ends: DataFrame) -> DataFrame:
     return stored(own.select("cls", "text").join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")), "texts")
 
 
-def _alike(pairs: DataFrame, own: DataFrame, least: float, size: int) -> DataFrame:
+def alike(pairs: DataFrame, own: DataFrame, least: float, size: int) -> DataFrame:
     """Those pairs (u, v) of classes whose Jaccard similarity is `least` or more; the texts of the pairs' ends are read again."""
     ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
     texts = _texts(own, ends)
@@ -101,7 +96,7 @@ def _alike(pairs: DataFrame, own: DataFrame, least: float, size: int) -> DataFra
     return stored(map_batches(both, batch, "u bigint, v bigint"), "alike")
 
 
-def _overlapping(members: DataFrame, own: DataFrame, least: float, size: int) -> DataFrame:
+def overlapping(members: DataFrame, own: DataFrame, least: float, size: int) -> DataFrame:
     """(u, v), u < v: all pairs of members (cls, n, root) of different roots that may reach `least`; none that does is lost.
 
     Prefix filtering: with shingles in one order, rare ones first, a pair that reaches
@@ -130,33 +125,3 @@ def _overlapping(members: DataFrame, own: DataFrame, least: float, size: int) ->
     most = F.least(F.col("na") - F.col("ata"), F.col("nb") - F.col("atb"))
     fits = (F.col("na") >= F.col("nb") * least - 1e-9) & (most >= (F.col("na") + F.col("nb")) * (least / (1 + least)) - 1e-9)
     return a.join(b, "s").where(order & (F.col("ra") != F.col("rb")) & fits).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
-    """(doc_id, component_id): documents that a chain of pairs of Jaccard similarity `least` or more connects.
-
-    Equal shingle sets are one class from the start, so copies never meet. Classes that
-    share a band's key are candidates. First each meets the least class of its keys;
-    then, of the classes of keys that these links leave in several components, all pairs
-    of different components that may reach `least` meet (_overlapping). Every pair is
-    verified on its texts' whole shingle sets. component_id is the smallest doc_id
-    of the component; null ids and repeated rows are as in simhash.near_duplicates.
-    """
-    own = stored(sketches(docs, id_col, text_col, size), "sketches")
-    classes = stored(own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select("cls", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n_cls")).where("n_cls > 1").drop("n_cls")
-    rows = stored(rows.join(shared, "key"), "candidates")
-    stars = stored(rows.where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v")).distinct(), "stars")
-    edges = _alike(stars, own, least, size)
-    root = stored(components(edges).select(F.col("node").alias("cls"), "root"), "roots")
-    rows = rows.join(root, "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    split = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    members = stored(rows.join(split, "key", "left_semi").select("cls", "n", "root").distinct(), "apart")
-    rest = _overlapping(members, own, least, size).join(stars, ["u", "v"], "left_anti")
-    edges = edges.unionByName(_alike(stored(rest, "rest"), own, least, size))
-    root = components(edges).withColumnRenamed("node", "cls")
-    tied = classes.select("cls", "least").join(root, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = tied.join(ids, "root").select("cls", "component_id")
-    return own.select("doc_id", "cls").join(tied, "cls").select("doc_id", "component_id")

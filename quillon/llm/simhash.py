@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from . import minhash
 from .common import documents, map_batches, small, stored, utf8
 from .components import components
 
@@ -20,21 +21,18 @@ STEP = 4
 FEW_PAIRS = 1_000_000
 
 
-def fingerprint(text: bytes, shingle: int = 3) -> int:
-    """A bit is 1 if it is set in over half of the shingles' XXH64; no word: 0."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(
-        (digest(b" ".join(words[i : i + shingle]), 42) for i in range(n)), np.uint64, n
-    )
+def bits(hashes: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half of the hashes; none: 0."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, n, 1 << 16):
+    for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, shingle: int = 3) -> int:
+    """The fingerprint of a text's shingles, repeats included."""
+    return bits(minhash.hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -223,3 +221,63 @@ def near_duplicates(
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     tied = tied.join(ids, "root").select("fp", "component_id")
     return own.join(tied, "fp").select("doc_id", "fp", "component_id")
+
+
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
+    """(doc_id, text, cls, n, fp, bands): cls is one for equal shingle sets, n the set's size, fp a fingerprint of the text; no word: cls 0, no bands."""
+
+    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
+        every = [minhash.hashes(x, size) for x in utf8(b.column(1))]
+        fps = np.array([bits(x) for x in every], np.uint64)
+        sets = [np.unique(x) for x in every]
+        cls = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) if len(x) else 0 for x in sets], np.uint64)
+        cols = [pa.array(cls.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps.view(np.int64)), pa.array(minhash.keys(sets), pa.list_(pa.int64()))]
+        return pa.record_batch([b.column(0), b.column(1), *cols], names=["doc_id", "text", "cls", "n", "fp", "bands"])
+
+    return map_batches(documents(docs, id_col, text_col), batch, "doc_id bigint, text string, cls bigint, n bigint, fp bigint, bands array<bigint>")
+
+
+def near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, most: int = 3
+) -> DataFrame:
+    """(doc_id, component_id): documents that a chain of pairs of Jaccard similarity `least` or more connects.
+
+    Equal shingle sets are one class from the start, so copies never meet. The tries link
+    classes within `most` bits first. Similar texts may differ in more bits than any trie
+    can search, so MinHash bands complete the candidates: classes that share a band's key
+    and are still apart meet the least class of their key; then, of the keys whose classes
+    these links leave in several components, all pairs of different components that may
+    reach `least` meet. Every pair is verified on its texts' whole shingle sets.
+    component_id is the smallest doc_id of the component; null ids and repeated rows are
+    as in near_duplicates.
+    """
+    own = stored(sketches(docs, id_col, text_col, shingle), "sketches")
+    classes = own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = stored(classes, "classes")
+    alike = lambda pairs, name: minhash.alike(stored(pairs.distinct(), name), own, least, shingle)
+    roots = lambda edges, name: stored(components(edges).withColumnRenamed("node", "cls"), name)
+
+    hubs = stored(classes.groupBy("fp").agg(F.min("cls").alias("hub")), "hubs")
+    equal = classes.join(hubs, "fp").where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+    end = lambda x: hubs.select(F.col("fp").alias(f"fp_{x}"), F.col("hub").alias(x))
+    tied = links(hubs.select("fp"), most).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v"))
+    close = tied.join(end("u"), "fp_u").join(end("v"), "fp_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    edges = alike(equal.unionByName(close), "close")
+
+    rows = classes.select("cls", "n", F.explode("bands").alias("key"))
+    rows = rows.join(roots(edges, "roots"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    shared = rows.groupBy("key").agg(F.min(F.struct("cls", "root")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    rows = stored(rows.join(shared.select("key", "hub"), "key"), "candidates")
+    stars = stored(rows.where("root <> hub.root").select(F.col("hub.cls").alias("u"), F.col("cls").alias("v")).distinct(), "stars")
+    edges = edges.unionByName(alike(stars, "met"))
+
+    rows = rows.drop("root").join(roots(edges, "roots"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
+    split = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    members = stored(rows.join(split, "key", "left_semi").select("cls", "n", "root").distinct(), "apart")
+    rest = minhash.overlapping(members, own, least, shingle).join(stars, ["u", "v"], "left_anti")
+    edges = edges.unionByName(alike(rest, "rest"))
+
+    tied = classes.select("cls", "least").join(roots(edges, "roots"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
+    tied = tied.join(ids, "root").select("cls", "component_id")
+    return own.select("doc_id", "cls").join(tied, "cls").select("doc_id", "component_id")

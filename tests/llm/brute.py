@@ -146,3 +146,36 @@ def gapless(rows, capacity=1024):
         if at > capacity:
             return False
     return True
+
+
+def jaccard_components(texts, least=0.8, size=5):
+    sets = []
+    for _, t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    up = list(range(len(sets)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or len(a & b) >= least * len(a | b):
+                x, y = sorted((top(i), top(j)))
+                up[y] = x
+    return [texts[top(i)][0] for i in range(len(sets))]
+
+
+def grams(words, size):
+    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
+
+
+def held(words, item):
+    """Whether a text holds an item by its shingles: of question and answer 0.65 each, or 0.8 of all."""
+    size = min(5, len(item))
+    own, there = grams(item, size), set(grams(words, size))
+    cut = max(len(item) - max(1, len(item) // 4) - size + 1, 0)
+    share = lambda part: len(set(part) & there) / len(set(part)) if part else 1.0
+    return share(own) >= 0.8 or min(share(own[:cut]), share(own[cut:])) >= 0.65

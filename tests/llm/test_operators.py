@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, licenses, lines, minhash, packing, quality, queries, simhash, substrings, tokens, urls, warc
+from quillon.llm import bpe, decontaminate, licenses, lines, packing, quality, queries, simhash, substrings, tokens, urls, warc
 from quillon.llm.components import components
 from tests.llm import brute
 
@@ -182,26 +182,6 @@ def test_near_duplicates(docs, texts, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def jaccard_components(texts, least=0.8, size=5):
-    sets = []
-    for _, t in texts:
-        w = (t or "").encode().lower().split()
-        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
-    up = list(range(len(sets)))
-
-    def top(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for i, a in enumerate(sets):
-        for j, b in enumerate(sets[:i]):
-            if a == b or len(a & b) >= least * len(a | b):
-                x, y = sorted((top(i), top(j)))
-                up[y] = x
-    return [texts[top(i)][0] for i in range(len(sets))]
-
-
 def test_jaccard_near_copies(spark, docs, texts, empty):
     """Links on both sides of 0.8; chains whose least class is no hub; copies in many fingerprint bits; a group that all but links."""
     r = random.Random(11)
@@ -218,8 +198,8 @@ def test_jaccard_near_copies(spark, docs, texts, empty):
         w = w[2:] + [f"c{r.randrange(5000)}" for _ in range(2)]
         more.append((len(more), " ".join(w)))
     df = spark.createDataFrame(more, "doc_id bigint, text string").repartition(3)
-    assert [c for _, c in rows(minhash.near_duplicates(df), "doc_id", "component_id")] == jaccard_components(more)
-    assert minhash.near_duplicates(empty).count() == 0
+    assert [c for _, c in rows(simhash.near_copies(df), "doc_id", "component_id")] == brute.jaccard_components(more)
+    assert simhash.near_copies(empty).count() == 0
 
 
 def test_pipeline_stage_drops_near_copies(spark):
@@ -345,19 +325,6 @@ def test_reputation_is_shrunk(spark):
     assert got["z.org"].bound > 0.2 and all(r.bound < r.posterior for r in got.values())
 
 
-def grams(words, size):
-    return [tuple(words[i : i + size]) for i in range(len(words) - size + 1)]
-
-
-def held(words, item):
-    """Whether a text holds an item by its shingles: of question and answer 0.65 each, or 0.8 of all."""
-    size = min(5, len(item))
-    own, there = grams(item, size), set(grams(words, size))
-    cut = max(len(item) - max(1, len(item) // 4) - size + 1, 0)
-    share = lambda part: len(set(part) & there) / len(set(part)) if part else 1.0
-    return share(own) >= 0.8 or min(share(own[:cut]), share(own[cut:])) >= 0.65
-
-
 def test_decontamination(spark, docs, texts, empty):
     long = next(t for _, t in texts if t and t.count(" ") > 200)
     words = long.split(" ")
@@ -369,7 +336,7 @@ def test_decontamination(spark, docs, texts, empty):
         w = decontaminate.words_of(t or "")
         for k, item in items:
             own = decontaminate.words_of(item or "")
-            if own and held(w, own):
+            if own and brute.held(w, own):
                 want.add((i, k))
     assert got == want and {k for _, k in got} >= {0, 5}
     assert decontaminate.contaminated(empty, bench).count() == 0 and decontaminate.contaminated(docs, bench.where("false")).count() == 0
@@ -388,7 +355,7 @@ def test_question_and_answer(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in given.items()], "doc_id bigint, text string")
     bench = spark.createDataFrame([(7, " ".join(words))], "item_id bigint, text string")
     got = {r.doc_id: r for r in decontaminate.contaminated(df, bench, least_score=0.3).collect()}
-    assert set(got) == {i for i, w in given.items() if held(w, words)} and set(got) >= {3} and not {1, 2} & set(got)
+    assert set(got) == {i for i, w in given.items() if brute.held(w, words)} and set(got) >= {3} and not {1, 2} & set(got)
     assert all(min(r.question_overlap, r.answer_overlap) >= 0.65 or r.overlap >= 0.8 for r in got.values())
 
 
