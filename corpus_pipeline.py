@@ -2,7 +2,10 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents. Rows that share a doc_id are one document and go or stay together.
+documents. Rows that share a doc_id are one document and go or stay together, those
+without an id too. A text of null is empty: quality rules drop it. Repeated rows stay
+repeated; packing gives each its pieces. Empty tables give empty tables, and further
+columns pass through unchanged, whatever their names, up to packing.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, lines, minhash, packing, quality
+from quillon.llm import decontaminate, lines, packing, quality, simhash
 from quillon.llm.common import small, stored, table
 from quillon.llm.queries import END_ID, SEQUENCE, tokenizer
 
@@ -49,7 +52,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near copies have a Jaccard similarity of five-word shingles of 0.8 or more.
     """
-    found = minhash.near_duplicates(docs, least=0.8, size=5)
+    found = simhash.near_copies(docs, least=0.8, shingle=5)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return _without(docs, gone.select(F.col("doc_id").alias("gone")))
 
