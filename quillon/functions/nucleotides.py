@@ -43,6 +43,11 @@ def images(word: Column, spec) -> list[Column]:
     return [word, *([complement(word)] if comp else []), *([F.reverse(word)] if rev else []), *([revcomp(word)] if rc else [])]
 
 
+def merges(spec) -> bool:
+    """Whether a class has several words."""
+    return spec.reverse or spec.complement or spec.revcomp
+
+
 def representative(word: Column, spec) -> Column:
     """The class's least word in the alphabet's order."""
     all_ = images(word, spec)
@@ -58,6 +63,13 @@ def class_name(rep: Column, spec) -> Column:
     return F.concat_ws("|", *images(rep, spec))
 
 
+def chunks(sequence: Column, k: int, size: int) -> Column:
+    """The sequence in parts of `size` letters and the k - 1 that follow: together they have each word of length k once."""
+    last = F.greatest(F.length(sequence) - k, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), F.floor(last / size).cast("int")), lambda i: F.substring(sequence, i * size + 1, F.lit(size + k - 1)))
+    return F.when(F.length(sequence) > size, cut).otherwise(F.array(sequence))
+
+
 def windows(sequence: Column, k: int) -> Column:
     """All words of length k over acgt, overlapping, in one pass: a match that looks ahead at each place."""
     return F.regexp_extract_all(sequence, F.lit(f"(?=([acgt]{{{k}}}))"), F.lit(1))

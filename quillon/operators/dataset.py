@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..spec import Model
+
 
 def training_data(foreground: DataFrame, background: DataFrame) -> DataFrame:
     """Both with label true and false, one after the other in source order (column src)."""
@@ -51,6 +53,14 @@ def score_features(table: DataFrame, columns: list[str], id_col: str = "sample_i
     return long.where("value <> 0").select("sample_id", F.col("feature_id").cast("bigint").alias("feature_id"), "value")
 
 
+def require_columns(known: list[int] | range, model: Model) -> None:
+    """A model's base features must all be there; a column that a table lacks isn't taken for zero."""
+    for f in model.features():
+        for i in f:
+            if i not in known:
+                raise ValueError(f"the model needs column {i + 1} ({model.names.get(i, 'unnamed')}), which the data lack")
+
+
 def check_columns(found: list[str], expected: dict[int, str]) -> None:
     """A table's columns must be the model's, place by place."""
     for i, name in expected.items():

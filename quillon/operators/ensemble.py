@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.nucleotides import RANKED
 from ..spec import Member, Model
 
 
@@ -54,26 +55,87 @@ def combine(coef: DataFrame, members: int, how: str) -> DataFrame:
     return wide_members(coef, members).select("a", "b", best["theta"].alias("theta"))
 
 
-def combine_models(models: list[Model], how: str) -> Model:
-    """The members of all models combined, biases too. A single member stays as it is."""
+def aligned(models: list[Model]) -> list[Model]:
+    """The models over one numbering of base features, by name.
+
+    K-mer classes of all models are numbered in the alphabet's order; columns of score
+    tables keep their places, which must have one name. Models of different spaces, or
+    whose transforms differ in a feature that both use, don't go together.
+    """
     first = models[0]
     for m in models[1:]:
-        if m.names != first.names or (m.spec and first.spec and not m.spec.same_space(first.spec)):
-            raise ValueError("the models have different features")
-        for f in m.transform.keys() & first.transform.keys():
-            if any(abs(x - y) > 1e-12 for x, y in zip(m.transform[f], first.transform[f], strict=True)):
-                raise ValueError("the models have different transforms")
-    members = [x for m in models for x in m.members]
-    transform = {f: t for m in models for f, t in m.transform.items()}
-    if len(members) == 1:
-        return first
+        if (m.spec is None) != (first.spec is None) or m.cooccurrence != first.cooccurrence or m.spec and not m.spec.same_space(first.spec):
+            raise ValueError("the models have different kinds of features")
+    if first.spec is None:
+        names: dict[int, str] = {}
+        for m in models:
+            for i, name in m.names.items():
+                if names.setdefault(i, name) != name:
+                    raise ValueError(f"column {i + 1} is named {names[i]} and {name}")
+        moved = [Model(m.members, names, None, m.transform, m.summary, m.cooccurrence) for m in models]
+    else:
+        every = sorted({n for m in models for n in m.names.values()}, key=class_order)
+        number = {n: i for i, n in enumerate(every)}
+        moved = [_renumbered(m, {i: number[n] for i, n in m.names.items()}, dict(enumerate(every))) for m in models]
+    for k, m in enumerate(moved):
+        for other in moved[:k]:
+            _same_transform(m, other)
+    return moved
+
+
+def class_order(name: str) -> tuple[int, list[int]]:
+    """Sorts names of k-mer classes as dictionaries do: by length, then in the alphabet's order."""
+    word = name.split("|")[0]
+    return len(word), [RANKED.index(c) for c in word]
+
+
+def _renumbered(m: Model, to: dict[int, int], names: dict[int, str]) -> Model:
+    move = lambda f: tuple(sorted((to[f[0]], to[f[1]])))
+    members = [Member(x.bias, {move(f): t for f, t in x.theta.items()}) for x in m.members]
+    return Model(members, names, m.spec, {move(f): t for f, t in m.transform.items()}, m.summary, m.cooccurrence)
+
+
+def _same_transform(m: Model, other: Model, tolerance: float = 1e-12) -> None:
+    if bool(m.transform) != bool(other.transform) and m.features() and other.features():
+        raise ValueError("only one of the models has a transform")
+    for f in m.transform.keys() & other.transform.keys():
+        if any(abs(x - y) > tolerance for x, y in zip(m.transform[f], other.transform[f], strict=True)):
+            raise ValueError("the models have different transforms")
+
+
+def joined(models: list[Model]) -> Model:
+    """One ensemble of all members, over the union of the features that have coefficients.
+
+    Summaries must agree; one without a summary takes that of the others.
+    """
+    known = {m.summary for m in models if m.summary}
+    if len(known) > 1:
+        raise ValueError("the models have different summaries")
+    moved = aligned(models)
+    members = [Member(x.bias, {f: t for f, t in x.theta.items() if t != 0}) for m in moved for x in m.members]
+    used = {f for x in members for f in x.theta}
+    base = {i for f in used for i in f}
+    transform = {f: t for m in moved for f, t in m.transform.items() if f in used}
+    names = {i: n for i, n in moved[0].names.items() if i in base}
+    return Model(members, names, moved[0].spec, transform, next(iter(known), ""), moved[0].cooccurrence)
+
+
+def combine_models(models: list[Model], how: str) -> Model:
+    """The members of all models combined, biases too; a coefficient that a member lacks counts as 0.
+
+    A single member stays as it is.
+    """
+    whole = joined(models)
+    if len(whole.members) == 1:
+        return whole
     if how == "mean":
         pick = lambda xs: sum(xs) / len(xs)
-    else:
+    elif how in ("min", "max"):
         pick = (lambda xs: min(xs, key=abs)) if how == "min" else (lambda xs: max(xs, key=abs))
-    features = sorted({f for m in members for f in m.theta})
-    theta = {f: pick([m.theta.get(f, 0.0) for m in members]) for f in features}
-    return Model([Member(pick([m.bias for m in members]), theta)], first.names, first.spec, transform, "", first.cooccurrence)
+    else:
+        raise ValueError(f"unknown summary: {how}")
+    theta = {f: pick([m.theta.get(f, 0.0) for m in whole.members]) for f in whole.features()}
+    return Model([Member(pick([m.bias for m in whole.members]), theta)], whole.names, whole.spec, whole.transform, "", whole.cooccurrence)
 
 
 def stability(coef: DataFrame) -> DataFrame:

@@ -8,32 +8,59 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import nucleotides as nt
+from ..session import small, stored
 from ..spec import KmerSpec, Pair
+from .dataset import joined_sources
+
+#: Letters of a part of a sequence; classes up to whose number a dictionary goes to all executors.
+CHUNK, FEW = 100_000, 500_000
 
 
 def kmer_counts(sequences: DataFrame, spec: KmerSpec) -> DataFrame:
     """(sample_id, k, kmer, n) for sequences(sample_id, sequence).
 
-    kmer is the class's representative. Plain words are counted per sample before they
-    are widened to patterns and merged into classes, so that the many patterns of a
-    word arise once a sample. Counting combines on the map side.
+    kmer is the class's representative. Sequences are cut into overlapping parts, so that
+    a whole chromosome's words are never in one row. Plain words are counted per sample
+    before they are widened to patterns and merged into classes: these expressions run
+    once a word and sample, not once a place. Counting combines on the map side.
     """
     own = sequences.select("sample_id", F.lower("sequence").alias("s")).where("s is not null")
     found = []
     for k in range(spec.shortest, spec.longest + 1):
-        words = own.select("sample_id", F.explode(nt.windows(F.col("s"), k)).alias("w"))
+        part = own.select("sample_id", F.explode(nt.chunks(F.col("s"), k, CHUNK)).alias("s"))
+        words = part.select("sample_id", F.explode(nt.windows(F.col("s"), k)).alias("w"))
+        plain = words.groupBy("sample_id", "w").agg(F.count("*").alias("n"))
         most = spec.ambiguous_at(k)
         if most > 0:
-            plain = words.groupBy("sample_id", "w").agg(F.count("*").alias("n"))
-            wide = plain.select("sample_id", F.explode(nt.patterns(F.col("w"), k, spec.alphabet, most)).alias("w"), "n")
-        else:
-            wide = words.withColumn("n", F.lit(1).cast("bigint"))
-        classes = wide.select("sample_id", F.lit(k).alias("k"), nt.representative(F.col("w"), spec).alias("kmer"), "n")
+            plain = plain.select("sample_id", F.explode(nt.patterns(F.col("w"), k, spec.alphabet, most)).alias("w"), "n")
+        if most <= 0 and not nt.merges(spec):
+            found.append(plain.select("sample_id", F.lit(k).alias("k"), F.col("w").alias("kmer"), "n"))
+            continue
+        classes = plain.select("sample_id", F.lit(k).alias("k"), nt.representative(F.col("w"), spec).alias("kmer"), "n")
         found.append(classes.groupBy("sample_id", "k", "kmer").agg(F.sum("n").alias("n")))
     counts = reduce(DataFrame.unionByName, found)
     return counts.withColumn("n", F.lit(1).cast("bigint")) if spec.binarize else counts
 
 
+def kmer_features(sequences: DataFrame, spec: KmerSpec) -> tuple[DataFrame, DataFrame]:
+    """(features, dictionary) of sequences; the counts that both need are stored, not counted twice."""
+    counts = stored(kmer_counts(sequences, spec), "counts")
+    known = stored(dictionary(counts, spec), "dictionary")
+    return vectorise(counts, known), known
+
+
+def compiled(tables: list[DataFrame], spec: KmerSpec) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, features, dictionary) of several tables of sequences over one dictionary.
+
+    A sample's id becomes the pair of its table's number (src) and its own id, so the
+    result splits back by src.
+    """
+    whole = joined_sources([t.select("sample_id", "sequence") for t in tables])
+    whole = whole.withColumn("sample_id", F.struct("src", "sample_id"))
+    features, known = kmer_features(whole.select("sample_id", "sequence"), spec)
+    return whole.select("sample_id", "src"), features, known
+
+
 def kmer_presence(sequences: DataFrame, spec: KmerSpec) -> DataFrame:
     """(sample_id, k, kmer) of the classes that a sample has."""
     return kmer_counts(sequences, spec).select("sample_id", "k", "kmer")
@@ -68,7 +95,8 @@ def count_features(counts: DataFrame) -> DataFrame:
 
 def fixed_dictionary(counts: DataFrame, dictionary: DataFrame) -> DataFrame:
     """counts of the dictionary's classes only, with their feature_id; what is missing is zero by absence."""
-    return counts.join(dictionary.select("feature_id", "k", "kmer"), ["k", "kmer"])
+    known = dictionary.select("feature_id", "k", "kmer")
+    return counts.join(F.broadcast(known) if small(known, FEW) else known, ["k", "kmer"])
 
 
 def vectorise(counts: DataFrame, dictionary: DataFrame) -> DataFrame:

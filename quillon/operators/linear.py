@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.logistic import class_log_prob, log_sigmoid, sigmoid
 from ..spec import Model
+from .dataset import require_columns
 from .kmers import feature_values
 
 #: Coefficients up to which a model goes to all executors.
@@ -37,12 +38,16 @@ def biases(model: Model) -> list[tuple[int, float]]:
     return out
 
 
-def linear_scores(samples: DataFrame, features: DataFrame, model: Model) -> DataFrame:
+def linear_scores(samples: DataFrame, features: DataFrame, model: Model, columns: int | None = None) -> DataFrame:
     """samples with member and z, a row for each of both; products are formed on the way.
 
+    columns: how many columns the features are made of; a model that needs others is refused.
+
     One shuffle by sample; samples without a feature of the model keep the bias. With
     offsets nothing is made dense: they are part of the bias.
     """
+    if columns is not None:
+        require_columns(range(columns), model)
     coef = coefficients(samples.sparkSession, model)
     small = sum(len(m.theta) for m in model.members) <= FEW
     defs = coef.select("a", "b").distinct()
@@ -69,13 +74,13 @@ def _weight(w0: float, w1: float):
     return F.when(F.col("label"), F.lit(float(w1))).otherwise(F.lit(float(w0)))
 
 
-def loss(scored: DataFrame, n: int, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def loss(scored: DataFrame, n: int | None = None, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """(member, loss): the mean weighted negative log-likelihood of scored(label, member, z).
 
-    It is divided by n, whatever the weights add up to.
+    It is divided by n (None: the samples that are scored), whatever the weights add up to.
     """
     nll = -class_log_prob(F.col("z"), F.col("label")) * _weight(*weights)
-    return scored.groupBy("member").agg((F.sum(nll) / n).alias("loss"))
+    return scored.groupBy("member").agg((F.sum(nll) / (F.count("*") if n is None else F.lit(n))).alias("loss"))
 
 
 def penalty(model: Model, lambda_: float | None) -> list[float]:
@@ -105,5 +110,5 @@ def penalised(gradient: DataFrame, model: Model, lambda_: float, member: int = 0
     """gradient with lambda * sign(theta) added where theta isn't zero."""
     spark = gradient.sparkSession
     signs = [(a, b, lambda_ if t > 0 else -lambda_) for (a, b), t in model.members[member].theta.items() if t != 0]
-    side = F.broadcast(spark.createDataFrame(signs, "a bigint, b bigint, _p double"))
-    return gradient.join(side, ["a", "b"], "left").select("a", "b", (F.col("gradient") + F.coalesce("_p", F.lit(0.0))).alias("gradient"))
+    side = spark.createDataFrame(signs, "a bigint, b bigint, _p double")
+    return gradient.join(F.broadcast(side) if len(signs) <= FEW else side, ["a", "b"], "left").select("a", "b", (F.col("gradient") + F.coalesce("_p", F.lit(0.0))).alias("gradient"))

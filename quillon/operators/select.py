@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..spec import Pair
 
@@ -45,12 +46,13 @@ def select_auto(gradients: DataFrame, active: list[Pair], n: int, before: float
     feature is new, if more than n are active, or, with epsilon > 0, if the penalty moved
     by that much.
     """
-    best = [((r.a, r.b), r.gradient) for r in top_gradients(gradients, max(2 * n, 1)).collect()]
-    if best:
-        floor = min(abs(g) for _, g in best)
-        below = gradients.where(F.abs("gradient") < F.lit(floor)).agg(F.max(F.abs("gradient"))).first()[0]
-    else:
-        below = None
+    wanted = max(2 * n, 1)
+    gradients = gradients.persist(StorageLevel.MEMORY_AND_DISK)
+    best = [((r.a, r.b), r.gradient) for r in top_gradients(gradients, wanted + 1).collect()]
+    below = abs(best.pop()[1]) if len(best) > wanted else None
+    if below is not None and below == abs(best[-1][1]):  # tied with the last of the best: the next smaller one counts
+        below = gradients.where(F.abs("gradient") < F.lit(below)).agg(F.max(F.abs("gradient"))).first()[0]
+    gradients.unpersist()
     lambda_ = lambda_for([g for _, g in best] + ([below] if below is not None else []), n)
     chosen, taken = list(active), set(active)
     for nonzero in (True, False):

@@ -5,26 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small, stored
+
+#: Features up to whose number a transform goes to all executors.
+FEW = 500_000
+
 
 def statistics(values: DataFrame, n: int) -> DataFrame:
     """(a, b, nonzero, mean, sd, max_abs, total) of values(sample_id, a, b, value) over n samples.
 
-    Sums are taken over what is stored; the n - nonzero zeros enter by number. sd has
-    n - 1 below it and comes from squared distances to the mean, found in a first pass.
+    One aggregation over what is stored; the n - stored zeros enter by number. sd has
+    n - 1 below it; squared distances are those to the stored values' own mean, moved to
+    the mean of all.
     """
-    first = values.groupBy("a", "b").agg(
-        F.count_if(F.col("value") != 0).alias("nonzero"),
-        F.count("*").alias("stored"),
-        F.sum("value").alias("total"),
-        F.max(F.abs("value")).alias("max_abs"),
+    found = values.groupBy("a", "b").agg(
+        F.count_if(F.col("value") != 0).alias("nonzero"), F.count("*").alias("stored"), F.sum("value").alias("total"),
+        F.max(F.abs("value")).alias("max_abs"), F.avg("value").alias("own"), F.var_pop("value").alias("spread"),
     ).withColumn("mean", F.col("total") / n)
-    spread = values.join(first.select("a", "b", "mean"), ["a", "b"]).groupBy("a", "b").agg(
-        F.sum((F.col("value") - F.col("mean")) ** 2).alias("ss")
-    )
-    ss = F.col("ss") + (F.lit(n) - F.col("stored")) * F.col("mean") ** 2
-    return first.join(spread, ["a", "b"]).select(
-        "a", "b", "nonzero", "mean", F.sqrt(ss / max(n - 1, 1)).alias("sd"), "max_abs", "total"
-    )
+    ss = F.col("stored") * (F.col("spread") + (F.col("own") - F.col("mean")) ** 2) + (F.lit(n) - F.col("stored")) * F.col("mean") ** 2
+    return found.select("a", "b", "nonzero", "mean", F.sqrt(ss / max(n - 1, 1)).alias("sd"), "max_abs", "total")
 
 
 def single_values(features: DataFrame) -> DataFrame:
@@ -39,7 +38,11 @@ def fit_transform(values: DataFrame, n: int, kind: str) -> DataFrame:
     same without offset; max-abs-scaler: 1 / max |value|; mean-scaler: n / sum. Where the
     last two would divide by zero the scale is infinite.
     """
-    s = statistics(values, n)
+    return transform_of(statistics(values, n), n, kind)
+
+
+def transform_of(s: DataFrame, n: int, kind: str) -> DataFrame:
+    """fit_transform out of statistics."""
     inverse = lambda x: F.coalesce(F.try_divide(F.lit(1.0), x), F.lit(float("inf")))
     one = F.when(F.col("sd") == 0, F.lit(1.0)).otherwise(inverse(F.col("sd")))
     zero = F.lit(0.0)
@@ -59,7 +62,8 @@ def apply_transform(values: DataFrame, transform: DataFrame) -> DataFrame:
     A transformed value is value + shift; a zero becomes the shift alone, so the table
     stays sparse and the shift is added where sums are taken. (sample_id, a, b, value, shift)
     """
-    t = transform.select("a", "b", "scale", (-F.col("offset") * F.col("scale")).alias("shift"))
+    t = stored(transform.select("a", "b", "scale", (-F.col("offset") * F.col("scale")).alias("shift")), "transform")
+    t = F.broadcast(t) if small(t, FEW) else t
     return values.join(t, ["a", "b"]).select("sample_id", "a", "b", (F.col("value") * F.col("scale")).alias("value"), "shift")
 
 

@@ -28,7 +28,7 @@ def window_scores(sequences: DataFrame, dictionary: DataFrame, model: Model, win
     """(sample_id, start, member, z, prediction) of every window, the model's transform applied."""
     key = F.struct("sample_id", "start")
     cut = slices(sequences, window, step, include_last).select(key.alias("sample_id"), "sequence")
-    features = vectorise(kmer_counts(cut, model.spec), F.broadcast(dictionary))
+    features = vectorise(kmer_counts(cut, model.spec), dictionary)
     scored = linear_scores(cut.select("sample_id"), features, model)
     return scored.select("sample_id.sample_id", "sample_id.start", "member", "z", log_sigmoid(F.col("z")).alias("prediction"))
 

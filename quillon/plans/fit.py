@@ -6,6 +6,7 @@ Spark job: gradients of all features, and the solver's passes over the reduced d
 
 from __future__ import annotations
 
+import logging
 import time
 from dataclasses import dataclass, field
 
@@ -23,39 +24,50 @@ from ..operators.stats import apply_transform, fit_transform, single_values
 from ..operators.kmers import pair_values
 from ..spec import Member, Model, Options, Pair
 
-#: Epochs of a fit that names no bound: features that the solver drops and the gradient
-#: proposes again would alternate for ever.
+#: Epochs of a fit that names no bound of its own: features that the solver drops and the
+#: gradient proposes again would alternate for ever. A fit that ends so isn't settled.
 MOST_EPOCHS = 30
 
+log = logging.getLogger(__name__)
+
 
 @dataclass
 class Estimate:
-    """A fitted member with what led to it: trace rows and path steps."""
+    """A fitted member with what led to it.
+
+    trace: a row for each step of the solver (seconds, steps so far, change, active
+    coefficients, penalty, loss); change and active are those of the whole fit and known
+    at its last step only. settled: False where a bound of epochs ended the fit.
+    """
 
     member: Member
     transform: dict[Pair, tuple[float, float]] = field(default_factory=dict)
     lambda_: float = 0.0
-    trace: list[tuple[float, int, float, int, float, float]] = field(default_factory=list)
+    trace: list[tuple[float, int, float | None, int | None, float, float]] = field(default_factory=list)
     path: list[tuple[float, float, list[float]]] = field(default_factory=list)
+    settled: bool = True
 
 
-def solve(design: DataFrame, features: list[Pair], lambda_: float, options: Options, weights: tuple[float, float]) -> Member:
+def solve(design: DataFrame, features: list[Pair], lambda_: float, options: Options, weights: tuple[float, float]) -> tuple[Member, list[float]]:
     """Minimise mean weighted loss + lambda * |theta| over the selected features, the bias free.
 
-    The solver divides by the sum of weights, which is the number of samples for either choice.
+    The solver divides by the sum of weights, which is the number of samples for either
+    choice. It stops where a step improves by less than epsilon, or than epsilon_loss.
+    Besides the member, what was minimised after each step.
     """
     if not features:
         n1, n0 = design.agg(F.count_if("label"), F.count_if(~F.col("label"))).first()
-        return Member(float(np.log(max(n1 * weights[1], 1e-12) / max(n0 * weights[0], 1e-12))))
+        return Member(float(np.log(max(n1 * weights[1], 1e-12) / max(n0 * weights[0], 1e-12)))), []
     columns = [f"f{i}" for i in range(len(features))]
     data = VectorAssembler(inputCols=columns, outputCol="x").transform(design)
     data = data.select("x", F.col("label").cast("double").alias("y"), F.when(F.col("label"), weights[1]).otherwise(weights[0]).alias("w"))
     fitted = LogisticRegression(
         featuresCol="x", labelCol="y", weightCol="w", regParam=float(lambda_), elasticNetParam=1.0, standardization=False,
-        maxIter=options.max_iterations or 1000, tol=options.epsilon or 1e-10,
+        maxIter=options.max_iterations or 1000, tol=max(options.epsilon, options.epsilon_loss) or 1e-10,
     ).fit(data)
     theta = fitted.coefficients.toArray()
-    return Member(float(fitted.intercept), {f: float(t) for f, t in zip(features, theta, strict=True)})
+    history = list(fitted.summary.objectiveHistory) if fitted.hasSummary else []
+    return Member(float(fitted.intercept), {f: float(t) for f, t in zip(features, theta, strict=True)}), history
 
 
 class Estimator:
@@ -85,6 +97,7 @@ class Estimator:
         self.weights = (w.w0 or 1.0, w.w1 or 1.0) if w else (1.0, 1.0)
         self.member = Member(0.0)
         self.started = time.monotonic()
+        self.settled = True
         self.trace: list = []
         self.path: list = []
 
@@ -119,11 +132,16 @@ class Estimator:
     def _fit(self, chosen: Selection, lambda_: float) -> None:
         before = dict(self.member.theta)
         design = self._design(chosen.features).persist(StorageLevel.MEMORY_AND_DISK)
-        self.member = solve(design, chosen.features, lambda_, self.options, self.weights)
+        began = time.monotonic() - self.started
+        self.member, history = solve(design, chosen.features, lambda_, self.options, self.weights)
         design.unpersist()
         change = max((abs(self.member.theta.get(f, 0.0) - before.get(f, 0.0)) for f in {*before, *self.member.theta}), default=0.0)
         value = loss(self._scored(), self.n, self.weights).first()["loss"] + lambda_ * sum(map(abs, self.member.theta.values()))
-        self.trace.append((time.monotonic() - self.started, len(self.trace), change, self.member.nonzero() + 1, lambda_, value))
+        now, done = time.monotonic() - self.started, len(self.trace)
+        for i, x in enumerate(history[1:-1]):  # the first is the start
+            self.trace.append((began + (now - began) * (i + 1) / len(history), done + i, None, None, lambda_, float(x)))
+        self.trace.append((now, len(self.trace), change, self.member.nonzero() + 1, lambda_, value))
+        log.info("%d features of %d tried, lambda %e, loss %f, change %e", self.member.nonzero(), len(chosen.features), lambda_, value, change)
         theta = [self.member.bias, *(self.member.theta[f] for f in sorted(self.member.theta))]
         self.path.append((lambda_, sum(map(abs, theta[1:])), theta))
 
@@ -135,28 +153,27 @@ class Estimator:
         if n <= 0:
             n = self.values.select("a", "b").distinct().count()
         lambda_: float | None = None
-        epochs = 0
-        while not self.options.max_epochs or epochs < self.options.max_epochs:
+        self.settled = False
+        for epoch in range(self.options.max_epochs or MOST_EPOCHS):
             chosen = select_auto(self.gradients(), self._active(), n, lambda_, self.options.epsilon_lambda)
-            if epochs and not chosen.changed:
+            if epoch and not chosen.changed:
+                self.settled = True
                 break
             lambda_ = chosen.lambda_
             self._fit(chosen, lambda_)
-            epochs += 1
-            if epochs >= MOST_EPOCHS:
-                break
         return self._done(lambda_ or 0.0)
 
     def fit_fixed(self, lambda_: float) -> Estimate:
         """Add what violates |gradient| < lambda and fit, until nothing does."""
-        epochs = 0
-        while not self.options.max_epochs or epochs < self.options.max_epochs:
+        self.settled = False
+        for epoch in range(self.options.max_epochs or MOST_EPOCHS):
             chosen = select_fixed(self.gradients(), self._active(), lambda_, self.options.max_features)
-            if epochs and not chosen.changed:
+            if epoch and not chosen.changed:
+                self.settled = True
                 break
             self._fit(chosen, lambda_)
-            epochs += 1
-            if self.options.max_features and len(chosen.features) >= self.options.max_features or epochs >= MOST_EPOCHS:
+            if self.options.max_features and len(chosen.features) >= self.options.max_features:
+                self.settled = True
                 break
         return self._done(lambda_)
 
@@ -164,12 +181,14 @@ class Estimator:
         member = Member(self.member.bias, {f: t for f, t in self.member.theta.items() if t != 0})
         if self.options.penalty_free and member.theta:
             features = sorted(member.theta, key=lambda f: (f[0] != f[1], f))
-            member = solve(self._design(features), features, 0.0, self.options, self.weights)
+            member, _ = solve(self._design(features), features, 0.0, self.options, self.weights)
         transform = {}
         if self.transform is not None and member.theta:
             side = self.samples.sparkSession.createDataFrame(list(member.theta), "a bigint, b bigint")
             transform = {(r.a, r.b): (r.offset, r.scale) for r in self.transform.join(F.broadcast(side), ["a", "b"]).collect()}
-        return Estimate(member, transform, lambda_, list(self.trace), list(self.path))
+        if not self.settled:
+            log.warning("the fit ended at its bound of epochs, not settled")
+        return Estimate(member, transform, lambda_, list(self.trace), list(self.path), self.settled)
 
     def estimate(self) -> list[Estimate]:
         """One estimate for a fixed penalty, else one for each number of features, ascending."""

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dataset import folds, limit_samples, split
 from ..operators.linear import predict
+from ..sources import model_io, writers
 from ..spec import KmerSpec, Model, Options
 from .fit import Estimate, Estimator, evaluate
 
@@ -89,6 +91,52 @@ def cross_validate(samples: DataFrame, features: DataFrame, names: dict[int, str
     return out
 
 
-def learn(samples: DataFrame, features: DataFrame, names: dict[int, str], options: Options, spec: KmerSpec | None = None) -> list[Result]:
-    """The models of a run: samples limited, then fitted on all of them."""
-    return fit_ensemble(limit_samples(samples, options.max_samples), features, names, options, spec)
+def learn(
+    samples: DataFrame, features: DataFrame, names: dict[int, str], options: Options, spec: KmerSpec | None = None, output: str | None = None
+) -> list[Result] | list[FoldResult]:
+    """A run of learning: samples limited, then a fit on all of them, or one for each fold.
+
+    output: the base name of the files that a run leaves behind (see save_run).
+    """
+    limited = limit_samples(samples, options.max_samples)
+    if options.k_fold > 1:
+        done = cross_validate(limited, features, names, options, spec)
+    else:
+        done = fit_ensemble(limited, features, names, options, spec)
+    if output is not None:
+        save_run(samples.sparkSession, done, options, output)
+    return done
+
+
+TRACE = "duration double, iteration int, change double, nonzero int, lambda double, loss double"
+
+
+def save_run(spark: SparkSession, done: list[Result] | list[FoldResult], options: Options, output: str) -> list[str]:
+    """Models, traces, paths and the tables of cross-validation, under the names that writers.output_name gives.
+
+    Traces and paths hold all numbers of features of one fold. Returns what was written.
+    """
+    many = len(options.lambda_auto) > 1 and options.lambda_ is None
+    written: list[str] = []
+
+    def put(write, path: str) -> None:
+        write(path)
+        written.append(path)
+
+    folds_ = sorted({r.fold for r in done if isinstance(r, FoldResult)}) or [None]
+    for fold in folds_:
+        own = [r.result if isinstance(r, FoldResult) else r for r in done if fold is None or r.fold == fold]
+        for r in own:
+            put(lambda p, r=r: model_io.save(r.model, p, spark), writers.output_name(output, r.n, fold, len(own) > 1) + ".json")
+        last = own[-1].estimates
+        trace = [x for e in last for x in e.trace]
+        put(lambda p, x=trace: writers.write_trace(spark.createDataFrame(x, TRACE), p), writers.output_name(output, fold=fold) + ".trace")
+        steps = [(k, i, *x) for k, e in enumerate(last) for i, x in enumerate(e.path)]
+        steps_ = "estimator int, step int, lambda double, norm double, theta array<double>"
+        put(lambda p, x=steps: writers.write_path(spark.createDataFrame(x, steps_), p), writers.output_name(output, fold=fold) + ".path")
+    for n in sorted({r.result.n for r in done if isinstance(r, FoldResult)}):
+        own = [r for r in done if r.result.n == n]
+        shown = reduce(DataFrame.unionByName, [r.predictions.select("prediction", "label") for r in own])
+        losses = spark.createDataFrame([(r.train_loss, r.test_loss) for r in own], "train double, test double")
+        put(lambda p, a=shown, b=losses: writers.write_cv(a, b, p), writers.output_name(output, n, many=many))
+    return written

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import nucleotides as nt
 from .functions.logistic import log_sigmoid, pair_dim, pair_position, position_pair
-from .operators import dataset, ensemble, expand, kmers, linear, report, select, stats, windows
+from .operators import dataset, ensemble, expand, kmers, linear, report, select, stats, tables, windows
 from .plans.fit import Estimator
 from .plans.learn import cross_validate, fit_ensemble
 from .spec import KmerSpec, Member, Model, Options
@@ -162,9 +162,7 @@ _F2 = f"{_seq_sql()}, {_counts_sql(2)}, dict as (select kmer, row_number() over
 
 def _features2(spark, d) -> tuple[DataFrame, DataFrame]:
     spec = _spec(2)
-    counts = kmers.kmer_counts(_sequences(spark, d), spec)
-    known = kmers.dictionary(counts, spec)
-    return kmers.vectorise(counts, known), known
+    return kmers.kmer_features(_sequences(spark, d), spec)
 
 
 @query(f"with {_F2} select p.sample_id, p.f as a, q.f as b, p.v * q.v as value from x p join x q on p.sample_id = q.sample_id and p.f < q.f")
@@ -267,23 +265,48 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 _STATS = f"""with {_SCORES}, {_LONG}, s as (select f, avg(v) as m, stddev_samp(v) as sd, max(abs(v)) as mx, sum(v) as t, count(*) as n, count_if(v <> 0) as nz from long group by f)"""
 
 
-@query(f"{_STATS} select cast(f as bigint) as a, cast(f as bigint) as b, cast(nz as bigint) as nonzero, round(m, 6) as mean, round(sd, 6) as sd, round(mx, 6) as max_abs from s")
-def column_statistics(spark, d):
-    samples, features = _score_data(spark, d)
-    found = stats.statistics(stats.single_values(features), samples.count())
-    return _rounded(found.select("a", "b", "nonzero", "mean", "sd", "max_abs"), 6, "mean", "sd", "max_abs")
+def both_ways(sql: str) -> Callable[[Query], Query]:
+    """Registers f(spark, d, wide) twice: over the wide table of scores, and, as <name>_sparse, over long features."""
 
+    def register(f) -> Query:
+        for name, wide in ((f.__name__, True), (f"{f.__name__}_sparse", False)):
 
-def _transform_query(kind: str, offset: str, scale: str) -> None:
-    sql = f"{_STATS} select cast(f as bigint) as a, cast(f as bigint) as b, round({offset}, 6) as \"offset\", round({scale}, 9) as scale from s"
+            def run(spark, d, wide=wide):
+                return f(spark, d, wide)
+
+            run.__name__ = name
+            query(sql)(run)
+        return f
+
+    return register
+
+
+def _statistics(spark, d, wide: bool, features: list | None = None) -> DataFrame:
+    if wide:
+        return tables.statistics(_scores(spark, d), COLUMNS, features or tables.singles(COLUMNS))
+    samples, long = _score_data(spark, d)
+    return stats.statistics(kmers.pair_values(long) if features else stats.single_values(long), samples.count())
+
+
+def _fitted(spark, d, wide: bool, kind: str) -> DataFrame:
+    table = _scores(spark, d)
+    if wide:
+        return stats.transform_of(_statistics(spark, d, True), table.count() if kind == "mean-scaler" else 1, kind)
+    samples, long = _score_data(spark, d)
+    return stats.fit_transform(stats.single_values(long), samples.count(), kind)
+
+
+@both_ways(f"{_STATS} select cast(f as bigint) as a, cast(f as bigint) as b, cast(nz as bigint) as nonzero, round(m, 6) as mean, round(sd, 6) as sd, round(mx, 6) as max_abs from s")
+def column_statistics(spark, d, wide):
+    return _rounded(_statistics(spark, d, wide).select("a", "b", "nonzero", "mean", "sd", "max_abs"), 6, "mean", "sd", "max_abs")
 
-    def run(spark, d):
-        samples, features = _score_data(spark, d)
-        found = stats.fit_transform(stats.single_values(features), samples.count(), kind)
-        return _rounded(_rounded(found, 6, "offset"), 9, "scale")
+
+def _transform_query(kind: str, offset: str, scale: str) -> None:
+    def run(spark, d, wide):
+        return _rounded(_rounded(_fitted(spark, d, wide, kind), 6, "offset"), 9, "scale")
 
     run.__name__ = "stats_" + kind.replace("-", "_")
-    query(sql)(run)
+    both_ways(f"{_STATS} select cast(f as bigint) as a, cast(f as bigint) as b, round({offset}, 6) as \"offset\", round({scale}, 9) as scale from s")(run)
 
 
 _transform_query("standardizer", "m", "1 / sd")
@@ -292,21 +315,30 @@ _transform_query("max-abs-scaler", "0.0", "1 / mx")
 _transform_query("mean-scaler", "0.0", "n / t")
 
 
-@query(f"{_STATS} select sample_id, cast(f as bigint) as a, cast(f as bigint) as b, round(v / sd, 6) as value, round(-m / sd, 6) as shift from long join s using (f) where v <> 0")
-def transform_apply(spark, d):
-    samples, features = _score_data(spark, d)
-    values = stats.single_values(features)
-    found = stats.apply_transform(values, stats.fit_transform(values, samples.count(), "standardizer"))
+def _held(transform: DataFrame) -> dict:
+    """A transform of a score table's few columns."""
+    return {(r.a, r.b): (r.offset, r.scale) for r in transform.collect()}
+
+
+@both_ways(f"{_STATS} select sample_id, cast(f as bigint) as a, cast(f as bigint) as b, round(v / sd, 6) as value, round(-m / sd, 6) as shift from long join s using (f) where v <> 0")
+def transform_apply(spark, d, wide):
+    fitted = _fitted(spark, d, wide, "standardizer")
+    if wide:
+        found = tables.transformed(_scores(spark, d), COLUMNS, tables.singles(COLUMNS), _held(fitted), ["sample_id"])
+    else:
+        found = stats.apply_transform(stats.single_values(_score_data(spark, d)[1]), fitted)
     return _rounded(found, 6, "value", "shift")
 
 
-@query(
-    f"""with {_SCORES}, {_LONG}, pairs as (select p.f as a, q.f as b, p.v * q.v as v from long p join long q on p.sample_id = q.sample_id and p.f < q.f)
+_PAIRS = "pairs as (select p.f as a, q.f as b, p.v * q.v as v from long p join long q on p.sample_id = q.sample_id and p.f < q.f)"
+
+
+@both_ways(
+    f"""with {_SCORES}, {_LONG}, {_PAIRS}
     select cast(a as bigint) as a, cast(b as bigint) as b, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as sd, round(max(abs(v)), 4) as max_abs from pairs group by 1, 2"""
 )
-def pair_statistics(spark, d):
-    samples, features = _score_data(spark, d)
-    found = stats.statistics(kmers.pair_values(features), samples.count())
+def pair_statistics(spark, d, wide):
+    found = _statistics(spark, d, wide, tables.pairs(COLUMNS))
     return _rounded(found.select("a", "b", "mean", "sd", "max_abs"), 4, "mean", "sd", "max_abs")
 
 
@@ -317,36 +349,55 @@ MODEL = Model(
     dict(enumerate(COLUMNS)),
     cooccurrence=True,
 )
+#: The same with offsets and scales for some features.
+MOVED = Model(MODEL.members, MODEL.names, None, {(0, 0): (25.0, 0.5), (3, 3): (0.04, 2.0), (0, 2): (1.0, 3.0)}, "mean", True)
 _Z = f"""{_SCORES}, z as (select sample_id, label, 0 as member, 0.1::double + quantity * 0.01::double + price * (-0.00001)::double + discount * 2 + tax * (-1.5)::double + quantity * discount * 0.05::double as z from scores
     union all select sample_id, label, 1 as member, -0.2::double + quantity * (-0.02)::double + tax from scores)"""
 _LP = "(least(z, 0) - ln(1 + exp(-abs(z))))"
 _NLL = f"-(case when label then {_LP} else {_LP} - z end)"
 
 
-@query(f"with {_Z} select sample_id, label, cast(member as integer) as member, round(z, 7) as z from z")
-def linear_score(spark, d):
-    return _rounded(linear.linear_scores(*_score_data(spark, d), MODEL), 7, "z")
+def _scored(spark, d, wide: bool, model: Model = MODEL) -> DataFrame:
+    if wide:
+        return tables.scores(_scores(spark, d), model, COLUMNS, ["sample_id", "label"])
+    return linear.linear_scores(*_score_data(spark, d), model, len(COLUMNS))
 
 
-@query(f"with {_Z} select sample_id, label, round(avg({_LP}), 6) as prediction from z group by all")
-def ensemble_predict(spark, d):
-    return _rounded(linear.predict(*_score_data(spark, d), MODEL), 6, "prediction")
+@both_ways(f"with {_Z} select sample_id, label, cast(member as integer) as member, round(z, 7) as z from z")
+def linear_score(spark, d, wide):
+    return _rounded(_scored(spark, d, wide), 7, "z")
 
 
-@query(f"with {_Z} select cast(member as integer) as member, round(avg({_NLL}), 9) as loss from z group by 1")
-def logistic_loss(spark, d):
-    samples, features = _score_data(spark, d)
-    return _rounded(linear.loss(linear.linear_scores(samples, features, MODEL), samples.count()), 9, "loss")
+@both_ways(
+    f"""with {_SCORES} select sample_id, label, 0 as member, round(0.1::double + (quantity - 25) * 0.005::double + price * (-0.00001)::double + discount * 2 - (tax - 0.04::double) * 3
+        + (quantity * discount - 1) * 0.15::double, 7) as z from scores
+    union all select sample_id, label, 1, round(-0.2::double - (quantity - 25) * 0.01::double + (tax - 0.04::double) * 2, 7) from scores"""
+)
+def linear_score_transformed(spark, d, wide):
+    return _rounded(_scored(spark, d, wide, MOVED), 7, "z")
+
+
+@both_ways(f"with {_Z} select sample_id, label, round(avg({_LP}), 6) as prediction from z group by all")
+def ensemble_predict(spark, d, wide):
+    if wide:
+        found = tables.predict(_scores(spark, d), MODEL, COLUMNS, ["sample_id", "label"])
+    else:
+        found = linear.predict(*_score_data(spark, d), MODEL)
+    return _rounded(found, 6, "prediction")
+
+
+@both_ways(f"with {_Z} select cast(member as integer) as member, round(avg({_NLL}), 9) as loss from z group by 1")
+def logistic_loss(spark, d, wide):
+    return _rounded(linear.loss(_scored(spark, d, wide)), 9, "loss")
 
 
 _W = "w as (select count(*) / (2 * count_if(not label)) as w0, count(*) / (2 * count_if(label)) as w1 from scores)"
 
 
-@query(f"with {_Z}, {_W} select cast(member as integer) as member, round(avg({_NLL} * case when label then w1 else w0 end), 9) as loss from z, w group by 1")
-def balanced_loss(spark, d):
-    samples, features = _score_data(spark, d)
-    w = dataset.class_weights(samples).first()
-    return _rounded(linear.loss(linear.linear_scores(samples, features, MODEL), w.n, (w.w0, w.w1)), 9, "loss")
+@both_ways(f"with {_Z}, {_W} select cast(member as integer) as member, round(avg({_NLL} * case when label then w1 else w0 end), 9) as loss from z, w group by 1")
+def balanced_loss(spark, d, wide):
+    w = dataset.class_weights(_scores(spark, d)).first()
+    return _rounded(linear.loss(_scored(spark, d, wide), w.n, (w.w0, w.w1)), 9, "loss")
 
 
 _R = f"{_Z}, r as (select sample_id, (exp({_LP}) - label::int) / count(*) over () as r from z where member = 0)"
@@ -358,39 +409,46 @@ def _residuals(spark, d) -> tuple[DataFrame, DataFrame]:
     return linear.residuals(scored, samples.count()), features
 
 
-@query(f"with {_R}, {_LONG} select cast(f as bigint) as a, cast(f as bigint) as b, round(sum(r * v), 6) as gradient from r join long using (sample_id) group by f")
-def gradient(spark, d):
-    r, features = _residuals(spark, d)
-    return _rounded(linear.gradient(stats.single_values(features), r), 6, "gradient")
+def _gradient(spark, d, wide: bool, features: list | None = None) -> DataFrame:
+    if wide:
+        return tables.gradient(_scores(spark, d), MODEL, COLUMNS, features or tables.singles(COLUMNS))
+    r, long = _residuals(spark, d)
+    return linear.gradient(kmers.pair_values(long) if features else stats.single_values(long), r)
 
 
-@query(
+@both_ways(f"with {_R}, {_LONG} select cast(f as bigint) as a, cast(f as bigint) as b, round(sum(r * v), 6) as gradient from r join long using (sample_id) group by f")
+def gradient(spark, d, wide):
+    return _rounded(_gradient(spark, d, wide), 6, "gradient")
+
+
+@both_ways(
     f"""with {_R}, {_LONG} select cast(p.f as bigint) as a, cast(q.f as bigint) as b, round(sum(r * p.v * q.v), 4) as gradient
     from r join long p using (sample_id) join long q using (sample_id) where p.f < q.f group by p.f, q.f"""
 )
-def gradient_cooccurrence(spark, d):
-    r, features = _residuals(spark, d)
-    return _rounded(linear.gradient(kmers.pair_values(features), r), 4, "gradient")
+def gradient_cooccurrence(spark, d, wide):
+    return _rounded(_gradient(spark, d, wide, tables.pairs(COLUMNS)), 4, "gradient")
 
 
-@query(
+@both_ways(
     f"""with {_R}, {_LONG}, s as (select f, avg(v) as m, stddev_samp(v) as sd from long group by f)
     select cast(f as bigint) as a, cast(f as bigint) as b, round(sum(r * (v - m) / sd), 6) as gradient from r join long using (sample_id) join s using (f) group by f"""
 )
-def gradient_standardized(spark, d):
+def gradient_standardized(spark, d, wide):
+    fitted = _fitted(spark, d, wide, "standardizer")
+    if wide:
+        # the scores are those of MODEL as it is; only the gradient's features are scaled
+        rows = _scores(spark, d).withColumn("_z", tables.member_score(MODEL, COLUMNS))
+        return _rounded(tables.gradient(rows, Model(MODEL.members, MODEL.names, None, _held(fitted)), COLUMNS, tables.singles(COLUMNS), score="_z"), 6, "gradient")
     r, features = _residuals(spark, d)
-    values = stats.single_values(features)
-    scaled = stats.apply_transform(values, stats.fit_transform(values, r.count(), "standardizer"))
-    return _rounded(linear.gradient(scaled, r), 6, "gradient")
+    return _rounded(linear.gradient(stats.apply_transform(stats.single_values(features), fitted), r), 6, "gradient")
 
 
-@query(
+@both_ways(
     f"""with {_R}, {_LONG}, t(f, p) as (values (0, 0.01), (1, -0.01), (2, 0.01), (3, -0.01))
     select cast(f as bigint) as a, cast(f as bigint) as b, round(sum(r * v) + any_value(p), 6) as gradient from r join long using (sample_id) join t using (f) group by f"""
 )
-def gradient_penalised(spark, d):
-    r, features = _residuals(spark, d)
-    return _rounded(linear.penalised(linear.gradient(stats.single_values(features), r), MODEL, 0.01), 6, "gradient")
+def gradient_penalised(spark, d, wide):
+    return _rounded(linear.penalised(_gradient(spark, d, wide), MODEL, 0.01), 6, "gradient")
 
 
 # Selection at zero coefficients, where g_j = avg((0.5 - y) x_j), on k-mers of labelled documents
@@ -400,10 +458,8 @@ _G3 = f"""{_LABELLED}, {_seq_sql()}, {_counts_sql(3)}, dict as (select kmer, row
 
 
 def _gradients3(spark, d) -> DataFrame:
-    spec = _spec(3)
-    counts = kmers.kmer_counts(_sequences(spark, d), spec)
-    features = kmers.vectorise(counts, kmers.dictionary(counts, spec))
     samples = _labelled(spark, d)
+    features, _ = kmers.kmer_features(_sequences(spark, d), _spec(3))
     zero = Model([Member(0.0)], {})
     return linear.gradient(stats.single_values(features), linear.residuals(linear.linear_scores(samples, features, zero), samples.count()))
 
@@ -518,10 +574,13 @@ def stability(spark, d):
     return _rounded(ensemble.stability(_members(spark, d)), 6, "mean")
 
 
-@query(f"with {_Z}, p as (select sample_id, {_LP} as p from z) select sample_id, round(avg(p), 6) as mean, round(min(p), 6) as min, round(max(p), 6) as max, round(min(p) * max(p), 6) as product from p group by 1")
-def summarise(spark, d):
-    scored = linear.linear_scores(*_score_data(spark, d), MODEL).withColumn("p", log_sigmoid(F.col("z")))
+@both_ways(f"with {_Z}, p as (select sample_id, {_LP} as p from z) select sample_id, round(avg(p), 6) as mean, round(min(p), 6) as min, round(max(p), 6) as max, round(min(p) * max(p), 6) as product from p group by 1")
+def summarise(spark, d, wide):
     how = ("mean", "min", "max", "product")
+    if wide:
+        each = F.array(*(log_sigmoid(tables.member_score(MODEL, COLUMNS, m)) for m in range(2)))
+        return _rounded(_scores(spark, d).select("sample_id", *(tables.summary(each, h, 2).alias(h) for h in how)), 6, *how)
+    scored = _scored(spark, d, False).withColumn("p", log_sigmoid(F.col("z")))
     return _rounded(scored.groupBy("sample_id").agg(*(ensemble.summarise("p", h).alias(h) for h in how)), 6, *how)
 
 
@@ -557,9 +616,7 @@ def coefficients_rescaled(spark, d):
     from counts join dict using (kmer) join labelled using (sample_id), n group by f"""
 )
 def abundance(spark, d):
-    spec = _spec(4)
-    counts = kmers.kmer_counts(_sequences(spark, d), spec)
-    features = kmers.vectorise(counts, kmers.dictionary(counts, spec))
+    features, _ = kmers.kmer_features(_sequences(spark, d), _spec(4))
     return _rounded(report.abundance(stats.single_values(features), _labelled(spark, d)), 9, "foreground", "background")
 
 
@@ -571,9 +628,7 @@ def _item_model(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Items, their features, the dictionary, and a coefficient for each class out of its item frequency."""
     spec = _spec(3)
     items = _sequences(spark, d, "benchmark", "item_id")
-    counts = kmers.kmer_counts(items, spec)
-    known = kmers.dictionary(counts, spec)
-    features = kmers.vectorise(counts, known)
+    features, known = kmers.kmer_features(items, spec)
     theta = features.groupBy("feature_id").agg(F.round((F.count("*") - 30) / 10, 3).alias("theta"))
     return items, features, known, theta
 
@@ -599,10 +654,8 @@ def similarity(spark, d):
     select feature_id, other, theta, cast(row_number() over (partition by feature_id order by abs(theta) desc, other) as integer) as place from pairs"""
 )
 def related_kmers(spark, d):
-    spec = _spec(2, 3)
-    counts = kmers.kmer_counts(_sequences(spark, d, "benchmark", "item_id"), spec)
-    known = kmers.dictionary(counts, spec)
-    theta = kmers.vectorise(counts, known).groupBy("feature_id").agg(F.round((F.count("*") - 30) / 10, 3).alias("theta"))
+    features, known = kmers.kmer_features(_sequences(spark, d, "benchmark", "item_id"), _spec(2, 3))
+    theta = features.groupBy("feature_id").agg(F.round((F.count("*") - 30) / 10, 3).alias("theta"))
     coef = theta.select(F.col("feature_id").alias("a"), F.col("feature_id").alias("b"), "theta")
     return report.related(known, coef)
 

@@ -1,12 +1,14 @@
-"""Making this package known to a session's Python workers."""
+"""What jobs of one session share: this package's modules, and tables in the shared folder."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -27,3 +29,43 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(top.parent))
     sc.addPyFile(str(path))
     _sent.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    It is the session's spark.checkpoint.dir. Only a local session that has none
+    gets a temporary one; on a cluster a missing setting is an error, as no folder
+    of one machine could serve.
+    """
+    sc = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
+        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(found)
+    return found
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back.
+
+    This cuts the lineage: what follows depends on files that outlive any executor.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int, size: int = 64_000_000) -> bool:
+    """Whether df has at most so many rows, of `size` bytes in all by the sum of its columns' lengths: the check before a broadcast."""
+    from pyspark.sql import functions as F
+
+    fixed = 8
+    sized = F.lit(0).cast("bigint")
+    for c, kind in df.dtypes:
+        one = F.octet_length(F.col(f"`{c}`")) if kind in ("string", "binary") else F.octet_length(F.to_json(F.struct(F.col(f"`{c}`")))) if "<" in kind else F.lit(fixed)
+        sized = sized + F.coalesce(one, F.lit(fixed))
+    found = df.select(sized.alias("n")).limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
+    return found["rows"] <= rows and found["size"] <= size

@@ -7,9 +7,10 @@ import json
 from ..spec import KmerSpec, Member, Model
 
 
-def to_json(model: Model) -> str:
+def to_json(model: Model, kind: str | None = None) -> str:
+    """The model's file; kind is the name that other readers of such files ask for."""
     features = model.features()
-    kind = "kmerLr" if model.spec else "scoresLr"
+    kind = kind or ("kmers" if model.spec else "scores")
     base = sorted(model.names)
     number = {i: k for k, i in enumerate(base)}
     parameters: dict = {"Cooccurrence": model.cooccurrence, "Features": [[number[a], number[b]] for a, b in features]}
@@ -30,18 +31,19 @@ def to_json(model: Model) -> str:
 
 
 def from_json(text: str) -> Model:
+    """A model of either kind, told by what its parameters hold, whatever it is called."""
     said = json.loads(text)
     name, p = said["Name"], said["Parameters"]
-    kind, _, summary = name.partition(" ")
+    summary = name.partition(" ")[2]
     *members, transform = said["Distributions"]
-    if kind == "kmerLr":
+    if "Kmers" in p:
         names = dict(enumerate(p["Kmers"]))
         most = p.get("MaxAmbiguous") or None
         spec = KmerSpec(
             p["M"], p["N"], p["Revcomp"], p["Reverse"], p["Complement"], p["Alphabet"], tuple(most) if most else None, p["Binarize"], p.get("Cooccurrence", False)
         )
         base = list(names)
-    elif kind == "scoresLr":
+    elif "Index" in p:
         base, spec = list(p["Index"]), None
         names = dict(zip(base, p.get("Names") or [str(i + 1) for i in base], strict=True))
     else:
@@ -58,9 +60,9 @@ def from_json(text: str) -> Model:
     return Model(out, names, spec, fitted, summary.strip("[]"), p.get("Cooccurrence", False))
 
 
-def save(model: Model, path: str, spark) -> None:
+def save(model: Model, path: str, spark, kind: str | None = None) -> None:
     """Write the model through Spark's file system as one line-free text part."""
-    spark.createDataFrame([(json.dumps(json.loads(to_json(model))),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(json.dumps(json.loads(to_json(model, kind))),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
 def load(path: str, spark) -> Model:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.kmers import numbered
+
 
 def number(c: Column) -> Column:
     """A double in exponential notation with six digits, as %e."""
@@ -14,14 +16,18 @@ def number(c: Column) -> Column:
 def matrix_lines(features: DataFrame, samples: DataFrame, dictionary: DataFrame, integers: bool = True) -> DataFrame:
     """(src, sample_id, line): comma-separated rows over the whole dictionary, zeros included.
 
-    A row is made from the sample's own map of values, so that only the dictionary's
-    ids, whose number is bounded, travel with the tasks.
+    A row is made from the sample's own map of values; of the dictionary only its size is
+    needed. One whose ids have gaps is numbered anew.
     """
+    n, top = dictionary.agg(F.count("*"), F.coalesce(F.max("feature_id"), F.lit(-1))).first()
+    if n != top + 1:
+        place = numbered(dictionary.select("feature_id"), [F.shiftright("feature_id", 12)], [F.col("feature_id")], "_place")
+        features = features.join(place, "feature_id").select("sample_id", F.col("_place").alias("feature_id"), "value")
     own = features.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
-    ids = dictionary.agg(F.sort_array(F.collect_list("feature_id")).alias("ids"))
-    rows = samples.join(own, "sample_id", "left").join(F.broadcast(ids))  # ids is one row
+    rows = samples.join(own, "sample_id", "left")
     value = lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0))
-    text = F.transform("ids", lambda i: F.format_string("%d", value(i).cast("bigint")) if integers else number(value(i)))
+    ids = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")) if n else F.array().cast("array<bigint>")
+    text = F.transform(ids, lambda i: F.format_string("%d", value(i).cast("bigint")) if integers else number(value(i)))
     src = F.col("src") if "src" in samples.columns else F.lit(0)
     return rows.select(src.alias("src"), "sample_id", F.array_join(text, ",").alias("line"))
 
@@ -38,7 +44,6 @@ def write_lines(df: DataFrame, path: str, line: Column, header: str | None = Non
         rows = rows.orderBy(*(f"_o{i}" for i in range(len(order))))
     if header is not None:
         head = df.sparkSession.createDataFrame([(header,)], "value string").coalesce(1)
-        rows.select("value")
         head.union(rows.select("value")).write.text(path)
         return
     rows.select("value").write.text(path)
@@ -67,13 +72,29 @@ def wiggle_lines(scores: DataFrame, regions: DataFrame, window: int, step: int)
 def write_cv(predictions: DataFrame, losses: DataFrame, path: str) -> None:
     """predictions(prediction, label) and losses(train, test) as tab-separated tables."""
     write_lines(predictions, f"{path}.table", F.concat_ws("\t", number(F.col("prediction")), F.col("label").cast("int").cast("string")), "prediction\tlabels")
-    write_lines(losses, f"{path}.loss", F.concat_ws("\t", number(F.col("train")), number(F.col("test"))), "train\ttest")
+    write_lines(losses, f"{path}_loss.table", F.concat_ws("\t", number(F.col("train")), number(F.col("test"))), "train\ttest")
 
 
 def write_trace(trace: DataFrame, path: str) -> None:
-    """duration, iteration, change, nonzero (the bias counts), lambda, loss."""
-    parts = [F.format_string("%.6fs", "duration"), F.col("iteration").cast("string"), number(F.col("change")), F.col("nonzero").cast("string"), number(F.col("lambda")), number(F.col("loss"))]
-    write_lines(trace, path, F.concat_ws("\t", *parts), "duration\titeration\tchange\tnonzero\tlambda\tloss", [F.col("iteration")])
+    """Right-aligned columns: duration, iteration, change and nonzero (the bias counts), lambda, loss; what is unknown is nan."""
+    real = lambda c: F.format_string("%12s", F.coalesce(F.format_string("%e", c), F.lit("nan")))
+    parts = [
+        F.format_string("%15s", F.format_string("%.6fs", "duration")), F.format_string("%9d", "iteration"), F.when(F.col("change").isNull(), F.lit(f"{'nan':>12}")).otherwise(real(F.col("change"))),
+        F.format_string("%8s", F.coalesce(F.col("nonzero").cast("string"), F.lit("nan"))), real(F.col("lambda")), real(F.col("loss")),
+    ]
+    head = f"{'duration':>15} {'iteration':>9} {'change':>12} {'nonzero':>8} {'lambda':>12} {'loss':>12}"
+    write_lines(trace, path, F.concat_ws(" ", *parts), head, [F.col("iteration"), F.col("duration")])
+
+
+def write_loss(loss: float, path: str, spark: SparkSession) -> None:
+    spark.createDataFrame([(f"{loss:15e}",)], "value string").coalesce(1).write.text(path)
+
+
+def write_matrices(lines: DataFrame, dictionary: DataFrame, base: str, sources: int) -> None:
+    """A table for each source of matrix_lines, <base>_<i>.table, its header the classes' names."""
+    head = header_line(dictionary)
+    for i in range(sources):
+        write_lines(lines.where(F.col("src") == i), f"{base}_{i}.table", F.col("line"), head, [F.col("sample_id")])
 
 
 def write_path(path_table: DataFrame, path: str) -> None:
@@ -103,5 +124,5 @@ def write_stability(stability: DataFrame, path: str) -> None:
 
 
 def output_name(base: str, n: int | None = None, fold: int | None = None, many: bool = False) -> str:
-    """<base>[_<n>][_cv<fold + 1>]: n where several numbers of features are fitted."""
-    return base + (f"_{n}" if many and n is not None else "") + (f"_cv{fold + 1}" if fold is not None else "")
+    """<base>[_cv<fold + 1>][_<n>]: n where several numbers of features are fitted."""
+    return base + (f"_cv{fold + 1}" if fold is not None else "") + (f"_{n}" if many and n is not None else "")

@@ -73,6 +73,7 @@ class Options:
     max_iterations: int = 0
     max_samples: int = 0
     epsilon: float = 0.0
+    epsilon_loss: float = 0.0
     epsilon_lambda: float = 0.0
     transform: str = "none"
     cooccurrence: bool = False

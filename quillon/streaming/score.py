@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from ..functions.logistic import log_sigmoid
-from ..operators.linear import biases
+from ..operators.tables import member_score
 from ..spec import Model
 
 
-def row_score(model: Model, columns: list[str], member: int = 0) -> Column:
-    """The linear score of a row as one expression: no shuffle, no state, fit for any stream."""
-    z = F.lit(dict(biases(model))[member])
-    for (a, b), t in model.members[member].theta.items():
-        x = F.coalesce(F.col(columns[a]).cast("double"), F.lit(0.0))
-        if a != b:
-            x = x * F.coalesce(F.col(columns[b]).cast("double"), F.lit(0.0))
-        z = z + x * F.lit(float(t * model.transform.get((a, b), (0.0, 1.0))[1]))
-    return z
-
-
 def score_stream(rows: DataFrame, model: Model, columns: list[str]) -> DataFrame:
     """rows, a stream or not, with prediction: the log-probability of label true of the first member."""
-    return rows.withColumn("prediction", log_sigmoid(row_score(model, columns)))
+    return rows.withColumn("prediction", log_sigmoid(member_score(model, columns)))
