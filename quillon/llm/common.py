@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import ship
+from ..session import shared_dir, ship, small, stored  # noqa: F401 - for the other modules, too
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space that separates words wherever a contract names \x20 and \x09-\x0D.
@@ -23,34 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    It is the session's spark.checkpoint.dir. Only a local session that has none
-    gets a temporary one; on a cluster a missing setting is an error, as no folder
-    of one machine could serve.
-    """
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back.
-
-    This cuts the lineage: what follows depends on files that outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with null texts as empty strings."""
     return df.select(
@@ -87,8 +56,3 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
         F.translate(text, UPPER, UPPER.lower())
     )
-
-
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows: the check before a broadcast."""
-    return df.limit(rows + 1).count() <= rows
