@@ -8,7 +8,9 @@ Strings that repeat are found in three steps, each a shuffle of less than the te
    of one batch have is settled there and goes on once.
 2. Strings. Runs of windows with one repeated anchor are cut out and dealt by the
    anchor. A string that several documents of one batch have goes on once, for the
-   smallest of them; the others lose it at once.
+   smallest of them; the others lose it at once. Buckets of over HEAVY bytes, where many
+   strings share an anchor, are dealt again window by window, by the window's digest;
+   equal windows then meet without an order.
 3. Intervals. In each bucket the suffixes of the distinct strings are sorted; backward
    extension on their Burrows-Wheeler transform, breadth first, gives the common
    prefixes of neighbours in rising order and stops at `length`. What it hasn't
@@ -29,9 +31,10 @@ from .common import documents, map_batches, small, stored, utf8
 
 #: Bytes of an anchor; text that is scanned at once.
 K, PART = 24, 1_500_000
-#: Bytes of one bucket of strings and of the text that one transform is made of; documents
-#: whose findings are gathered in one task; bounds for broadcasts: rows and bytes.
-BUCKET, TRANSFORM, GATHER, FEW, FEW_BYTES = 6_000_000, 2_000_000, 20_000, 500_000, 64_000_000
+#: Bytes of text whose anchors meet in one task; of one bucket of strings, of the text that
+#: one transform is made of, and of a bucket that is dealt again; documents whose findings
+#: are gathered in one task; rows of a broadcast (common.small bounds its bytes).
+ANCHORED, BUCKET, TRANSFORM, HEAVY, GATHER, FEW = 12_000_000, 6_000_000, 2_000_000, 40_000_000, 20_000, 500_000
 _NONE = np.iinfo(np.int64).max  # stands for a null id: after all others
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -145,8 +148,8 @@ def _per_doc(doc: np.ndarray, hashes: np.ndarray) -> tuple[list[int], list[bytes
     return doc[starts].tolist(), [_six(hashes[i : i + n]) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
 
 
-ANCHORS = "bucket int, settled boolean, docs binary, hashes binary, doc_id bigint"
-FOUND = "part int, docs binary, a binary, b binary"
+ANCHORS = "bucket bigint, settled boolean, docs binary, hashes binary, doc_id bigint"
+FOUND = "part bigint, docs binary, a binary, b binary"
 
 
 def _packed(doc: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int) -> pa.Table:
@@ -157,7 +160,7 @@ def _packed(doc: np.ndarray, a: np.ndarray, b: np.ndarray, parts: int) -> pa.Tab
     starts, sizes = _groups(part)
     cut = [slice(i, i + n) for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
     raw = lambda x: pa.array([x[c].tobytes() for c in cut], pa.binary())
-    return pa.table({"part": pa.array(part[starts], pa.int32()), "docs": raw(doc), "a": raw(a), "b": raw(b)})
+    return pa.table({"part": pa.array(part[starts], pa.int64()), "docs": raw(doc), "a": raw(a), "b": raw(b)})
 
 
 def _gathered(found: DataFrame, merge, schema: str) -> DataFrame:
@@ -205,7 +208,7 @@ def repeated_anchors(docs: DataFrame, length: int, buckets: int, parts: int) ->
         rows += [(x % buckets if x != _NONE else 0, True, None, raw, x) for x, raw in zip(local_docs, local, strict=True)]
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         ids_ = _id_array([x if x is not None else _NONE for x in cols[4]])
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), ids_], names=[x.split()[0] for x in ANCHORS.split(", ")])
+        return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.binary()), pa.array(cols[3], pa.binary()), ids_], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
     def bucket(key, table):
         settled = table.column("settled").to_pylist()
@@ -298,7 +301,7 @@ def _boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
     return split
 
 
-STRINGS = "bucket int, settled boolean, docs binary, starts binary, sizes binary, anchors binary, blob binary, counts binary"
+STRINGS = "bucket bigint, settled boolean, docs binary, starts binary, sizes binary, anchors binary, blob binary, counts binary"
 
 
 def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
@@ -354,7 +357,7 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
             g = np.array(gone, np.int64)
             rows.append((int(g[0, 0] % buckets), True, g[:, 0].tobytes(), g[:, 1].astype("<i4").tobytes(), g[:, 2].astype("<i4").tobytes(), None, None, None))
         cols = list(zip(*rows, strict=True)) or [[]] * 8
-        kinds = [pa.int32(), pa.bool_()] + [pa.binary()] * 6
+        kinds = [pa.int64(), pa.bool_()] + [pa.binary()] * 6
         return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(STRINGS.split(", "), cols, kinds, strict=True)})
 
     def bucket(key, table):
@@ -428,10 +431,85 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
         return _packed(*(np.concatenate(none + x) for x in (doc, start, end)), parts)
 
     joined = docs.join(repeated.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "hashes")
-    found = map_batches(joined, batch, STRINGS).groupBy("bucket").applyInArrow(bucket, FOUND)
+    strings = stored(map_batches(joined, batch, STRINGS), "strings")
+    heavy = strings.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("bytes")).where(F.col("bytes") > HEAVY)
+    heavy = stored(heavy, "heavy")
+    whole = heavy.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+    if whole:
+        side = heavy.select("bucket")
+        side = F.broadcast(side) if small(side, FEW) else side
+        again = strings.where("not settled").join(side, "bucket", "left_semi")
+        kept = strings.where("settled").unionByName(strings.where("not settled").join(side, "bucket", "left_anti"))
+        windows = map_batches(again.select("docs", "starts", "sizes", "blob", "counts"), _dealt(length, int(9 * whole // BUCKET) + 1), WINDOWS)
+        found = kept.groupBy("bucket").applyInArrow(bucket, FOUND).unionByName(windows.groupBy("bucket").applyInArrow(_met(length, parts), FOUND))
+    else:
+        found = strings.groupBy("bucket").applyInArrow(bucket, FOUND)
     return _gathered(found, _union, "doc_id bigint, starts binary, ends binary")
 
 
+WINDOWS = "bucket bigint, digests binary, docs binary, starts binary, late_docs binary, late_starts binary"
+
+
+def _dealt(length: int, buckets: int):
+    """Rows of strings as rows of their windows (WINDOWS): of equal ones that of the smallest document, the rest is late at once."""
+
+    def one(docs, starts, sizes, blob, counts):
+        ids, sizes, counts = np.frombuffer(docs, np.int64), np.frombuffer(sizes, "<i4").astype(np.int64), np.frombuffer(counts, "<i4").astype(np.int64)
+        places = np.frombuffer(starts, "<i4").astype(np.int64)
+        first, at = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
+        many = sizes - length + 1
+        string = np.repeat(np.arange(len(sizes)), many)
+        offset = np.arange(len(string)) - np.repeat(np.cumsum(many) - many, many)
+        begin = (first[string] + offset).tolist()
+        digest = np.frombuffer(b"".join([hashlib.blake2b(blob[i : i + length], digest_size=16).digest() for i in begin]), "S16")
+        digest = digest.view("<u8").reshape(-1, 2)
+        # a row for each place of each window
+        n = counts[string]
+        window = np.repeat(np.arange(len(string)), n)
+        start = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[string], n)] + offset[window]
+        return digest[window], ids[string][window], start
+
+    def batch(b: pa.RecordBatch) -> pa.Table:
+        parts = [one(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not parts:
+            return pa.table({x.split()[0]: pa.array([], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(WINDOWS.split(", "))})
+        digest, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = (digest[:, 0] % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((start, doc, digest[:, 1], digest[:, 0], bucket))
+        digest, doc, start, bucket = digest[order], doc[order], start[order], bucket[order]
+        late = doc > _leasts(digest, doc)
+        firsts, sizes = _groups(bucket)
+        rows = []
+        for i, n in zip(firsts.tolist(), sizes.tolist(), strict=True):
+            own, gone = np.flatnonzero(~late[i : i + n]) + i, np.flatnonzero(late[i : i + n]) + i
+            rows.append((int(bucket[i]), *(x.tobytes() for x in (digest[own], doc[own], start[own], doc[gone], start[gone]))))
+        cols = list(zip(*rows, strict=True))
+        return pa.table({x.split()[0]: pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, (x, c) in enumerate(zip(WINDOWS.split(", "), cols, strict=True))})
+
+    return batch
+
+
+def _leasts(digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of each entry, ordered by digest, then document, the first document of its digest."""
+    new = np.ones(len(digest), bool)
+    new[1:] = (digest[1:] != digest[:-1]).any(axis=1)
+    return doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
+
+
+def _met(length: int, parts: int):
+    def met(key, table):
+        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
+        digest, doc, start = join("digests", "<u8").reshape(-1, 2), join("docs", np.int64), join("starts", np.int64)
+        order = np.lexsort((doc, digest[:, 1], digest[:, 0]))
+        digest, doc, start = digest[order], doc[order], start[order]
+        late = doc > _leasts(digest, doc)
+        doc = np.concatenate((doc[late], join("late_docs", np.int64)))
+        start = np.concatenate((start[late], join("late_starts", np.int64)))
+        return _packed(doc, start, start + length, parts)
+
+    return met
+
+
 def _union(a: np.ndarray, b: np.ndarray) -> tuple[bytes, bytes]:
     """The maximal runs that the spans [a, b) cover."""
     order = np.lexsort((b, a))
@@ -464,8 +542,8 @@ def substring_dedup(
     if length < 2 * K:
         raise ValueError(f"length must be {2 * K} or more")
     own = documents(docs, id_col, text_col)
-    marks = own.select("doc_id", F.md5("text").alias("mark"), (F.octet_length("text") >= length).alias("long"))
-    marks = stored(marks.where("long").drop("long"), "marks")
+    marks = own.select("doc_id", F.md5("text").alias("mark"), F.octet_length("text").alias("size"))
+    marks = stored(marks.where(F.col("size") >= length), "marks")
     first = marks.groupBy("mark").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     side = F.broadcast(first) if small(first, FEW) else first
     copies = marks.join(side, "mark").where(~F.col("doc_id").eqNullSafe(F.col("first")) & F.col("first").isNotNull())
@@ -476,15 +554,15 @@ def substring_dedup(
     if not twice.isEmpty():
         gone = gone.join(twice, "copy", "left_anti")
     texts = own.where(F.octet_length("text") >= length).join(gone, F.col("doc_id").eqNullSafe(F.col("copy")), "left_anti")
-    inputs = max(16, min(4096, 2 * own.rdd.getNumPartitions()))
-    parts = max(16, marks.count() // GATHER + 1)
+    rows, size = marks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    inputs = max(16, size // ANCHORED + 1)
+    parts = max(16, rows // GATHER + 1)
     repeated = stored(repeated_anchors(texts, length, inputs, parts), "repeated")
     size = repeated.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 6 * 65
-    buckets = int(max(inputs, min(100_000, size // BUCKET + 1)))
+    buckets = int(max(inputs, size // BUCKET + 1))
     spans = stored(repeated_spans(texts, repeated, length, buckets, parts), "spans")
-    size = spans.agg(F.coalesce(F.sum(F.octet_length("starts")), F.lit(0))).first()[0]
     side = spans.withColumnRenamed("doc_id", "at")
-    side = F.broadcast(side) if size <= FEW_BYTES and small(spans, FEW) else side
+    side = F.broadcast(side) if small(spans, FEW) else side
     joined = own.join(side, F.col("doc_id").eqNullSafe(F.col("at")), "left").drop("at")
     gone = gone.withColumn("whole", F.lit(True)).withColumnRenamed("copy", "at")
     joined = joined.join(gone, F.col("doc_id").eqNullSafe(F.col("at")), "left")
