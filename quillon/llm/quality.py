@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_batches, utf8
+from .common import map_batches, stored, utf8
 
 SYMBOLS = b"#*$%&|<>"
-#: Bound of the training sample: so many labelled documents of either class, of at most so many lines each.
+#: Bound of the training sample: so many labelled documents of either class, and of each at most so many
+#: neighbouring lines (from a place that its id tells).
 SAMPLE, SAMPLE_LINES = 400, 40
 N_FEATURES = 12
 _BYTES = np.arange(256)
@@ -193,23 +194,28 @@ PLAIN = LineField(np.zeros((N_FEATURES - 1, 2)), np.zeros((2, 2)), np.zeros(N_FE
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", sample=SAMPLE) -> LineField:
     """A field fitted on at most `sample` documents of either label, those with the least hashes.
 
-    The sample is the only thing that comes to the driver, as line features of
-    documents of at most SAMPLE_LINES lines; its size doesn't grow with the corpus.
+    The sample is the only thing that comes to the driver, as line features; of a longer
+    document SAMPLE_LINES neighbouring lines. Its size doesn't grow with the corpus.
     """
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("good")).where(
         "id is not null and good in (0, 1)"
     )
     order = (F.xxhash64("id", F.lit(2)), F.col("id"))
-    # three times as many ids are looked up, for some have too many lines or no document
+    # three times as many ids are looked up, for some have no document
     picked = [known.where(F.col("good") == g).distinct().orderBy(*order).limit(3 * sample) for g in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id")
-    rows = rows.where(F.size(F.split("text", "\n", -1)) <= SAMPLE_LINES).select("id", "good", "text")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id").select("id", "good", "text")
+
+    def cut(doc: int, text: bytes) -> bytes:
+        found = line_features(text)
+        at = doc * 2654435761 % 2**32 * (len(found) - SAMPLE_LINES + 1) >> 32 if len(found) > SAMPLE_LINES else 0
+        return found[at : at + SAMPLE_LINES].tobytes()
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([b.column(0), b.column(1), pa.array([line_features(x).tobytes() for x in utf8(b.column(2))], pa.binary())], names=["id", "good", "features"])
+        features = [cut(i, x) for i, x in zip(b.column(0).to_pylist(), utf8(b.column(2)), strict=True)]
+        return pa.record_batch([b.column(0), b.column(1), pa.array(features, pa.binary())], names=["id", "good", "features"])
 
-    found = map_batches(rows, batch, "id bigint, good int, features binary")
+    found = stored(map_batches(rows, batch, "id bigint, good int, features binary"), "sample")
     data = [x for g in (0, 1) for x in found.where(F.col("good") == g).orderBy(*order, F.md5("features")).limit(sample).collect()]
     good = np.array([x.good == 1 for x in data], bool)
     if good.all() or not good.any():
