@@ -9,8 +9,8 @@ from .common import BLANKS, ascii_lower, documents, small, stored
 
 #: Documents of one line are dealt over so many sub-groups by their id.
 SALTS = 64
-#: Broadcast bounds: rows of the frequent-line table and of the bitmap table.
-FEW_LINES, FEW_MAPS = 1_000_000, 500_000
+#: Broadcast bounds: rows of the frequent-line table and of the bitmap table (common.small bounds bytes, too).
+FEW_LINES, FEW_MAPS = 500_000, 500_000
 
 
 def _split(text: Column) -> Column:
@@ -90,9 +90,12 @@ def apply_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text
     maps = stored(maps, "bitmaps")
     side = F.broadcast(maps) if small(maps, FEW_MAPS) else maps
     carry = [c for c in docs.columns if c.lower() != "lines"]
-    own = docs.select(F.struct(*carry).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"),
-                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # a carried text goes through a shuffle once, inside its row
+    inside = text_col in carry
+    own = docs.select(F.struct(*carry).alias("row"), F.col(id_col).cast("bigint").alias("doc_id"), *([] if inside else [F.col(text_col).alias("text")]))
     found = own.join(side.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at")), "left")
+    text = F.col("row")[text_col] if inside else F.col("text")
+    found = found.withColumn("text", F.coalesce(text.cast("string"), F.lit("")))
     kept = F.array_join(F.filter(_split(F.col("text")), lambda x, i: ~_is_dropped(i)), "\n")
     count = F.aggregate(F.map_values("dropped"), F.lit(0).cast("bigint"), lambda n, w: n + F.bit_count(w))
     return found.select(
