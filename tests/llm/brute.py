@@ -179,3 +179,35 @@ def held(words, item):
     cut = max(len(item) - max(1, len(item) // 4) - size + 1, 0)
     share = lambda part: len(set(part) & there) / len(set(part)) if part else 1.0
     return share(own) >= 0.8 or min(share(own[:cut]), share(own[cut:])) >= 0.65
+
+
+def license_matches(text, phrases, templates):
+    """Labels, covered share and number of template matches, by regular expressions over words that end in a blank."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", bytes(b + 32 if 65 <= b <= 90 else b for b in raw))
+    words = [w.decode() for w in words]
+    plain = lambda t: "".join(f"{re.escape(w)} " for w in re.findall(r"[a-z0-9]+", t.lower()))
+
+    def pattern(template):
+        out, at = "", 0
+        for m in re.finditer(r"<<(beginOptional|endOptional|var)(?:;(.*?))?>>", template):
+            out, at = out + plain(template[at : m.start()]), m.end()
+            if m[1] == "beginOptional":
+                out += "(?:"
+            elif m[1] == "endOptional":
+                out += ")?"
+            else:
+                said = m[2].split("=", 1)[1]
+                out += {".+": r"(?:\S+ )+", ".*": r"(?:\S+ )*"}.get(said) or (rf"(?:\S+ ){said[1:]}" if said[0] == "." else f"(?:{'|'.join(plain(x) for x in said.split('|'))})")
+        return re.compile(out + plain(template[at:]))
+
+    found = []
+    for label, template in {**phrases, **templates}.items():
+        p = pattern(template)
+        for i in range(len(words)):
+            ends = [j for j in range(i + 1, len(words) + 1) if p.fullmatch("".join(f"{w} " for w in words[i:j]))]
+            if ends:
+                found.append((label, i, max(ends)))
+    covered = {k for _, i, j in found for k in range(i, j)}
+    share = len(covered) / len(words) if words else 0.0
+    return ",".join(sorted({x for x, _, _ in found})), share, sum(x not in phrases for x, _, _ in found)

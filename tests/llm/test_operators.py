@@ -1,6 +1,7 @@
 """Operators against plain versions, on texts with nulls, empties, ties, copies and odd columns."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -69,6 +70,47 @@ def test_license_templates():
     assert scan("mit other") == []
     with pytest.raises(ValueError, match="not closed"):
         licenses.Automaton().add("b", "<<beginOptional>>x")
+    with pytest.raises(ValueError, match="didn't begin"):
+        licenses.Automaton().add("b", "x <<endOptional>>")
+    for pattern in ("[a-z]+", ".{3,1}", ".?", "(a|b)"):
+        with pytest.raises(ValueError):
+            licenses.Automaton().add("b", f"x <<var;match={pattern}>> y")
+
+
+def test_license_labels_and_scores(spark):
+    """Random texts of the templates' words, and the templates themselves, against regular expressions over words."""
+    r = random.Random(12)
+    own = {
+        "one": "free <<var;match=.{0,2}>> software <<beginOptional>>of <<beginOptional>>the <<endOptional>><<var;match=mit|gnu project>><<endOptional>> here",
+        "loop": "begin <<var;match=.+>> end", "any": "open <<var;match=.*>> shut", "two": "<<beginOptional>>the <<endOptional>>software",
+    }
+    words = ["free", "software", "of", "the", "mit", "gnu", "project", "here", "begin", "end", "open", "shut", "x"]
+    given = [" ".join(r.choices(words, k=r.randint(0, 14))) for _ in range(250)] + [None, "", "MIT License mit license", "the, SOFTWARE; the software"]
+    df = spark.createDataFrame(list(enumerate(given)), "doc_id bigint, text string").repartition(3)
+    got = rows(licenses.license_scan(df.unionByName(df), templates=own), "doc_id", "labels", "score", "n_notices")
+    want = [(i, *brute.license_matches(t, licenses.PHRASES, own)) for i, t in enumerate(given)]
+    assert got == sorted(want * 2)
+
+
+def test_whole_license_texts():
+    m = licenses._machine(tuple(licenses.PHRASES.items()), tuple(licenses.TEMPLATES.items()))
+    fill = {"match=.{1,6}": "software and associated documentation files", "match=.{2,12}": "the authors or copyright holders", "match=.{2,14}": "the copyright holders and contributors"}
+
+    def text(template, optional):
+        t = template
+        while "<<beginOptional>>" in t:  # innermost regions first
+            at = t.rindex("<<beginOptional>>")
+            end = t.index("<<endOptional>>", at)
+            t = t[:at] + (t[at + 17 : end] if optional else "") + t[end + 15 :]
+        return re.sub(r"<<var;(.*?)>>", lambda x: fill.get(x[1]) or (x[1][6:].split("|")[0] if "{" not in x[1] else "w " * int(x[1][8:].split(",")[0])), t)
+
+    for label, template in licenses.TEMPLATES.items():
+        for optional in (False, True):
+            words = licenses.words_of(text(template, optional).encode())
+            assert (label, 0, len(words)) in m.scan(words), label
+            if not optional:  # every word is mandatory, or one of a region's wordings
+                assert label not in {x for x, i, _ in m.scan([b"other", *words[1:]]) if i == 0}
+                assert label not in {x for x, _, _ in m.scan(words[:3] + [b"other"] + words[3:])} or "match=" in template, label
 
 
 def test_quality(docs, texts, empty):
@@ -468,6 +510,22 @@ def test_substrings(docs, texts, empty):
     assert substrings.substring_dedup(empty).count() == 0
 
 
+def test_a_hot_anchor_is_dealt_by_windows(spark, docs, texts, monkeypatch):
+    """Every bucket heavy: windows meet by digest, and the result is the same."""
+    monkeypatch.setattr(substrings, "HEAVY", 0)
+    got = rows(substrings.substring_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == brute.substrings(texts)
+    r = random.Random(8)
+    passage = "".join(r.choice("abcdefgh ") for _ in range(90))
+    junk = lambda: "".join(r.choice("klmnop ") for _ in range(60))
+    given = [(i, f"{junk()}{passage[: 60 + i % 30]}{junk()}{passage}") for i in range(60)] + [(60, passage * 3), (None, passage), (61, junk())]
+    df = spark.createDataFrame(given, "doc_id bigint, text string").repartition(5)
+    want = sorted(brute.substrings(given), key=lambda x: (x[0] is None, x))
+    for bound in (0, 3000, 10**9):
+        monkeypatch.setattr(substrings, "HEAVY", bound)
+        assert rows(substrings.substring_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == want
+
+
 def test_null_and_repeated_ids_in_substrings(spark):
     a, b = "the quick brown fox jumps over the lazy dog and runs away again ", "another text of quite some length that nobody has written before "
     given = [(None, a), (4, a), (4, "x" + b), (9, b), (None, b), (4, a), (2, "s")]
