@@ -43,6 +43,11 @@ def images(word: Column, spec) -> list[Column]:
     return [word, *([complement(word)] if comp else []), *([F.reverse(word)] if rev else []), *([revcomp(word)] if rc else [])]
 
 
+def places(sequence: Column, k: int) -> Column:
+    """The k letters from each place on, whatever they are."""
+    return F.regexp_extract_all(sequence, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
+
+
 def merges(spec) -> bool:
     """Whether a class has several words."""
     return spec.reverse or spec.complement or spec.revcomp

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import nucleotides as nt
 from ..functions.logistic import log_sigmoid
+from ..session import small, stored
 from ..spec import Model
-from .kmers import kmer_counts, vectorise
-from .linear import linear_scores
+from .kmers import CHUNK, FEW, kmer_counts, vectorise
+from .linear import biases, coefficients, linear_scores
 
 
 def slices(sequences: DataFrame, window: int, step: int, include_last: bool = False) -> DataFrame:
@@ -25,18 +29,60 @@ def slices(sequences: DataFrame, window: int, step: int, include_last: bool = Fa
 
 
 def window_scores(sequences: DataFrame, dictionary: DataFrame, model: Model, window: int, step: int, include_last: bool = False) -> DataFrame:
-    """(sample_id, start, member, z, prediction) of every window, the model's transform applied."""
-    key = F.struct("sample_id", "start")
-    cut = slices(sequences, window, step, include_last).select(key.alias("sample_id"), "sequence")
-    features = vectorise(kmer_counts(cut, model.spec), dictionary)
-    scored = linear_scores(cut.select("sample_id"), features, model)
-    return scored.select("sample_id.sample_id", "sample_id.start", "member", "z", log_sigmoid(F.col("z")).alias("prediction"))
+    """(sample_id, start, member, z, prediction) of every window, the model's transform applied.
+
+    Where a window's score is a sum over its places (no pairs, no presence, one word a
+    place) running sums give it; otherwise each window's words are counted.
+    """
+    spec = model.spec
+    if step < 1:
+        raise ValueError("step must be 1 or more")
+    summed = not spec.binarize and spec.longest <= window and all(spec.ambiguous_at(k) <= 0 for k in range(spec.shortest, spec.longest + 1))
+    if summed and all(a == b for a, b in model.features()):
+        scored = _running(sequences, dictionary, model, window, step, include_last)
+    else:
+        key = F.struct("sample_id", "start")
+        cut = slices(sequences, window, step, include_last).select(key.alias("sample_id"), "sequence")
+        features = vectorise(kmer_counts(cut, spec), dictionary)
+        scored = linear_scores(cut.select("sample_id"), features, model).select("sample_id.sample_id", "sample_id.start", "member", "z")
+    return scored.select("sample_id", "start", "member", "z", log_sigmoid(F.col("z")).alias("prediction"))
+
+
+def _running(sequences: DataFrame, dictionary: DataFrame, model: Model, window: int, step: int, include_last: bool) -> DataFrame:
+    """Scores of windows as differences of running sums of the places' coefficients.
+
+    Sequences are cut into parts that overlap by a window less a letter, so each window
+    lies in one part; a part is sorted by place in one task, whatever the sequence's length.
+    """
+    members = len(model.members)
+    spark, spec = sequences.sparkSession, model.spec
+    coef = coefficients(spark, model).select("member", F.col("a").alias("feature_id"), (F.col("theta") * F.col("scale")).alias("t"))
+    known = dictionary.join(coef, "feature_id").groupBy("kmer").agg(*(F.sum(F.when(F.col("member") == m, F.col("t"))).alias(f"t{m}") for m in range(members)))
+    known = stored(known, "coefficients")
+    side = F.broadcast(known) if small(known, FEW) else known
+    size = max(CHUNK, window)
+    rows = sequences.select("sample_id", F.lower("sequence").alias("s")).where(F.length("sequence") >= window + (0 if include_last else 1))
+    parts = rows.select("sample_id", F.length("s").alias("n"), F.posexplode(nt.chunks(F.col("s"), window, size)).alias("part", "s"))
+    found = []
+    for k in range(spec.shortest, spec.longest + 1):
+        words = parts.select("sample_id", "n", "part", F.posexplode(nt.places(F.col("s"), k)).alias("at", "w"))
+        words = words.join(side, nt.representative(F.col("w"), spec) == F.col("kmer"), "left")
+        order = Window.partitionBy("sample_id", "part").orderBy("at")
+        whole = [F.sum(F.coalesce(f"t{m}", F.lit(0.0))).over(order).alias(f"c{m}") for m in range(members)]
+        words = words.select("sample_id", "n", "part", "at", *(F.coalesce(f"t{m}", F.lit(0.0)).alias(f"t{m}") for m in range(members)), *whole)
+        sums = [(F.lead(f"c{m}", window - k).over(order) - F.col(f"c{m}") + F.col(f"t{m}")).alias(f"z{m}") for m in range(members)]
+        start = F.col("part") * size + F.col("at")
+        ok = (start % step == 0) & (F.col("at") < size) & (start <= F.col("n") - window - (0 if include_last else 1))
+        found.append(words.select("sample_id", "part", "at", start.alias("start"), ok.alias("ok"), *sums).where("ok").select("sample_id", "start", *(f"z{m}" for m in range(members))))
+    total = found[0]
+    if len(found) > 1:
+        total = reduce(DataFrame.unionByName, found).groupBy("sample_id", "start").agg(*(F.sum(f"z{m}").alias(f"z{m}") for m in range(members)))
+    each = F.array(*(F.struct(F.lit(m).alias("member"), (F.lit(b) + F.col(f"z{m}")).alias("z")) for m, b in biases(model)))
+    return total.select("sample_id", F.col("start").cast("int").alias("start"), F.inline(each))
 
 
 def window_sums(positions: DataFrame, window: int) -> DataFrame:
     """(sample_id, start, total): sums of positions(sample_id, position, score) over `window` places from each on."""
-    from pyspark.sql import Window
-
     ahead = Window.partitionBy("sample_id").orderBy("position").rangeBetween(0, window - 1)
     return positions.select("sample_id", F.col("position").alias("start"), F.sum("score").over(ahead).alias("total"))
 

@@ -17,6 +17,7 @@ from .functions.logistic import log_sigmoid, pair_dim, pair_position, position_p
 from .operators import dataset, ensemble, expand, kmers, linear, report, select, stats, tables, windows
 from .plans.fit import Estimator
 from .plans.learn import cross_validate, fit_ensemble
+from .session import shared_dir, stored
 from .spec import KmerSpec, Member, Model, Options
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -663,36 +664,89 @@ def related_kmers(spark, d):
 # Windows
 
 _WINDOW, _STEP = 40, 10
+_CUT = f"cut as (select sample_id, cast(i as integer) as start, substring(s, i + 1, {_WINDOW}) as s from (select sample_id, s, unnest(range(0, length(s) - {_WINDOW}, {_STEP})) as i from seqs))"
+_PARTS = "parts as (select sample_id, start, substring(s, j, 2) as w from (select sample_id, start, s, unnest(range(1, {0})) as j from cut))"
+
+
+def _window_model(spark, d, binarize: bool = False) -> tuple[DataFrame, DataFrame, Model]:
+    """Documents, their dictionary of pairs of letters, and a model with a coefficient for all but one of them."""
+    spec = _spec(2, binarize=binarize)
+    seqs = _sequences(spark, d)
+    known = stored(kmers.dictionary(kmers.kmer_counts(seqs, spec), spec), "dictionary")
+    theta = {(i, i): (i - 4) / 50 for i in range(known.count()) if i != 4}
+    return seqs, known, Model([Member(0.25, theta)], {}, spec, {(1, 1): (0.5, 2.0)})
+
+
+_SCALED = "sum(case when f = 1 then 2 * (f - 4) / 50 else (f - 4) / 50 end) + 0.5 * 2 * 3 / 50"
 
 
 @query(
-    f"""with {_seq_sql('benchmark', 'item_id', 'items')}, {_counts_sql(2, 'items')}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
-    cut as (select sample_id, cast(i as integer) as start, substring(s, i + 1, {_WINDOW}) as s from (select sample_id, s, unnest(range(0, length(s) - {_WINDOW}, {_STEP})) as i from items)),
-    parts as (select sample_id, start, substring(s, j, 2) as w from (select sample_id, start, s, unnest(range(1, {_WINDOW})) as j from cut)),
-    z as (select sample_id, start, 0.25 + sum((f - 4) / 50) as z from parts join dict on kmer = {_canon('w')} group by 1, 2)
+    f"""with {_seq_sql()}, {_counts_sql(2)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
+    {_CUT}, {_PARTS.format(_WINDOW)},
+    z as (select sample_id, start, 0.25 + {_SCALED} as z from parts join dict on kmer = {_canon('w')} group by 1, 2)
     select sample_id, start, cast(0 as integer) as member, round(z, 6) as z, round({_LP}, 6) as prediction from z"""
 )
 def window_scores(spark, d):
-    spec = _spec(2)
-    items = _sequences(spark, d, "benchmark", "item_id")
-    known = kmers.dictionary(kmers.kmer_counts(items, spec), spec)
-    n = known.count()
-    model = Model([Member(0.25, {(i, i): (i - 4) / 50 for i in range(n) if i != 4})], {}, spec)
-    return _rounded(windows.window_scores(items, known, model, _WINDOW, _STEP), 6, "z", "prediction")
+    seqs, known, model = _window_model(spark, d)
+    return _rounded(windows.window_scores(seqs, known, model, _WINDOW, _STEP), 6, "z", "prediction")
 
 
 @query(
-    f"""with {_seq_sql()}, regions as (select event_id as region_id, user_id as seqname, cast(event_id % 50 as integer) as start, cast(event_id % 50 + event_id % 7 + 1 as integer) as stop from events)
-    select region_id, seqname, start, stop, substring(s, start + 1, stop - start) as sequence from regions join seqs on seqname = sample_id where length(s) >= 60"""
+    f"""with {_seq_sql()}, {_counts_sql(2)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
+    {_CUT}, {_PARTS.format(_WINDOW)}, once as (select distinct sample_id, start, f from parts join dict on kmer = {_canon('w')}),
+    z as (select sample_id, start, 0.25 + {_SCALED} as z from once group by 1, 2)
+    select sample_id, start, cast(0 as integer) as member, round(z, 6) as z, round({_LP}, 6) as prediction from z"""
 )
+def window_scores_of_presence(spark, d):
+    seqs, known, model = _window_model(spark, d, True)
+    return _rounded(windows.window_scores(seqs, known, model, _WINDOW, _STEP), 6, "z", "prediction")
+
+
+_REGIONS = """regions as (select event_id as region_id, user_id as seqname, cast(event_id * 7919 % greatest(length(s), 1) as integer) as start, length(s) as n, s,
+    event_id from events join seqs on user_id = sample_id), placed as (select *, cast(least(n, start + event_id % 97) as integer) as stop from regions)"""
+
+
+def _regions(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Regions anywhere in whole texts, and those texts as a genome."""
+    genome = _sequences(spark, d).select(F.col("sample_id").alias("seqname"), "sequence")
+    n = F.length("sequence")
+    start = (F.col("event_id") * 7919 % F.greatest(n, F.lit(1))).cast("int")
+    rows = _table(spark, d, "events").join(genome.where("sequence is not null"), F.col("user_id") == F.col("seqname"))
+    return rows.select(F.col("event_id").alias("region_id"), "seqname", start.alias("start"), F.least(n, start + F.col("event_id") % 97).cast("int").alias("stop")), genome
+
+
+@query(f"with {_seq_sql()}, {_REGIONS} select region_id, seqname, start, stop, substring(s, start + 1, stop - start) as sequence from placed where s is not null")
 def genomic_slice(spark, d):
-    genome = _sequences(spark, d).select(F.col("sample_id").alias("seqname"), "sequence").where(F.length("sequence") >= 60)
-    start = (F.col("event_id") % 50).cast("int")
-    regions = _table(spark, d, "events").select(
-        F.col("event_id").alias("region_id"), F.col("user_id").alias("seqname"), start.alias("start"), (start + F.col("event_id") % 7 + 1).cast("int").alias("stop")
-    )
-    known = regions.join(genome.select("seqname"), "seqname", "left_semi")
-    return windows.genomic_slices(known, genome).select("region_id", "seqname", "start", "stop", "sequence")
+    regions, genome = _regions(spark, d)
+    return windows.genomic_slices(regions, genome).select("region_id", "seqname", "start", "stop", "sequence")
+
+
+_GENOMIC = f"""with {_seq_sql()}, {_REGIONS}, {_counts_sql(2)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
+    cut as (select sample_id, cast(i as integer) as start, substring(s, i + 1, 20) as s from (select region_id as sample_id, substring(s, start + 1, stop - start) as s,
+        unnest(range(0, stop - start - 20, 10)) as i from placed where s is not null)), {_PARTS.format(20)},
+    z as (select sample_id, start, 0.25 + {_SCALED} as z from parts join dict on kmer = {_canon('w')} group by 1, 2),
+    scored as (select sample_id as region_id, start, 2 * {_LP} as prediction from z)"""
+
+
+def _genomic_scores(spark, d) -> tuple[DataFrame, DataFrame]:
+    regions, genome = _regions(spark, d)
+    _, known, model = _window_model(spark, d)
+    return windows.genomic_scores(regions, genome, [(model, known), (model, known)], 20, 10), regions
+
+
+@query(f"{_GENOMIC} select region_id, start, round(prediction, 6) as prediction from scored")
+def genomic_window_scores(spark, d):
+    return _rounded(_genomic_scores(spark, d)[0], 6, "prediction")
+
+
+@query(
+    f"""{_GENOMIC} select region_id, -1 as place, 'fixedStep chrom=' || seqname || ' start=' || (start + 10) || ' step=10 span=10' as line from placed where s is not null
+    union all select region_id, start as place, printf('%.9f', exp(prediction)) as line from scored"""
+)
+def wiggle_lines(spark, d):
+    from .sources.writers import wiggle_lines as lines
+
+    return lines(*_genomic_scores(spark, d), 20, 10, digits=9)
 
 
 @query(
@@ -739,17 +793,16 @@ def expand_depth2(spark, d):
 
 
 def _folder(spark: SparkSession) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top}/text-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/text-{uuid.uuid4().hex}"
 
 
-@query("select 'item' || item_id as seqname, regexp_replace(lower(text), '[^a-z]', '', 'g') as sequence from benchmark where regexp_replace(lower(text), '[^a-z]', '', 'g') <> ''")
+@query("select 'doc' || doc_id as seqname, regexp_replace(lower(text), '[^a-z]', '', 'g') as sequence from documents where regexp_replace(lower(text), '[^a-z]', '', 'g') <> ''")
 def fasta_round_trip(spark, d):
     from .sources.readers import read_fasta
 
     letters = F.regexp_replace(F.lower("text"), "[^a-z]", "")
     broken = F.regexp_replace(letters, "(.{60})", "$1\n")
-    rows = _table(spark, d, "benchmark").where(letters != "").select(F.concat(F.lit(">item"), F.col("item_id").cast("string"), F.lit("\n"), broken).alias("value"))
+    rows = _table(spark, d, "documents").where(letters != "").select(F.concat(F.lit(">doc"), F.col("doc_id").cast("string"), F.lit("\n"), broken).alias("value"))
     path = _folder(spark)
     rows.write.text(path)
     return read_fasta(spark, path)
@@ -766,12 +819,19 @@ def score_table_round_trip(spark, d):
     return read_scores(spark, path, columns=_EXP).select(*v).groupBy(*_EXP).agg(F.count("*").alias("n"))
 
 
+_D3 = f"{_seq_sql()}, {_counts_sql(3)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts))"
+
+
 @query(
-    f"""with {_I3} select 0 as src, sample_id, string_agg(cast(coalesce(n, 0) as varchar), ',' order by f) as line
-    from items join dict on true left join counts using (sample_id, kmer) group by sample_id"""
+    f"""with {_D3} select 0 as src, sample_id, string_agg(cast(coalesce(n, 0) as varchar), ',' order by f) as line
+    from seqs join dict on true left join counts using (sample_id, kmer) group by sample_id"""
 )
 def matrix_export(spark, d):
     from .sources.writers import matrix_lines
 
-    items, features, known, _ = _item_model(spark, d)
-    return matrix_lines(features, items.select("sample_id"), known)
+    seqs = _sequences(spark, d)
+    features, known = kmers.kmer_features(seqs, _spec(3))
+    return matrix_lines(features, seqs.select("sample_id"), known)
+
+
+from . import file_queries  # noqa: E402, F401 - registers its own

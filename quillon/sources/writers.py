@@ -59,13 +59,13 @@ def window_lines(scores: DataFrame) -> DataFrame:
     return scores.groupBy("sample_id").agg(F.array_join(F.transform(row, lambda x: number(x["prediction"])), " ").alias("line"))
 
 
-def wiggle_lines(scores: DataFrame, regions: DataFrame, window: int, step: int) -> DataFrame:
+def wiggle_lines(scores: DataFrame, regions: DataFrame, window: int, step: int, digits: int = 15) -> DataFrame:
     """(region_id, place, line): a fixedStep header for each region, then exp(prediction) of its windows."""
     head = regions.select(
         "region_id", F.lit(-1).alias("place"),
         F.format_string(f"fixedStep chrom=%s start=%d step={step} span={step}", "seqname", F.col("start") + window // 2).alias("line"),
     )
-    body = scores.select("region_id", F.col("start").cast("int").alias("place"), F.format_string("%.15f", F.exp("prediction")).alias("line"))
+    body = scores.select("region_id", F.col("start").cast("int").alias("place"), F.format_string(f"%.{digits}f", F.exp("prediction")).alias("line"))
     return head.unionByName(body)
 
 
@@ -77,10 +77,10 @@ def write_cv(predictions: DataFrame, losses: DataFrame, path: str) -> None:
 
 def write_trace(trace: DataFrame, path: str) -> None:
     """Right-aligned columns: duration, iteration, change and nonzero (the bias counts), lambda, loss; what is unknown is nan."""
-    real = lambda c: F.format_string("%12s", F.coalesce(F.format_string("%e", c), F.lit("nan")))
+    real = lambda c: F.format_string("%12s", F.when(F.col(c).isNull(), "nan").otherwise(F.format_string("%e", c)))
     parts = [
-        F.format_string("%15s", F.format_string("%.6fs", "duration")), F.format_string("%9d", "iteration"), F.when(F.col("change").isNull(), F.lit(f"{'nan':>12}")).otherwise(real(F.col("change"))),
-        F.format_string("%8s", F.coalesce(F.col("nonzero").cast("string"), F.lit("nan"))), real(F.col("lambda")), real(F.col("loss")),
+        F.format_string("%15s", F.format_string("%.6fs", "duration")), F.format_string("%9d", "iteration"), real("change"),
+        F.format_string("%8s", F.coalesce(F.col("nonzero").cast("string"), F.lit("nan"))), real("lambda"), real("loss"),
     ]
     head = f"{'duration':>15} {'iteration':>9} {'change':>12} {'nonzero':>8} {'lambda':>12} {'loss':>12}"
     write_lines(trace, path, F.concat_ws(" ", *parts), head, [F.col("iteration"), F.col("duration")])

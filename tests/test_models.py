@@ -145,7 +145,7 @@ def test_writers(spark, tmp_path):
     writers.write_predictions(df, str(tmp_path / "p"))
     lines = [r.value.strip() for r in spark.read.text(str(tmp_path / "p")).collect()]
     assert sorted(lines) == ["-2.500000e-01", "-5.000000e-01", "prediction"]
-    assert writers.output_name("m", 2, 0, True) == "m_2_cv1" and writers.output_name("m", 2) == "m"
+    assert writers.output_name("m", 2, 0, True) == "m_cv1_2" and writers.output_name("m", 2) == "m"
 
 
 def test_similarity_of_equal_samples(spark):

@@ -103,7 +103,7 @@ def test_tables_are_written(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "e_1.table")).collect()) == ["2.000000e+00", "x"]
     cv = frame(spark, [(-0.5, True)], "prediction double, label boolean")
     writers.write_cv(cv, frame(spark, [(0.1, 0.2)], "train double, test double"), str(tmp_path / "cv"))
-    assert spark.read.text(str(tmp_path / "cv.loss")).count() == 2
+    assert spark.read.text(str(tmp_path / "cv_loss.table")).count() == 2
     trace = frame(spark, [(0.5, 0, 1.0, 3, 0.1, 0.6)], "duration double, iteration int, change double, nonzero int, lambda double, loss double")
     writers.write_trace(trace, str(tmp_path / "t"))
     writers.write_stability(frame(spark, [(0, 0, 2, 0.5)], "a bigint, b bigint, stability bigint, mean double"), str(tmp_path / "st"))
