@@ -11,6 +11,8 @@ from pyspark.sql.types import StructType
 
 from ..session import shared_dir, ship, small, stored  # noqa: F401 - for the other modules, too
 
+#: Bytes of rows that a Python worker handles at once.
+SLICE = 4_000_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space that separates words wherever a contract names \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,20 +31,35 @@ def documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str | StructType
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.Table | pa.RecordBatch | None], schema: str | StructType, whole: bool = False
 ) -> DataFrame:
-    """mapInArrow over single batches; fn may return None for nothing."""
+    """mapInArrow over parts of batches of about SLICE bytes; fn may return None for nothing.
+
+    whole: fn gets whole batches, for it gains by seeing many rows. Memory that a task
+    has freed goes back when it ends, as workers live on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            if out is not None:
-                yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+            for part in [batch] if whole else sliced(batch):
+                out = fn(part)
+                if out is not None:
+                    yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        pa.default_memory_pool().release_unused()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of equal numbers of rows and about SLICE bytes each."""
+    rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, SLICE))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+    if not batch.num_rows:
+        yield batch
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The column's strings as UTF-8; null gives b""."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -261,16 +261,8 @@ def quality(
 
     def batch(b: pa.RecordBatch) -> pa.Table | None:
         texts = utf8(b.column(0).field(at) if at is not None else b.column(1))
-        cut, size = [0], 0
-        for i, x in enumerate(texts):  # parts of some megabytes bound the features in memory
-            size += len(x)
-            if size > 4_000_000:
-                cut.append(i + 1)
-                size = 0
-        cut.append(len(texts))
-        done = [judge(texts[i:j], field, least_content) for i, j in zip(cut, cut[1:], strict=False) if i < j]
-        cols = {k: [y for part in done for y in part[k]] for k in done[0]} if done else {}
-        if not cols:
+        cols = judge(texts, field, least_content)
+        if not texts:
             return None
         found = pa.StructArray.from_arrays([pa.array(v) for v in cols.values()], list(cols))
         return pa.table({"row": b.column(0), "quality": found})

@@ -76,10 +76,28 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op1: the base phrases."""
+    return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of op2: the base rules, and that what fails them isn't kept."""
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return op2_quality_rules(spark, sf_dir).select(*base, (F.col("base_failed") & F.col("kept")).alias("failed_and_kept"))
+
+
+def url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands behind op6's verdicts: each host's labelled pages, posterior share of bad ones and its lower bound."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    found = urls.url_filter(pages, page_outcomes(pages, table(spark, sf_dir, "labels")))
+    return found.groupBy("host").agg(F.count("*").alias("pages"), F.round(F.max("posterior"), 6).alias("posterior"), F.round(F.max("bound"), 6).alias("bound"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_license_scan, op2_quality_rules, op3_token_counts, op4_simhash, op5_packing, op6_url_filter, op7_decontamination,
-        op8_warc, op9_line_dedup, op10_substring_dedup,
+        op8_warc, op9_line_dedup, op10_substring_dedup, license_base, quality_base, url_reputation,
     )
     return {f.__name__: f for f in own}
 
@@ -102,7 +120,7 @@ def _level(name: str, rows: str, keys: str, up: str, join: str) -> str:
     p{name} as (select {keys}, n, k, (k * m + bad) / (k + n) as m from {name}, k{name})"""
 
 
-URLS_SQL = f"""with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+_URLS = f"""with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
     p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
     known as (select doc_id, max(1 - quality) as bad from labels where quality in (0, 1) group by 1),
     shown as (select page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html|/)?$', 1) as bigint) as doc_id from p),
@@ -113,8 +131,30 @@ URLS_SQL = f"""with u as (select page_id, case when strpos(url, '://') > 0 then
     {_level('a', 'hosts', 'suffix', 'top', ', {up}')},
     {_level('b', 'hosts', 'suffix, domain', 'pa', 'join (select suffix, m from {up}) using (suffix)')},
     {_level('c', 'hosts', 'suffix, domain, host', 'pb', 'join (select suffix, domain, m from {up}) using (suffix, domain)')},
-    judged as (select page_id, host, path, m - 1.645 * sqrt(m * (1 - m) / (k + n + 1)) as low, case when {_FITS} end as best from p join pc using (host))
-    select page_id, host, path, best.rule as rule, coalesce(best.verdict, case when low > 0.2 then 'block' else 'allow' end) as verdict from judged"""
+    judged as (select page_id, host, path, m, m - 1.645 * sqrt(m * (1 - m) / (k + n + 1)) as low, case when {_FITS} end as best from p join pc using (host))"""
+
+URLS_SQL = f"{_URLS} select page_id, host, path, best.rule as rule, coalesce(best.verdict, case when low > 0.2 then 'block' else 'allow' end) as verdict from judged"
+REPUTATION_SQL = f"{_URLS} select host, count(*) as pages, round(max(m), 6) as posterior, round(max(low), 6) as bound from judged group by host"
+
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LICENSES_SQL = f"""with w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '{_WORDS}') as w from documents),
+    x as (select doc_id, unnest(w) as t, unnest(range(len(w))) as i from w),
+    n as (select doc_id, i, [t, lead(t, 1) over o, lead(t, 2) over o, lead(t, 3) over o] as t from x window o as (partition by doc_id order by i)),
+    h as (select doc_id, i, case {' '.join(f"when t[1:{len(p.split())}] = {p.split()} then '{x}'" for x, p in licenses.PHRASES.items())} end as label from n),
+    f as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from h where label is not null group by doc_id)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(base_labels, '') as base_labels from w left join f using (doc_id)"""
+
+_BLACK = r"[^\x20\x09-\x0D]"
+QUALITY_SQL = f"""with w as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{_BLACK}+') as w from documents),
+    x as (select doc_id, unnest(w) as t, unnest(range(len(w))) as i from w),
+    g as (select doc_id, i, t || ' ' || lead(t, 1) over o || ' ' || lead(t, 2) over o || ' ' || lead(t, 3) over o || ' ' || lead(t, 4) over o as g from x window o as (partition by doc_id order by i)),
+    twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from g where g is not null) where n > 1),
+    again as (select doc_id, count(distinct j) as n from (select doc_id, unnest(range(i, i + 5)) as j from twice) group by doc_id),
+    l as (select doc_id, count(*) - count(distinct line) as n from (select doc_id, unnest(string_split(text, chr(10))) as line from w) where regexp_matches(line, '{_BLACK}') group by doc_id),
+    b as (select doc_id, cast(len(w) as bigint) as n_words, cast(length(array_to_string(w, '')) as bigint) as word_chars,
+        cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(l.n, 0) as n_dup_lines, coalesce(again.n, 0) as n_repeat_words
+        from w left join l using (doc_id) left join again using (doc_id))
+    select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, false as failed_and_kept from b"""
 
 WARC_SQL = """with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha256(coalesce(html, '')) as payload_digest from pages),
     f as (select *, min(page_id) over (partition by payload_digest) as first from p)
@@ -132,4 +172,7 @@ LINES_SQL = f"""with d as (select doc_id, string_split(coalesce(text, ''), chr(1
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; tests hold the others against plain versions."""
-    return {"op6_url_filter": URLS_SQL, "op8_warc": WARC_SQL, "op9_line_dedup": LINES_SQL}
+    return {
+        "op6_url_filter": URLS_SQL, "op8_warc": WARC_SQL, "op9_line_dedup": LINES_SQL, "license_base": LICENSES_SQL, "quality_base": QUALITY_SQL,
+        "url_reputation": REPUTATION_SQL,
+    }

@@ -229,7 +229,7 @@ def repeated_anchors(docs: DataFrame, length: int, buckets: int, parts: int) ->
         h = np.concatenate(h).astype(np.int64)
         return _packed(np.concatenate(d), h, np.zeros(len(h), np.int64), parts)
 
-    rows = map_batches(docs, batch, ANCHORS)
+    rows = map_batches(docs, batch, ANCHORS, whole=True)
     ship(docs.sparkSession)
     found = rows.groupBy("bucket").applyInArrow(bucket, FOUND)
     return _gathered(found, lambda a, b: (_six(a.astype(np.uint64)),), "doc_id bigint, hashes binary")
@@ -431,7 +431,7 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
         return _packed(*(np.concatenate(none + x) for x in (doc, start, end)), parts)
 
     joined = docs.join(repeated.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "hashes")
-    strings = stored(map_batches(joined, batch, STRINGS), "strings")
+    strings = stored(map_batches(joined, batch, STRINGS, whole=True), "strings")
     heavy = strings.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("bytes")).where(F.col("bytes") > HEAVY)
     heavy = stored(heavy, "heavy")
     whole = heavy.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]

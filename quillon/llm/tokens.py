@@ -54,7 +54,7 @@ def prefix_table(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             }
         )
 
-    return map_batches(documents(docs, id_col, text_col), batch, SCHEMA)
+    return map_batches(documents(docs, id_col, text_col), batch, SCHEMA, whole=True)
 
 
 def within_budget(table: DataFrame, budget: int) -> DataFrame:

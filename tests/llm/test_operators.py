@@ -550,3 +550,18 @@ def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (None, 3)], "u bigint, v bigint")
     got = {r.node: r.root for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+
+
+def test_batches_are_handled_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    from quillon.llm import common
+
+    rows_ = [{"id": i, "text": "x" * i} for i in range(50)] + [None]
+    batch = pa.record_batch([pa.array(rows_)], names=["row"])
+    for size, many in ((200, True), (10**9, False)):
+        monkeypatch.setattr(common, "SLICE", size)
+        parts = list(common.sliced(batch))
+        assert [r for p in parts for r in p.column(0).to_pylist()] == rows_ and (len(parts) > 1) == many
+        assert [t for p in parts for t in p.column(0).field(1).to_pylist()] == [r and r["text"] for r in rows_]
+    assert [p.num_rows for p in common.sliced(batch.slice(0, 0))] == [0]
