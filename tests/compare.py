@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 
 
 def tables(sf_dir):
@@ -15,7 +16,7 @@ def tables(sf_dir):
 def rows(df):
     columns = sorted(df.columns)
     return sorted(
-        (tuple(None if x != x else x + 0.0 if isinstance(x, float) else x for x in r) for r in df[columns].astype(object).itertuples(index=False)),
+        (tuple(None if x is pd.NA or x is None or x != x else x + 0.0 if isinstance(x, float) else x for x in r) for r in df[columns].astype(object).itertuples(index=False)),
         key=repr,
     )
 
