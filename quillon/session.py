@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -55,6 +56,7 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -69,3 +71,18 @@ def small(df: DataFrame, rows: int, size: int = 64_000_000) -> bool:
         sized = sized + F.coalesce(one, F.lit(fixed))
     found = df.select(sized.alias("n")).limit(rows + 1).agg(F.count("*").alias("rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("size")).first()
     return found["rows"] <= rows and found["size"] <= size
+
+
+def tables_written(spark: SparkSession) -> list[str]:
+    """The paths of this application's stored tables, oldest first."""
+    return list(_written.get(spark.sparkContext.applicationId, []))
+
+
+def remove_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored tables that nothing needs any more; their owner is who called for them."""
+    known = _written.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in known:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            known.remove(path)

@@ -167,3 +167,23 @@ def test_model_kinds_are_told_by_structure():
     assert '"Name": "scores"' in model_io.to_json(Model([Member(0.5, {(0, 0): 1.0})], {0: "x"}, summary=""))
     with pytest.raises(ValueError, match="not a model"):
         model_io.from_json('{"Name": "x", "Parameters": {"Features": []}, "Distributions": [{"Parameters": {}}]}')
+
+
+def test_stored_tables_have_an_owner(spark):
+    from quillon import session
+
+    before = session.tables_written(spark)
+    one, two = (session.stored(spark.range(n), "t") for n in (3, 4))
+    paths = session.tables_written(spark)[len(before) :]
+    assert len(paths) == 2 and one.count() == 3
+    session.remove_tables(spark, paths[:1])
+    assert session.tables_written(spark) == before + paths[1:] and two.count() == 4
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(paths[0])
+
+
+def test_the_check_before_a_broadcast(spark):
+    from quillon.session import small
+
+    df = spark.createDataFrame([("x" * 100, 1, [1, 2])] * 5, "s string, n int, a array<int>")
+    assert small(df, 5) and not small(df, 4) and not small(df, 5, 400) and small(df.where("false"), 0)
