@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm import decontaminate, lines, packing, quality, simhash
 from quillon.llm.common import small, stored, table
 from quillon.llm.queries import END_ID, SEQUENCE, tokenizer
+from quillon.session import remove_tables, tables_written
 
 #: Bound of a table of ids for a broadcast.
 FEW_IDS = 500_000
@@ -81,10 +82,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; the last one's rows."""
+    """All stages over the documents of sf_dir; the last one's rows.
+
+    What a stage stored on its way, and its predecessor's result, go once its own result is written.
+    """
     docs = table(spark, sf_dir, "documents")
+    before = len(tables_written(spark))
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, name.replace(" ", "-"))
+            remove_tables(spark, tables_written(spark)[before:-1])
     return docs
