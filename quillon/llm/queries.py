@@ -120,13 +120,15 @@ def _level(name: str, rows: str, keys: str, up: str, join: str) -> str:
     p{name} as (select {keys}, n, k, (k * m + bad) / (k + n) as m from {name}, k{name})"""
 
 
+_TWO = f"array_to_string(string_split(host, '.')[-2:], '.') in {urls.DOUBLE}"
+
 _URLS = f"""with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
     p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), {_AZ}) as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from u),
     known as (select doc_id, max(1 - quality) as bad from labels where quality in (0, 1) group by 1),
     shown as (select page_id, try_cast(regexp_extract(path, '/([0-9]{{1,18}})(?:\\.html|/)?$', 1) as bigint) as doc_id from p),
     marks as (select page_id, max(bad) as bad from shown join known using (doc_id) group by 1),
-    hosts as (select host, string_split(host, '.')[-1] as suffix, array_to_string(string_split(host, '.')[-2:], '.') as domain,
-        count(bad) as n, coalesce(sum(bad), 0) as bad from p left join marks using (page_id) group by all),
+    hosts as (select host, array_to_string(string_split(host, '.')[(case when {_TWO} then -2 else -1 end):], '.') as suffix,
+        array_to_string(string_split(host, '.')[(case when {_TWO} then -3 else -2 end):], '.') as domain, count(bad) as n, coalesce(sum(bad), 0) as bad from p left join marks using (page_id) group by all),
     top as (select (sum(bad) + 1) / (sum(n) + 2) as m from hosts),
     {_level('a', 'hosts', 'suffix', 'top', ', {up}')},
     {_level('b', 'hosts', 'suffix, domain', 'pa', 'join (select suffix, m from {up}) using (suffix)')},

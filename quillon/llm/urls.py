@@ -11,6 +11,12 @@ from .common import UPPER, small, stored
 RULES = [
     ("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"),
 ]
+# Public suffixes of two labels, as far as they are common.
+DOUBLE = (
+    "ac.jp", "ac.nz", "ac.uk", "co.id", "co.il", "co.in", "co.jp", "co.kr", "co.nz", "co.th", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.co",
+    "com.hk", "com.mx", "com.my", "com.pl", "com.sg", "com.tr", "com.tw", "com.ua", "com.vn", "edu.au", "edu.cn", "gov.au", "gov.br", "gov.uk", "ne.jp", "net.au",
+    "net.cn", "nhs.uk", "or.jp", "or.kr", "org.au", "org.br", "org.cn", "org.nz", "org.uk", "sch.uk",
+)
 #: Bound of the host table for a broadcast.
 FEW_HOSTS = 500_000
 #: Bounds of a prior's strength, in pages.
@@ -34,12 +40,19 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return found
 
 
-def registered_domain(host: Column, double: tuple[str, ...] = ()) -> Column:
-    """The suffix and one label more; double lists suffixes of two labels."""
+def _last(host: Column, labels: int) -> Column:
     parts = F.split(host, "\\.")
-    two = F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(2)), 2), ".")
-    three = F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(3)), 3), ".")
-    return F.when(two.isin(*double), three).otherwise(two) if double else two
+    return F.array_join(F.slice(parts, -F.least(F.size(parts), F.lit(labels)), labels), ".")
+
+
+def public_suffix(host: Column, double: tuple[str, ...] = DOUBLE) -> Column:
+    """The last label, or the last two where double lists them."""
+    return F.when(_last(host, 2).isin(*double), _last(host, 2)).otherwise(_last(host, 1))
+
+
+def registered_domain(host: Column, double: tuple[str, ...] = DOUBLE) -> Column:
+    """The suffix and one label more."""
+    return F.when(_last(host, 2).isin(*double), _last(host, 3)).otherwise(_last(host, 2))
 
 
 def _strength(level: DataFrame) -> float:
@@ -88,6 +101,7 @@ def url_filter(
     outcomes: DataFrame,
     rules: list[tuple[str, str]] = RULES,
     most_bad: float = 0.2,
+    double: tuple[str, ...] = DOUBLE,
     id_col: str = "page_id",
     url_col: str = "url",
 ) -> DataFrame:
@@ -95,7 +109,7 @@ def url_filter(
 
     outcomes: page_id and bad (0 or 1) of the labelled pages; others are null or absent.
     A rule decides where one fits; else the host's reputation: block if the lower bound
-    of its bad share is over most_bad. Rows without an outcome, null urls too (host ''),
+    of its bad share is over most_bad. double: public suffixes of two labels. Rows without an outcome, null urls too (host ''),
     are judged alike. Repeated rows give repeated rows.
     """
     host, path = host_and_path(F.col(url_col))
@@ -103,7 +117,7 @@ def url_filter(
     known = outcomes.where("bad is not null").groupBy("page_id").agg(F.max("bad").cast("int").alias("bad"))
     marked = own.select("page_id", "host").join(known, "page_id", "left")
     hosts = marked.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-    hosts = hosts.withColumns({"domain": registered_domain(F.col("host")), "suffix": F.element_at(F.split("host", "\\."), -1)})
+    hosts = hosts.withColumns({"domain": registered_domain(F.col("host"), double), "suffix": public_suffix(F.col("host"), double)})
     fame = host_reputation(stored(hosts, "hosts")).select("host", "posterior", "bound")
     side = F.broadcast(fame) if small(fame, FEW_HOSTS) else fame
     found = own.join(side, "host", "left").withColumn("best", rule_for(F.col("host"), F.col("path"), rules))

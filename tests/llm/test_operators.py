@@ -360,6 +360,13 @@ def test_outcomes_of_pages_that_end_in_html(spark, tmp_path):
     assert got == want and {v for _, h, _, _, v in got if h == "bad.net"} == {"block"}
 
 
+def test_suffixes_of_two_labels(spark):
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com": ("com", "y.com"), "com": ("com", "com"), "": ("", "")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = {r.host: (r.s, r.d) for r in df.select("host", urls.public_suffix(F.col("host")).alias("s"), urls.registered_domain(F.col("host")).alias("d")).collect()}
+    assert got == hosts
+
+
 def test_reputation_is_shrunk(spark):
     rows_ = [("a.x.com", "x.com", "com", 2, 2), ("b.x.com", "x.com", "com", 200, 4), ("c.y.com", "y.com", "com", 0, 0), ("z.org", "z.org", "org", 300, 150)]
     got = {r.host: r for r in urls.host_reputation(spark.createDataFrame(rows_, "host string, domain string, suffix string, n bigint, bad bigint")).collect()}
