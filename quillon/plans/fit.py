@@ -21,7 +21,8 @@ from ..operators.dataset import class_weights
 from ..operators.linear import gradient, linear_scores, loss, penalty, residuals
 from ..operators.select import Selection, reduced, select_auto, select_fixed
 from ..operators.stats import apply_transform, fit_transform, single_values
-from ..operators.kmers import pair_values
+from ..operators.kmers import FEW, feature_values, pair_values
+from ..session import small
 from ..spec import Member, Model, Options, Pair
 
 #: Epochs of a fit that names no bound of its own: features that the solver drops and the
@@ -81,11 +82,13 @@ class Estimator:
         self.samples = samples.select("sample_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
         self.n = self.samples.count()
         own = features.join(self.samples.select("sample_id"), "sample_id", "left_semi")
-        values = single_values(own)
-        if options.cooccurrence:
-            values = values.unionByName(pair_values(own))
-        if candidates is not None:
-            values = values.join(candidates.select("a", "b"), ["a", "b"], "left_semi")
+        if candidates is not None:  # products arise for the candidates only
+            wanted = candidates.select("a", "b")
+            values = feature_values(own, F.broadcast(wanted) if small(wanted, FEW) else wanted)
+        else:
+            values = single_values(own)
+            if options.cooccurrence:
+                values = values.unionByName(pair_values(own))
         self.transform = transform
         if transform is None and options.transform != "none":
             self.transform = fit_transform(values, self.n, options.transform)
