@@ -23,6 +23,13 @@ def ranked_coefficients(coef: DataFrame, names: DataFrame, rescale: bool = False
     return named.select("member", F.row_number().over(order).alias("place"), label.alias("feature"), "theta")
 
 
+def listing(ranked: DataFrame) -> DataFrame:
+    """(member, place, line) of ranked_coefficients: place, coefficient and name in columns as wide as each member needs."""
+    widest = F.max(F.length("feature")).over(Window.partitionBy("member"))
+    name = F.lpad("feature", widest, F.lit(" "))
+    return ranked.select("member", "place", F.concat(F.format_string("%6d %14e ", "place", "theta"), name, F.lit(" ")).alias("line"))
+
+
 def abundance(values: DataFrame, samples: DataFrame) -> DataFrame:
     """(a, b, foreground, background): the shares of either label's samples that have the feature."""
     n1, n0 = samples.agg(F.count_if(F.col("label")), F.count_if(~F.col("label"))).first()

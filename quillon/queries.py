@@ -599,6 +599,14 @@ def coefficients_ranked(spark, d):
     return report.ranked_coefficients(_members(spark, d), _names(spark))
 
 
+@query(
+    f"""with {_COEF}, {_NAMES}, r as (select member, row_number() over (partition by member order by abs(theta) desc, a) as place, name, theta from coef join names on a = f where theta <> 0)
+    select member, cast(place as integer) as place, printf('%6d', place) || ' ' || printf('%14.6e', theta) || ' ' || lpad(name, cast(max(length(name)) over (partition by member) as integer), ' ') || ' ' as line from r"""
+)
+def coefficient_listing(spark, d):
+    return report.listing(report.ranked_coefficients(_members(spark, d), _names(spark)))
+
+
 @query(
     f"""with {_COEF}, {_NAMES}, s as (select f as a, 1 / max(abs(v)) as scale from long group by f)
     select member, cast(row_number() over (partition by member order by abs(theta / scale) desc, a) as integer) as place, name as feature, round(theta / scale, 6) as theta
@@ -789,6 +797,12 @@ def expand_depth2(spark, d):
     return _expanded(spark, d, operations=expand.parse_operations("square,sqrt"), max_depth=2, max_features=15)
 
 
+@query(f"with {_SCORES}, s as (select sample_id, quantity as q, discount as d, tax as t from scores) select sample_id, round(q / (q - d), 6) as x0, round(q / (q - t), 6) as x1, round(q / (d - q), 6) as x2, round(q / (t - q), 6) as x3, round(d / (q - d), 6) as x4, round(d / (q - t), 6) as x5 from s")
+def expand_quotients(spark, d):
+    """Differences feed quotients; a quotient with a zero below it anywhere goes."""
+    return _expanded(spark, d, operations=expand.parse_operations("sub,div"), max_depth=1, max_features=9)
+
+
 # Sources and sinks: written by Spark into the shared folder, and read again
 
 

@@ -32,10 +32,12 @@ def read_scores(spark: SparkSession, path: str, header: bool = False, columns: l
     another length than the first, stops the query. header: the first line names the
     columns (score_names reads it) and is left out.
     """
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if header:
-        first = spark.read.text(path).first()["value"]
-        lines = lines.where(F.col("value") != first)
+    lines = spark.read.text(path)
+    if header:  # one line goes, not every row that looks like it
+        named, first = lines.withColumn("_i", F.monotonically_increasing_id()), lines.first()["value"]
+        at = named.where(F.col("value") == first).agg(F.min("_i")).first()[0]
+        lines = named.where(F.col("_i") != at).drop("_i")
+    lines = lines.where(F.trim("value") != "")
     fields = F.filter(F.split("value", ","), lambda x: x != "")
     numbers = F.transform(fields, lambda x: F.trim(x).try_cast("double"))
     n = len(columns) if columns else len([x for x in (lines.first() or [""])[0].split(",") if x != ""])

@@ -133,6 +133,8 @@ def test_readers(spark, tmp_path):
     assert readers.score_names(spark, str(tmp_path / "s.table")) == ["a", "b"]
     got = [r[0] for r in readers.read_scores(spark, str(tmp_path / "s.table"), header=True, columns=["a", "b"]).collect()]
     assert sorted(got) == [[1.0, 2.0], [3.0, 4.0]]
+    (tmp_path / "h.table").write_text("1,2\n1,2\n3,4\n1,2\n")
+    assert sorted(r[0] for r in readers.read_scores(spark, str(tmp_path / "h.table"), header=True).collect()) == [[1.0, 2.0], [1.0, 2.0], [3.0, 4.0]]
     (tmp_path / "bad.table").write_text("1,2\n3,x\n")
     with pytest.raises(Exception, match="not a row of scores"):
         readers.read_scores(spark, str(tmp_path / "bad.table")).collect()
