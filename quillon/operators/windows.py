@@ -90,14 +90,23 @@ def window_sums(positions: DataFrame, window: int) -> DataFrame:
 def genomic_slices(regions: DataFrame, genome: DataFrame) -> DataFrame:
     """regions(region_id, seqname, start, stop) with their sequence [start, stop).
 
-    A region of an unknown sequence, or beyond its end, stops the query.
+    Sequences are cut into parts; a region meets the parts that it touches, never a whole
+    chromosome. A region of an unknown sequence, or beyond its end, stops the query.
     """
-    found = regions.join(genome.select("seqname", F.col("sequence").alias("_s")), "seqname", "left")
-    bad = F.col("_s").isNull() | (F.col("start") < 0) | (F.col("stop") > F.length("_s")) | (F.col("start") > F.col("stop"))
-    cut = F.when(bad, F.raise_error(F.concat(F.lit("no such region: "), F.col("seqname")))).otherwise(
-        F.substring("_s", F.col("start") + 1, F.col("stop") - F.col("start"))
-    )
-    return found.withColumn("sequence", cut).drop("_s")
+    asked = regions.select("seqname", "start", "stop").distinct()
+    sizes = genome.select("seqname", F.length("sequence").alias("_n"))
+    bad = F.col("_n").isNull() | (F.col("start") < 0) | (F.col("stop") > F.col("_n")) | (F.col("start") > F.col("stop"))
+    stop = F.raise_error(F.concat(F.lit("no such region: "), F.coalesce("seqname", F.lit("null"))))
+    known = asked.join(sizes, "seqname", "left").select("seqname", "start", "stop", F.when(bad, stop).otherwise(F.col("start")).cast("bigint").alias("_a"))
+    part = lambda c: F.floor(c / CHUNK).cast("int")
+    touched = known.withColumn("_part", F.explode(F.sequence(part(F.col("_a")), part(F.greatest(F.col("stop") - 1, F.col("_a"))))))
+    parts = genome.select("seqname", F.posexplode(nt.chunks(F.col("sequence"), 1, CHUNK)).alias("_part", "_s"))
+    first = F.greatest(F.col("_a") - F.col("_part") * CHUNK, F.lit(0))
+    last = F.least(F.col("stop") - F.col("_part") * CHUNK, F.lit(CHUNK))
+    piece = F.coalesce(F.substring("_s", (first + 1).cast("int"), (last - first).cast("int")), F.lit(""))
+    pieces = touched.join(parts, ["seqname", "_part"], "left").select("seqname", "start", "stop", F.struct("_part", piece.alias("s")).alias("_p"))
+    whole = pieces.groupBy("seqname", "start", "stop").agg(F.array_join(F.transform(F.sort_array(F.collect_list("_p")), lambda x: x["s"]), "").alias("sequence"))
+    return regions.join(whole, ["seqname", "start", "stop"]).select(*regions.columns, "sequence")
 
 
 def genomic_scores(regions: DataFrame, genome: DataFrame, models: list[tuple[Model, DataFrame]], window: int, step: int) -> DataFrame:

@@ -131,6 +131,18 @@ def test_parts_of_long_sequences(spark, monkeypatch):
     assert sorted(tuple(x) for x in kmers.kmer_counts(df, KmerSpec(1, 3, revcomp=True)).collect()) == whole
 
 
+def test_regions_across_parts(spark, monkeypatch):
+    monkeypatch.setattr(windows, "CHUNK", 10)
+    r = random.Random(3)
+    seqs = {n: "".join(r.choice("acgt") for _ in range(n)) for n in (0, 1, 9, 10, 11, 35, 40)}
+    genome = spark.createDataFrame([(str(n), s) for n, s in seqs.items()], "seqname string, sequence string")
+    rows = [(str(n), a, b) for n in seqs for a in range(0, n + 1, 3) for b in {a, min(a + 1, n), min(a + 14, n), n}] * 2
+    regions = spark.createDataFrame([(i, *x, "k") for i, x in enumerate(rows)], "region_id bigint, seqname string, start int, stop int, part string")
+    got = windows.genomic_slices(regions, genome)
+    assert got.columns == [*regions.columns, "sequence"]
+    assert {x.region_id: x.sequence for x in got.collect()} == {i: seqs[int(n)][a:b] for i, (n, a, b) in enumerate(rows)}
+
+
 @pytest.mark.parametrize("last", [False, True])
 def test_running_sums_equal_counted_windows(spark, monkeypatch, last):
     r = random.Random(7)
