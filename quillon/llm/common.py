@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,8 +12,9 @@ from pyspark.sql.types import StructType
 
 from ..session import shared_dir, ship, small, stored  # noqa: F401 - for the other modules, too
 
-#: Bytes of rows that a Python worker handles at once.
+#: Bytes of rows that a Python worker handles at once, and that go to it at once.
 SLICE = 4_000_000
+BYTES, BATCH, DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608b", "67108864b"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The white space that separates words wherever a contract names \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -48,9 +50,27 @@ def map_batches(
         pa.default_memory_pool().release_unused()
 
     ship(df.sparkSession)
+    _bound(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def _bound(spark: SparkSession) -> None:
+    """Bound the bytes of the batches that go to Python workers, where the session has Spark's default."""
+    if spark.conf.get(BYTES) == DEFAULT:
+        spark.conf.set(BYTES, BATCH)
+
+
+@contextmanager
+def large_batches(spark: SparkSession) -> Iterator[None]:
+    """Spark's default batches for the jobs that run inside: for functions that gain by seeing many rows."""
+    before = spark.conf.get(BYTES)
+    spark.conf.set(BYTES, DEFAULT if before == BATCH else before)
+    try:
+        yield
+    finally:
+        spark.conf.set(BYTES, before)
+
+
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in parts of equal numbers of rows and about SLICE bytes each."""
     rows = max(1, batch.num_rows * SLICE // max(batch.nbytes, SLICE))
