@@ -431,8 +431,9 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
         return _packed(*(np.concatenate(none + x) for x in (doc, start, end)), parts)
 
     joined = docs.join(repeated.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "hashes")
+    strings = map_batches(joined, batch, STRINGS, whole=True)
     with large_batches(docs.sparkSession):
-        strings = stored(map_batches(joined, batch, STRINGS, whole=True), "strings")
+        strings = stored(strings, "strings")
     heavy = strings.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("bytes")).where(F.col("bytes") > HEAVY)
     heavy = stored(heavy, "heavy")
     whole = heavy.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
@@ -558,8 +559,9 @@ def substring_dedup(
     rows, size = marks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     inputs = max(16, size // ANCHORED + 1)
     parts = max(16, rows // GATHER + 1)
+    anchors = repeated_anchors(texts, length, inputs, parts)
     with large_batches(docs.sparkSession):  # what equals within a batch is settled there
-        repeated = stored(repeated_anchors(texts, length, inputs, parts), "repeated")
+        repeated = stored(anchors, "repeated")
     size = repeated.agg(F.coalesce(F.sum(F.octet_length("hashes")), F.lit(0))).first()[0] // 6 * 65
     buckets = int(max(inputs, size // BUCKET + 1))
     spans = stored(repeated_spans(texts, repeated, length, buckets, parts), "spans")
