@@ -130,6 +130,30 @@ def test_viterbi_is_the_best_path():
         assert value(tuple(states)) == pytest.approx(max(map(value, every)))
 
 
+def test_verdicts_follow_the_best_path(docs, texts):
+    """kept and content_share against every labelling of the lines of short texts."""
+    rng = np.random.default_rng(5)
+    n = quality.N_FEATURES - 1
+    field = quality.LineField(rng.normal(size=(n, 2)), rng.normal(size=(2, 2)), np.zeros(n), np.ones(n))
+    got = {r.doc_id: r.quality for r in quality.quality(docs, field).select("doc_id", "quality").collect()}
+    tried = 0
+    for i, t in texts:
+        lines_ = (t or "").split("\n")
+        if len(lines_) > 8:
+            continue
+        f = quality.line_features((t or "").encode())
+        e = f[:, 1:] @ field.emission
+        value = lambda p, e=e: sum(e[k, x] for k, x in enumerate(p)) + sum(field.transition[a, b] for a, b in zip(p, p[1:], strict=False))
+        best = max(([k >> j & 1 for j in range(len(lines_))] for k in range(2 ** len(lines_))), key=value)
+        chars = [len("".join(x.split(None))) if x.isascii() else len(re.findall(r"[^\x20\x09-\x0d]", x)) for x in lines_]
+        share = sum(c for c, x in zip(chars, best, strict=True) if x) / sum(chars) if sum(chars) else 0.0
+        q = got[i]
+        assert q.content_share == pytest.approx(share) and q.content_lines == sum(best) and q.n_lines == len(lines_)
+        assert q.kept == (not q.base_failed and share >= 0.5)
+        tried += 1
+    assert tried > 40
+
+
 def test_field_gradient():
     rng = np.random.default_rng(2)
     x, y = rng.normal(size=(3, 4, 2)), rng.integers(0, 2, (3, 4))
