@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -71,15 +73,10 @@ def keys(sets: list[np.ndarray]) -> list[np.ndarray | None]:
     return out
 
 
-def _texts(own: DataFrame, ends: DataFrame) -> DataFrame:
-    """(cls, text): one text of each of the classes in ends."""
-    return stored(own.select("cls", "text").join(ends, "cls", "left_semi").groupBy("cls").agg(F.first("text").alias("text")), "texts")
-
-
-def alike(pairs: DataFrame, own: DataFrame, least: float, size: int) -> DataFrame:
-    """Those pairs (u, v) of classes whose Jaccard similarity is `least` or more; the texts of the pairs' ends are read again."""
-    ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls"))).distinct()
-    texts = _texts(own, ends)
+def alike(pairs: DataFrame, read: Callable[[DataFrame], DataFrame], least: float, size: int) -> DataFrame:
+    """Those pairs (u, v) of classes whose Jaccard similarity is `least` or more. read(cls) gives (cls, text) of the pairs' ends."""
+    ends = pairs.select(F.col("u").alias("cls")).unionByName(pairs.select(F.col("v").alias("cls")))
+    texts = read(ends)
     side = lambda x: texts.select(F.col("cls").alias(x), F.col("text").alias(f"text_{x}"))
 
     def batch(b: pa.RecordBatch) -> pa.Table:
@@ -96,7 +93,7 @@ def alike(pairs: DataFrame, own: DataFrame, least: float, size: int) -> DataFram
     return stored(map_batches(both, batch, "u bigint, v bigint"), "alike")
 
 
-def overlapping(members: DataFrame, own: DataFrame, least: float, size: int) -> DataFrame:
+def overlapping(members: DataFrame, read: Callable[[DataFrame], DataFrame], least: float, size: int) -> DataFrame:
     """(u, v), u < v: all pairs of members (cls, n, root) of different roots that may reach `least`; none that does is lost.
 
     Prefix filtering: with shingles in one order, rare ones first, a pair that reaches
@@ -110,7 +107,7 @@ def overlapping(members: DataFrame, own: DataFrame, least: float, size: int) ->
         cls = np.repeat(b.column(0).to_numpy(), [len(x) for x in sets])
         return pa.table({"cls": cls, "s": np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)})
 
-    every = stored(map_batches(_texts(own, members.select("cls")), batch, "cls bigint, s bigint"), "shingles")
+    every = stored(map_batches(read(members.select("cls")), batch, "cls bigint, s bigint"), "shingles")
     often = every.groupBy("s").agg(F.count("*").alias("f")).where("f > 1")
     one = Window.partitionBy("cls")
     held = every.join(often, "s").join(members, "cls")

@@ -224,7 +224,7 @@ def near_duplicates(
 
 
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, text, cls, n, fp, bands): cls is one for equal shingle sets, n the set's size, fp a fingerprint of the text; no word: cls 0, no bands."""
+    """(doc_id, mark, cls, n, fp, bands): mark is the text's MD5, cls one for equal shingle sets, n the set's size, fp a fingerprint; no word: cls 0, no bands."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         every = [minhash.hashes(x, size) for x in utf8(b.column(1))]
@@ -232,9 +232,10 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
         sets = [np.unique(x) for x in every]
         cls = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) if len(x) else 0 for x in sets], np.uint64)
         cols = [pa.array(cls.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps.view(np.int64)), pa.array(minhash.keys(sets), pa.list_(pa.int64()))]
-        return pa.record_batch([b.column(0), b.column(1), *cols], names=["doc_id", "text", "cls", "n", "fp", "bands"])
+        return pa.record_batch([b.column(0), b.column(2), *cols], names=["doc_id", "mark", "cls", "n", "fp", "bands"])
 
-    return map_batches(documents(docs, id_col, text_col), batch, "doc_id bigint, text string, cls bigint, n bigint, fp bigint, bands array<bigint>")
+    marked = documents(docs, id_col, text_col).withColumn("mark", F.md5("text"))
+    return map_batches(marked, batch, "doc_id bigint, mark string, cls bigint, n bigint, fp bigint, bands array<bigint>")
 
 
 def near_copies(
@@ -245,16 +246,27 @@ def near_copies(
     Equal shingle sets are one class from the start, so copies never meet. The tries link
     classes within `most` bits first. Similar texts may differ in more bits than any trie
     can search, so MinHash bands complete the candidates: classes that share a band's key
-    and are still apart meet the least class of their key; then, of the keys whose classes
+    and are still apart meet the class of their key that has most neighbours; then, of the keys whose classes
     these links leave in several components, all pairs of different components that may
     reach `least` meet. Every pair is verified on its texts' whole shingle sets.
     component_id is the smallest doc_id of the component; null ids and repeated rows are
     as in near_duplicates.
     """
     own = stored(sketches(docs, id_col, text_col, shingle), "sketches")
-    classes = own.groupBy("cls").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = own.groupBy("cls").agg(
+        F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")
+    )
     classes = stored(classes, "classes")
-    alike = lambda pairs, name: minhash.alike(stored(pairs.distinct(), name), own, least, shingle)
+    marked = documents(docs, id_col, text_col).select("text", F.md5("text").alias("mark"))
+
+    def texts(ends: DataFrame) -> DataFrame:
+        """(cls, text): one text of each of the classes in ends, read again by its mark."""
+        wanted = classes.select("cls", "mark").join(ends.distinct(), "cls")
+        wanted = stored(wanted, "wanted")
+        side = F.broadcast(wanted) if small(wanted, FEW_PAIRS) else wanted
+        return stored(marked.join(side, "mark").groupBy("cls").agg(F.first("text").alias("text")), "texts")
+
+    alike = lambda pairs, name: minhash.alike(stored(pairs.distinct(), name), texts, least, shingle)
     roots = lambda edges, name: stored(components(edges).withColumnRenamed("node", "cls"), name)
 
     hubs = stored(classes.groupBy("fp").agg(F.min("cls").alias("hub")), "hubs")
@@ -266,15 +278,20 @@ def near_copies(
 
     rows = classes.select("cls", "n", F.explode("bands").alias("key"))
     rows = rows.join(roots(edges, "roots"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    shared = rows.groupBy("key").agg(F.min(F.struct("cls", "root")).alias("hub"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    rows = stored(rows.join(shared.select("key", "hub"), "key"), "candidates")
-    stars = stored(rows.where("root <> hub.root").select(F.col("hub.cls").alias("u"), F.col("cls").alias("v")).distinct(), "stars")
+    shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    rows = stored(rows.join(shared.select("key", "m"), "key"), "shared")
+    # the hub of a key is the class with most neighbours: the text that others are copies of
+    known = rows.groupBy("cls").agg(F.sum("m").alias("degree"))
+    hub = rows.join(known, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls", "root")).alias("hub"))
+    rows = stored(rows.join(hub, "key"), "candidates")
+    stars = rows.where("root <> hub.root").select(F.least("hub.cls", "cls").alias("u"), F.greatest("hub.cls", "cls").alias("v"))
+    stars = stored(stars.distinct(), "stars")
     edges = edges.unionByName(alike(stars, "met"))
 
     rows = rows.drop("root").join(roots(edges, "roots"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
     split = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     members = stored(rows.join(split, "key", "left_semi").select("cls", "n", "root").distinct(), "apart")
-    rest = minhash.overlapping(members, own, least, shingle).join(stars, ["u", "v"], "left_anti")
+    rest = minhash.overlapping(members, texts, least, shingle).join(stars, ["u", "v"], "left_anti")
     edges = edges.unionByName(alike(rest, "rest"))
 
     tied = classes.select("cls", "least").join(roots(edges, "roots"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
