@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, packing, quality, simhash, substrings, tokens, urls, warc
+from . import decontaminate, licenses, lines, packing, quality, repair, simhash, substrings, tokens, urls, warc
 from .common import table
 
 SEQUENCE, END_ID = 1024, 2
@@ -76,6 +76,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What SQL can tell of op1: the base phrases."""
     return op1_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -97,7 +101,7 @@ def url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_license_scan, op2_quality_rules, op3_token_counts, op4_simhash, op5_packing, op6_url_filter, op7_decontamination,
-        op8_warc, op9_line_dedup, op10_substring_dedup, license_base, quality_base, url_reputation,
+        op8_warc, op9_line_dedup, op10_substring_dedup, op13_conversation_repair, license_base, quality_base, url_reputation,
     )
     return {f.__name__: f for f in own}
 

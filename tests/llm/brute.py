@@ -211,3 +211,55 @@ def license_matches(text, phrases, templates):
     covered = {k for _, i, j in found for k in range(i, j)}
     share = len(covered) / len(words) if words else 0.0
     return ",".join(sorted({x for x, _, _ in found})), share, sum(x not in phrases for x, _, _ in found)
+
+
+def repaired(rows):
+    """rows: (conv_id, turn, role, text). By conv_id what op13 returns: all edit sequences by a plain best-first search over (cost, initials)."""
+    import heapq
+
+    own, out = defaultdict(list), {}
+    for c, t, r, x in rows:
+        r, x = (" " if v is None else v for v in (r, x))
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        own[c] += []
+        if kind == 1:
+            x = ""
+        if kind == 2:
+            x = re.sub("[.!?]", "", x)
+        if kind == 4:
+            r = "user"
+        own[c] += [(t, r, x)] * (0 if kind == 0 else 2 if kind == 3 else 1)
+    for c, have in own.items():
+        have.sort(key=lambda v: (v[0] is not None, v[0] or 0, v[1], hashlib.md5(v[2].encode()).hexdigest()))
+        seen, faults = set(), []
+        for _, r, x in have:
+            black = re.sub(r"[\x20\x09-\x0D]+$", "", x)
+            faults.append("blank" if not black else "duplicate" if (r, x) in seen else "truncated" if black[-1] not in ".!?" else "")
+            seen.add((r, x))
+        turns = [t for t, _, _ in have if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(have, have[1:], strict=False))
+        heap, done = [(0, "", 0, "", ())], set()
+        while heap:
+            cost, edits, i, roles, kept = heapq.heappop(heap)
+            if i == len(have) and re.fullmatch("(s?(ua)+)?", roles):
+                break
+            key = (i, roles[-1:], "u" in roles)
+            if key in done:
+                continue
+            done.add(key)
+            for given in ("user", "assistant"):
+                heapq.heappush(heap, (cost + 5, edits + "I", i, roles + given[0], (*kept, f"{given}:")))
+            if i < len(have):
+                _, r, x = have[i]
+                heapq.heappush(heap, (cost + 2, edits + "D", i + 1, roles, kept))
+                if faults[i] in ("", "truncated"):
+                    more = 5 if faults[i] else 0
+                    heapq.heappush(heap, (cost + more, edits + "K", i + 1, roles + r[:1], (*kept, f"{r}:{x}")))
+                    for given in ("user", "assistant"):
+                        heapq.heappush(heap, (cost + 1 + more, edits + "R", i + 1, roles + given[0], (*kept, f"{given}:{x}")))
+            heap = [h for h in heap if re.fullmatch("s?(ua)*u?", h[3])]
+            heapq.heapify(heap)
+        sha = hashlib.sha256("\n".join(kept).encode()).hexdigest()
+        out[c] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, edits, sha)
+    return out
