@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lines, packing, quality, repair, simhash, substrings, tokens, urls, warc, whitening
+from . import coordinates, decontaminate, licenses, lines, packing, quality, repair, simhash, substrings, tokens, urls, warc, whitening
 from .common import table
 
 SEQUENCE, END_ID = 1024, 2
@@ -76,6 +76,11 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = coordinates.near_copies(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -105,7 +110,7 @@ def url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_license_scan, op2_quality_rules, op3_token_counts, op4_simhash, op5_packing, op6_url_filter, op7_decontamination,
-        op8_warc, op9_line_dedup, op10_substring_dedup, op12_whitening, op13_conversation_repair, license_base, quality_base, url_reputation,
+        op8_warc, op9_line_dedup, op10_substring_dedup, op11_minhash, op12_whitening, op13_conversation_repair, license_base, quality_base, url_reputation,
     )
     return {f.__name__: f for f in own}
 

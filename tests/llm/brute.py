@@ -263,3 +263,28 @@ def repaired(rows):
         sha = hashlib.sha256("\n".join(kept).encode()).hexdigest()
         out[c] = (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, edits, sha)
     return out
+
+
+def jaccard_components(docs, percent=80, size=2):
+    """docs: (doc_id, text). By position: shingles of the set, and the smallest id that links lead to."""
+    sets = []
+    for _, t in docs:
+        w = [x for x in re.split(f"[{BLANK}]+", (t or "").translate(LOW)) if x]
+        sets.append(frozenset(tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset())
+    up = list(range(len(docs)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b):
+                up[top(i)] = top(j)
+    least = defaultdict(list)
+    for i, (d, _) in enumerate(docs):
+        least[top(i)].append(d)
+    known = {k: min((d for d in v if d is not None), default=None) for k, v in least.items()}
+    return [(len(s), d if not s else known[top(i)]) for i, (s, (d, _)) in enumerate(zip(sets, docs, strict=True))]
