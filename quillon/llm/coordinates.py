@@ -75,7 +75,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, mark, cls, n, sig): mark is the text's MD5, cls one for equal sets, n the set's size; without words cls and sig are null."""
+    """(doc_id, mark, key, n, sig): mark is the text's MD5, key one for equal sets, n the set's size; without words key and sig are null."""
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         known = Words()
@@ -83,39 +83,51 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
         some = [x for x in sets if len(x)]
         rows = iter(signatures(some)) if some else iter(())
         sig = [next(rows) if len(x) else None for x in sets]
-        cls = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
-        cols = [pa.array(cls, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.list_(pa.int32()))]
-        return pa.record_batch([b.column(0), b.column(2), *cols], names=["doc_id", "mark", "cls", "n", "sig"])
+        keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+        cols = [pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.list_(pa.int32()))]
+        return pa.record_batch([b.column(0), b.column(2), *cols], names=["doc_id", "mark", "key", "n", "sig"])
 
     marked = documents(docs, id_col, text_col).withColumn("mark", F.unhex(F.md5("text")))
-    return map_batches(marked, batch, "doc_id bigint, mark binary, cls binary, n bigint, sig array<int>")
+    return map_batches(marked, batch, "doc_id bigint, mark binary, key binary, n bigint, sig array<int>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """(token, f, cls, n, degree, prefix): each class under those of its PREFIX rarest coordinate-value pairs that others have, too.
+    """(cls, degree, prefix, tokens): for each class those PREFIX rarest of its coordinate-value pairs that others have, too.
 
-    token: coordinate and value; f: the classes that have it; degree: the sum of f over a
-    class's postings; prefix: a bit for each coordinate posted. A class that shares fewer
-    than MATCHES pairs with others has no partner and posts nothing.
+    A token is coordinate and value; degree: how many classes have the tokens, in sum;
+    prefix: a bit for each coordinate posted. A class that shares fewer than MATCHES
+    tokens with others has no partner and posts nothing.
     """
-    tokens = classes.select("cls", "n", F.posexplode("sig").alias("k", "value"))
+    tokens = classes.select("cls", F.posexplode("sig").alias("k", "value"))
     token = F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("value").cast("bigint").bitwiseAND(0xFFFFFFFF))
-    tokens = tokens.select("cls", "n", token.alias("token"))
+    tokens = tokens.select("cls", token.alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    shared = tokens.join(often, "token").groupBy("cls").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("f", "token"))).alias("own"))
+    shared = tokens.join(often, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("own"))
     # tokens that nobody else has are the rarest: they fill the prefix first
     left = F.size("own") - F.lit(SIZE - PREFIX)
-    own = shared.where(left > 0).select("cls", "n", F.slice("own", F.lit(1), left).alias("own"))
+    own = shared.where(left > 0).select("cls", F.slice("own", F.lit(1), left).alias("own"))
     bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(x["token"], 32).cast("int"))
-    own = own.withColumn("degree", F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x["f"]))
-    own = own.withColumn("prefix", F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit(x))))
-    return own.select(F.inline("own"), "cls", "n", "degree", "prefix").select("token", "f", "cls", "n", "degree", "prefix")
+    degree = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a + x["f"])
+    prefix = F.aggregate("own", F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit(x)))
+    return own.select("cls", degree.alias("degree"), prefix.alias("prefix"), F.col("own.token").alias("tokens"))
 
 
 def alike_sizes(a: Column, b: Column, percent: int) -> Column:
     return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
 
+def best_hubs(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(u, v): each class v with that hub u with which it collides most often.
+
+    The hub of a token is the class that has most neighbours: the text that others are copies of.
+    """
+    rows = posted.join(classes.select("cls", "n"), "cls").select("cls", "n", "degree", F.explode("tokens").alias("token"))
+    hubs = rows.groupBy("token").agg(F.max(F.struct("degree", "cls", "n")).alias("hub"))
+    met = rows.join(hubs, "token").where((F.col("hub.cls") != F.col("cls")) & alike_sizes(F.col("n"), F.col("hub.n"), percent))
+    counted = met.groupBy(F.col("cls").alias("v"), F.col("hub.cls").alias("u")).agg(F.count("*").alias("c"))
+    return counted.groupBy("v").agg(F.max(F.struct("c", "u")).alias("best")).select("best.u", "v")
+
+
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose signatures agree in MATCHES coordinates."""
     sig = lambda x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"sig_{x}"))
@@ -127,65 +139,111 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def _near(sig: np.ndarray, n: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Yield (i, js), j > i in the order of n: those whose sizes allow the similarity and whose signatures agree enough.
 
-    Half of the coordinates are counted first; what can't reach MATCHES in the rest is skipped.
+    Most coordinates are counted first; what can't reach MATCHES in the rest is skipped.
     """
-    half = SIZE * 3 // 4
+    first = SIZE * 3 // 4
     ends = np.searchsorted(n, n * 100 // percent, "right")
     for i in range(len(n)):
         js = np.arange(i + 1, ends[i])
         if not len(js):
             continue
-        count = (sig[js, :half] == sig[i, :half]).sum(axis=1)
-        js, count = js[count >= MATCHES - (SIZE - half)], count[count >= MATCHES - (SIZE - half)]
-        js = js[count + (sig[js, half:] == sig[i, half:]).sum(axis=1) >= MATCHES]
+        count = (sig[js, :first] == sig[i, :first]).sum(axis=1)
+        fit = count >= MATCHES - (SIZE - first)
+        js, count = js[fit], count[fit]
+        js = js[count + (sig[js, first:] == sig[i, first:]).sum(axis=1) >= MATCHES]
         if len(js):
             yield i, js
 
 
-def apart(posted: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(u, v): all pairs of classes of different roots whose signatures agree in MATCHES coordinates.
-
-    Lists of one root have nothing to say. In a task, lists are merged: a pair that
-    agrees enough is told by the lowest coordinate that both have posted, so once. A
-    list of over BLOCK postings is cut into blocks, each pair of which is a list.
+def _told_here(lists: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Yield (i, js) of rows of lists, sorted by list and n: pairs that agree enough, are of different roots, and have no lower coordinate in common that both have posted."""
+    column = lambda c: lists.column(c).to_numpy()
+    sig = lists.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
+    names = np.column_stack([column(c) for c in ("token", "i", "j")])
+    cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
+    n, prefix, own, root = column("n"), column("prefix").view(np.uint64), column("own"), column("root")
+    for lo, hi in zip([0, *cuts], [*cuts, len(n)], strict=True):
+        lower = np.uint64((1 << int(names[lo, 0] >> 32)) - 1)
+        two = names[lo, 1] != names[lo, 2]
+        for i, js in _near(sig[lo:hi], n[lo:hi], percent):
+            i, js = i + lo, js + lo
+            js = js[(root[js] != root[i]) & ((own[js] != own[i]) | (not two))]
+            if len(js):
+                equal = np.packbits(sig[js] == sig[i], axis=1, bitorder="little").view("<u8")[:, 0]
+                js = js[equal & prefix[js] & prefix[i] & lower == 0]
+            if len(js):
+                yield i, js
+
+
+def _sorted(group: pa.Table) -> pa.Table:
+    return group.sort_by([(c, "ascending") for c in ("token", "i", "j", "n")])
+
+
+def apart(posted: DataFrame, roots: DataFrame, classes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(u, v): links that connect all classes of different roots that are alike.
+
+    Lists of one root have nothing to say. The others are merged in tasks, twice: first
+    with signatures alone, which leaves the few rows of each list that agree enough with
+    another one; then these with their whole sets, which return a spanning forest of the
+    links found, never all pairs. A pair is told by the lowest coordinate that both have
+    posted, so in one list. A list of over BLOCK rows, or GROUP bytes of sets, is cut into
+    blocks, each pair of which is a list.
     """
     rooted = posted.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    open_ = rooted.groupBy("token").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token", "m")
-    rows = stored(rooted.join(open_, "token").select("token", "m", "cls", "n", "prefix", "root"), "open")
-    total = rows.agg(F.coalesce(F.sum(F.ceil(F.col("m") / BLOCK)), F.lit(0))).first()[0]
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("cls"), parts).cast("int")
-    meets = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = rows.withColumns({"own": own, "pair": F.explode(meets)})
-    rows = rows.join(classes.select("cls", "sig"), "cls")
-    count = max(1, math.ceil(total * (SIZE * 4 + 64) / BUCKET))
-    rows = rows.withColumn("list", F.struct("token", "pair")).withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(count)))
-    rows = rows.select("bucket", F.xxhash64("list").alias("list"), F.shiftright("token", 32).cast("int").alias("k"), "token", "pair.i", "pair.j", "own", "cls", "n", "prefix", "root", "sig")
-
-    def merged(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("list", "ascending"), ("token", "ascending"), ("i", "ascending"), ("j", "ascending"), ("n", "ascending")])
-        column = lambda c: group.column(c).to_numpy()
-        sig = group.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, SIZE)
-        names = np.column_stack([column(c) for c in ("token", "i", "j")])
-        cuts = np.flatnonzero((names[1:] != names[:-1]).any(axis=1)) + 1
-        n, prefix, own, k, cls = column("n"), column("prefix").view(np.uint64), column("own"), column("k"), group.column("cls")
-        _, root = np.unique(group.column("root").to_numpy(zero_copy_only=False), return_inverse=True)
+    about = rooted.join(classes.select("cls", "n", "sig"), "cls").select("cls", "n", "sig", "prefix", "root")
+    tokens = rooted.join(classes.select("cls", "n"), "cls").select("cls", "n", "root", F.explode("tokens").alias("token"))
+    open_ = tokens.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") * 8 / GROUP)).cast("int")
+    rows = stored(tokens.select("cls", "token").join(open_.select("token", parts.alias("parts")), "token"), "open")
+    total = rows.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
+    own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    rows = rows.select("cls", "token", own.alias("own"), F.inline(meets))
+
+    def met(key: tuple, group: pa.Table) -> pa.Table:
+        group = _sorted(group)
+        there = np.zeros(len(group), bool)
+        for i, js in _told_here(group, percent):
+            there[i] = there[js] = True
+        return group.filter(pa.array(there)).select(["cls", "token", "own", "i", "j"])
+
+    def measured(key: tuple, group: pa.Table) -> pa.Table:
+        group = _sorted(group)
+        items = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("items")]
+        cls, up = group.column("cls").to_numpy(), {}
+
+        def top(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
+
         u, v = [], []
-        for lo, hi in zip([0, *cuts], [*cuts, len(n)], strict=True):
-            lowest = np.uint64((1 << int(k[lo])) - 1)
-            two = names[lo, 1] != names[lo, 2]
-            for i, js in _near(sig[lo:hi], n[lo:hi], percent):
-                i, js = i + lo, js + lo
-                js = js[(root[js] != root[i]) & ((own[js] != own[i]) | (not two))]
-                if len(js):
-                    equal = np.packbits(sig[js] == sig[i], axis=1, bitorder="little").view("<u8")[:, 0]
-                    js = js[equal & prefix[js] & prefix[i] & lowest == 0]
-                u += [i] * len(js)
-                v += js.tolist()
-        return pa.table({"u": cls.take(pa.array(u, pa.int64())), "v": cls.take(pa.array(v, pa.int64()))})
+        for i, js in _told_here(group, percent):
+            for j in js:
+                x, y = top(int(cls[i])), top(int(cls[j]))
+                if x != y and similar(items[i], items[j], percent):
+                    up[x] = y
+                    u.append(cls[i])
+                    v.append(cls[j])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    def dealt(lists: DataFrame, size: int) -> DataFrame:
+        return lists.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, math.ceil(size / BUCKET)))))
 
     ship(rows.sparkSession)
-    return rows.groupBy("bucket").applyInArrow(merged, "u binary, v binary")
+    schema = "cls bigint, token bigint, own int, i int, j int"
+    active = dealt(rows.join(about, "cls"), total * (SIZE * 4 + 64)).groupBy("bucket").applyInArrow(met, schema)
+    active = stored(active, "active")
+    held = active.join(classes.select("cls", "n"), "cls").agg(F.coalesce(F.sum(F.col("n") * 8 + SIZE * 4 + 64), F.lit(0))).first()[0]
+    whole = active.join(about.join(sets(active.select("cls").distinct()), "cls"), "cls")
+    return stored(dealt(whole, held).groupBy("bucket").applyInArrow(measured, "u bigint, v bigint"), "links")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of two sorted sets that aren't empty."""
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
 def confirmed(pairs: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
@@ -211,17 +269,13 @@ def confirmed(pairs: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], Da
         first = {(u, p): i for i, (u, p, c) in enumerate(zip(heads, part, cls, strict=True)) if u == c}
         u, v = [], []
         for i, (head, p, c) in enumerate(zip(heads, part, cls, strict=True)):
-            a, b = items[first[head, p]], items[i]
-            if c != head:
-                at = np.minimum(np.searchsorted(a, b), len(a) - 1)
-                both = int((a[at] == b).sum())
-                if 100 * both >= percent * (len(a) + len(b) - both):
-                    u.append(head)
-                    v.append(c)
-        return pa.table({"u": pa.array(u, pa.binary()), "v": pa.array(v, pa.binary())})
+            if c != head and similar(items[first[head, p]], items[i], percent):
+                u.append(head)
+                v.append(c)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     ship(pairs.sparkSession)
-    return stored(rows.select("bucket", "u", "part", "cls", "items").groupBy("bucket").applyInArrow(measured, "u binary, v binary"), "confirmed")
+    return stored(rows.select("bucket", "u", "part", "cls", "items").groupBy("bucket").applyInArrow(measured, "u bigint, v bigint"), "confirmed")
 
 
 def set_reader(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> Callable[[DataFrame], DataFrame]:
@@ -236,7 +290,7 @@ def set_reader(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         named = stored(classes.select("cls", "mark").join(wanted, "cls"), "wanted")
         side = F.broadcast(named) if small(named, FEW) else named
         texts = marked.join(side, "mark").groupBy("cls").agg(F.first("text").alias("text"))
-        return map_batches(texts, batch, "cls binary, items binary")
+        return map_batches(texts, batch, "cls bigint, items binary")
 
     return read
 
@@ -245,33 +299,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, n_shingles, component_id): documents that a chain of pairs of Jaccard similarity percent / 100 or more connects.
 
     Equal sets are one class. Classes are posted under their signature's coordinate-value
-    pairs, rare ones first. The class with most neighbours in a list meets all others of
-    it; what isn't connected then meets in whole lists. Of either kind, pairs that agree in MATCHES
-    coordinates are confirmed on their whole sets. component_id is the smallest doc_id.
+    pairs, rare ones first. Each class meets the hub with which it collides most often;
+    what isn't connected then meets in whole lists. Of either kind, pairs that agree in
+    MATCHES coordinates are confirmed on their whole sets. component_id is the smallest doc_id.
     Null and empty texts, and texts without words, have no shingles and no links. A null
     id takes part as a document without a number, and is alone under null. Repeated rows give repeated
     rows; an empty table gives an empty table. Very long texts are handled one at a time.
     """
     own = stored(sketches(docs, id_col, text_col, size), "sketches")
-    classes = own.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stored(classes, "classes")
+    classes = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     n = F.col("n")
     # a set so small that no set of another size, or of other members, is near enough
     lone = F.ceil(n * percent / 100) == F.floor(n * 100 / percent)
     posted = stored(postings(classes.where(~lone)), "postings")
-    sizes = classes.select("cls", "n")
     sets = set_reader(docs, classes, id_col, text_col, size)
     roots = lambda edges: stored(components(edges).withColumnRenamed("node", "cls"), "roots")
 
-    hubs = posted.groupBy("token").agg(F.max(F.struct("degree", "cls", "n")).alias("hub"))
-    stars = posted.join(hubs, "token").where((F.col("hub.cls") != F.col("cls")) & alike_sizes(F.col("n"), F.col("hub.n"), percent))
-    stars = stored(stars.select(F.col("hub.cls").alias("u"), F.col("cls").alias("v")).distinct(), "stars")
-    edges = confirmed(agreeing(stars, classes), sizes, sets, percent)
-    rest = apart(posted, roots(edges), classes, percent)
-    edges = edges.unionByName(confirmed(rest, sizes, sets, percent))
+    stars = stored(agreeing(best_hubs(posted, classes, percent), classes), "stars")
+    edges = confirmed(stars, classes.select("cls", "n"), sets, percent)
+    edges = edges.unionByName(apart(posted, roots(edges), classes, sets, percent))
 
-    tied = classes.select("cls", "least").join(roots(edges), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    tied = classes.select("key", "cls", "least").join(roots(edges), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = tied.join(ids, "root").select("cls", "component_id")
-    found = own.select("doc_id", "cls", "n").join(tied, "cls", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    tied = tied.join(ids, "root").select("key", "component_id")
+    found = own.select("doc_id", "key", "n").join(tied, "key", "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
