@@ -6,6 +6,7 @@ characters in content lines decides whether the document is kept.
 
 from __future__ import annotations
 
+import logging
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -18,6 +19,8 @@ from pyspark.sql.types import StructType
 
 from .common import map_batches, stored, utf8
 
+log = logging.getLogger(__name__)
+
 SYMBOLS = b"#*$%&|<>"
 #: Bound of the training sample: so many labelled documents of either class, and of each at most so many
 #: neighbouring lines (from a place that its id tells).
@@ -195,14 +198,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     """A field fitted on at most `sample` documents of either label, those with the least hashes.
 
     The sample is the only thing that comes to the driver, as line features; of a longer
-    document SAMPLE_LINES neighbouring lines. Its size doesn't grow with the corpus.
+    document SAMPLE_LINES neighbouring lines. Its size doesn't grow with the corpus. Labels
+    without a document don't count. Where a class has no labelled document there is
+    nothing to fit: a warning is logged, and every line is content.
     """
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("good")).where(
         "id is not null and good in (0, 1)"
     )
+    known = known.distinct().join(docs.select(F.col(id_col).cast("bigint").alias("id")), "id", "left_semi")
     order = (F.xxhash64("id", F.lit(2)), F.col("id"))
-    # three times as many ids are looked up, for some have no document
-    picked = [known.where(F.col("good") == g).distinct().orderBy(*order).limit(3 * sample) for g in (0, 1)]
+    picked = [known.where(F.col("good") == g).orderBy(*order).limit(sample) for g in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id").select("id", "good", "text")
 
@@ -219,6 +224,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     data = [x for g in (0, 1) for x in found.where(F.col("good") == g).orderBy(*order, F.md5("features")).limit(sample).collect()]
     good = np.array([x.good == 1 for x in data], bool)
     if good.all() or not good.any():
+        log.warning("no labelled documents of both classes: every line counts as content")
         return PLAIN
     return fit([np.frombuffer(x.features).reshape(-1, N_FEATURES) for x in data], good)
 

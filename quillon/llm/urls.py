@@ -24,10 +24,15 @@ STRENGTH = (1.0, 10000.0)
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
-    """Both empty for a null url or one without ://. Only A-Z of the host are lower-cased."""
-    pattern = "^(?s)(?:(?!://).)*://([^/?#]*)([^?#]*)"
-    part = lambda k: F.coalesce(F.regexp_extract(url, pattern, k), F.lit(""))
-    return F.translate(part(1), UPPER, UPPER.lower()), part(2)
+    """Both empty for a null url or one without ://. Only A-Z of the host are lower-cased.
+
+    Plain searches for characters: a url of any length and letters is handled alike.
+    """
+    at = F.locate("://", url)
+    rest = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+    host = F.substring_index(F.translate(rest, "?#", "//"), "/", 1)
+    path = F.substring_index(F.translate(F.substr(rest, F.char_length(host) + 1), "?", "#"), "#", 1)
+    return F.translate(F.coalesce(host, F.lit("")), UPPER, UPPER.lower()), F.coalesce(path, F.lit(""))
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:

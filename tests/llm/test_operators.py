@@ -596,3 +596,25 @@ def test_batches_are_handled_in_parts(monkeypatch):
         assert [r for p in parts for r in p.column(0).to_pylist()] == rows_ and (len(parts) > 1) == many
         assert [t for p in parts for t in p.column(0).field(1).to_pylist()][:50] == [r["text"] for r in rows_[:50]]
     assert [p.num_rows for p in common.sliced(batch.slice(0, 0))] == [0]
+
+
+def test_long_urls(spark):
+    """Letters of one and of two UTF-16 units in turn, before, within and without ://."""
+    mixed = "é😀" * 500_000
+    hosts = [(1, mixed + "://H.org/a?b", "h.org", "/a"), (2, mixed, "", ""), (3, f"x://{mixed}/p#q", mixed, "/p"), (4, f"x://h/{mixed}?z", "h", f"/{mixed}"), (5, "a://B?c/d", "b", ""), (6, "a://b#/c", "b", "")]
+    hosts += [(7, None, "", ""), (8, "://", "", ""), (9, "a://b\n.c/d\ne?f", "b\n.c", "/d\ne"), (10, "a://b://c/d", "b:", "//c/d")]
+    df = spark.createDataFrame([x[:2] for x in hosts], "page_id bigint, url string")
+    host, path = urls.host_and_path(F.col("url"))
+    assert sorted(tuple(r) for r in df.select("page_id", host, path).collect()) == [(i, h, p) for i, _, h, p in hosts]
+    outcomes = spark.createDataFrame([(1, 1), (5, 0)], "page_id bigint, bad int")
+    assert urls.url_filter(df, outcomes).count() == len(hosts)
+
+
+def test_labels_without_documents(spark, data, caplog):
+    """Labels of documents that aren't there don't push out those that are; a missing class is told."""
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    own = quality.train(docs, labels, sample=60)
+    more = spark.range(10**9, 10**9 + 20_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    with_more = quality.train(docs, labels.unionByName(more), sample=60)
+    assert np.array_equal(own.emission, with_more.emission) and own.emission.any()
+    assert quality.train(docs, more) is quality.PLAIN and "both classes" in caplog.text
