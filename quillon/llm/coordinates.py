@@ -40,8 +40,8 @@ class Words(dict):
         return h
 
 
-def shingles(text: bytes, size: int, known: Words) -> np.ndarray:
-    """The distinct hashes of a text's runs of `size` words, sorted; fewer words are one run, none are none."""
+def runs(text: bytes, size: int, known: Words) -> np.ndarray:
+    """The hashes of a text's runs of `size` words in order; fewer words are one run, none are none."""
     words = text.lower().split()
     h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     size = min(size, len(h))
@@ -52,7 +52,12 @@ def shingles(text: bytes, size: int, known: Words) -> np.ndarray:
     for i in range(size):  # order matters: every word mixes what came before it
         run = (run ^ h[i : i + n]) * _A
         run ^= run >> np.uint64(31)
-    return np.unique(run * _B)
+    return run * _B
+
+
+def shingles(text: bytes, size: int, known: Words) -> np.ndarray:
+    """The distinct hashes of a text's runs, sorted."""
+    return np.unique(runs(text, size, known))
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
@@ -74,21 +79,36 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(doc_id, mark, key, n, sig): mark is the text's MD5, key one for equal sets, n the set's size; without words key and sig are null."""
+SKETCH = "doc_id bigint, mark binary, key binary, n bigint, sig array<int>"
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, more: Callable[[np.ndarray], int] | None = None) -> DataFrame:
+    """(doc_id, mark, key, n, sig[, more]): mark is the text's MD5, key one for equal sets, n the set's size; without words key and sig are null.
+
+    more: a 64-bit number of a text's runs, repeats included.
+    """
 
     def batch(b: pa.RecordBatch) -> pa.RecordBatch:
         known = Words()
-        sets = [shingles(x, size, known) for x in utf8(b.column(1))]
+        every = [runs(x, size, known) for x in utf8(b.column(1))]
+        sets = [np.unique(x) for x in every]
         some = [x for x in sets if len(x)]
         rows = iter(signatures(some)) if some else iter(())
         sig = [next(rows) if len(x) else None for x in sets]
         keys = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
         cols = [pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int64()), pa.array(sig, pa.list_(pa.int32()))]
-        return pa.record_batch([b.column(0), b.column(2), *cols], names=["doc_id", "mark", "key", "n", "sig"])
+        own = [pa.array(np.array([more(x) for x in every], np.uint64).view(np.int64))] if more else []
+        return pa.record_batch([b.column(0), b.column(2), *cols, *own], names=["doc_id", "mark", "key", "n", "sig", *["more"] * len(own)])
 
     marked = documents(docs, id_col, text_col).withColumn("mark", F.unhex(F.md5("text")))
-    return map_batches(marked, batch, "doc_id bigint, mark binary, key binary, n bigint, sig array<int>")
+    return map_batches(marked, batch, SKETCH + (", more bigint" if more else ""))
+
+
+def classes_of(own: DataFrame) -> DataFrame:
+    """(cls, key, least, mark, n, sig[, more]) of sketches: one for all documents of equal sets, numbered."""
+    more = [F.min(c).alias(c) for c in own.columns if c == "more"]
+    found = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("sig").alias("sig"), *more)
+    return stored(found.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -295,33 +315,47 @@ def set_reader(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
     return read
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 2) -> DataFrame:
-    """(doc_id, n_shingles, component_id): documents that a chain of pairs of Jaccard similarity percent / 100 or more connects.
+def connected(classes: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int, edges: DataFrame | None = None) -> DataFrame:
+    """(u, v): links that, with the given edges, connect all classes that are alike.
 
-    Equal sets are one class. Classes are posted under their signature's coordinate-value
-    pairs, rare ones first. Each class meets the hub with which it collides most often;
-    what isn't connected then meets in whole lists. Of either kind, pairs that agree in
-    MATCHES coordinates are confirmed on their whole sets. component_id is the smallest doc_id.
-    Null and empty texts, and texts without words, have no shingles and no links. A null
-    id takes part as a document without a number, and is alone under null. Repeated rows give repeated
-    rows; an empty table gives an empty table. Very long texts are handled one at a time.
+    Classes are posted under their signature's coordinate-value pairs, rare ones first.
+    Each class meets the hub with which it collides most often; what isn't connected then
+    meets in whole lists. Of either kind, pairs that agree in MATCHES coordinates are
+    confirmed on their whole sets.
     """
-    own = stored(sketches(docs, id_col, text_col, size), "sketches")
-    classes = own.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    classes = stored(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
     n = F.col("n")
     # a set so small that no set of another size, or of other members, is near enough
     lone = F.ceil(n * percent / 100) == F.floor(n * 100 / percent)
     posted = stored(postings(classes.where(~lone)), "postings")
-    sets = set_reader(docs, classes, id_col, text_col, size)
-    roots = lambda edges: stored(components(edges).withColumnRenamed("node", "cls"), "roots")
-
     stars = stored(agreeing(best_hubs(posted, classes, percent), classes), "stars")
-    edges = confirmed(stars, classes.select("cls", "n"), sets, percent)
-    edges = edges.unionByName(apart(posted, roots(edges), classes, sets, percent))
+    found = confirmed(stars, classes.select("cls", "n"), sets, percent)
+    edges = found if edges is None else edges.unionByName(found)
+    return edges.unionByName(apart(posted, roots_of(edges), classes, sets, percent))
+
 
-    tied = classes.select("key", "cls", "least").join(roots(edges), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+def roots_of(edges: DataFrame) -> DataFrame:
+    return stored(components(edges).withColumnRenamed("node", "cls"), "roots")
+
+
+def membership(own: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of sketches: the smallest doc_id that the edges between classes lead to."""
+    tied = classes.select("key", "cls", "least").join(roots_of(edges), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
     tied = tied.join(ids, "root").select("key", "component_id")
     found = own.select("doc_id", "key", "n").join(tied, "key", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 2) -> DataFrame:
+    """(doc_id, n_shingles, component_id): documents that a chain of pairs of Jaccard similarity percent / 100 or more connects.
+
+    Equal sets are one class from the start; see connected for how classes meet.
+    component_id is the smallest doc_id. Null and empty texts, and texts without words,
+    have no shingles and no links. A null id takes part as a document without a number,
+    and is alone under null. Repeated rows give repeated rows; an empty table gives an
+    empty table. Very long texts are handled one at a time.
+    """
+    own = stored(sketches(docs, id_col, text_col, size), "sketches")
+    classes = classes_of(own)
+    edges = connected(classes, set_reader(docs, classes, id_col, text_col, size), percent)
+    return membership(own, classes, edges)

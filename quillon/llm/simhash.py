@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import minhash
+from . import coordinates
 from .common import documents, map_batches, small, stored, utf8
 from .components import components
 
@@ -30,9 +30,17 @@ def bits(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(counts * 2 > len(hashes)).tobytes(), "big")
 
 
+def hashes(text: bytes, size: int) -> np.ndarray:
+    """XXH64 of the lower-cased text's shingles in order; fewer words are one shingle, none are none."""
+    words = text.lower().split()
+    n = max(1, len(words) - size + 1) if words else 0
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(b" ".join(words[i : i + size]), 42) for i in range(n)), np.uint64, n)
+
+
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """The fingerprint of a text's shingles, repeats included."""
-    return bits(minhash.hashes(text, shingle))
+    return bits(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -223,78 +231,27 @@ def near_duplicates(
     return own.join(tied, "fp").select("doc_id", "fp", "component_id")
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5) -> DataFrame:
-    """(doc_id, mark, cls, n, fp, bands): mark is the text's MD5, cls one for equal shingle sets, n the set's size, fp a fingerprint; no word: cls 0, no bands."""
-
-    def batch(b: pa.RecordBatch) -> pa.RecordBatch:
-        every = [minhash.hashes(x, size) for x in utf8(b.column(1))]
-        fps = np.array([bits(x) for x in every], np.uint64)
-        sets = [np.unique(x) for x in every]
-        cls = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) if len(x) else 0 for x in sets], np.uint64)
-        cols = [pa.array(cls.view(np.int64)), pa.array([len(x) for x in sets], pa.int64()), pa.array(fps.view(np.int64)), pa.array(minhash.keys(sets), pa.list_(pa.int64()))]
-        return pa.record_batch([b.column(0), b.column(2), *cols], names=["doc_id", "mark", "cls", "n", "fp", "bands"])
-
-    marked = documents(docs, id_col, text_col).withColumn("mark", F.md5("text"))
-    return map_batches(marked, batch, "doc_id bigint, mark string, cls bigint, n bigint, fp bigint, bands array<bigint>")
-
-
 def near_copies(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, shingle: int = 5, most: int = 3
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, most: int = 3
 ) -> DataFrame:
-    """(doc_id, component_id): documents that a chain of pairs of Jaccard similarity `least` or more connects.
+    """(doc_id, component_id): documents that a chain of pairs of Jaccard similarity percent / 100 or more connects.
 
     Equal shingle sets are one class from the start, so copies never meet. The tries link
-    classes within `most` bits first. Similar texts may differ in more bits than any trie
-    can search, so MinHash bands complete the candidates: classes that share a band's key
-    and are still apart meet the class of their key that has most neighbours; then, of the keys whose classes
-    these links leave in several components, all pairs of different components that may
-    reach `least` meet. Every pair is verified on its texts' whole shingle sets.
-    component_id is the smallest doc_id of the component; null ids and repeated rows are
-    as in near_duplicates.
+    classes within `most` bits first, and links whose whole sets confirm them stand. Similar
+    texts may differ in more bits than any trie can search, so the inverted join of
+    signatures completes the candidates among what is still apart. component_id is the smallest doc_id
+    of the component; null ids and repeated rows are as in near_duplicates.
     """
-    own = stored(sketches(docs, id_col, text_col, shingle), "sketches")
-    classes = own.groupBy("cls").agg(
-        F.min("doc_id").alias("least"), F.min("mark").alias("mark"), F.first("n").alias("n"), F.min("fp").alias("fp"), F.first("bands").alias("bands")
-    )
-    classes = stored(classes, "classes")
-    marked = documents(docs, id_col, text_col).select("text", F.md5("text").alias("mark"))
-
-    def texts(ends: DataFrame) -> DataFrame:
-        """(cls, text): one text of each of the classes in ends, read again by its mark."""
-        wanted = classes.select("cls", "mark").join(ends.distinct(), "cls")
-        wanted = stored(wanted, "wanted")
-        side = F.broadcast(wanted) if small(wanted, FEW_PAIRS) else wanted
-        return stored(marked.join(side, "mark").groupBy("cls").agg(F.first("text").alias("text")), "texts")
-
-    alike = lambda pairs, name: minhash.alike(stored(pairs.distinct(), name), texts, least, shingle)
-    roots = lambda edges, name: stored(components(edges).withColumnRenamed("node", "cls"), name)
-
-    hubs = stored(classes.groupBy("fp").agg(F.min("cls").alias("hub")), "hubs")
-    equal = classes.join(hubs, "fp").where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+    own = coordinates.sketches(docs, id_col, text_col, shingle, bits)
+    own = stored(own.withColumn("key", F.coalesce("key", F.lit(bytearray()))), "sketches")  # texts without words are copies of each other
+    classes = coordinates.classes_of(own)
+    some = classes.where("n > 0")
+    sets = coordinates.set_reader(docs, classes, id_col, text_col, shingle)
+    hubs = stored(some.groupBy(F.col("more").alias("fp")).agg(F.min("cls").alias("hub")), "hubs")
+    equal = some.join(hubs, F.col("more") == F.col("fp")).where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
     end = lambda x: hubs.select(F.col("fp").alias(f"fp_{x}"), F.col("hub").alias(x))
     tied = links(hubs.select("fp"), most).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v"))
     close = tied.join(end("u"), "fp_u").join(end("v"), "fp_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    edges = alike(equal.unionByName(close), "close")
-
-    rows = classes.select("cls", "n", F.explode("bands").alias("key"))
-    rows = rows.join(roots(edges, "roots"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    rows = stored(rows.join(shared.select("key", "m"), "key"), "shared")
-    # the hub of a key is the class with most neighbours: the text that others are copies of
-    known = rows.groupBy("cls").agg(F.sum("m").alias("degree"))
-    hub = rows.join(known, "cls").groupBy("key").agg(F.max(F.struct("degree", "cls", "root")).alias("hub"))
-    rows = stored(rows.join(hub, "key"), "candidates")
-    stars = rows.where("root <> hub.root").select(F.least("hub.cls", "cls").alias("u"), F.greatest("hub.cls", "cls").alias("v"))
-    stars = stored(stars.distinct(), "stars")
-    edges = edges.unionByName(alike(stars, "met"))
-
-    rows = rows.drop("root").join(roots(edges, "roots"), "cls", "left").select("key", "cls", "n", F.coalesce("root", "cls").alias("root"))
-    split = rows.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    members = stored(rows.join(split, "key", "left_semi").select("cls", "n", "root").distinct(), "apart")
-    rest = minhash.overlapping(members, texts, least, shingle).join(stars, ["u", "v"], "left_anti")
-    edges = edges.unionByName(alike(rest, "rest"))
-
-    tied = classes.select("cls", "least").join(roots(edges, "roots"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = tied.join(ids, "root").select("cls", "component_id")
-    return own.select("doc_id", "cls").join(tied, "cls").select("doc_id", "component_id")
+    edges = coordinates.confirmed(equal.unionByName(close), classes.select("cls", "n"), sets, percent)
+    edges = coordinates.connected(classes, sets, percent, edges)
+    return coordinates.membership(own, classes, edges).select("doc_id", "component_id")

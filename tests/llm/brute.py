@@ -265,7 +265,7 @@ def repaired(rows):
     return out
 
 
-def jaccard_components(docs, percent=80, size=2):
+def jaccard_rows(docs, percent=80, size=2):
     """docs: (doc_id, text). By position: shingles of the set, and the smallest id that links lead to."""
     sets = []
     for _, t in docs:

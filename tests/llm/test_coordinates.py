@@ -40,7 +40,7 @@ def found(df):
 
 
 def expected(docs):
-    return sorted(((d, *x) for (d, _), x in zip(docs, brute.jaccard_components(docs), strict=True)), key=repr)
+    return sorted(((d, *x) for (d, _), x in zip(docs, brute.jaccard_rows(docs), strict=True)), key=repr)
 
 
 @pytest.mark.parametrize("seed", [1, 2])
