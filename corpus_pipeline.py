@@ -53,7 +53,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Near copies have a Jaccard similarity of five-word shingles of 0.8 or more.
     """
-    found = simhash.near_copies(docs, least=0.8, shingle=5)
+    found = simhash.near_copies(docs, percent=80, shingle=5)
     gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
     return _without(docs, gone.select(F.col("doc_id").alias("gone")))
 
