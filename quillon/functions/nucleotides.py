@@ -15,6 +15,12 @@ LETTERS, COMPLEMENTS = "acgtrymkswbdhvn", "tgcayrkmswvhdbn"
 RANKED = "acgtrymkswbdhvn"
 
 
+def wider_letters() -> dict[str, list[str]]:
+    """For each letter those, itself included, that stand for all of its bases."""
+    bases = {c: set(AMBIGUOUS.get(c, c)) for c in LETTERS}
+    return {c: [x for x in LETTERS if own <= bases[x]] for c, own in bases.items()}
+
+
 def from_text(text: Column) -> Column:
     """A sequence over acgt out of any text: letters a-z in turn become a, c, g, t; the rest goes."""
     az = "abcdefghijklmnopqrstuvwxyz"
@@ -43,11 +49,6 @@ def images(word: Column, spec) -> list[Column]:
     return [word, *([complement(word)] if comp else []), *([F.reverse(word)] if rev else []), *([revcomp(word)] if rc else [])]
 
 
-def places(sequence: Column, k: int) -> Column:
-    """The k letters from each place on, whatever they are."""
-    return F.regexp_extract_all(sequence, F.lit(f"(?=(.{{{k}}}))"), F.lit(1))
-
-
 def merges(spec) -> bool:
     """Whether a class has several words."""
     return spec.reverse or spec.complement or spec.revcomp
@@ -75,11 +76,6 @@ def chunks(sequence: Column, k: int, size: int) -> Column:
     return F.when(F.length(sequence) > size, cut).otherwise(F.array(sequence))
 
 
-def windows(sequence: Column, k: int) -> Column:
-    """All words of length k over acgt, overlapping, in one pass: a match that looks ahead at each place."""
-    return F.regexp_extract_all(sequence, F.lit(f"(?=([acgt]{{{k}}}))"), F.lit(1))
-
-
 def _widen(base: Column, more: Column, most: int):
     def each(x: Column) -> Column:
         plain = F.struct(F.concat(x["p"], base).alias("p"), x["n"].alias("n"))

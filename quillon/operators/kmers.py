@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import nucleotides as nt
-from ..session import small, stored
+from ..functions import packed
+from ..session import ship, small, stored
 from ..spec import KmerSpec, Pair
 from .dataset import joined_sources
 
@@ -20,33 +25,90 @@ def kmer_counts(sequences: DataFrame, spec: KmerSpec) -> DataFrame:
     """(sample_id, k, kmer, n) for sequences(sample_id, sequence).
 
     kmer is the class's representative. Sequences are cut into overlapping parts, so that
-    a whole chromosome's words are never in one row. Plain words are counted per sample
-    before they are widened to patterns and merged into classes: these expressions run
-    once a word and sample, not once a place. Counting combines on the map side.
+    a whole chromosome's words are never in one row. Plain words are counted within each
+    part before they are shuffled, and per sample before they are widened to patterns and
+    merged into classes: these expressions run once a word and sample, not once a place.
     """
-    own = sequences.select("sample_id", F.lower("sequence").alias("s")).where("s is not null")
+    plain = plain_counts(sequences, range(spec.shortest, spec.longest + 1))
     found = []
     for k in range(spec.shortest, spec.longest + 1):
-        part = own.select("sample_id", F.explode(nt.chunks(F.col("s"), k, CHUNK)).alias("s"))
-        words = part.select("sample_id", F.explode(nt.windows(F.col("s"), k)).alias("w"))
-        plain = words.groupBy("sample_id", "w").agg(F.count("*").alias("n"))
-        most = spec.ambiguous_at(k)
+        most, own = spec.ambiguous_at(k), plain.where(F.col("k") == k)
         if most > 0:
-            plain = plain.select("sample_id", F.explode(nt.patterns(F.col("w"), k, spec.alphabet, most)).alias("w"), "n")
+            own = own.select("sample_id", "k", F.explode(nt.patterns(F.col("w"), k, spec.alphabet, most)).alias("w"), "n")
         if most <= 0 and not nt.merges(spec):
-            found.append(plain.select("sample_id", F.lit(k).alias("k"), F.col("w").alias("kmer"), "n"))
+            found.append(own.select("sample_id", "k", F.col("w").alias("kmer"), "n"))
             continue
-        classes = plain.select("sample_id", F.lit(k).alias("k"), nt.representative(F.col("w"), spec).alias("kmer"), "n")
+        classes = own.select("sample_id", "k", nt.representative(F.col("w"), spec).alias("kmer"), "n")
         found.append(classes.groupBy("sample_id", "k", "kmer").agg(F.sum("n").alias("n")))
     counts = reduce(DataFrame.unionByName, found)
     return counts.withColumn("n", F.lit(1).cast("bigint")) if spec.binarize else counts
 
 
-def kmer_features(sequences: DataFrame, spec: KmerSpec) -> tuple[DataFrame, DataFrame]:
-    """(features, dictionary) of sequences; the counts that both need are stored, not counted twice."""
+def parts_of(sequences: DataFrame, reach: int, size: int) -> DataFrame:
+    """(sample_id, n, part, s): sequences in parts of `size` letters and the reach - 1 that follow; n: the sequence's length.
+
+    sequences: (sample_id, sequence), or pieces (sample_id, offset, part) of any lengths,
+    which are cut and joined anew. Null sequences have no parts.
+    """
+    if "offset" in sequences.columns:
+        return _regrouped(sequences, reach, size)
+    own = sequences.where("sequence is not null").select("sample_id", "sequence", F.length("sequence").alias("n"))
+    return own.select("sample_id", "n", F.posexplode(nt.chunks(F.col("sequence"), reach, size)).alias("part", "s"))
+
+
+def _regrouped(pieces: DataFrame, reach: int, size: int) -> DataFrame:
+    """parts_of for pieces: each piece goes to the parts that it touches, so a row is a part, never a sequence."""
+    own = pieces.where("part is not null").select("sample_id", F.col("offset").cast("bigint").alias("offset"), F.col("part").alias("p"), F.length("part").alias("m"))
+    whole = own.groupBy("sample_id").agg(F.max(F.col("offset") + F.col("m")).cast("int").alias("n"))
+    own = own.join(whole, "sample_id")
+    most = F.floor(F.greatest(F.col("n") - reach, F.lit(0)) / size)
+    first = F.greatest(F.least(F.floor((F.col("offset") - reach + 1) / size), most), F.lit(0))
+    last = F.greatest(F.least(F.floor((F.col("offset") + F.col("m") - 1) / size), most), first)
+    cut = own.withColumn("part", F.explode(F.sequence(first, last)))
+    low = F.greatest(F.col("part") * size, F.col("offset"))
+    high = F.least((F.col("part") + 1) * size + reach - 1, F.col("offset") + F.col("m"))
+    text = F.substr("p", (low - F.col("offset") + 1).cast("int"), F.greatest(high - low, F.lit(0)).cast("int"))
+    one = F.sort_array(F.collect_list(F.struct(low.alias("low"), text.alias("s"))))
+    joined = cut.groupBy("sample_id", "n", "part").agg(one.alias("x"))
+    return joined.select("sample_id", "n", F.col("part").cast("int").alias("part"), F.array_join(F.transform("x", lambda x: x["s"]), "").alias("s"))
+
+
+def plain_counts(sequences: DataFrame, lengths: range) -> DataFrame:
+    """(sample_id, k, w, n) of the words over acgt of the given lengths, whatever the case."""
+    size, longest = CHUNK, lengths[-1]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, n, part = b.column("sample_id"), b.column("n").to_pylist(), b.column("part").to_pylist()
+            texts = [packed.plain(s) for s in b.column("s").to_pylist()]
+            for k in lengths:
+                codes, counts, rows = [], [], []
+                for i, s in enumerate(texts):
+                    places, own = packed.rolling(s, k)
+                    if part[i] < max(n[i] - longest, 0) // size:  # what begins further on is the next part's
+                        own = own[places < size]
+                    own, m = packed.counted(own, k)
+                    codes.append(own)
+                    counts.append(m)
+                    rows.append(np.full(len(own), i))
+                if codes:
+                    codes, counts, rows = (np.concatenate(x) for x in (codes, counts, rows))
+                    yield pa.record_batch([ids.take(pa.array(rows)), pa.array(np.full(len(rows), k, np.int32)), packed.words(codes, k), pa.array(counts.astype(np.int64))], names=["sample_id", "k", "w", "n"])
+
+    ship(sequences.sparkSession)
+    fields = [sequences.schema["sample_id"], *(StructField(c, t()) for c, t in (("k", IntegerType), ("w", StringType), ("n", LongType)))]
+    return parts_of(sequences, longest, size).mapInArrow(count, StructType(fields)).groupBy("sample_id", "k", "w").agg(F.sum("n").alias("n"))
+
+
+def kmer_features(sequences: DataFrame, spec: KmerSpec, samples: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(features, dictionary) of sequences; the counts that both need are stored, not counted twice.
+
+    samples(sample_id): whose features are wanted, if not those of all that the dictionary is made of.
+    """
     counts = stored(kmer_counts(sequences, spec), "counts")
     known = stored(dictionary(counts, spec), "dictionary")
-    return vectorise(counts, known), known
+    own = counts if samples is None else counts.join(samples.select("sample_id"), "sample_id", "left_semi")
+    return vectorise(own, known), known
 
 
 def compiled(tables: list[DataFrame], spec: KmerSpec) -> tuple[DataFrame, DataFrame, DataFrame]:

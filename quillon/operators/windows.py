@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions import nucleotides as nt
+from ..functions import packed
 from ..functions.logistic import log_sigmoid
-from ..session import small, stored
+from ..session import ship
 from ..spec import Model
-from .kmers import CHUNK, FEW, kmer_counts, vectorise
-from .linear import biases, coefficients, linear_scores
+from .kmers import CHUNK, parts_of
+from .linear import biases
+
+#: Windows that are handed over at once, and whose counts are held at once.
+ROWS, BLOCK = 1 << 16, 1 << 12
 
 
 def slices(sequences: DataFrame, window: int, step: int, include_last: bool = False) -> DataFrame:
@@ -31,54 +38,125 @@ def slices(sequences: DataFrame, window: int, step: int, include_last: bool = Fa
 def window_scores(sequences: DataFrame, dictionary: DataFrame, model: Model, window: int, step: int, include_last: bool = False) -> DataFrame:
     """(sample_id, start, member, z, prediction) of every window, the model's transform applied.
 
-    Where a window's score is a sum over its places (no pairs, no presence, one word a
-    place) running sums give it; otherwise each window's words are counted.
+    Sequences are cut into parts that overlap by a window less a letter, so each window
+    lies in one part. Within a part words are rolling codes: counts come from running
+    sums over the places, presence from the stretches of starts that each occurrence
+    answers for, products from the counts of their two features. A row is a window.
     """
-    spec = model.spec
     if step < 1:
         raise ValueError("step must be 1 or more")
-    summed = not spec.binarize and spec.longest <= window and all(spec.ambiguous_at(k) <= 0 for k in range(spec.shortest, spec.longest + 1))
-    if summed and all(a == b for a, b in model.features()):
-        scored = _running(sequences, dictionary, model, window, step, include_last)
-    else:
-        key = F.struct("sample_id", "start")
-        cut = slices(sequences, window, step, include_last).select(key.alias("sample_id"), "sequence")
-        features = vectorise(kmer_counts(cut, spec), dictionary)
-        scored = linear_scores(cut.select("sample_id"), features, model).select("sample_id.sample_id", "sample_id.start", "member", "z")
-    return scored.select("sample_id", "start", "member", "z", log_sigmoid(F.col("z")).alias("prediction"))
-
-
-def _running(sequences: DataFrame, dictionary: DataFrame, model: Model, window: int, step: int, include_last: bool) -> DataFrame:
-    """Scores of windows as differences of running sums of the places' coefficients.
-
-    Sequences are cut into parts that overlap by a window less a letter, so each window
-    lies in one part; a part is sorted by place in one task, whatever the sequence's length.
-    """
+    if window < 1:
+        raise ValueError("a window has 1 letter or more")
+    table, size, less = WordTable(dictionary, model), max(CHUNK, window), 0 if include_last else 1
     members = len(model.members)
-    spark, spec = sequences.sparkSession, model.spec
-    coef = coefficients(spark, model).select("member", F.col("a").alias("feature_id"), (F.col("theta") * F.col("scale")).alias("t"))
-    known = dictionary.join(coef, "feature_id").groupBy("kmer").agg(*(F.sum(F.when(F.col("member") == m, F.col("t"))).alias(f"t{m}") for m in range(members)))
-    known = stored(known, "coefficients")
-    side = F.broadcast(known) if small(known, FEW) else known
-    size = max(CHUNK, window)
-    rows = sequences.select("sample_id", F.lower("sequence").alias("s")).where(F.length("sequence") >= window + (0 if include_last else 1))
-    parts = rows.select("sample_id", F.length("s").alias("n"), F.posexplode(nt.chunks(F.col("s"), window, size)).alias("part", "s"))
-    found = []
-    for k in range(spec.shortest, spec.longest + 1):
-        words = parts.select("sample_id", "n", "part", F.posexplode(nt.places(F.col("s"), k)).alias("at", "w"))
-        words = words.join(side, nt.representative(F.col("w"), spec) == F.col("kmer"), "left")
-        order = Window.partitionBy("sample_id", "part").orderBy("at")
-        whole = [F.sum(F.coalesce(f"t{m}", F.lit(0.0))).over(order).alias(f"c{m}") for m in range(members)]
-        words = words.select("sample_id", "n", "part", "at", *(F.coalesce(f"t{m}", F.lit(0.0)).alias(f"t{m}") for m in range(members)), *whole)
-        sums = [(F.lead(f"c{m}", window - k).over(order) - F.col(f"c{m}") + F.col(f"t{m}")).alias(f"z{m}") for m in range(members)]
-        start = F.col("part") * size + F.col("at")
-        ok = (start % step == 0) & (F.col("at") < size) & (start <= F.col("n") - window - (0 if include_last else 1))
-        found.append(words.select("sample_id", "part", "at", start.alias("start"), ok.alias("ok"), *sums).where("ok").select("sample_id", "start", *(f"z{m}" for m in range(members))))
-    total = found[0]
-    if len(found) > 1:
-        total = reduce(DataFrame.unionByName, found).groupBy("sample_id", "start").agg(*(F.sum(f"z{m}").alias(f"z{m}") for m in range(members)))
-    each = F.array(*(F.struct(F.lit(m).alias("member"), (F.lit(b) + F.col(f"z{m}")).alias("z")) for m, b in biases(model)))
-    return total.select("sample_id", F.col("start").cast("int").alias("start"), F.inline(each))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("sample_id")
+            for i, (n, part, s) in enumerate(zip(*(b.column(c).to_pylist() for c in ("n", "part", "s")), strict=True)):
+                first = -(-part * size // step) * step  # the part's first start, then every step
+                starts = np.arange(first, min((part + 1) * size, n - window - less + 1), step)
+                if not len(starts):
+                    continue
+                scored = table.score(packed.plain(s), starts - part * size, window)
+                for lo in range(0, len(starts), ROWS):
+                    at, z = starts[lo : lo + ROWS], scored[:, lo : lo + ROWS]
+                    m = len(at) * members
+                    yield pa.record_batch([
+                        ids.take(pa.array(np.full(m, i))), pa.array(np.tile(at, members).astype(np.int32)), pa.array(np.repeat(np.arange(members, dtype=np.int32), len(at))), pa.array(z.ravel())
+                    ], names=["sample_id", "start", "member", "z"])
+
+    ship(sequences.sparkSession)
+    fields = [sequences.schema["sample_id"], *(StructField(c, t()) for c, t in (("start", IntegerType), ("member", IntegerType), ("z", DoubleType)))]
+    parts = parts_of(sequences, window, size).where(F.col("n") >= window + less)
+    scored = parts.mapInArrow(score, StructType(fields))
+    return scored.withColumn("prediction", log_sigmoid(F.col("z")))
+
+
+class WordTable:
+    """A model's coefficients by the plain words that count for its features: sorted codes for each length."""
+
+    def __init__(self, dictionary: DataFrame, model: Model) -> None:
+        spec, members = model.spec, model.members
+        features = sorted({f for m in members for f, t in m.theta.items() if t != 0})
+        scale = lambda f: model.transform.get(f, (0.0, 1.0))[1]
+        weight = {f: np.array([m.theta.get(f, 0.0) * scale(f) for m in members]) for f in features}
+        base = sorted({i for f in features for i in f})
+        side = dictionary.sparkSession.createDataFrame([(i,) for i in base], "feature_id bigint")
+        known = {r.feature_id: r.kmer for r in dictionary.join(F.broadcast(side), "feature_id").select("feature_id", "kmer").collect()}
+        number = {i: x for x, i in enumerate(base)}
+        self.bias = np.array([b for _, b in biases(model)])
+        self.presence = spec.binarize
+        self.single = np.array([weight.get((i, i), np.zeros(len(members))) for i in base]).reshape(-1, len(members))
+        self.pairs = [(number[a], number[b], weight[a, b]) for a, b in features if a != b]
+        #: by length: sorted codes, where each one's features begin, and these
+        self.words: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for k in range(spec.shortest, spec.longest + 1):
+            hits = [(code, number[i]) for i, word in known.items() if len(word) == k for p in packed.images(word, spec) for code in packed.matching(p)]
+            if hits:
+                hits.sort()
+                codes, begins = np.unique([c for c, _ in hits], return_index=True)
+                self.words[k] = codes, np.append(begins, len(hits)), np.array([f for _, f in hits])
+
+    def score(self, sequence: bytes, starts: np.ndarray, window: int) -> np.ndarray:
+        """Each member's score of the windows at the starts, a row a member."""
+        z = np.repeat(self.bias[:, None], len(starts), axis=1)
+        found = {}
+        for k, (codes, begins, features) in self.words.items():
+            if k > window:
+                continue
+            places, own = packed.rolling(sequence, k)
+            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+            there = codes[at] == own
+            places, at = places[there], at[there]
+            many = begins[at + 1] - begins[at]
+            which = np.repeat(begins[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            found[k] = np.repeat(places, many), features[which]
+        for k, (places, features) in found.items():
+            z += (self._presence if self.presence else self._sums)(places, features, starts, window - k, len(sequence))
+        if self.pairs:
+            z += self._products(found, starts, window)
+        return z
+
+    def _sums(self, places: np.ndarray, features: np.ndarray, starts: np.ndarray, reach: int, n: int) -> np.ndarray:
+        """Differences of running sums: places from a start to `reach` after it count."""
+        out = []
+        for t in self.single.T:
+            run = np.concatenate([[0.0], np.cumsum(np.bincount(places, t[features], n))])
+            out.append(run[starts + reach + 1] - run[starts])
+        return np.array(out)
+
+    def _presence(self, places: np.ndarray, features: np.ndarray, starts: np.ndarray, reach: int, n: int) -> np.ndarray:
+        """A feature counts once: an occurrence answers for the starts up to it, `reach` back, that no earlier one answers for."""
+        order = np.lexsort((places, features))
+        places, features = places[order], features[order]
+        low = np.maximum(places - reach, 0)
+        again = np.flatnonzero(features[1:] == features[:-1]) + 1
+        low[again] = np.maximum(low[again], places[again - 1] + 1)  # beyond its place where a word counts twice: no start is left
+        out = []
+        for t in self.single.T:
+            change = np.bincount(low, t[features], n + 1) - np.bincount(places + 1, t[features], n + 1)
+            out.append(np.cumsum(change)[starts])
+        return np.array(out)
+
+    def _products(self, found: dict[int, tuple[np.ndarray, np.ndarray]], starts: np.ndarray, window: int) -> np.ndarray:
+        """Products of two features' counts, or of their presence, in each window."""
+        wanted = np.unique([x for a, b, _ in self.pairs for x in (a, b)])
+        by = {}
+        for k, (places, features) in found.items():
+            order = np.lexsort((places, features))
+            cuts = np.searchsorted(features[order], wanted), np.searchsorted(features[order], wanted, "right")
+            by |= {int(f): (places[order][lo:hi], window - k + 1) for f, lo, hi in zip(wanted, *cuts, strict=True) if lo < hi}
+        out = np.zeros((len(self.bias), len(starts)))
+        for lo in range(0, len(starts), BLOCK):
+            own, count = starts[lo : lo + BLOCK], {}
+            for f, (places, reach) in by.items():
+                c = np.searchsorted(places, own + reach) - np.searchsorted(places, own)
+                count[f] = np.minimum(c, 1) if self.presence else c
+            for a, b, weight in self.pairs:
+                if a in count and b in count:
+                    out[:, lo : lo + BLOCK] += weight[:, None] * (count[a] * count[b])
+        return out
 
 
 def window_sums(positions: DataFrame, window: int) -> DataFrame:
