@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.nucleotides import wider_letters
+from ..session import stored
+
 
 def ranked_coefficients(coef: DataFrame, names: DataFrame, rescale: bool = False) -> DataFrame:
     """(member, place, feature, theta) by falling size, zeros left out; pairs are named `a & b`.
@@ -41,18 +44,33 @@ def abundance(values: DataFrame, samples: DataFrame) -> DataFrame:
 def related(dictionary: DataFrame, coef: DataFrame) -> DataFrame:
     """(feature_id, other, theta, place): coefficients of k-mers that contain, or are contained in, a model's k-mer.
 
-    Words meet by the substrings of the longer ones, an equality join; reverse
-    complements count through the classes' names.
+    A word contains another one where each of its letters stands for no other bases than
+    the other's letter there: acgt contains cg and cn, and acnt contains an. Reverse
+    complements count through the classes' names. Words meet in the trie of all words: from
+    each place of a word all its more general readings go down together, a level a join,
+    and only those that are prefixes of some word go on.
     """
     theta = coef.where("a = b and theta <> 0").select(F.col("a").alias("feature_id"), "theta")
     own = dictionary.join(theta, "feature_id").select("feature_id", "theta", F.explode(F.array_distinct(F.split("name", "\\|"))).alias("word"))
+    own = stored(own, "words")
     n = F.length("word")
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring("word", i, k))))
-    parts = own.select(F.col("feature_id").alias("long"), F.col("theta").alias("_l"), F.explode(F.array_distinct(subs)).alias("word"))
-    hits = parts.join(own.select(F.col("feature_id").alias("short"), F.col("theta").alias("_s"), "word"), "word").where("long <> short")
-    both = hits.select(F.col("long").alias("feature_id"), F.col("short").alias("other"), F.col("_s").alias("theta")).unionByName(
-        hits.select(F.col("short").alias("feature_id"), F.col("long").alias("other"), F.col("_l").alias("theta"))
-    )
+    nodes = own.select(F.explode(F.transform(F.sequence(F.lit(1), n), lambda k: F.substring("word", F.lit(1), k))).alias("node")).distinct()
+    nodes = stored(nodes, "nodes")
+    ends = own.select(F.col("word").alias("node"), F.col("feature_id").alias("short"), F.col("theta").alias("_s"))
+    general = F.create_map(*(x for c, wider in wider_letters().items() for x in (F.lit(c), F.array(*map(F.lit, wider)))))
+    front = own.select(F.col("feature_id").alias("long"), F.col("theta").alias("_l"), "word", F.explode(F.sequence(F.lit(1), n)).alias("at"), F.lit("").alias("node"))
+    found = None
+    for _ in range(own.agg(F.coalesce(F.max(n), F.lit(0))).first()[0]):
+        wider = F.explode(F.transform(F.element_at(general, F.substring("word", F.col("at"), F.lit(1))), lambda c: F.concat("node", c)))
+        front = front.where(F.col("at") <= n).select("long", "_l", "word", (F.col("at") + 1).alias("at"), wider.alias("node")).join(nodes, "node")
+        front = stored(front, "front")
+        hits = front.join(ends, "node").where("long <> short").select("long", "_l", "short", "_s")
+        found = hits if found is None else found.unionByName(hits)
+    both = dictionary.sparkSession.createDataFrame([], "feature_id bigint, other bigint, theta double")
+    if found is not None:
+        both = found.select(F.col("long").alias("feature_id"), F.col("short").alias("other"), F.col("_s").alias("theta")).unionByName(
+            found.select(F.col("short").alias("feature_id"), F.col("long").alias("other"), F.col("_l").alias("theta"))
+        )
     order = Window.partitionBy("feature_id").orderBy(F.desc(F.abs("theta")), "other")
     return both.distinct().withColumn("place", F.row_number().over(order))
 
