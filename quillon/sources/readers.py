@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.kmers import numbered
-from ..session import stored
+from ..operators.kmers import CHUNK, numbered
+from ..session import ship, stored
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -25,6 +28,57 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("seqname").agg(F.max_by("sequence", "at").alias("sequence"))
 
 
+def read_fasta_parts(spark: SparkSession, path: str, letters: int = CHUNK) -> DataFrame:
+    """(seqname, offset, part): records in parts of some `letters` letters, none of which is ever a row as a whole.
+
+    Files are read line by line, cut wherever Spark cuts them; tasks join the lines of
+    their stretch into parts. What a stretch begins with belongs to the last record before it:
+    running sums over the stretches, a row each, tell which one that is and how far it has
+    come. Lines before a file's first header are left out; a line is never cut. Of records with one name the
+    last in file order counts.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("o"), F.monotonically_increasing_id().alias("i"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["f", "o", "i", "header", "s"]
+        held: list[str] = []
+        at, size = None, 0
+        for b in batches:
+            done = []
+            for line, f, o, i in zip(*(b.column(c).to_pylist() for c in ("value", "f", "o", "i")), strict=True):
+                head = line.startswith(">")
+                if at is not None and (head or (f, o) != at[:2] or size >= letters):
+                    done.append((*at, "".join(held)))
+                    at = None
+                if at is None:
+                    at, held, size = (f, o, i, (line[1:].split() or [""])[0] if head else None), [], 0
+                if not head:
+                    held.append("".join(line.split()))
+                    size += len(held[-1])
+            if done:
+                yield pa.record_batch([pa.array(list(x)) if c != "header" else pa.array(list(x), pa.string()) for c, x in zip(names, zip(*done, strict=True), strict=True)], names=names)
+        if at is not None:
+            yield pa.record_batch([pa.array([x], pa.string() if c == "header" else None) for c, x in zip(names, (*at, "".join(held)), strict=True)], names=names)
+
+    ship(spark)
+    pieces = stored(lines.mapInArrow(joined, "f string, o bigint, i bigint, header string, s string"), "pieces").withColumn("n", F.length("s").cast("bigint"))
+    # letters are counted through each file; a part's offset is its place less that of its record's header
+    inside = Window.partitionBy("f", "o").orderBy("i")
+    before = F.coalesce(F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = pieces.withColumn("place", before)
+    rows = rows.withColumn("record", F.last(F.when(F.col("header").isNotNull(), F.struct("i", "header", "place")), True).over(inside))
+    earlier = Window.partitionBy("f").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    stretches = rows.groupBy("f", "o").agg(F.sum("n").alias("all"), F.max("record").alias("last")).withColumn("base", F.coalesce(F.sum("all").over(earlier), F.lit(0)))
+    named = lambda r: F.when(r.isNotNull(), F.struct("o", r["i"].alias("i"), r["header"].alias("header"), (F.col("base") + r["place"]).alias("place")))
+    stretches = stretches.select("f", "o", "base", F.last(named(F.col("last")), True).over(earlier).alias("open"))
+    placed = rows.join(stretches, ["f", "o"]).withColumn("record", F.coalesce(named(F.col("record")), F.col("open"))).where("record is not null")
+    placed = placed.select(
+        F.col("record.header").alias("seqname"), F.struct("f", "record.o", "record.i").alias("record"), (F.col("base") + F.col("place") - F.col("record.place")).alias("offset"), F.col("s").alias("part"), "n"
+    )
+    final = placed.groupBy("seqname").agg(F.max("record").alias("record"))
+    return placed.join(final, ["seqname", "record"]).where("n > 0 or offset = 0").select("seqname", "offset", "part")
+
+
 def read_scores(spark: SparkSession, path: str, header: bool = False, columns: list[str] | None = None) -> DataFrame:
     """(values array<double>) of a comma-separated table, a row a line that isn't blank.
 
@@ -77,6 +131,12 @@ def read_score_table(spark: SparkSession, path: str, header: bool = False) -> Da
     return read_scores(spark, path, header)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(n, value): a text's lines numbered from 0, its parts one after the other by their names."""
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("o"), F.monotonically_increasing_id().alias("i"))
+    return numbered(stored(raw, "lines"), [F.col("f"), F.col("o")], [F.col("i")], "n").select("n", "value")
+
+
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
     """(seqname, start, stop): the first three columns, 0-based and half open; track lines go."""
     rows = spark.read.text(path).where(~F.col("value").rlike(r"^\s*($|#|track|browser)"))

@@ -69,6 +69,20 @@ def wiggle_lines(scores: DataFrame, regions: DataFrame, window: int, step: int,
     return head.unionByName(body)
 
 
+def write_windows(scores: DataFrame, path: str) -> None:
+    """One line a sequence, in their order: its windows' predictions."""
+    write_lines(window_lines(scores), path, F.col("line"), None, [F.col("sample_id")])
+
+
+def write_wiggle(scores: DataFrame, regions: DataFrame, path: str, window: int, step: int, digits: int = 15) -> None:
+    """A wiggle file as a folder of parts: each region's header, then its windows, regions in order.
+
+    Lines are range-partitioned by region and place, so the parts one after the other, by
+    their names, are the file; a region of many windows may go over several of them.
+    """
+    write_lines(wiggle_lines(scores, regions, window, step, digits), path, F.col("line"), None, [F.col("region_id"), F.col("place")])
+
+
 def write_cv(predictions: DataFrame, losses: DataFrame, path: str) -> None:
     """predictions(prediction, label) and losses(train, test) as tab-separated tables."""
     write_lines(predictions, f"{path}.table", F.concat_ws("\t", number(F.col("prediction")), F.col("label").cast("int").cast("string")), "prediction\tlabels")
