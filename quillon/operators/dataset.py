@@ -80,12 +80,7 @@ def folds(samples: DataFrame, k: int, validation: float = 0.0, seed: int = -1, p
     if k > 1 and n < k or validation > 0 and n < 2 * k:
         raise ValueError("too few samples for so many folds")
     if position is None:
-        from .kmers import numbered
-
-        key = F.col("sample_id") if seed == -1 else F.xxhash64(F.lit(seed), "sample_id")
-        # ranges of the key share a group, so that numbering is spread over tasks
-        samples = numbered(samples, [_range_of(samples, key)], [key, F.col("sample_id")], "_at")
-        position = "_at"
+        samples, position = placed(samples, "_at", seed), "_at"
     at = F.col(position)
     fold = F.pmod(at, F.lit(k)) if k > 1 else F.lit(-1)
     block = (at - F.pmod(at, F.lit(max(k, 1)))).cast("double")
@@ -93,6 +88,15 @@ def folds(samples: DataFrame, k: int, validation: float = 0.0, seed: int = -1, p
     return samples.withColumns({"fold": fold.cast("int"), "is_validation": chosen if validation > 0 else F.lit(False)}).drop("_at")
 
 
+def placed(samples: DataFrame, name: str, seed: int = -1) -> DataFrame:
+    """samples with their places from 0, in the order of sample_id, or of a hash of seed and sample_id unless seed is -1."""
+    from .kmers import numbered
+
+    key = F.col("sample_id") if seed == -1 else F.xxhash64(F.lit(seed), "sample_id")
+    # ranges of the key share a group, so that numbering is spread over tasks
+    return numbered(samples, [_range_of(samples, key)], [key, F.col("sample_id")], name)
+
+
 def _range_of(samples: DataFrame, key: Column, parts: int = 256) -> Column:
     low, high = samples.agg(F.min(key), F.max(key)).first()
     if low is None or high == low:

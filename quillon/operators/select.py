@@ -53,6 +53,11 @@ def select_auto(gradients: DataFrame, active: list[Pair], n: int, before: float
     if below is not None and below == abs(best[-1][1]):  # tied with the last of the best: the next smaller one counts
         below = gradients.where(F.abs("gradient") < F.lit(below)).agg(F.max(F.abs("gradient"))).first()[0]
     gradients.unpersist()
+    return choose(best, below, active, n, before, epsilon)
+
+
+def choose(best: list[tuple[Pair, float]], below: float | None, active: list[Pair], n: int, before: float | None, epsilon: float = 0.0) -> Selection:
+    """select_auto's choice out of the 2 * n largest gradients, largest first, and the size of the next smaller one."""
     lambda_ = lambda_for([g for _, g in best] + ([below] if below is not None else []), n)
     chosen, taken = list(active), set(active)
     for nonzero in (True, False):

@@ -1,29 +1,34 @@
-"""L1-regularised logistic regression along a path of numbers of features.
+"""L1-regularised logistic regression along a path of numbers of features, for many fits at once.
 
-The driver holds coefficients and selected features; every pass over samples is a
-Spark job: gradients of all features, and the solver's passes over the reduced design.
+The driver holds coefficients and selected features. Fits that differ in the samples they
+use (folds, members of ensembles) go side by side: the gradients of all features are one
+job for all of them, and so is each iteration of their solver.
 """
 
 from __future__ import annotations
 
 import logging
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from pyspark.storagelevel import StorageLevel
 
+from ..operators import gram
 from ..operators.dataset import class_weights
-from ..operators.linear import gradient, linear_scores, loss, penalty, residuals
-from ..operators.select import Selection, reduced, select_auto, select_fixed
-from ..operators.stats import apply_transform, fit_transform, single_values
-from ..operators.kmers import FEW, feature_values, pair_values
-from ..session import small
+from ..operators.kmers import FEW, feature_table, feature_values
+from ..operators.linear import linear_scores, loss, penalty
+from ..operators.select import Selection, choose
+from ..operators.stats import single_values, statistics, transform_of
+from ..session import ship, small
 from ..spec import Member, Model, Options, Pair
+from .solver import Design, Hook, Problem, dense, minimise
 
 #: Epochs of a fit that names no bound of its own: features that the solver drops and the
 #: gradient proposes again would alternate for ever. A fit that ends so isn't settled.
@@ -36,168 +41,346 @@ log = logging.getLogger(__name__)
 class Estimate:
     """A fitted member with what led to it.
 
-    trace: a row for each step of the solver (seconds, steps so far, change, active
-    coefficients, penalty, loss); change and active are those of the whole fit and known
-    at its last step only. settled: False where a bound of epochs ended the fit.
+    trace: a row for each iteration of the solver (seconds, iterations so far, relative change,
+    nonzero coefficients and the bias, penalty, objective). settled: False where a bound
+    of epochs ended the fit.
     """
 
     member: Member
     transform: dict[Pair, tuple[float, float]] = field(default_factory=dict)
     lambda_: float = 0.0
-    trace: list[tuple[float, int, float | None, int | None, float, float]] = field(default_factory=list)
+    trace: list[tuple[float, int, float, int, float, float]] = field(default_factory=list)
     path: list[tuple[float, float, list[float]]] = field(default_factory=list)
     settled: bool = True
 
 
-def solve(design: DataFrame, features: list[Pair], lambda_: float, options: Options, weights: tuple[float, float]) -> tuple[Member, list[float]]:
-    """Minimise mean weighted loss + lambda * |theta| over the selected features, the bias free.
+def in_order(features) -> list[Pair]:
+    """Singles first, then pairs."""
+    return sorted(features, key=lambda f: (f[0] != f[1], f))
 
-    The solver divides by the sum of weights, which is the number of samples for either
-    choice. It stops where a step improves by less than epsilon, or than epsilon_loss.
-    Besides the member, what was minimised after each step.
-    """
-    if not features:
-        n1, n0 = design.agg(F.count_if("label"), F.count_if(~F.col("label"))).first()
-        return Member(float(np.log(max(n1 * weights[1], 1e-12) / max(n0 * weights[0], 1e-12)))), []
-    columns = [f"f{i}" for i in range(len(features))]
-    data = VectorAssembler(inputCols=columns, outputCol="x").transform(design)
-    data = data.select("x", F.col("label").cast("double").alias("y"), F.when(F.col("label"), weights[1]).otherwise(weights[0]).alias("w"))
-    fitted = LogisticRegression(
-        featuresCol="x", labelCol="y", weightCol="w", regParam=float(lambda_), elasticNetParam=1.0, standardization=False,
-        maxIter=options.max_iterations or 1000, tol=max(options.epsilon, options.epsilon_loss) or 1e-10,
-    ).fit(data)
-    theta = fitted.coefficients.toArray()
-    history = list(fitted.summary.objectiveHistory) if fitted.hasSummary else []
-    return Member(float(fitted.intercept), {f: float(t) for f, t in zip(features, theta, strict=True)}), history
-
-
-class Estimator:
-    """Fits one member on samples(sample_id, label) and features; starts warm from one fit to the next."""
-
-    def __init__(self, samples: DataFrame, features: DataFrame, options: Options, candidates: DataFrame | None = None, transform: DataFrame | None = None):
-        """candidates(a, b): the features that may be chosen; None is all, with all pairs
-        if options.cooccurrence. transform: one fitted before; else options.transform is
-        fitted on these samples."""
-        self.options = options
-        self.samples = samples.select("sample_id", "label").persist(StorageLevel.MEMORY_AND_DISK)
-        self.n = self.samples.count()
-        own = features.join(self.samples.select("sample_id"), "sample_id", "left_semi")
+
+@dataclass
+class State:
+    """One of the fits: where it stands."""
+
+    member: Member = field(default_factory=lambda: Member(0.0))
+    lambda_: float | None = None
+    settled: bool = True
+    trace: list = field(default_factory=list)
+    path: list = field(default_factory=list)
+
+    def active(self) -> list[Pair]:
+        return in_order(f for f, t in self.member.theta.items() if t != 0)
+
+
+class Fits:
+    """Fits on parts of samples(sample_id, label, ...) and features; each starts warm from its last solution."""
+
+    def __init__(
+        self, samples: DataFrame, features: DataFrame, options: Options, uses: list[Column] | None = None, scaled_by: list[Column] | None = None,
+        candidates: DataFrame | None = None, transform: DataFrame | None = None, hook: Hook | None = None, warm: bool = True,
+    ):
+        """uses: for each fit, which samples it is on; one on all without. scaled_by: for each
+        of as many transforms as fits, or for one of all fits, the samples that it is made of;
+        all without. candidates(a, b[, fit]): the features that may be chosen; None is all, with
+        all pairs if options.cooccurrence. transform: one fitted before."""
+        self.options, self.hook, self.warm = options, hook, warm
+        uses, scaled_by = uses or [F.lit(True)], scaled_by or [F.lit(True)]
+        marked = samples.select("sample_id", "label", F.array(*uses).alias("uses"), F.array(*scaled_by).alias("scaled")).persist(StorageLevel.MEMORY_AND_DISK)
+        many, scales = len(uses), len(scaled_by)
+        counted = [F.count_if(F.col("uses")[k] & c) for k in range(many) for c in (F.lit(True), F.col("label"))]
+        row = marked.agg(*counted, *(F.count_if(F.col("scaled")[t]) for t in range(scales))).first()
+        self.n = [row[2 * k] for k in range(many)]
+        self.labelled = [row[2 * k + 1] for k in range(many)]
+        if not all(self.n):
+            raise ValueError("no samples to fit on")
+        self.weights = [self._class_weights(n, n1) for n, n1 in zip(self.n, self.labelled, strict=True)]
+        weight = [
+            F.when(F.col("uses")[k], F.when(F.col("label"), F.lit(w[1] / n)).otherwise(F.lit(w[0] / n))).otherwise(F.lit(0.0))
+            for k, (n, w) in enumerate(zip(self.n, self.weights, strict=True))
+        ]
+        self.samples = marked.select("sample_id", "label", F.array(*weight).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
+        self.features = features.join(marked.select("sample_id"), "sample_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        self.candidates, self.pairs = candidates, options.cooccurrence and candidates is None
+        self.values = single_values(self.features)
         if candidates is not None:  # products arise for the candidates only
-            wanted = candidates.select("a", "b")
-            values = feature_values(own, F.broadcast(wanted) if small(wanted, FEW) else wanted)
-        else:
-            values = single_values(own)
-            if options.cooccurrence:
-                values = values.unionByName(pair_values(own))
-        self.transform = transform
-        if transform is None and options.transform != "none":
-            self.transform = fit_transform(values, self.n, options.transform)
+            wanted = candidates.select("a", "b").distinct()
+            self.values = feature_values(self.features, F.broadcast(wanted) if small(wanted, FEW) else wanted)
+        self.kept = [marked, self.samples, self.features]
+        self.transform, self._scales = None, {}
+        if transform is not None:
+            self.transform = transform.select("a", "b", F.array("offset").alias("offset"), F.array("scale").alias("scale"))
+        elif options.transform != "none":
+            self.transform = self._fit_transform(marked, [row[2 * many + t] for t in range(scales)])
         if self.transform is not None:
             self.transform = self.transform.persist(StorageLevel.MEMORY_AND_DISK)
-            values = apply_transform(values, self.transform)
-        self.values = values.persist(StorageLevel.MEMORY_AND_DISK)
-        w = class_weights(self.samples).first() if options.balance else None
-        self.weights = (w.w0 or 1.0, w.w1 or 1.0) if w else (1.0, 1.0)
-        self.member = Member(0.0)
+            self.kept.append(self.transform)
+        self.scale_of = [k if scales == many else 0 for k in range(many)] if transform is None else [0] * many
+        self.states = [State() for _ in range(many)]
         self.started = time.monotonic()
-        self.settled = True
-        self.trace: list = []
-        self.path: list = []
+
+    def _class_weights(self, n: int, n1: int) -> tuple[float, float]:
+        if not self.options.balance:
+            return 1.0, 1.0
+        return (n / (2 * (n - n1)) if n > n1 else 1.0), (n / (2 * n1) if n1 else 1.0)
 
     def close(self) -> None:
-        for df in (self.samples, self.values, self.transform):
-            if df is not None:
-                df.unpersist()
+        for df in self.kept:
+            df.unpersist()
+
+    def _fit_transform(self, marked: DataFrame, n: list[int]) -> DataFrame:
+        """(a, b, offset array, scale array): an entry for each set of samples that transforms are made of."""
+        found = []
+        for t, many in enumerate(n):
+            own = lambda df, t=t: df.join(marked.where(F.col("scaled")[t]).select("sample_id"), "sample_id", "left_semi")
+            s = statistics(own(self.values), many)
+            if self.pairs:
+                s = s.unionByName(gram.pair_statistics(own(self.features), many))
+            found.append(transform_of(s, many, self.options.transform).withColumn("t", F.lit(t)))
+        if len(found) == 1:
+            return found[0].select("a", "b", F.array("offset").alias("offset"), F.array("scale").alias("scale"))
+        # a feature that a set of samples lacks is a constant there
+        one = lambda c, t, absent: F.coalesce(F.max(F.when(F.col("t") == t, F.col(c))), F.lit(absent))
+        arrays = [F.array(*(one(c, t, absent) for t in range(len(n)))).alias(c) for c, absent in (("offset", 0.0), ("scale", 1.0))]
+        return reduce(DataFrame.unionByName, found).groupBy("a", "b").agg(*arrays)
+
+    def scales(self, features: list[Pair], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The features' offsets and scales in fit k."""
+        missing = [f for f in features if f not in self._scales]
+        if missing and self.transform is not None:
+            side = feature_table(self.samples.sparkSession, missing)
+            for r in self.transform.join(F.broadcast(side.select("a", "b")), ["a", "b"]).collect():
+                self._scales[r.a, r.b] = (r.offset, r.scale)
+        t = self.scale_of[k]
+        own = [(o[t], s[t]) for o, s in (self._scales.get(f, ([0.0] * (t + 1), [1.0] * (t + 1))) for f in features)]
+        return np.array([o for o, _ in own], float), np.array([s for _, s in own], float)
 
-    def _design(self, features: list[Pair]) -> DataFrame:
-        wide = reduced(self.values, self.samples, features)
+    def _rows(self, features: list[Pair]) -> DataFrame:
+        """(sample_id, label, w, items): the samples with their values of the features, by the features' places."""
+        items = F.lit(None).cast("array<struct<i:int,v:double>>")
+        if not features:
+            return self.samples.withColumn("items", F.coalesce(items, F.array().cast("array<struct<i:int,v:double>>")))
+        spark = self.samples.sparkSession
+        defs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(features)], "i int, a bigint, b bigint")
+        hits = feature_values(self.features, F.broadcast(defs.select("a", "b"))).join(F.broadcast(defs), ["a", "b"])
+        own = hits.groupBy("sample_id").agg(F.collect_list(F.struct("i", F.col("value").alias("v"))).alias("items"))
+        return self.samples.join(own, "sample_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<i:int,v:double>>")))
+
+    def residuals(self) -> DataFrame:
+        """(sample_id, w array<double>): for each fit the derivative of its loss by the sample's score, at its coefficients."""
+        active = in_order({f for s in self.states for f in s.active()})
+        place = {f: i + 1 for i, f in enumerate(active)}
+        raw = np.zeros((len(active) + 1, len(self.states)))
+        for k, s in enumerate(self.states):
+            own = s.active()
+            p = Problem([place[f] - 1 for f in own], 0.0, np.zeros(0), *self.scales(own, k))
+            raw[[0, *(place[f] for f in own)], k] = p.raw() @ np.array([s.member.bias, *(s.member.theta[f] for f in own)])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                y = b.column("label").to_numpy(zero_copy_only=False).astype(float)[:, None]
+                w = b.column("w").flatten().to_numpy().reshape(b.num_rows, -1)
+                z = dense(b.column("items"), len(raw) - 1) @ raw[1:] + raw[0]
+                r = (np.exp(np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))) - y) * w
+                lists = pa.ListArray.from_arrays(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32), pa.array(r.ravel()))
+                yield pa.record_batch([b.column("sample_id"), lists], names=["sample_id", "w"])
+
+        ship(self.samples.sparkSession)
+        rows = self._rows(active)
+        return rows.mapInArrow(run, StructType([rows.schema["sample_id"], StructField("w", ArrayType(DoubleType()))]))
+
+    def every_gradient(self) -> DataFrame:
+        """(a, b, g array<double>) of each fit's unpenalised loss by every feature that may be chosen, at its coefficients."""
+        r = self.residuals().persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept.append(r)
+        many = range(len(self.states))
+        found = self.values.join(r, "sample_id").groupBy("a", "b").agg(F.array(*(F.sum(F.col("value") * F.col("w")[k]) for k in many)).alias("g"))
+        if self.pairs:
+            found = found.unionByName(gram.pair_sums(self.features, r).select("a", "b", F.col("sums").alias("g")))
         if self.transform is None:
-            return wide
-        shifts = self.transform.join(F.broadcast(self.samples.sparkSession.createDataFrame(features, "a bigint, b bigint")), ["a", "b"]) if features else None
-        found = {(r.a, r.b): -r.offset * r.scale for r in shifts.collect()} if features else {}
-        return wide.withColumns({f"f{i}": F.col(f"f{i}") + F.lit(found.get(f, 0.0)) for i, f in enumerate(features)})
-
-    def _scored(self) -> DataFrame:
-        active = [f for f, t in self.member.theta.items() if t != 0]
-        z = F.lit(self.member.bias)
-        for i, f in enumerate(active):
-            z = z + F.col(f"f{i}") * F.lit(self.member.theta[f])
-        design = self._design(active) if active else self.samples
-        return design.select("sample_id", "label", F.lit(0).alias("member"), z.alias("z"))
+            return found
+        total = r.agg(*(F.sum(F.col("w")[k]) for k in many)).first()
+        one = lambda k: F.col("scale")[self.scale_of[k]] * (F.col("g")[k] - F.col("offset")[self.scale_of[k]] * F.lit(float(total[k])))
+        return found.join(self.transform, ["a", "b"]).select("a", "b", F.array(*(one(k) for k in many)).alias("g"))
 
-    def gradients(self) -> DataFrame:
-        """(a, b, gradient) of the unpenalised loss by every candidate, at the current coefficients."""
-        return gradient(self.values, residuals(self._scored(), self.n, self.weights))
+    def _each(self, gradients: DataFrame, open_: list[int]) -> DataFrame:
+        """(fit, a, b, gradient) of the fits that are open, each one's candidates only."""
+        rows = gradients.select("a", "b", F.posexplode("g").alias("fit", "gradient")).where(F.col("fit").isin(open_))
+        if self.candidates is not None and "fit" in self.candidates.columns:
+            rows = rows.join(F.broadcast(self.candidates) if small(self.candidates, FEW) else self.candidates, ["fit", "a", "b"], "left_semi")
+        return rows
 
-    def _active(self) -> list[Pair]:
-        return sorted((f for f, t in self.member.theta.items() if t != 0), key=lambda f: (f[0] != f[1], f))
+    def _best(self, gradients: DataFrame, open_: list[int], n: int) -> dict[int, tuple[list[tuple[Pair, float]], float | None]]:
+        """Of each open fit the 2 * n largest gradients, and the size of the next smaller one: one job, and one more if there are ties."""
+        rows, wanted = self._each(gradients, open_), max(2 * n, 1)
+        size = F.abs("gradient")
+        order = Window.partitionBy("fit").orderBy(F.desc(size), F.col("a") != F.col("b"), "a", "b")
+        top: dict[int, list] = {k: [] for k in open_}
+        for r in rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= wanted + 1).orderBy("fit", "at").collect():
+            top[r.fit].append(((r.a, r.b), r.gradient))
+        below: dict[int, float | None] = {k: abs(x.pop()[1]) if len(x) > wanted else None for k, x in top.items()}
+        tied = {k: b for k, b in below.items() if b is not None and b == abs(top[k][-1][1])}
+        if tied:  # with the last of the best: the next smaller one counts
+            rules = [F.max(F.when((F.col("fit") == k) & (size < F.lit(b)), size)).alias(str(k)) for k, b in tied.items()]
+            below |= {int(k): x for k, x in rows.agg(*rules).first().asDict().items()}
+        return {k: (top[k], below[k]) for k in open_}
 
-    def _fit(self, chosen: Selection, lambda_: float) -> None:
-        before = dict(self.member.theta)
-        design = self._design(chosen.features).persist(StorageLevel.MEMORY_AND_DISK)
+    def _over(self, gradients: DataFrame, open_: list[int], lambda_: float, most: int) -> dict[int, list[Pair]]:
+        """Of each open fit the features whose gradient reaches lambda, in feature order; with a bound no more than it and the active ones."""
+        rows = self._each(gradients, open_).where(F.abs("gradient") >= F.lit(lambda_))
+        if most:
+            order = Window.partitionBy("fit").orderBy(F.col("a") != F.col("b"), "a", "b")
+            held = max(len(self.states[k].active()) for k in open_)
+            rows = rows.withColumn("at", F.row_number().over(order)).where(F.col("at") <= most + held)
+        out: dict[int, list[Pair]] = {k: [] for k in open_}
+        for r in rows.select("fit", "a", "b").collect():
+            out[r.fit].append((r.a, r.b))
+        return {k: in_order(x) for k, x in out.items()}
+
+    def _solve(self, chosen: dict[int, list[Pair]], lambdas: dict[int, float]) -> dict[int, list]:
+        """Fit the chosen features of some fits at once; their new members, and the iterations of each."""
+        union = in_order({f for x in chosen.values() for f in x})
+        place = {f: i for i, f in enumerate(union)}
+        problems, steps = {}, {}
+        for k, features in chosen.items():
+            theta, (w0, w1) = self.states[k].member.theta if self.warm else {}, self.weights[k]
+            if not features:
+                n1, n0 = self.labelled[k], self.n[k] - self.labelled[k]
+                self.states[k].member, steps[k] = Member(float(np.log(max(n1 * w1, 1e-12) / max(n0 * w0, 1e-12)))), []
+                continue
+            start = np.array([self.states[k].member.bias if self.warm else 0.0, *(theta.get(f, 0.0) for f in features)])
+            problems[k] = Problem([place[f] for f in features], lambdas[k], start, *self.scales(features, k), k)
+        if problems:
+            design, o, own = Design(self._rows(union), len(union)), self.options, list(problems)
+            hook = (lambda j, run: self.hook(own[j], run)) if self.hook else None
+            for k, run in zip(own, minimise(design, list(problems.values()), o.solver, o.epsilon, o.epsilon_loss, o.max_iterations, hook), strict=True):
+                self.states[k].member = Member(float(run.theta[0]), {f: float(t) for f, t in zip(chosen[k], run.theta[1:], strict=True)})
+                steps[k] = run.steps[1:]
+            design.close()
+        return steps
+
+    def _fit(self, chosen: dict[int, Selection]) -> None:
         began = time.monotonic() - self.started
-        self.member, history = solve(design, chosen.features, lambda_, self.options, self.weights)
-        design.unpersist()
-        change = max((abs(self.member.theta.get(f, 0.0) - before.get(f, 0.0)) for f in {*before, *self.member.theta}), default=0.0)
-        value = loss(self._scored(), self.n, self.weights).first()["loss"] + lambda_ * sum(map(abs, self.member.theta.values()))
-        now, done = time.monotonic() - self.started, len(self.trace)
-        for i, x in enumerate(history[1:-1]):  # the first is the start
-            self.trace.append((began + (now - began) * (i + 1) / len(history), done + i, None, None, lambda_, float(x)))
-        self.trace.append((now, len(self.trace), change, self.member.nonzero() + 1, lambda_, value))
-        log.info("%d features of %d tried, lambda %e, loss %f, change %e", self.member.nonzero(), len(chosen.features), lambda_, value, change)
-        theta = [self.member.bias, *(self.member.theta[f] for f in sorted(self.member.theta))]
-        self.path.append((lambda_, sum(map(abs, theta[1:])), theta))
-
-    def fit_auto(self, n: int) -> Estimate:
+        steps = self._solve({k: c.features for k, c in chosen.items()}, {k: c.lambda_ for k, c in chosen.items()})
+        for k, c in chosen.items():
+            s = self.states[k]
+            s.trace += [(began + x.seconds, len(s.trace) + i, x.change, x.nonzero, x.lambda_, x.value) for i, x in enumerate(steps[k])]
+            theta = [s.member.bias, *(s.member.theta[f] for f in in_order(s.member.theta))]
+            s.path.append((c.lambda_, sum(map(abs, theta[1:])), theta))
+            log.info("fit %d: %d features of %d tried, lambda %e, %d iterations", k, s.member.nonzero(), len(c.features), c.lambda_, len(steps[k]))
+
+    def _epochs(self, select) -> None:
+        """Let every fit choose and fit again until its choice changes nothing. select(gradients, open fits) gives their Selections."""
+        open_ = list(range(len(self.states)))
+        for k in open_:
+            self.states[k].settled = False
+        for epoch in range(self.options.max_epochs or MOST_EPOCHS):
+            gradients = self.every_gradient().persist(StorageLevel.MEMORY_AND_DISK)
+            due = select(gradients, open_)
+            gradients.unpersist()
+            self.kept.pop().unpersist()
+            for k in open_:
+                self.states[k].settled = bool(epoch) and not due[k].changed
+            open_ = [k for k in open_ if not self.states[k].settled]
+            if not open_:
+                break
+            self._fit({k: due[k] for k in open_})
+            for k in open_:
+                self.states[k].lambda_ = due[k].lambda_
+            if self.options.lambda_ is not None and self.options.max_features:
+                full = [k for k in open_ if len(due[k].features) >= self.options.max_features]
+                for k in full:
+                    self.states[k].settled = True
+                open_ = [k for k in open_ if k not in full]
+            if not open_:
+                break
+
+    def fit_auto(self, n: int) -> list[Estimate]:
         """Choose features and penalty for n non-zero coefficients, fit, and again until nothing changes.
 
         n = 0 stands for all candidates.
         """
-        if n <= 0:
-            n = self.values.select("a", "b").distinct().count()
-        lambda_: float | None = None
-        self.settled = False
-        for epoch in range(self.options.max_epochs or MOST_EPOCHS):
-            chosen = select_auto(self.gradients(), self._active(), n, lambda_, self.options.epsilon_lambda)
-            if epoch and not chosen.changed:
-                self.settled = True
-                break
-            lambda_ = chosen.lambda_
-            self._fit(chosen, lambda_)
-        return self._done(lambda_ or 0.0)
+        for s in self.states:
+            s.lambda_ = None
+
+        def chosen(gradients: DataFrame, open_: list[int]) -> dict[int, Selection]:
+            many = n if n > 0 else gradients.count()
+            best = self._best(gradients, open_, many)
+            return {k: choose(*best[k], self.states[k].active(), many, self.states[k].lambda_, self.options.epsilon_lambda) for k in open_}
 
-    def fit_fixed(self, lambda_: float) -> Estimate:
+        self._epochs(chosen)
+        return self._done()
+
+    def fit_fixed(self, lambda_: float) -> list[Estimate]:
         """Add what violates |gradient| < lambda and fit, until nothing does."""
-        self.settled = False
-        for epoch in range(self.options.max_epochs or MOST_EPOCHS):
-            chosen = select_fixed(self.gradients(), self._active(), lambda_, self.options.max_features)
-            if epoch and not chosen.changed:
-                self.settled = True
-                break
-            self._fit(chosen, lambda_)
-            if self.options.max_features and len(chosen.features) >= self.options.max_features:
-                self.settled = True
-                break
-        return self._done(lambda_)
-
-    def _done(self, lambda_: float) -> Estimate:
-        member = Member(self.member.bias, {f: t for f, t in self.member.theta.items() if t != 0})
-        if self.options.penalty_free and member.theta:
-            features = sorted(member.theta, key=lambda f: (f[0] != f[1], f))
-            member, _ = solve(self._design(features), features, 0.0, self.options, self.weights)
-        transform = {}
-        if self.transform is not None and member.theta:
-            side = self.samples.sparkSession.createDataFrame(list(member.theta), "a bigint, b bigint")
-            transform = {(r.a, r.b): (r.offset, r.scale) for r in self.transform.join(F.broadcast(side), ["a", "b"]).collect()}
-        if not self.settled:
-            log.warning("the fit ended at its bound of epochs, not settled")
-        return Estimate(member, transform, lambda_, list(self.trace), list(self.path), self.settled)
+        most = self.options.max_features
 
-    def estimate(self) -> list[Estimate]:
-        """One estimate for a fixed penalty, else one for each number of features, ascending."""
+        def chosen(gradients: DataFrame, open_: list[int]) -> dict[int, Selection]:
+            out = {}
+            for k, over in self._over(gradients, open_, lambda_, most).items():
+                active = self.states[k].active()
+                fresh = [f for f in over if f not in set(active)]
+                features = active + (fresh[: max(most - len(active), 1)] if most else fresh)
+                out[k] = Selection(features, lambda_, len(features) > len(active))
+            return out
+
+        self._epochs(chosen)
+        for s in self.states:
+            s.lambda_ = lambda_
+        return self._done()
+
+    def _done(self) -> list[Estimate]:
+        kept = [s.member for s in self.states]
+        if self.options.penalty_free:
+            due = {k: s.active() for k, s in enumerate(self.states) if s.active()}
+            self._solve(due, dict.fromkeys(due, 0.0))
+        out = []
+        for k, s in enumerate(self.states):
+            member = Member(s.member.bias, {f: s.member.theta[f] for f in s.active()})
+            transform = {}
+            if self.transform is not None:
+                transform = {f: (float(o), float(x)) for f, o, x in zip(member.theta, *self.scales(list(member.theta), k), strict=True)}
+            if not s.settled:
+                log.warning("a fit ended at its bound of epochs, not settled")
+            out.append(Estimate(member, transform, s.lambda_ or 0.0, list(s.trace), list(s.path), s.settled))
+            s.member = kept[k]  # the next number of features starts from the penalised solution
+        return out
+
+    def estimates(self) -> list[list[Estimate]]:
+        """For each fit one estimate for a fixed penalty, else one for each number of features, ascending."""
         if self.options.lambda_ is not None:
-            return [self.fit_fixed(self.options.lambda_)]
-        return [self.fit_auto(n) for n in self.options.lambda_auto]
+            found = [self.fit_fixed(self.options.lambda_)]
+        else:
+            found = [self.fit_auto(n) for n in self.options.lambda_auto]
+        return [list(x) for x in zip(*found, strict=True)]
+
+
+class Estimator(Fits):
+    """A single fit on all samples."""
+
+    @property
+    def member(self) -> Member:
+        return self.states[0].member
+
+    @property
+    def trace(self) -> list:
+        return self.states[0].trace
+
+    @property
+    def path(self) -> list:
+        return self.states[0].path
+
+    def gradients(self) -> DataFrame:
+        """(a, b, gradient) of the unpenalised loss by every candidate, at the current coefficients."""
+        return self.every_gradient().select("a", "b", F.col("g")[0].alias("gradient"))
+
+    def estimate(self) -> list[Estimate]:
+        return self.estimates()[0]
+
+
+SUMMARIES = {"mean": np.mean, "min": np.min, "max": np.max, "product": np.prod, "": lambda v: v[0] if len(v) == 1 else float("nan")}
 
 
 def evaluate(samples: DataFrame, features: DataFrame, model: Model, lambda_: float | None = None, balance: bool = False) -> float:
@@ -207,5 +390,4 @@ def evaluate(samples: DataFrame, features: DataFrame, model: Model, lambda_: flo
     w = class_weights(samples).first() if balance else None
     rows = {r["member"]: r["loss"] for r in loss(scored, n, (w.w0, w.w1) if w else (1.0, 1.0)).collect()}
     values = [rows.get(m, float("nan")) + p for m, p in enumerate(penalty(model, lambda_))]
-    how = {"mean": np.mean, "min": np.min, "max": np.max, "product": np.prod, "": lambda v: v[0] if len(v) == 1 else float("nan")}
-    return float(how[model.summary](values))
+    return float(SUMMARIES[model.summary](values))

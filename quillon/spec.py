@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 ALPHABETS = ("nucleotide", "gapped-nucleotide", "iupac-nucleotide")
 TRANSFORMS = ("none", "standardizer", "variance-scaler", "max-abs-scaler", "mean-scaler")
+SOLVERS = ("coordinate", "proximal")
 SUMMARIES = ("", "mean", "product", "min", "max")
 
 
@@ -83,6 +84,7 @@ class Options:
     k_fold: int = 1
     validation_size: float = 0.0
     seed: int = 1
+    solver: str = "coordinate"
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "lambda_auto", tuple(sorted(self.lambda_auto)))
@@ -92,6 +94,8 @@ class Options:
             raise ValueError(f"unknown transform: {self.transform}")
         if self.ensemble_summary not in SUMMARIES:
             raise ValueError(f"unknown summary: {self.ensemble_summary}")
+        if self.solver not in SOLVERS:
+            raise ValueError(f"unknown solver: {self.solver}")
         if not 0 <= self.validation_size <= 1:
             raise ValueError("validation_size must be between 0 and 1")
 
