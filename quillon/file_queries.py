@@ -199,24 +199,30 @@ def _kept(spark, d, keep) -> list[Model]:
 
 
 def _coefficient_rows(spark, model: Model) -> DataFrame:
-    rows = [(m, model.names[a], float(t)) for m, x in enumerate(model.members) for (a, _), t in x.theta.items() if t != 0]
+    """A row for each coefficient that the model holds, zeros too."""
+    rows = [(m, model.names[a], float(t)) for m, x in enumerate(model.members) for (a, _), t in x.theta.items()]
     rows += [(m, "bias", float(x.bias)) for m, x in enumerate(model.members)]
     return spark.createDataFrame(rows, "member int, feature string, theta double")
 
 
 _PARTLY = f"""{_COEF}, names(a, feature) as (values (0, 'quantity'), (1, 'price'), (2, 'discount'), (3, 'tax')),
-    partly as (select member, feature, theta from coef join names using (a) where (member + a) % 2 = 0 and theta <> 0)"""
+    partly as (select member, feature, theta from coef join names using (a) where ((member + a) % 2 = 0 or a >= 2) and theta <> 0)"""
+
+
+def _held_by(m: int, a: int) -> bool:
+    """Quantity and price are held by every other member, discount and tax by all."""
+    return (m + a) % 2 == 0 or a >= 2
 
 
 @query(f"with {_PARTLY} select member, feature, theta from partly union all select distinct member, 'bias', cast(member as double) from coef")
 def ensemble_joined(spark, d):
     """One ensemble of models over different features."""
-    return _coefficient_rows(spark, ensemble.joined(_kept(spark, d, lambda m, a: (m + a) % 2 == 0)))
+    return _coefficient_rows(spark, ensemble.joined(_kept(spark, d, _held_by)))
 
 
 def _combined(how: str, of_theta: str, of_bias: str) -> None:
     def run(spark, d):
-        return _rounded(_coefficient_rows(spark, ensemble.combine_models(_kept(spark, d, lambda m, a: (m + a) % 2 == 0), how)), 6, "theta")
+        return _rounded(_coefficient_rows(spark, ensemble.combine_models(_kept(spark, d, _held_by), how)), 6, "theta")
 
     run.__name__ = f"combine_models_{how}"
     query(
@@ -241,8 +247,8 @@ def nonzero_coefficients(spark, d):
 def score_model_file(spark, d):
     """A model of scores written as JSON and read again."""
     path = _folder(spark)
-    model_io.save(ensemble.joined(_kept(spark, d, lambda m, a: (m + a) % 2 == 0)), path, spark)
-    return _coefficient_rows(spark, model_io.load(path, spark))
+    model_io.save(ensemble.joined(_kept(spark, d, _held_by)), path, spark)
+    return _coefficient_rows(spark, model_io.load(path, spark)).where("theta <> 0 or feature = 'bias'")
 
 
 @query(

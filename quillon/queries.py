@@ -460,7 +460,7 @@ _G3 = f"""{_LABELLED}, {_seq_sql()}, {_counts_sql(3)}, dict as (select kmer, row
 
 def _gradients3(spark, d) -> DataFrame:
     samples = _labelled(spark, d)
-    features, _ = kmers.kmer_features(_sequences(spark, d), _spec(3))
+    features, _ = kmers.kmer_features(_sequences(spark, d), _spec(3), samples)
     zero = Model([Member(0.0)], {})
     return linear.gradient(stats.single_values(features), linear.residuals(linear.linear_scores(samples, features, zero), samples.count()))
 
@@ -625,7 +625,7 @@ def coefficients_rescaled(spark, d):
     from counts join dict using (kmer) join labelled using (sample_id), n group by f"""
 )
 def abundance(spark, d):
-    features, _ = kmers.kmer_features(_sequences(spark, d), _spec(4))
+    features, _ = kmers.kmer_features(_sequences(spark, d), _spec(4), _labelled(spark, d))
     return _rounded(report.abundance(stats.single_values(features), _labelled(spark, d)), 9, "foreground", "background")
 
 
@@ -685,15 +685,15 @@ def _window_model(spark, d, binarize: bool = False) -> tuple[DataFrame, DataFram
     return seqs, known, Model([Member(0.25, theta)], {}, spec, {(1, 1): (0.5, 2.0)})
 
 
-_SCALED = "sum(case when f = 1 then 2 * (f - 4) / 50 else (f - 4) / 50 end) + 0.5 * 2 * 3 / 50"
+_SCALED_SUM = "sum(case when f = 1 then 2 * (f - 4) / 50 else (f - 4) / 50 end) + 0.5 * 2 * 3 / 50"
 
 
-@query(
-    f"""with {_seq_sql()}, {_counts_sql(2)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
+_SCALED_Z = f"""with {_seq_sql()}, {_counts_sql(2)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
     {_CUT}, {_PARTS.format(_WINDOW)},
-    z as (select sample_id, start, 0.25 + {_SCALED} as z from parts join dict on kmer = {_canon('w')} group by 1, 2)
-    select sample_id, start, cast(0 as integer) as member, round(z, 6) as z, round({_LP}, 6) as prediction from z"""
-)
+    z as (select sample_id, start, 0.25 + {_SCALED_SUM} as z from parts join dict on kmer = {_canon('w')} group by 1, 2)"""
+
+
+@query(f"{_SCALED_Z} select sample_id, start, cast(0 as integer) as member, round(z, 6) as z, round({_LP}, 6) as prediction from z")
 def window_scores(spark, d):
     seqs, known, model = _window_model(spark, d)
     return _rounded(windows.window_scores(seqs, known, model, _WINDOW, _STEP), 6, "z", "prediction")
@@ -702,7 +702,7 @@ def window_scores(spark, d):
 @query(
     f"""with {_seq_sql()}, {_counts_sql(2)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
     {_CUT}, {_PARTS.format(_WINDOW)}, once as (select distinct sample_id, start, f from parts join dict on kmer = {_canon('w')}),
-    z as (select sample_id, start, 0.25 + {_SCALED} as z from once group by 1, 2)
+    z as (select sample_id, start, 0.25 + {_SCALED_SUM} as z from once group by 1, 2)
     select sample_id, start, cast(0 as integer) as member, round(z, 6) as z, round({_LP}, 6) as prediction from z"""
 )
 def window_scores_of_presence(spark, d):
@@ -732,7 +732,7 @@ def genomic_slice(spark, d):
 _GENOMIC = f"""with {_seq_sql()}, {_REGIONS}, {_counts_sql(2)}, dict as (select kmer, row_number() over (order by kmer) - 1 as f from (select distinct kmer from counts)),
     cut as (select sample_id, cast(i as integer) as start, substring(s, i + 1, 20) as s from (select region_id as sample_id, substring(s, start + 1, stop - start) as s,
         unnest(range(0, stop - start - 20, 10)) as i from placed where s is not null)), {_PARTS.format(20)},
-    z as (select sample_id, start, 0.25 + {_SCALED} as z from parts join dict on kmer = {_canon('w')} group by 1, 2),
+    z as (select sample_id, start, 0.25 + {_SCALED_SUM} as z from parts join dict on kmer = {_canon('w')} group by 1, 2),
     scored as (select sample_id as region_id, start, 2 * {_LP} as prediction from z)"""
 
 
@@ -848,4 +848,4 @@ def matrix_export(spark, d):
     return matrix_lines(features, seqs.select("sample_id"), known)
 
 
-from . import file_queries  # noqa: E402, F401 - registers its own
+from . import file_queries, fit_queries  # noqa: E402, F401 - register their own
