@@ -158,49 +158,52 @@ def window_file(spark, d):
     return readers.read_lines(spark, path)
 
 
-# Folds and members, each left out of one of three fits for one feature
-
-_PARTS3 = f"""with recursive {_SCORES}, {_LONG}, s as (select f, avg(v) as m, stddev_samp(v) as sd from long group by f),
-    placed as (select sample_id, label::int as y, (row_number() over (order by sample_id) - 1) % 3 as fold from scores),
-    z as (select sample_id, f, (v - m) / sd as x from long join s using (f)),
-    g as (select part, f, avg((0.5 - y) * x) as g from z join placed using (sample_id) join (select unnest([0, 1, 2]) as part) on fold <> part group by part, f),
-    r as (select part, f, g, abs(g) as size, row_number() over (partition by part order by abs(g) desc) as place from g),
-    p as (select part, max(f) filter (place = 1) as f, -sign(max(g) filter (place = 1)) as way, (max(size) + max(size) filter (place = 2)) / 2 as l from r group by part),
-    x as (select part, l, way, fold = part as held, y, x from p join z using (f) join placed using (sample_id)),
-    it(i, part, b, t) as (select 0, part, 0.0::double, 0.0::double from p union all
+# Folds and members, each left out of one of three fits on the first column with a small penalty
+
+_L = 0.00001
+_PARTS3 = f"""with recursive {_SCORES}, {_LONG}, s as (select avg(quantity) as m, stddev_samp(quantity) as sd from scores),
+    placed as (select sample_id, label::int as y, (quantity - m) / sd as x, (row_number() over (order by sample_id) - 1) % 3 as fold from scores, s),
+    x as (select part, fold = part as held, y, x from placed join (select unnest([0, 1, 2]) as part) on true),
+    it(i, part, b, t) as (select 0, part, 0.0::double, 0.0::double from (select unnest([0, 1, 2]) as part) union all
         select i + 1, part, b - (htt * gb - hbt * gt) / (hbb * htt - hbt * hbt), t - (hbb * gt - hbt * gb) / (hbb * htt - hbt * hbt) from (
-            select i, part, b, t, avg(q - y) as gb, avg((q - y) * x) + any_value(l * way) as gt, avg(q * (1 - q)) as hbb, avg(q * (1 - q) * x) as hbt, avg(q * (1 - q) * x * x) as htt
-            from (select i, part, b, t, y, x, l, way, 1 / (1 + exp(-(b + t * x))) as q from it join x using (part) where i < 12 and not held) group by i, part, b, t)),
-    best as (select part, b, t from it where i = 12)"""
-_ONE_EACH = {"transform": "standardizer", "lambda_auto": (1,), "seed": -1}
+            select *, slope + {_L} * (case when t = 0 then -sign(slope) else sign(t) end) as gt from (
+                select i, part, b, t, avg(q - y) as gb, avg((q - y) * x) as slope, avg(q * (1 - q)) as hbb, avg(q * (1 - q) * x) as hbt, avg(q * (1 - q) * x * x) as htt
+                from (select i, part, b, t, y, x, 1 / (1 + exp(-(b + t * x))) as q from it join x using (part) where i < 14 and not held) group by i, part, b, t))),
+    best as (select part, b, t from it where i = 14)"""
+_ONE_EACH = {"transform": "standardizer", "lambda_": _L, "seed": -1}
+
+
+def _one_column(spark, d) -> tuple[DataFrame, DataFrame]:
+    samples, features = _score_data(spark, d)
+    return samples, features.where("feature_id = 0")
 
 
 @query(
-    f"""{_PARTS3}, nll as (select part, held, ln(1 + exp(b + t * x)) - y * (b + t * x) as nll from best join x using (part))
-    select cast(part as integer) as fold, round(avg(nll) filter (not held), 6) as train, round(avg(nll) filter (held), 6) as test from nll group by part"""
+    f"""{_PARTS3}, nll as (select part, held, ln(1 + exp(b + t * x)) - y * (b + t * x) as nll, {_L} * abs(t) as l from best join x using (part))
+    select cast(part as integer) as fold, round(avg(nll) filter (not held) + any_value(l), 6) as train, round(avg(nll) filter (held) + any_value(l), 6) as test from nll group by part"""
 )
 def cross_validation_of_one_feature(spark, d):
-    samples, features = _score_data(spark, d)
+    samples, features = _one_column(spark, d)
     done = cross_validate(samples, features, MODEL.names, Options(k_fold=3, **_ONE_EACH))
     return _rounded(spark.createDataFrame([(r.fold, r.train_loss, r.test_loss) for r in done], "fold int, train double, test double"), 6, "train", "test")
 
 
 @query(
     f"""{_PARTS3} select cast(part as integer) as member, cast(-1 as bigint) as a, round(b, 6) as theta from best
-    union all select cast(part as integer), cast(f as bigint), round(t, 6) from best join p using (part)"""
+    union all select cast(part as integer), cast(0 as bigint), round(t, 6) from best"""
 )
 def ensemble_of_one_feature(spark, d):
-    samples, features = _score_data(spark, d)
+    samples, features = _one_column(spark, d)
     found = fit_ensemble(samples, features, MODEL.names, Options(ensemble_size=3, **_ONE_EACH))
     return _rounded(_fit_rows(spark, found).select("member", "a", "theta"), 6, "theta")
 
 
 @query(
     f"""{_PARTS3} select sample_id, label, round(-ln(1 + exp(-(b + t * x))), 6) as prediction
-    from placed join p on fold = part join best using (part) join z using (sample_id, f) join scores using (sample_id)"""
+    from placed join best on fold = part join scores using (sample_id)"""
 )
 def predictions_of_folds(spark, d):
     """Each sample's prediction by the fit that left it out."""
-    samples, features = _score_data(spark, d)
+    samples, features = _one_column(spark, d)
     done = cross_validate(samples, features, MODEL.names, Options(k_fold=3, **_ONE_EACH))
     return _rounded(reduce(DataFrame.unionByName, [r.predictions for r in done]), 6, "prediction")
