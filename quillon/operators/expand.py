@@ -1,45 +1,61 @@
-"""Symbolic expansion of numeric columns: unary and binary operations, level by level."""
+"""Symbolic expansion of numeric columns: unary and binary operations, level by level.
+
+Columns to be are small expressions that tasks evaluate on arrays, so neither their
+number nor their depth makes a plan larger.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from ..session import ship
 
 _EXPS = frozenset({"exp", "expneg", "log", "logneg"})
+#: Candidates that one job decides on; rows that a task evaluates at once.
+TOGETHER, ROWS = 1024, 1024
 
 
 @dataclass(frozen=True)
 class Operation:
-    """name: its own; label: how a result is called; apply: the expression, null or NaN
+    """name: its own; label: how a result is called; apply: the function of arrays, NaN
     where undefined; rejects: last operations of a column that it isn't applied to;
     final: whether results may be output or only feed the next final operation."""
 
     name: str
     label: str
-    apply: Callable[..., Column]
+    apply: Callable[..., np.ndarray]
     arity: int = 1
     rejects: frozenset[str] = frozenset()
     final: bool = True
 
 
-def _positive(c: Column, f: Callable[[Column], Column]) -> Column:
-    return F.when(c > 0, f(c))
+def _where(c: np.ndarray, ok: np.ndarray, f: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    return np.where(ok, f(np.where(ok, c, 1.0)), np.nan)
+
+
+def _quotient(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b != 0, a / np.where(b != 0, b, 1.0), np.nan)
 
 
 UNARY = {
     o.name: o
     for o in (
-        Operation("abs", "abs({})", F.abs, rejects=frozenset({"exp", "square", "sqrt"})),
-        Operation("exp", "exp({})", F.exp, rejects=_EXPS),
-        Operation("expneg", "exp(-{})", lambda c: F.exp(-c), rejects=_EXPS),
-        Operation("log", "log({})", lambda c: _positive(c, F.log), rejects=_EXPS),
-        Operation("logneg", "log(-{})", lambda c: _positive(-c, F.log), rejects=_EXPS),
+        Operation("abs", "abs({})", np.abs, rejects=frozenset({"exp", "square", "sqrt"})),
+        Operation("exp", "exp({})", np.exp, rejects=_EXPS),
+        Operation("expneg", "exp(-{})", lambda c: np.exp(-c), rejects=_EXPS),
+        Operation("log", "log({})", lambda c: _where(c, c > 0, np.log), rejects=_EXPS),
+        Operation("logneg", "log(-{})", lambda c: _where(-c, c < 0, np.log), rejects=_EXPS),
         Operation("square", "({}^2)", lambda c: c * c),
-        Operation("sqrt", "sqrt({})", lambda c: F.when(c >= 0, F.sqrt(c))),
-        Operation("sqrtneg", "sqrt(-{})", lambda c: F.when(c <= 0, F.sqrt(-c))),
+        Operation("sqrt", "sqrt({})", lambda c: _where(c, c >= 0, np.sqrt)),
+        Operation("sqrtneg", "sqrt(-{})", lambda c: _where(-c, c <= 0, np.sqrt)),
     )
 }
 BINARY = {
@@ -49,8 +65,8 @@ BINARY = {
         Operation("sub", "({}-{})", lambda a, b: a - b, 2, final=False),
         Operation("subrev", "({1}-{0})", lambda a, b: b - a, 2, final=False),
         Operation("mul", "({}*{})", lambda a, b: a * b, 2),
-        Operation("div", "({}/{})", lambda a, b: F.try_divide(a, b), 2),
-        Operation("divrev", "({1}/{0})", lambda a, b: F.try_divide(b, a), 2),
+        Operation("div", "({}/{})", _quotient, 2),
+        Operation("divrev", "({1}/{0})", lambda a, b: _quotient(b, a), 2),
     )
 }
 #: What a name in a list of operations stands for; the default list is all of them.
@@ -69,36 +85,61 @@ def parse_operations(text: str = "") -> list[Operation]:
     return [(UNARY | BINARY)[y] for x in names for y in EXPANDS_TO[x]]
 
 
-@dataclass
+@dataclass(frozen=True)
 class Candidate:
-    """A column to be: its name, expression and last operation."""
+    """A column to be: its name, its last operation (none: a column of the table) and what that is applied to."""
 
     name: str
-    expr: Column
     last: str = ""
-    source: Column | None = None  # a unary result must differ from it somewhere
+    of: tuple["Candidate", ...] = ()
+
+    def values(self, base: dict[str, np.ndarray], known: dict[str, np.ndarray]) -> np.ndarray:
+        """Its values out of the table's columns; known holds what was evaluated before."""
+        if not self.of:
+            return base[self.name]
+        if self.name not in known:
+            known[self.name] = (UNARY | BINARY)[self.last].apply(*(c.values(base, known) for c in self.of))
+        return known[self.name]
 
 
-def valid(table: DataFrame, candidates: list[Candidate], least: float = 0.0, most: float = 0.0) -> list[Candidate]:
-    """The candidates that may stay, by one aggregation over the table for all of them.
+def _arrays(columns: list[str], b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, dict[str, np.ndarray]]]:
+    for lo in range(0, b.num_rows, ROWS):
+        part = b.slice(lo, ROWS)
+        yield part, {c: part.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns}
+
+
+def valid(table: DataFrame, columns: list[str], candidates: list[Candidate], least: float = 0.0, most: float = 0.0) -> list[Candidate]:
+    """The candidates that may stay, by one pass over the table for all of them.
 
     A column goes if a value is null, NaN or infinite, or (with most > 0) over `most` in
-    size; if none is over `least` in size; or if it nowhere differs from its source by
-    more than 1e-12.
+    size; if none is over `least` in size; or if, made of one other column, it nowhere
+    differs from that by more than 1e-12.
     """
     if not candidates:
         return []
-    checks = []
-    for c in candidates:
-        v = c.expr.cast("double")
-        size = F.abs(v)
-        wrong = v.isNull() | F.isnan(v) | (size == float("inf"))
-        checks.append(F.coalesce(F.bool_or(wrong | ((size > most) if most > 0 else F.lit(False))), F.lit(True)))
-        checks.append(F.coalesce(F.bool_or(size > least), F.lit(False)))
-        moved = F.bool_or(F.abs(v - c.source) > 1e-12) if c.source is not None else F.lit(True)
-        checks.append(F.coalesce(moved, F.lit(False)))
-    row = table.agg(*(x.alias(f"c{i}") for i, x in enumerate(checks))).first()
-    return [c for i, c in enumerate(candidates) if not row[3 * i] and row[3 * i + 1] and row[3 * i + 2]]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros((3, len(candidates)), bool)
+        some = False
+        for b in batches:
+            for _, base in _arrays(columns, b):
+                known: dict[str, np.ndarray] = {}
+                some = True
+                with np.errstate(all="ignore"):
+                    for i, c in enumerate(candidates):
+                        v = c.values(base, known)
+                        size = np.abs(v)
+                        flags[0, i] |= not np.isfinite(v).all() or (most > 0 and bool((size > most).any()))
+                        flags[1, i] |= bool((size > least).any())
+                        flags[2, i] |= len(c.of) != 1 or bool((np.abs(v - c.of[0].values(base, known)) > 1e-12).any())
+        if some:
+            yield pa.record_batch([pa.array(np.arange(len(candidates), dtype=np.int32)), *(pa.array(f) for f in flags)], names=["i", "wrong", "large", "moved"])
+
+    ship(table.sparkSession)
+    rows = table.select(*(F.col(f"`{c}`") for c in columns)).mapInArrow(judge, "i int, wrong boolean, large boolean, moved boolean")
+    told = rows.groupBy("i").agg(F.bool_or("wrong").alias("wrong"), F.bool_or("large").alias("large"), F.bool_or("moved").alias("moved"))
+    ok = {r.i for r in told.where("not wrong and large and moved").collect()}
+    return [c for i, c in enumerate(candidates) if i in ok]
 
 
 def expand(
@@ -111,41 +152,56 @@ def expand(
     them for binary ones). Results of sums and differences aren't output but taken, and
     used up, by the next final operation. It ends at max_depth (0: none), at
     max_features, or when a level adds nothing. Validity is decided over all rows, a job
-    for each operation and level; the new columns themselves are one projection.
+    for each operation, level and TOGETHER candidates, in order and only until there are
+    enough; the new columns are made by one pass.
     """
     operations = parse_operations() if operations is None else operations
-    made = [Candidate(c, F.col(f"`{c}`").cast("double")) for c in columns]
+    made = [Candidate(c) for c in columns]
     level, depth = list(made), 0
     pending: list[Candidate] = []  # results that only feed the next final operation
     while level and len(made) < max_features and (not max_depth or depth < max_depth):
         before = {c.name for c in made}
         fresh: list[Candidate] = []
         for op in operations:
-            sources = level + pending if op.final else level
-            found = [c for c in _results(op, sources) if c.name not in before]
-            kept = valid(table, found, least, most)
+            found = (c for c in _results(op, level + pending if op.final else level) if c.name not in before)
+            kept: list[Candidate] = []
+            while part := list(islice(found, TOGETHER)):
+                kept += valid(table, columns, part, least, most)
+                if op.final and len(made) + len(kept) >= max_features:
+                    break
             if not op.final:
                 pending += kept
                 continue
             pending = []
             for c in kept:
-                if len(made) < max_features:
+                if len(made) < max_features and c.name not in before:
                     made.append(c)
                     fresh.append(c)
                     before.add(c.name)
             if len(made) >= max_features:
                 break
         level, depth = fresh, depth + 1
-    own = [F.col(f"`{c}`") for c in table.columns]
-    return table.select(*own, *(c.expr.alias(c.name) for c in made[len(columns) :]))
+    new = made[len(columns) :]
+    if not new:
+        return table
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, base in _arrays(columns, b):
+                known: dict[str, np.ndarray] = {}
+                with np.errstate(all="ignore"):
+                    values = [pa.array(np.asarray(c.values(base, known), float)) for c in new]
+                yield pa.RecordBatch.from_arrays([*part.columns, *values], [*part.schema.names, *(c.name for c in new)])
+
+    ship(table.sparkSession)
+    return table.mapInArrow(make, StructType([*table.schema.fields, *(StructField(c.name, DoubleType()) for c in new)]))
 
 
-def _results(op: Operation, columns: list[Candidate]) -> list[Candidate]:
+def _results(op: Operation, columns: list[Candidate]) -> Iterator[Candidate]:
     free = [c for c in columns if c.last not in op.rejects]
     if op.arity == 1:
-        return [Candidate(op.label.format(c.name), op.apply(c.expr), op.name, c.expr) for c in free]
-    return [
-        Candidate(op.label.format(a.name, b.name), op.apply(a.expr, b.expr), op.name)
-        for i, a in enumerate(free)
-        for b in free[i + 1 :]
-    ]
+        yield from (Candidate(op.label.format(c.name), op.name, (c,)) for c in free)
+        return
+    for i, a in enumerate(free):
+        for b in free[i + 1 :]:
+            yield Candidate(op.label.format(a.name, b.name), op.name, (a, b))
