@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm import decontaminate, lines, packing, quality, simhash
 from quillon.llm.common import small, stored, table
 from quillon.llm.queries import END_ID, SEQUENCE, tokenizer
-from quillon.session import remove_tables, tables_written
+from quillon.session import owned, remove_tables
 
 #: Bound of a table of ids for a broadcast.
 FEW_IDS = 500_000
@@ -86,11 +86,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     What a stage stored on its way, and its predecessor's result, go once its own result is written.
     """
-    docs = table(spark, sf_dir, "documents")
-    before = len(tables_written(spark))
+    docs, before = table(spark, sf_dir, "documents"), []
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, name.replace(" ", "-"))
-            remove_tables(spark, tables_written(spark)[before:-1])
+        last = k + 1 == len(STAGES)
+        with owned() as own:
+            docs = stage(spark, docs, sf_dir)
+            docs = docs if last else stored(docs, name.replace(" ", "-"))
+        if not last:
+            remove_tables(spark, before + own[:-1])
+            before = own[-1:]
     return docs

@@ -6,12 +6,16 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 _written: dict[str, list[str]] = {}
+_owners: ContextVar[tuple[list[str], ...]] = ContextVar("owners", default=())
 
 
 def ship(spark: SparkSession) -> None:
@@ -56,7 +60,8 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, []).append(path)
+    for known in (_written.setdefault(df.sparkSession.sparkContext.applicationId, []), *_owners.get()):
+        known.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,6 +83,17 @@ def tables_written(spark: SparkSession) -> list[str]:
     return list(_written.get(spark.sparkContext.applicationId, []))
 
 
+@contextmanager
+def owned() -> Iterator[list[str]]:
+    """The paths of the tables that are stored inside, oldest first: those of other threads' runs aren't among them."""
+    own: list[str] = []
+    before = _owners.set((*_owners.get(), own))
+    try:
+        yield own
+    finally:
+        _owners.reset(before)
+
+
 def remove_tables(spark: SparkSession, paths: list[str]) -> None:
     """Delete stored tables that nothing needs any more; their owner is who called for them."""
     known = _written.get(spark.sparkContext.applicationId, [])

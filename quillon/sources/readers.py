@@ -87,11 +87,7 @@ def read_scores(spark: SparkSession, path: str, header: bool = False, columns: l
     columns (score_names reads it) and is left out.
     """
     lines = spark.read.text(path)
-    if header:  # one line goes, not every row that looks like it
-        named, first = lines.withColumn("_i", F.monotonically_increasing_id()), lines.first()["value"]
-        at = named.where(F.col("value") == first).agg(F.min("_i")).first()[0]
-        lines = named.where(F.col("_i") != at).drop("_i")
-    lines = lines.where(F.trim("value") != "")
+    lines = (_without_header(lines) if header else lines).where(F.trim("value") != "")
     fields = F.filter(F.split("value", ","), lambda x: x != "")
     numbers = F.transform(fields, lambda x: F.trim(x).try_cast("double"))
     n = len(columns) if columns else len([x for x in (lines.first() or [""])[0].split(",") if x != ""])
@@ -100,6 +96,15 @@ def read_scores(spark: SparkSession, path: str, header: bool = False, columns: l
     return lines.select(F.when(bad, stop).otherwise(numbers).alias("values"))
 
 
+def _without_header(lines: DataFrame) -> DataFrame:
+    """All but the first line: one line goes, not every row that looks like it."""
+    named, first = lines.withColumn("_i", F.monotonically_increasing_id()), lines.first()
+    if first is None:
+        return lines
+    at = named.where(F.col("value") == first["value"]).agg(F.min("_i")).first()[0]
+    return named.where(F.col("_i") != at).drop("_i")
+
+
 def score_names(spark: SparkSession, path: str) -> list[str]:
     """The names in a table's first line."""
     row = spark.read.text(path).first()
@@ -113,8 +118,7 @@ def read_ranges(spark: SparkSession, path: str, column: str = "counts") -> DataF
     for need in ("seqnames", "from", "to", column):
         if need not in names:
             raise ValueError(f"no column {need}")
-    lines = spark.read.text(path)
-    rows = lines.where((F.trim("value") != "") & (F.col("value") != lines.first()["value"]))
+    rows = _without_header(spark.read.text(path)).where(F.trim("value") != "")
     part = F.split(F.trim("value"), r"\s+")
     at = {n: i for i, n in enumerate(names)}
     return rows.select(

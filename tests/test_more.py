@@ -86,6 +86,8 @@ def test_range_tables(spark, tmp_path):
     got = {r.seqname: (r.start, r.stop, r["values"]) for r in readers.read_ranges(spark, str(tmp_path / "r.table")).collect()}
     assert got == {"chr1": (5, 9, [1.0, 2.5]), "chr2": (0, 3, [4.0, 5.0])}
     assert readers.read_score_table(spark, str(tmp_path / "r.table")).count() == 2
+    (tmp_path / "h.csv").write_text("1,2\n1,2\n3,4\n")
+    assert readers.read_scores(spark, str(tmp_path / "h.csv"), header=True).count() == 2  # a row like the header stays
     (tmp_path / "r.bed").write_text("c1\t0\t3\nc2\t1\t2\n")
     ids = readers.with_ids(readers.read_bed(spark, str(tmp_path / "r.bed")))
     assert sorted(r.sample_id for r in ids.select("sample_id").collect()) == [0, 1]

@@ -194,6 +194,27 @@ def test_stored_tables_have_an_owner(spark):
         spark.read.parquet(paths[0])
 
 
+def test_runs_side_by_side_own_their_tables(spark):
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    from quillon import session
+
+    both = Barrier(2)
+
+    def run(n):
+        with session.owned() as outer, session.owned() as own:
+            both.wait(60)
+            table = session.stored(spark.range(n), f"run{n}")
+            both.wait(60)
+            session.remove_tables(spark, own if n == 3 else [])
+            both.wait(60)
+            return outer == own, [p for p in own if f"run{n}-" not in p], n == 3 or table.count()
+
+    with ThreadPoolExecutor(2) as pool:
+        assert list(pool.map(run, (3, 4))) == [(True, [], True), (True, [], 4)]
+
+
 def test_the_check_before_a_broadcast(spark):
     from quillon.session import small
 
