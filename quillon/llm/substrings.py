@@ -8,9 +8,11 @@ Strings that repeat are found in three steps, each a shuffle of less than the te
    of one batch have is settled there and goes on once.
 2. Strings. Runs of windows with one repeated anchor are cut out and dealt by the
    anchor. A string that several documents of one batch have goes on once, for the
-   smallest of them; the others lose it at once. Buckets of over HEAVY bytes, where many
-   strings share an anchor, are dealt again window by window, by the window's digest;
-   equal windows then meet without an order.
+   smallest of them; the others lose it at once. Where strings of one anchor are too many
+   bytes the anchor grows: its windows are halved by the anchor's offset in them, each half
+   has some more bytes in common, and these are the new anchor. Buckets of over HEAVY bytes
+   are dealt again by longer anchors, and so are those of over TRANSFORM bytes in their task.
+   After five halvings (of 27 offsets) an anchor is a window, and equal strings are one.
 3. Intervals. In each bucket the suffixes of the distinct strings are sorted; backward
    extension on their Burrows-Wheeler transform, breadth first, gives the common
    prefixes of neighbours in rising order and stops at `length`. What it hasn't
@@ -31,10 +33,10 @@ from .common import documents, large_batches, map_batches, small, stored, utf8
 
 #: Bytes of an anchor; text that is scanned at once.
 K, PART = 24, 1_500_000
-#: Bytes of text whose anchors meet in one task; of one bucket of strings, of the text that
-#: one transform is made of, and of a bucket that is dealt again; documents whose findings
+#: Bytes of text whose anchors meet in one task; of one bucket of strings, of one anchor's
+#: strings in a transform, and of a bucket that is dealt again; documents whose findings
 #: are gathered in one task; rows of a broadcast (common.small bounds its bytes).
-ANCHORED, BUCKET, TRANSFORM, HEAVY, GATHER, FEW = 12_000_000, 6_000_000, 2_000_000, 40_000_000, 20_000, 500_000
+ANCHORED, BUCKET, TRANSFORM, HEAVY, GATHER, FEW = 12_000_000, 6_000_000, 2_000_000, 16_000_000, 20_000, 500_000
 _NONE = np.iinfo(np.int64).max  # stands for a null id: after all others
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -301,16 +303,155 @@ def _boundaries(bwt: np.ndarray, length: int) -> np.ndarray:
     return split
 
 
+def _spread(counts: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The numbers firsts[i], firsts[i] + 1, ... of each i, counts[i] of them."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - firsts, counts)
+
+
+def _pieces(strings: list[bytes], length: int, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(string, start, size, key) of the strings' pieces by longer anchors.
+
+    All windows of a string have the anchor at one place. A piece holds those that have it
+    at an offset of b * block to (b + 1) * block - 1; what all such windows have in common
+    around the anchor is length - block + 1 bytes, and key is their hash. Equal windows
+    have equal keys; with a block of 1 the key is the window's.
+    """
+    out = [[np.zeros(0, np.int64)] for _ in range(3)] + [[np.zeros(0, np.int64)]]
+    for i, j in _parts(strings):
+        scan = Scan(strings[i:j], length)
+        size = np.diff(np.append(scan.start, len(scan.body)))
+        windows, anchors = scan.windows(scan.at)
+        place = anchors[np.searchsorted(windows, scan.start)] - scan.start
+        low, high = (place - size + length) // block, place // block
+        own = np.repeat(np.arange(len(size)), high - low + 1)
+        b, place = _spread(high - low + 1, low) * block, place[own]
+        start = place - np.minimum(b + block - 1, place)
+        end = place - np.maximum(b, place - size[own] + length) + length
+        at, key = scan.start[own] + place - b, b.astype(np.uint64) + np.uint64(1)
+        for k in range(length - block + 1):
+            key = (key ^ scan.body[at + k]) * _MIX
+            key ^= key >> np.uint64(32)
+        for column, x in zip(out, (own + i, start, end - start, (key >> np.uint64(1)).astype(np.int64)), strict=True):
+            column.append(x)
+    return tuple(np.concatenate(x) for x in out)
+
+
+def _classed(strings: list[bytes], key: np.ndarray, length: int, block: int, owner=None, first=None):
+    """(string, offset, class) of the windows that others may equal, in parts of about TRANSFORM bytes.
+
+    Windows of one key come in one part, unless their strings are more bytes: then these
+    go on as pieces with longer anchors. owner and first: instead of a string's number,
+    for each number the strings that it stands for, and where it starts in them.
+    """
+    if owner is None:
+        owner, first = np.arange(len(strings)), np.zeros(len(strings), np.int64)
+        many = np.ones(len(strings), np.int64)
+    else:
+        many, owner, first = np.array([len(x) for x in owner], np.int64), np.concatenate(owner), np.concatenate(first)
+    base = np.cumsum(many) - many
+    size = np.array([len(x) for x in strings], np.int64)
+    order = np.argsort(key, kind="stable")
+    starts, counts = _groups(key[order])
+
+    def part(own: np.ndarray):
+        string, offset, cls = classes([strings[i] for i in own.tolist()], length)
+        string = own[string]
+        n = many[string]
+        at = _spread(n, base[string])
+        return owner[at], first[at] + np.repeat(offset, n), np.repeat(cls, n)
+
+    own, total = [], 0
+    for i, n in zip(starts.tolist(), counts.tolist(), strict=True):
+        group = order[i : i + n]
+        if many[group].sum() == 1:
+            continue  # one string has no other windows to compare
+        amount = int(size[group].sum())
+        if amount > TRANSFORM and n > 1 and block > 1:
+            half, seen = (block + 1) // 2, {}
+            string, start, width, keys = _pieces([strings[k] for k in group.tolist()], length, half)
+            string = group[string]
+            for s, a, w, k in zip(string.tolist(), start.tolist(), width.tolist(), keys.tolist(), strict=True):
+                old = seen.setdefault(strings[s][a : a + w], (k, [], []))
+                old[1].append(owner[base[s] : base[s] + many[s]])
+                old[2].append(first[base[s] : base[s] + many[s]] + a)
+            below = np.array([x[0] for x in seen.values()], np.int64)
+            yield from _classed(list(seen), below, length, half, [np.concatenate(x[1]) for x in seen.values()], [np.concatenate(x[2]) for x in seen.values()])
+            continue
+        own.append(group)
+        total += amount
+        if total > TRANSFORM:
+            yield part(np.concatenate(own))
+            own, total = [], 0
+    if own:
+        yield part(np.concatenate(own))
+
+
 STRINGS = "bucket bigint, settled boolean, docs binary, starts binary, sizes binary, anchors binary, blob binary, counts binary"
 
 
+class _Strings:
+    """Different strings, of each the smallest document and its places there; the places of the others are gone."""
+
+    def __init__(self):
+        self.seen: dict[bytes, tuple[int, int, list[int]]] = {}  # document, anchor, all places in the document
+        self.gone: list[tuple[int, int, int]] = []
+
+    def add(self, rows) -> None:
+        """rows: (text, document, anchor, places)."""
+        seen, gone = self.seen, self.gone
+        for text, own, a, places in rows:
+            old = seen.get(text)
+            if old is None:
+                seen[text] = (own, a, places)
+            elif own == old[0]:
+                old[2].extend(places)
+            elif own < old[0]:
+                gone += [(old[0], x, x + len(text)) for x in old[2]]
+                seen[text] = (own, a, places)
+            else:
+                gone += [(own, x, x + len(text)) for x in places]
+
+    def table(self, buckets: int) -> pa.Table:
+        """(STRINGS): a row for each bucket, and one of what is gone."""
+        rows: list[tuple] = []
+        if self.seen:
+            text = list(self.seen)
+            places = [x for _, _, x in self.seen.values()]
+            info = np.array([x[:2] for x in self.seen.values()], np.int64)
+            bucket = info[:, 1] % buckets
+            order = np.argsort(bucket, kind="stable")
+            firsts, sizes = _groups(bucket[order])
+            for i, n in zip(firsts.tolist(), sizes.tolist(), strict=True):
+                own = order[i : i + n]
+                texts, at = [text[k] for k in own], [places[k] for k in own]
+                rows.append((
+                    int(bucket[own[0]]), False, info[own, 0].tobytes(), np.array([x for p in at for x in p], "<i4").tobytes(),
+                    np.array([len(x) for x in texts], "<i4").tobytes(), info[own, 1].tobytes(), b"".join(texts),
+                    np.array([len(p) for p in at], "<i4").tobytes(),
+                ))
+        if self.gone:
+            g = np.array(self.gone, np.int64)
+            rows.append((int(g[0, 0] % buckets), True, g[:, 0].tobytes(), g[:, 1].astype("<i4").tobytes(), g[:, 2].astype("<i4").tobytes(), None, None, None))
+        cols = list(zip(*rows, strict=True)) or [[]] * 8
+        kinds = [pa.int64(), pa.bool_()] + [pa.binary()] * 6
+        return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(STRINGS.split(", "), cols, kinds, strict=True)})
+
+
+def _strings_of(docs, starts, sizes, anchors, blob, counts):
+    """(text, document, anchor, places) of the strings of one row that isn't settled."""
+    at = k = 0
+    places = np.frombuffer(starts, "<i4").tolist()
+    for own, n, a, c in zip(*(np.frombuffer(x, kind).tolist() for x, kind in ((docs, np.int64), (sizes, "<i4"), (anchors, np.int64), (counts, "<i4"))), strict=True):
+        yield blob[at : at + n], own, a, places[k : k + c]
+        at, k = at + n, k + c
+
+
 def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: int, parts: int) -> DataFrame:
     """(doc_id, starts, ends): the spans of documents that windows of smaller documents cover, merged."""
 
     def batch(b: pa.RecordBatch) -> pa.Table:
         ids, texts, known = _ids(b.column(0)), utf8(b.column(1)), b.column(2).to_pylist()
-        seen: dict[bytes, tuple[int, int, list[int]]] = {}  # document, anchor, all places in the document
-        gone: list[tuple[int, int, int]] = []
+        out = _Strings()
         for i, j in _parts(texts):
             scan = Scan(texts[i:j], length)
             if not len(scan.at):
@@ -325,189 +466,84 @@ def repeated_spans(docs: DataFrame, repeated: DataFrame, length: int, buckets: i
             new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (w[1:] != w[:-1] + 1))))
             lo, hi = w[new], np.append(w[new[1:] - 1], w[-1]) + length
             body, marks = scan.body.tobytes(), scan.short(anchor[new]).tolist()
-            for s, e, own, a, start in zip(lo.tolist(), hi.tolist(), ids[i:j][d[new]].tolist(), marks, (lo - scan.start[d[new]]).tolist(), strict=True):
-                text = body[s:e]
-                old = seen.get(text)
-                if old is None:
-                    seen[text] = (own, a, [start])
-                elif own == old[0]:
-                    old[2].append(start)
-                elif own < old[0]:
-                    gone += [(old[0], x, x + len(text)) for x in old[2]]
-                    seen[text] = (own, a, [start])
-                else:
-                    gone.append((own, start, start + len(text)))
-        rows: list[tuple] = []
-        if seen:
-            text = list(seen)
-            places = [x for _, _, x in seen.values()]
-            info = np.array([x[:2] for x in seen.values()], np.int64)
-            bucket = info[:, 1] % buckets
-            order = np.argsort(bucket, kind="stable")
-            firsts, sizes = _groups(bucket[order])
-            for i, n in zip(firsts.tolist(), sizes.tolist(), strict=True):
-                own = order[i : i + n]
-                texts_, at = [text[k] for k in own], [places[k] for k in own]
-                rows.append((
-                    int(bucket[own[0]]), False, info[own, 0].tobytes(), np.array([x for p in at for x in p], "<i4").tobytes(),
-                    np.array([len(x) for x in texts_], "<i4").tobytes(), info[own, 1].tobytes(), b"".join(texts_),
-                    np.array([len(p) for p in at], "<i4").tobytes(),
-                ))
-        if gone:
-            g = np.array(gone, np.int64)
-            rows.append((int(g[0, 0] % buckets), True, g[:, 0].tobytes(), g[:, 1].astype("<i4").tobytes(), g[:, 2].astype("<i4").tobytes(), None, None, None))
-        cols = list(zip(*rows, strict=True)) or [[]] * 8
-        kinds = [pa.int64(), pa.bool_()] + [pa.binary()] * 6
-        return pa.table({n.split()[0]: pa.array(c, k) for n, c, k in zip(STRINGS.split(", "), cols, kinds, strict=True)})
-
-    def bucket(key, table):
-        doc, start, end, best = [], [], [], {}
-        texts: list[bytes] = []
-        anchors: list[int] = []
-
-        def lose(ids, a, b):
-            doc.append(np.asarray(ids, np.int64))
-            start.append(np.asarray(a, np.int64))
-            end.append(np.asarray(b, np.int64))
-
-        names = ("settled", "docs", "starts", "sizes", "anchors", "blob", "counts")
-        for settled, ids, starts, sizes, marks, blob, counts in zip(*(table.column(n).to_pylist() for n in names), strict=True):
-            ids, starts, sizes = np.frombuffer(ids, np.int64), np.frombuffer(starts, "<i4"), np.frombuffer(sizes, "<i4")
-            if settled:
-                lose(ids, starts, sizes)  # here the ends
-                continue
-            places, at, k, late = starts.tolist(), 0, 0, []
-            for own, n, a, c in zip(ids.tolist(), sizes.tolist(), np.frombuffer(marks, np.int64).tolist(), np.frombuffer(counts, "<i4").tolist(), strict=True):
-                text, mine = blob[at : at + n], places[k : k + c]
-                at, k = at + n, k + c
-                old = best.get(text)
-                if old is None:
-                    best[text] = (own, mine)
-                    texts.append(text)
-                    anchors.append(a)
-                elif own == old[0]:
-                    best[text] = (own, old[1] + mine)
-                elif own < old[0]:
-                    late += [(old[0], x, x + n) for x in old[1]]
-                    best[text] = (own, mine)
-                else:
-                    late += [(own, x, x + n) for x in mine]
-            if late:
-                lose(*np.array(late, np.int64).T)
-        # an anchor with one string has no other windows to compare
-        a = np.array(anchors, np.int64)
-        order = np.argsort(a, kind="stable")
-        _, sizes = _groups(a[order])
-        order = order[np.repeat(sizes > 1, sizes)]
-        cut, size = [0], 0
-        for k, i in enumerate(order.tolist()):  # parts of some megabytes, between anchors
-            size += len(texts[i])
-            if size > TRANSFORM and k + 1 < len(order) and a[order[k + 1]] != a[i]:
-                cut.append(k + 1)
-                size = 0
-        cut.append(len(order))
-        for lo, hi in zip(cut, cut[1:], strict=False):
-            part = [texts[i] for i in order[lo:hi].tolist()]
-            if not part:
-                continue
-            owner = np.array([best[t][0] for t in part], np.int64)
-            count = np.array([len(best[t][1]) for t in part], np.int64)
-            places = np.array([x for t in part for x in best[t][1]], np.int64)
-            string, offset, cls = classes(part, length)
-            least = np.full(int(cls.max()) + 1, _NONE)
-            np.minimum.at(least, cls, owner[string])
-            late = owner[string] > least[cls]
-            string, offset = string[late], offset[late]
-            by = np.lexsort((offset, string))
-            string, offset = string[by], offset[by]
-            if len(string):
-                new = np.flatnonzero(np.concatenate(([True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))))
-                ends = np.append(offset[new[1:] - 1], offset[-1]) + length
-                s = string[new]  # every place of the string in its document loses the run
-                n = count[s]
-                at = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat((np.cumsum(count) - count)[s], n)]
-                lose(np.repeat(owner[s], n), at + np.repeat(offset[new], n), at + np.repeat(ends, n))
-        none = [np.zeros(0, np.int64)]
-        return _packed(*(np.concatenate(none + x) for x in (doc, start, end)), parts)
+            rows = zip(lo.tolist(), hi.tolist(), ids[i:j][d[new]].tolist(), marks, (lo - scan.start[d[new]]).tolist(), strict=True)
+            out.add((body[s:e], own, a, [start]) for s, e, own, a, start in rows)
+        return out.table(buckets)
 
     joined = docs.join(repeated.withColumnRenamed("doc_id", "at"), F.col("doc_id").eqNullSafe(F.col("at"))).select("doc_id", "text", "hashes")
     strings = map_batches(joined, batch, STRINGS, whole=True)
     with large_batches(docs.sparkSession):
         strings = stored(strings, "strings")
-    heavy = strings.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("bytes")).where(F.col("bytes") > HEAVY)
-    heavy = stored(heavy, "heavy")
-    whole = heavy.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-    if whole:
+    block, found = length - K + 1, None
+    while True:
+        heavy = strings.groupBy("bucket").agg(F.sum(F.octet_length("blob")).alias("bytes")).where(F.col("bytes") > HEAVY)
+        heavy = stored(heavy, "heavy")
+        whole = heavy.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+        if block == 1 or not whole:
+            break
         side = heavy.select("bucket")
         side = F.broadcast(side) if small(side, FEW) else side
         again = strings.where("not settled").join(side, "bucket", "left_semi")
         kept = strings.where("settled").unionByName(strings.where("not settled").join(side, "bucket", "left_anti"))
-        windows = map_batches(again.select("docs", "starts", "sizes", "blob", "counts"), _dealt(length, int(9 * whole // BUCKET) + 1), WINDOWS)
-        found = kept.groupBy("bucket").applyInArrow(bucket, FOUND).unionByName(windows.groupBy("bucket").applyInArrow(_met(length, parts), FOUND))
-    else:
-        found = strings.groupBy("bucket").applyInArrow(bucket, FOUND)
-    return _gathered(found, _union, "doc_id bigint, starts binary, ends binary")
-
-
-WINDOWS = "bucket bigint, digests binary, docs binary, starts binary, late_docs binary, late_starts binary"
+        rows = kept.groupBy("bucket").applyInArrow(_met(length, block, parts), FOUND)
+        found = rows if found is None else found.unionByName(rows)
+        block = (block + 1) // 2
+        strings = stored(map_batches(again.drop("bucket", "settled"), _dealt(length, block, int(2 * whole // BUCKET) + 1), STRINGS, whole=True), "strings")
+    rows = strings.groupBy("bucket").applyInArrow(_met(length, block, parts), FOUND)
+    return _gathered(rows if found is None else found.unionByName(rows), _union, "doc_id bigint, starts binary, ends binary")
 
 
-def _dealt(length: int, buckets: int):
-    """Rows of strings as rows of their windows (WINDOWS): of equal ones that of the smallest document, the rest is late at once."""
-
-    def one(docs, starts, sizes, blob, counts):
-        ids, sizes, counts = np.frombuffer(docs, np.int64), np.frombuffer(sizes, "<i4").astype(np.int64), np.frombuffer(counts, "<i4").astype(np.int64)
-        places = np.frombuffer(starts, "<i4").astype(np.int64)
-        first, at = np.cumsum(sizes) - sizes, np.cumsum(counts) - counts
-        many = sizes - length + 1
-        string = np.repeat(np.arange(len(sizes)), many)
-        offset = np.arange(len(string)) - np.repeat(np.cumsum(many) - many, many)
-        begin = (first[string] + offset).tolist()
-        digest = np.frombuffer(b"".join([hashlib.blake2b(blob[i : i + length], digest_size=16).digest() for i in begin]), "S16")
-        digest = digest.view("<u8").reshape(-1, 2)
-        # a row for each place of each window
-        n = counts[string]
-        window = np.repeat(np.arange(len(string)), n)
-        start = places[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[string], n)] + offset[window]
-        return digest[window], ids[string][window], start
+def _dealt(length: int, block: int, buckets: int):
+    """Rows of strings as rows of their pieces by longer anchors."""
 
     def batch(b: pa.RecordBatch) -> pa.Table:
-        parts = [one(*row) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        if not parts:
-            return pa.table({x.split()[0]: pa.array([], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(WINDOWS.split(", "))})
-        digest, doc, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        bucket = (digest[:, 0] % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((start, doc, digest[:, 1], digest[:, 0], bucket))
-        digest, doc, start, bucket = digest[order], doc[order], start[order], bucket[order]
-        late = doc > _leasts(digest, doc)
-        firsts, sizes = _groups(bucket)
-        rows = []
-        for i, n in zip(firsts.tolist(), sizes.tolist(), strict=True):
-            own, gone = np.flatnonzero(~late[i : i + n]) + i, np.flatnonzero(late[i : i + n]) + i
-            rows.append((int(bucket[i]), *(x.tobytes() for x in (digest[own], doc[own], start[own], doc[gone], start[gone]))))
-        cols = list(zip(*rows, strict=True))
-        return pa.table({x.split()[0]: pa.array(c, pa.int64() if k == 0 else pa.binary()) for k, (x, c) in enumerate(zip(WINDOWS.split(", "), cols, strict=True))})
+        rows = [x for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in _strings_of(*row)]
+        out = _Strings()
+        string, start, size, key = _pieces([x[0] for x in rows], length, block)
+        for s, a, n, k in zip(string.tolist(), start.tolist(), size.tolist(), key.tolist(), strict=True):
+            text, own, _, places = rows[s]
+            out.add([(text[a : a + n], own, k, [x + a for x in places])])
+        return out.table(buckets)
 
     return batch
 
 
-def _leasts(digest: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Of each entry, ordered by digest, then document, the first document of its digest."""
-    new = np.ones(len(digest), bool)
-    new[1:] = (digest[1:] != digest[:-1]).any(axis=1)
-    return doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-
+def _met(length: int, block: int, parts: int):
+    """What documents lose in one bucket of strings (FOUND)."""
 
-def _met(length: int, parts: int):
     def met(key, table):
-        join = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(x, kind) for x in table.column(name).to_pylist())])
-        digest, doc, start = join("digests", "<u8").reshape(-1, 2), join("docs", np.int64), join("starts", np.int64)
-        order = np.lexsort((doc, digest[:, 1], digest[:, 0]))
-        digest, doc, start = digest[order], doc[order], start[order]
-        late = doc > _leasts(digest, doc)
-        doc = np.concatenate((doc[late], join("late_docs", np.int64)))
-        start = np.concatenate((start[late], join("late_starts", np.int64)))
-        return _packed(doc, start, start + length, parts)
+        doc, start, end = ([np.zeros(0, np.int64)] for _ in range(3))
+        out = _Strings()
+        for settled, *row in zip(*(table.column(n).to_pylist() for n in ("settled", "docs", "starts", "sizes", "anchors", "blob", "counts")), strict=True):
+            if settled:  # the sizes are ends
+                doc.append(np.frombuffer(row[0], np.int64))
+                start.append(np.frombuffer(row[1], "<i4").astype(np.int64))
+                end.append(np.frombuffer(row[2], "<i4").astype(np.int64))
+            else:
+                out.add(_strings_of(*row))
+        for column, x in zip((doc, start, end), np.array(out.gone, np.int64).reshape(-1, 3).T, strict=True):
+            column.append(x)
+        found = list(out.seen.values())
+        owner, count = np.array([x[0] for x in found], np.int64), np.array([len(x[2]) for x in found], np.int64)
+        places = np.array([x for _, _, at in found for x in at], np.int64)
+        first = np.cumsum(count) - count
+        for string, offset, cls in _classed(list(out.seen), np.array([x[1] for x in found], np.int64), length, block):
+            least = np.full(int(cls.max()) + 1, _NONE)
+            np.minimum.at(least, cls, owner[string])
+            late = owner[string] > least[cls]
+            string, offset = string[late], offset[late]
+            by = np.lexsort((offset, string))
+            string, offset = string[by], offset[by]
+            if len(string):
+                new = np.flatnonzero(np.concatenate(([True], (string[1:] != string[:-1]) | (offset[1:] != offset[:-1] + 1))))
+                ends = np.append(offset[new[1:] - 1], offset[-1]) + length
+                s = string[new]  # every place of the string in its document loses the run
+                n = count[s]
+                at = places[_spread(n, first[s])]
+                doc.append(np.repeat(owner[s], n))
+                start.append(at + np.repeat(offset[new], n))
+                end.append(at + np.repeat(ends, n))
+        return _packed(*(np.concatenate(x) for x in (doc, start, end)), parts)
 
     return met
 

@@ -542,7 +542,7 @@ def test_substrings(docs, texts, empty):
 
 
 def test_a_hot_anchor_is_dealt_by_windows(spark, docs, texts, monkeypatch):
-    """Every bucket heavy: windows meet by digest, and the result is the same."""
+    """Every bucket heavy: its strings are dealt by longer anchors, down to single windows, and the result is the same."""
     monkeypatch.setattr(substrings, "HEAVY", 0)
     got = rows(substrings.substring_dedup(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == brute.substrings(texts)
@@ -564,6 +564,65 @@ def test_null_and_repeated_ids_in_substrings(spark):
     assert rows(substrings.substring_dedup(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(brute.substrings(given), key=lambda r: (r[0] is None, r))
 
 
+def _runs(texts, length):
+    """The runs of windows with one anchor, as {string: six bytes of the anchor's hash}."""
+    scan = substrings.Scan(texts, length)
+    w, anchor = scan.windows(scan.at)
+    new = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (w[1:] != w[:-1] + 1))))
+    ends = np.append(w[new[1:] - 1], w[-1]) + length
+    body = scan.body.tobytes()
+    return {body[i:j]: k for i, j, k in zip(w[new].tolist(), ends.tolist(), scan.short(anchor[new]).tolist(), strict=True)}
+
+
+def _texts_of_one_anchor(n, letters):
+    r = random.Random(8)
+    least = min((bytes(r.choices(b"klmnopqrst", k=substrings.K)) for _ in range(2000)), key=lambda t: int(substrings.Scan([t * 3], 50).h[0]))
+    pool = [bytes(r.choices(letters, k=26)) for _ in range(8)]
+
+    def side():
+        own = bytearray(r.choice(pool))
+        own[r.randrange(26)] = r.choice(letters)
+        return bytes(own)
+
+    return [side() + least + side() for _ in range(n)]
+
+
+def test_windows_meet_by_longer_anchors(monkeypatch):
+    """However few bytes a transform takes, equal windows of different strings come in one part and class."""
+    strings = _runs([*_texts_of_one_anchor(150, b"ab"), b"xy" * 60, b"x" * 51], 50)
+    texts, keys = list(strings), np.array(list(strings.values()))
+    want = {}
+    for i, t in enumerate(texts):
+        for o in range(len(t) - 49):
+            want.setdefault(t[o : o + 50], set()).add((i, o))
+    want = {w: x for w, x in want.items() if len({i for i, _ in x}) > 1}
+    assert len(want) > 100
+    for bound in (0, 200, 3000, 10**7):
+        monkeypatch.setattr(substrings, "TRANSFORM", bound)
+        got = {}
+        for part, (string, offset, cls) in enumerate(substrings._classed(texts, keys, 50, 27)):
+            for i, o, c in zip(string.tolist(), offset.tolist(), cls.tolist(), strict=True):
+                got.setdefault((part, c), set()).add((i, o))
+        found = {}
+        for places in got.values():
+            (window,) = {texts[i][o : o + 50] for i, o in places}
+            assert window not in found or len({i for i, _ in places}) == 1
+            found[window] = max(found.get(window, set()), places, key=len)
+        assert all(found[w] == x for w, x in want.items())
+
+
+def test_pieces_of_strings():
+    """Pieces of all lengths of anchors hold each window once, and equal windows have equal keys."""
+    texts = list(_runs([*_texts_of_one_anchor(30, b"ab"), b"some other words that are long enough to have a few windows of their own"], 50))
+    for block in (27, 14, 7, 4, 2, 1):
+        keys, n = {}, 0
+        for s, a, size, key in zip(*(x.tolist() for x in substrings._pieces(texts, 50, block)), strict=True):
+            for o in range(a, a + size - 49):
+                n += 1
+                keys.setdefault(texts[s][o : o + 50], set()).add(key)
+        assert n == sum(len(t) - 49 for t in texts) and all(len(k) == 1 for k in keys.values())
+
+
 def test_classes_of_windows():
     r = random.Random(3)
     for length in (4, 50):
