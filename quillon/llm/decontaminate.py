@@ -241,13 +241,15 @@ def contaminated(
     Every passage of every document is a query of block-max WAND. Retrieved items are
     verified by shingles of five words (an item of fewer words is one shingle): a
     passage must hold least_part of the question's and of the answer's (the item's last
-    quarter), or least_overlap of all, wherever they stand. Null or empty texts and
-    items without words match nothing; repeated rows give repeated results.
+    quarter), or least_overlap of all. An item is retrieved only where a passage holds
+    least_score of its weight: shingles of common words alone don't report it. Null or
+    empty texts and items without words match nothing; repeated rows give repeated results.
 
     An index holds items of SHARD bytes and goes to the tasks; weights come from
     statistics of the whole benchmark, so they don't depend on how items are dealt. One
     pass over the documents asks the indexes of PASS bytes one after the other; a
-    benchmark of more bytes takes more passes.
+    benchmark of more bytes takes more passes, each of which is written and its indexes
+    removed before the next one's are built.
     """
     items = benchmark.select(F.col(item_col).cast("bigint").alias("item"), F.coalesce(F.col(item_text_col).cast("string"), F.lit("")).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -255,12 +257,18 @@ def contaminated(
     dealt = F.pmod(F.xxhash64("item", "text"), F.lit(shards))
     count = None if shards == 1 else _counts(items)
     sc, found = docs.sparkSession.sparkContext, None
-    for lo in range(0, shards, PASS // SHARD):
+    width = max(1, PASS // SHARD)
+    for lo in range(0, shards, width):
         own = []
-        for k in range(lo, min(shards, lo + PASS // SHARD)):
+        for k in range(lo, min(shards, lo + width)):
             rows = [(x.item, x.text) for x in items.where(dealt == k).collect()]
             own.append(sc.broadcast(Index(rows, count and count(rows))))
         rows = map_batches(documents(docs, id_col, text_col), _matcher(own, least_score, least_overlap, least_part), SCHEMA)
+        if shards <= width:
+            return rows
+        rows = stored(rows, "pass")
+        for x in own:
+            x.destroy()
         found = rows if found is None else found.unionByName(rows)
     return found
 
