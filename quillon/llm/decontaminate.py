@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from .common import documents, map_batches, stored
 SHARD, PASS = 16_000_000, 64_000_000
 #: Postings of a block; passages whose cursors move together; words that are looked up at once.
 BLOCK, ROWS, PART = 8, 512, 200_000
+#: Ranges of items, and greatest weights of terms in them that an index keeps; terms that are added up at once.
+RANGES, BOUNDS, SUMS = 64, 8_000_000, 50_000
 _WORD = re.compile(r"[^\W_]+")
 _SLACK = 1e-6
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -62,7 +65,8 @@ class Index:
     Weights of an item are divided by the score it has for its own text, so a score
     is the share of the item's weight that a passage holds. The postings of a term lie
     in the order of items, in blocks of BLOCK; of each term and block the greatest
-    weight is known, and of a block its last item.
+    weight is known, and of a block its last item. So is that of each term and range of
+    items: passages whose terms don't reach the threshold in any range move no cursors.
     """
 
     def __init__(self, items: Iterable[tuple[int, str]], stats: Statistics | None = None, k1: float = 1.2, b: float = 0.75, shingle: int = 5):
@@ -97,6 +101,9 @@ class Index:
         self.first = np.searchsorted(term, np.arange(len(self.terms) + 1))
         self.top = np.zeros(len(self.terms) + 1, np.float32)
         np.maximum.at(self.top, term, self.weight[:-1])
+        ranges = max(1, min(RANGES, len(rows), BOUNDS // max(len(self.terms), 1)))
+        self.range_top = np.zeros((len(self.terms), ranges), np.float32)
+        np.maximum.at(self.range_top, (term, self.item[:-1] * ranges // max(len(rows), 1)), self.weight[:-1])
         self.stride = len(rows) + 1
         self.post_key = term * self.stride + self.item[:-1]
         blocks = -(-np.diff(self.first) // BLOCK)
@@ -110,8 +117,7 @@ class Index:
 
     def encode(self, words: list[str]) -> np.ndarray:
         """Numbers of the words, -1 for those that no item has."""
-        get = self.terms.get
-        return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        return np.fromiter(map(self.terms.get, words, repeat(-1)), np.int64, len(words))
 
     def passages(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Document and first word of each passage, then passage and term of its different known words.
@@ -130,7 +136,9 @@ class Index:
         known = ids >= 0
         ids, doc, at = ids[known], doc[known], at[known]
         into = [(at < many[doc], at), (at > 0, at - 1)]
-        keys = np.unique(np.concatenate([(first[doc] + a)[m] * none + ids[m] for m, a in into])) if none else np.zeros(0, np.int64)
+        keys = np.concatenate([(first[doc] + a)[m] * none + ids[m] for m, a in into]) if none else np.zeros(0, np.int64)
+        keys.sort()
+        keys = keys[np.diff(keys, prepend=-1) > 0]
         of = np.repeat(np.arange(len(docs)), many)
         return of, (np.arange(len(of)) - first[of]) * step, keys // max(none, 1), keys % max(none, 1)
 
@@ -140,6 +148,8 @@ class Index:
         whole = np.bincount(passage, self.top[term], len(of))
         ok = whole[passage] >= least - _SLACK
         passage, term = passage[ok], term[ok]
+        ok = self._reached(term, np.flatnonzero(np.diff(passage, prepend=-1)), least)
+        passage, term = passage[ok], term[ok]
         rows, cuts, width = np.unique(passage, return_index=True, return_counts=True)
         out = []
         order = np.argsort(width, kind="stable")  # passages of like numbers of terms together
@@ -154,6 +164,16 @@ class Index:
                 out += zip(of[p].tolist(), at[p].tolist(), item.tolist(), score.tolist(), strict=True)
         return out
 
+    def _reached(self, term: np.ndarray, cuts: np.ndarray, least: float) -> np.ndarray:
+        """Of each term, whether the greatest weights of its passage reach `least` in a range of items; a passage starts at each cut."""
+        ends, lo, out = np.append(cuts[1:], len(term)), 0, []
+        while lo < len(cuts):
+            hi = max(lo + 1, int(np.searchsorted(ends, cuts[lo] + SUMS, "right")))
+            sums = np.add.reduceat(self.range_top[term[cuts[lo] : ends[hi - 1]]], cuts[lo:hi] - cuts[lo], axis=0)
+            out.append(sums.max(axis=1) >= least - 100 * _SLACK)
+            lo = hi
+        return np.repeat(np.concatenate([np.zeros(0, bool), *out]), ends - cuts)
+
     def _wand(self, term: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Block-max WAND for many queries (rows of terms, -1 for none): rows, items and their scores.
 
