@@ -372,6 +372,10 @@ class Estimator(Fits):
     def path(self) -> list:
         return self.states[0].path
 
+    def restore(self, member: Member) -> None:
+        """Go on from a fitted member: its coefficients that aren't zero are active, and the next fit starts from them."""
+        self.states[0].member = Member(member.bias, {f: t for f, t in member.theta.items() if t != 0})
+
     def gradients(self) -> DataFrame:
         """(a, b, gradient) of the unpenalised loss by every candidate, at the current coefficients."""
         return self.every_gradient().select("a", "b", F.col("g")[0].alias("gradient"))

@@ -848,4 +848,4 @@ def matrix_export(spark, d):
     return matrix_lines(features, seqs.select("sample_id"), known)
 
 
-from . import file_queries, fit_queries  # noqa: E402, F401 - register their own
+from . import file_queries, fit_queries, run_queries  # noqa: E402, F401 - register their own

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.kmers import numbered
+from ..operators.stats import FEW
+from ..session import small
 
 
 def number(c: Column) -> Column:
@@ -13,19 +15,30 @@ def number(c: Column) -> Column:
     return F.format_string("%e", c.cast("double"))
 
 
-def matrix_lines(features: DataFrame, samples: DataFrame, dictionary: DataFrame, integers: bool = True) -> DataFrame:
+def matrix_lines(features: DataFrame, samples: DataFrame, dictionary: DataFrame, integers: bool = True, transform: DataFrame | None = None) -> DataFrame:
     """(src, sample_id, line): comma-separated rows over the whole dictionary, zeros included.
 
     A row is made from the sample's own map of values; of the dictionary only its size is
-    needed. One whose ids have gaps is numbered anew.
+    needed. One whose ids have gaps is numbered anew. transform: offsets and scales of
+    single features; zeros are transformed, too, and what it lacks stays as it is. It meets
+    the samples as one row, which is no longer than a line of the output.
     """
     n, top = dictionary.agg(F.count("*"), F.coalesce(F.max("feature_id"), F.lit(-1))).first()
     if n != top + 1:
         place = numbered(dictionary.select("feature_id"), [F.shiftright("feature_id", 12)], [F.col("feature_id")], "_place")
         features = features.join(place, "feature_id").select("sample_id", F.col("_place").alias("feature_id"), "value")
+        if transform is not None:
+            transform = transform.join(place, transform["a"] == place["feature_id"]).select(F.col("_place").alias("a"), "offset", "scale")
     own = features.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("feature_id", "value"))).alias("m"))
     rows = samples.join(own, "sample_id", "left")
     value = lambda i: F.coalesce(F.element_at(F.col("m"), i), F.lit(0.0))
+    if transform is not None:
+        rule = F.map_from_entries(F.collect_list(F.struct("a", F.struct("offset", "scale"))))
+        one = transform.groupBy(F.lit(0).alias("_all")).agg(rule.alias("_t"))
+        rows = rows.withColumn("_all", F.lit(0)).join(F.broadcast(one) if small(transform, FEW) else one, "_all", "left")
+        of = lambda i, c, absent: F.coalesce(F.element_at(F.col("_t"), i)[c], F.lit(absent))
+        stored_value = value
+        value = lambda i: (stored_value(i) - of(i, "offset", 0.0)) * of(i, "scale", 1.0)
     ids = F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")) if n else F.array().cast("array<bigint>")
     text = F.transform(ids, lambda i: F.format_string("%d", value(i).cast("bigint")) if integers else number(value(i)))
     src = F.col("src") if "src" in samples.columns else F.lit(0)
