@@ -96,25 +96,38 @@ def read_scores(spark: SparkSession, path: str, header: bool = False, columns: l
     return lines.select(F.when(bad, stop).otherwise(numbers).alias("values"))
 
 
+def _first_line(lines: DataFrame) -> tuple[str, int] | None:
+    """The first line of the first file by name that has any, and its id among _named(lines): Spark reads a folder's longest files first."""
+    where = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.col("_i"))
+    row = _named(lines).select("value", "_i", where.alias("w")).agg(F.min_by(F.struct("value", "_i"), "w").alias("first")).first()
+    return (row["first"]["value"], row["first"]["_i"]) if row["first"] else None
+
+
+def _named(lines: DataFrame) -> DataFrame:
+    return lines.withColumn("_i", F.monotonically_increasing_id())
+
+
+def _header(lines: DataFrame) -> str:
+    """The first line, empty if there is none."""
+    found = _first_line(lines)
+    return found[0] if found else ""
+
+
 def _without_header(lines: DataFrame) -> DataFrame:
     """All but the first line: one line goes, not every row that looks like it."""
-    named, first = lines.withColumn("_i", F.monotonically_increasing_id()), lines.first()
-    if first is None:
-        return lines
-    at = named.where(F.col("value") == first["value"]).agg(F.min("_i")).first()[0]
-    return named.where(F.col("_i") != at).drop("_i")
+    found = _first_line(lines)
+    return _named(lines).where(F.col("_i") != found[1]).drop("_i") if found else lines
 
 
 def score_names(spark: SparkSession, path: str) -> list[str]:
     """The names in a table's first line."""
-    row = spark.read.text(path).first()
-    return [x for x in row["value"].split(",") if x != ""] if row else []
+    return [x for x in _header(spark.read.text(path)).split(",") if x != ""]
 
 
 def read_ranges(spark: SparkSession, path: str, column: str = "counts") -> DataFrame:
     """(seqname, start, stop, values array<double>) of a white-space separated table of genomic
     ranges whose header names its columns and which has a list column `counts`."""
-    names = spark.read.text(path).first()["value"].split()
+    names = _header(spark.read.text(path)).split()
     for need in ("seqnames", "from", "to", column):
         if need not in names:
             raise ValueError(f"no column {need}")
@@ -129,8 +142,7 @@ def read_ranges(spark: SparkSession, path: str, column: str = "counts") -> DataF
 
 def read_score_table(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
     """(values) of a range table if it is one, else of a score table."""
-    first = spark.read.text(path).first()
-    if first and {"seqnames", "from", "to", "counts"} <= set(first["value"].split()):
+    if {"seqnames", "from", "to", "counts"} <= set(_header(spark.read.text(path)).split()):
         return read_ranges(spark, path).select("values")
     return read_scores(spark, path, header)
 
