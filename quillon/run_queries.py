@@ -138,8 +138,8 @@ _D2 = f"{_seq_sql()}, {_counts_sql(2)}, dict as (select kmer, row_number() over
 
 @query(
     f"""with {_D2}, x as (select sample_id, f, coalesce(n, 0) as v from seqs join dict on true left join counts using (sample_id, kmer)),
-    s as (select f, avg(v) as m, stddev_samp(v) as sd from x group by f), rows as (select sample_id, list(round((v - m) / sd, 5) order by f) as row from x join s using (f) group by sample_id)
-    select cast(sample_id % 2 as integer) as src, count(*) as n, place, round(sum(row[place] * (1 + sample_id % 7)), 2) + 0.0 as total
+    s as (select f, avg(v) as m, stddev_samp(v) as sd from x group by f), rows as (select sample_id, list(cast(printf('%.6e', (v - m) / sd) as double) order by f) as row from x join s using (f) group by sample_id)
+    select cast(sample_id % 2 as integer) as src, count(*) as n, place, round(sum(row[place] * (1 + sample_id % 7)), 6) + 0.0 as total
     from rows, (select cast(unnest(range(1, 11)) as integer) as place) group by 1, 3"""
 )
 def transformed_export(spark, d):
@@ -150,8 +150,8 @@ def transformed_export(spark, d):
     lines = writers.matrix_lines(features, samples, known, integers=False, transform=fitted)
     row = F.split("line", ",").cast("array<double>")
     rows = lines.select("src", F.col("sample_id.sample_id").alias("sample_id"), F.posexplode(row).alias("place", "v"))
-    found = rows.groupBy("src", (F.col("place") + 1).alias("place")).agg(F.count("*").alias("n"), F.sum(F.round("v", 5) * (1 + F.col("sample_id") % 7)).alias("total"))
-    return found.select("src", "n", "place", (F.round("total", 2) + F.lit(0.0)).alias("total"))
+    found = rows.groupBy("src", (F.col("place") + 1).alias("place")).agg(F.count("*").alias("n"), F.sum(F.col("v") * (1 + F.col("sample_id") % 7)).alias("total"))
+    return found.select("src", "n", "place", (F.round("total", 6) + F.lit(0.0)).alias("total"))
 
 
 # Expansion
