@@ -13,7 +13,7 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import tiktoken
@@ -131,9 +131,6 @@ class Bpe:
         self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks, special_tokens={})
         self.pieces = _latin_pieces()
         self.split_special = re.compile("|".join(map(re.escape, self.special)) or r"(?!)")
-        self.hashed = Ranks(self.ranks)
-        self._pair_key = np.full(1 << SLOTS, -1, np.int64)
-        self._pair_fits = np.zeros(1 << SLOTS, bool)
 
     # ids
 
@@ -145,7 +142,19 @@ class Bpe:
             found = self.fast.encode_ordinary(text)
         return np.array(found, "<u4").tobytes()
 
-    # prefix counts
+    # prefix counts; their tables are made when first asked for, as ids need none
+
+    @cached_property
+    def hashed(self) -> Ranks:
+        return Ranks(self.ranks)
+
+    @cached_property
+    def _pair_key(self) -> np.ndarray:
+        return np.full(1 << SLOTS, -1, np.int64)
+
+    @cached_property
+    def _pair_fits(self) -> np.ndarray:
+        return np.zeros(1 << SLOTS, bool)
 
     def compatible(self, u: int, t: int) -> bool:
         """Whether token t may follow token u inside a piece: both together encode to u, t."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -37,8 +39,7 @@ def map_batches(
 ) -> DataFrame:
     """mapInArrow over parts of batches of about SLICE bytes; fn may return None for nothing.
 
-    whole: fn gets whole batches, for it gains by seeing many rows. Memory that a task
-    has freed goes back when it ends, as workers live on.
+    whole: fn gets whole batches, for it gains by seeing many rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,13 +48,33 @@ def map_batches(
                 out = fn(part)
                 if out is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
-        pa.default_memory_pool().release_unused()
+        release()
 
     ship(df.sparkSession)
     _bound(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
+def map_groups(df: DataFrame, column: str, fn: Callable[[tuple, pa.Table], pa.Table], schema: str | StructType) -> DataFrame:
+    """applyInArrow over the groups of a column, each of some megabytes at most."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        out = fn(key, group)
+        release()
+        return out
+
+    ship(df.sparkSession)
+    return df.groupBy(column).applyInArrow(run, schema)
+
+
+def release() -> None:
+    """Give freed memory back to the system, as workers live on: Arrow's, and what glibc keeps between blocks in use."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def _bound(spark: SparkSession) -> None:
     """Bound the bytes of the batches that go to Python workers, where the session has Spark's default."""
     if spark.conf.get(BYTES) == DEFAULT:

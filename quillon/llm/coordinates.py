@@ -11,8 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import documents, map_batches, small, stored, utf8
+from .common import documents, map_batches, map_groups, small, stored, utf8
 from .components import components
 
 #: Coordinates of a signature, and in how many of them a candidate pair agrees. A pair of
@@ -251,13 +250,12 @@ def apart(posted: DataFrame, roots: DataFrame, classes: DataFrame, sets: Callabl
     def dealt(lists: DataFrame, size: int) -> DataFrame:
         return lists.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, math.ceil(size / BUCKET)))))
 
-    ship(rows.sparkSession)
     schema = "cls bigint, token bigint, own int, i int, j int"
-    active = dealt(rows.join(about, "cls"), total * (SIZE * 4 + 64)).groupBy("bucket").applyInArrow(met, schema)
+    active = map_groups(dealt(rows.join(about, "cls"), total * (SIZE * 4 + 64)), "bucket", met, schema)
     active = stored(active, "active")
     held = active.join(classes.select("cls", "n"), "cls").agg(F.coalesce(F.sum(F.col("n") * 8 + SIZE * 4 + 64), F.lit(0))).first()[0]
     whole = active.join(about.join(sets(active.select("cls").distinct()), "cls"), "cls")
-    return stored(dealt(whole, held).groupBy("bucket").applyInArrow(measured, "u bigint, v bigint"), "links")
+    return stored(map_groups(dealt(whole, held), "bucket", measured, "u bigint, v bigint"), "links")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -294,8 +292,7 @@ def confirmed(pairs: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], Da
                 v.append(c)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    ship(pairs.sparkSession)
-    return stored(rows.select("bucket", "u", "part", "cls", "items").groupBy("bucket").applyInArrow(measured, "u bigint, v bigint"), "confirmed")
+    return stored(map_groups(rows.select("bucket", "u", "part", "cls", "items"), "bucket", measured, "u bigint, v bigint"), "confirmed")
 
 
 def set_reader(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, size: int) -> Callable[[DataFrame], DataFrame]:

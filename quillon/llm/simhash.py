@@ -8,9 +8,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
 from . import coordinates
-from .common import documents, map_batches, small, stored, utf8
+from .common import documents, map_batches, map_groups, small, stored, utf8
 from .components import components
 
 #: A trie node with at most so many fingerprints is joined inside one task.
@@ -159,9 +158,11 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
         ),
         "turned",
     )
-    spark, rows = fps.sparkSession, None
+    rows = None
     n = both.count() // 2
-    pairs = spark.createDataFrame([(t, 0, 0, 0, n, n) for t in (0, 1)], "turn int, a bigint, b bigint, used int, na bigint, nb bigint")
+    # made by Spark itself: rows of the driver would start a second Python daemon with workers on each executor
+    root = {"a": F.lit(0).cast("bigint"), "b": F.lit(0).cast("bigint"), "used": F.lit(0), "na": F.lit(n).cast("bigint"), "nb": F.lit(n).cast("bigint")}
+    pairs = fps.sparkSession.range(0, 2, 1, 1).select(F.col("id").cast("int").alias("turn"), *(x.alias(c) for c, x in root.items()))
     depth = 0
     while True:
         big = F.greatest("na", "nb") > NODE if depth + STEP <= 64 else F.lit(False)
@@ -208,8 +209,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
         every = every.view(np.int64)
         return pa.table({"u": every[tied], "v": every[label[tied]]})
 
-    ship(spark)
-    return rows.groupBy("pair").applyInArrow(joined, "u bigint, v bigint")
+    return map_groups(rows, "pair", joined, "u bigint, v bigint")
 
 
 def near_duplicates(
