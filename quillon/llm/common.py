@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..session import shared_dir, ship, small, stored  # noqa: F401 - for the other modules, too
+from ..session import beside, shared_dir, ship, shuffled, small, stored  # noqa: F401 - for the other modules, too
 
 #: Bytes of rows that a Python worker handles at once, and that go to it at once.
 SLICE = 4_000_000

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, map_batches, map_groups, small, stored, utf8
+from .common import beside, documents, map_batches, map_groups, shuffled, stored, utf8
 from .components import components
 
 #: Coordinates of a signature, and in how many of them a candidate pair agrees. A pair of
@@ -23,7 +23,7 @@ PREFIX = SIZE - MATCHES + 1
 BLOCK = 1024
 #: Bytes that a task compares or confirms at once, and those of one class's partners.
 BUCKET, GROUP = 8_000_000, 4_000_000
-#: Bound of the table of classes whose texts are read again for a broadcast.
+#: Bound of a table of classes for a broadcast.
 FEW = 500_000
 _RNG = np.random.default_rng(20261128)
 _XOR = _RNG.integers(0, 1 << 64, SIZE, np.uint64)
@@ -121,7 +121,7 @@ def postings(classes: DataFrame) -> DataFrame:
     token = F.shiftleft(F.col("k").cast("bigint"), 32).bitwiseOR(F.col("value").cast("bigint").bitwiseAND(0xFFFFFFFF))
     tokens = tokens.select("cls", token.alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("f")).where("f > 1")
-    shared = tokens.join(often, "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("own"))
+    shared = tokens.join(shuffled(often), "token").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("f", "token"))).alias("own"))
     # tokens that nobody else has are the rarest: they fill the prefix first
     left = F.size("own") - F.lit(SIZE - PREFIX)
     own = shared.where(left > 0).select("cls", F.slice("own", F.lit(1), left).alias("own"))
@@ -140,16 +140,16 @@ def best_hubs(posted: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     The hub of a token is the class that has most neighbours: the text that others are copies of.
     """
-    rows = posted.join(classes.select("cls", "n"), "cls").select("cls", "n", "degree", F.explode("tokens").alias("token"))
+    rows = posted.join(beside(classes.select("cls", "n"), FEW), "cls").select("cls", "n", "degree", F.explode("tokens").alias("token"))
     hubs = rows.groupBy("token").agg(F.max(F.struct("degree", "cls", "n")).alias("hub"))
-    met = rows.join(hubs, "token").where((F.col("hub.cls") != F.col("cls")) & alike_sizes(F.col("n"), F.col("hub.n"), percent))
+    met = rows.join(shuffled(hubs), "token").where((F.col("hub.cls") != F.col("cls")) & alike_sizes(F.col("n"), F.col("hub.n"), percent))
     counted = met.groupBy(F.col("cls").alias("v"), F.col("hub.cls").alias("u")).agg(F.count("*").alias("c"))
     return counted.groupBy("v").agg(F.max(F.struct("c", "u")).alias("best")).select("best.u", "v")
 
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Those pairs (u, v) whose signatures agree in MATCHES coordinates."""
-    sig = lambda x: classes.select(F.col("cls").alias(x), F.col("sig").alias(f"sig_{x}"))
+    sig = lambda x: shuffled(classes).select(F.col("cls").alias(x), F.col("sig").alias(f"sig_{x}"))
     both = pairs.join(sig("v"), "v").join(sig("u"), "u")
     same = F.size(F.filter(F.zip_with("sig_u", "sig_v", lambda a, b: a == b), lambda x: x))
     return both.where(same >= MATCHES).select("u", "v")
@@ -208,12 +208,13 @@ def apart(posted: DataFrame, roots: DataFrame, classes: DataFrame, sets: Callabl
     posted, so in one list. A list of over BLOCK rows, or GROUP bytes of sets, is cut into
     blocks, each pair of which is a list.
     """
-    rooted = posted.join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    about = rooted.join(classes.select("cls", "n", "sig"), "cls").select("cls", "n", "sig", "prefix", "root")
-    tokens = rooted.join(classes.select("cls", "n"), "cls").select("cls", "n", "root", F.explode("tokens").alias("token"))
+    sizes = beside(classes.select("cls", "n"), FEW)
+    rooted = posted.join(beside(roots, FEW), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    about = rooted.join(shuffled(classes.select("cls", "n", "sig")), "cls").select("cls", "n", "sig", "prefix", "root")
+    tokens = rooted.join(sizes, "cls").select("cls", "n", "root", F.explode("tokens").alias("token"))
     open_ = tokens.groupBy("token").agg(F.count("*").alias("m"), F.sum("n").alias("all"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
     parts = F.ceil(F.greatest(F.col("m") / BLOCK, F.col("all") * 8 / GROUP)).cast("int")
-    rows = stored(tokens.select("cls", "token").join(open_.select("token", parts.alias("parts")), "token"), "open")
+    rows = stored(tokens.select("cls", "token").join(shuffled(open_.select("token", parts.alias("parts"))), "token"), "open")
     total = rows.agg(F.coalesce(F.sum("parts"), F.lit(0))).first()[0]
     own = F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
@@ -251,10 +252,10 @@ def apart(posted: DataFrame, roots: DataFrame, classes: DataFrame, sets: Callabl
         return lists.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(max(1, math.ceil(size / BUCKET)))))
 
     schema = "cls bigint, token bigint, own int, i int, j int"
-    active = map_groups(dealt(rows.join(about, "cls"), total * (SIZE * 4 + 64)), "bucket", met, schema)
+    active = map_groups(dealt(rows.join(shuffled(about), "cls"), total * (SIZE * 4 + 64)), "bucket", met, schema)
     active = stored(active, "active")
-    held = active.join(classes.select("cls", "n"), "cls").agg(F.coalesce(F.sum(F.col("n") * 8 + SIZE * 4 + 64), F.lit(0))).first()[0]
-    whole = active.join(about.join(sets(active.select("cls").distinct()), "cls"), "cls")
+    held = active.join(sizes, "cls").agg(F.coalesce(F.sum(F.col("n") * 8 + SIZE * 4 + 64), F.lit(0))).first()[0]
+    whole = active.join(shuffled(about.join(shuffled(sets(active.select("cls").distinct())), "cls")), "cls")
     return stored(map_groups(dealt(whole, held), "bucket", measured, "u bigint, v bigint"), "links")
 
 
@@ -272,14 +273,15 @@ def confirmed(pairs: DataFrame, sizes: DataFrame, sets: Callable[[DataFrame], Da
     them once, however many partners it has.
     """
     pairs = stored(pairs.distinct(), "pairs")
+    sizes = beside(sizes, FEW)
     sized = pairs.join(sizes.select(F.col("cls").alias("v"), F.col("n").alias("nv")), "v")
     parts = sized.groupBy("u").agg(F.ceil(F.sum(F.col("nv") * 8) / GROUP).cast("int").alias("parts"))
-    sized = sized.join(parts, "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
+    sized = sized.join(shuffled(parts), "u").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int"))
     ends = sized.select("u", "part", F.col("v").alias("cls")).unionByName(sized.select("u", "part").distinct().withColumn("cls", F.col("u")))
     ends = stored(ends, "ends")
     held = ends.join(sizes, "cls").agg(F.coalesce(F.sum(F.col("n") * 8 + 64), F.lit(0))).first()[0]
     count = max(1, math.ceil(held / BUCKET))
-    rows = ends.join(sets(ends.select("cls").distinct()), "cls").withColumn("bucket", F.pmod(F.xxhash64("u", "part"), F.lit(count)))
+    rows = ends.join(shuffled(sets(ends.select("cls").distinct())), "cls").withColumn("bucket", F.pmod(F.xxhash64("u", "part"), F.lit(count)))
 
     def measured(key: tuple, group: pa.Table) -> pa.Table:
         heads, part, cls = (group.column(c).to_pylist() for c in ("u", "part", "cls"))
@@ -304,9 +306,8 @@ def set_reader(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str,
         return pa.record_batch([b.column(0), pa.array([shingles(x, size, known).tobytes() for x in utf8(b.column(1))], pa.binary())], names=["cls", "items"])
 
     def read(wanted: DataFrame) -> DataFrame:
-        named = stored(classes.select("cls", "mark").join(wanted, "cls"), "wanted")
-        side = F.broadcast(named) if small(named, FEW) else named
-        texts = marked.join(side, "mark").groupBy("cls").agg(F.first("text").alias("text"))
+        named = stored(classes.select("cls", "mark").join(shuffled(wanted), "cls"), "wanted")
+        texts = marked.join(beside(named, FEW), "mark").groupBy("cls").agg(F.first("text").alias("text"))
         return map_batches(texts, batch, "cls bigint, items binary")
 
     return read
@@ -336,10 +337,10 @@ def roots_of(edges: DataFrame) -> DataFrame:
 
 def membership(own: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of sketches: the smallest doc_id that the edges between classes lead to."""
-    tied = classes.select("key", "cls", "least").join(roots_of(edges), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    tied = classes.select("key", "cls", "least").join(shuffled(roots_of(edges)), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     ids = tied.groupBy("root").agg(F.min("least").alias("component_id"))
-    tied = tied.join(ids, "root").select("key", "component_id")
-    found = own.select("doc_id", "key", "n").join(tied, "key", "left")
+    tied = tied.join(shuffled(ids), "root").select("key", "component_id")
+    found = own.select("doc_id", "key", "n").join(shuffled(tied), "key", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 

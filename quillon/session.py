@@ -78,6 +78,23 @@ def small(df: DataFrame, rows: int, size: int = 64_000_000) -> bool:
     return found["rows"] <= rows and found["size"] <= size
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join that shuffles both sides, whatever Spark takes df's size for.
+
+    Spark sizes a table by its compressed files and by its columns' types: what is exploded
+    from arrays counts once, and an array as one element. A side of hundreds of megabytes
+    may so be sent to the driver for a broadcast.
+    """
+    return df.hint("merge")
+
+
+def beside(df: DataFrame, rows: int) -> DataFrame:
+    """df as a join's side: broadcast if it is small, else shuffled."""
+    from pyspark.sql import functions as F
+
+    return F.broadcast(df) if small(df, rows) else shuffled(df)
+
+
 def tables_written(spark: SparkSession) -> list[str]:
     """The paths of this application's stored tables, oldest first."""
     return list(_written.get(spark.sparkContext.applicationId, []))
