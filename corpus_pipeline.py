@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import decontaminate, lines, packing, quality, simhash
-from quillon.llm.common import small, stored, table
+from quillon.llm.common import beside, stored, table
 from quillon.llm.queries import END_ID, SEQUENCE, tokenizer
 from quillon.session import owned, remove_tables
 
@@ -27,7 +27,7 @@ FEW_IDS = 500_000
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose doc_id isn't among ids (column gone)."""
     ids = stored(ids.distinct(), "gone")
-    side = F.broadcast(ids) if small(ids, FEW_IDS) else ids
+    side = beside(ids, FEW_IDS)
     return docs.join(side, docs["doc_id"].eqNullSafe(side["gone"]), "left_anti")
 
 

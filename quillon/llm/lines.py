@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, documents, small, stored
+from .common import BLANKS, ascii_lower, beside, documents, stored
 
 #: Documents of one line are dealt over so many sub-groups by their id.
 SALTS = 64
@@ -67,7 +67,7 @@ def drop_bitmaps(
     """
     lines = stored(line_table(docs, id_col, text_col, min_chars), "lines")
     frequent = stored(frequent_lines(lines, min_docs), "frequent")
-    side = F.broadcast(frequent) if small(frequent, FEW_LINES) else frequent
+    side = beside(frequent, FEW_LINES)
     hits = lines.join(side, "key")
     if keep_first:
         hits = hits.where(~(F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("pos") == F.col("first_pos"))))
@@ -88,7 +88,7 @@ def apply_bitmaps(docs: DataFrame, maps: DataFrame, id_col: str = "doc_id", text
     A null or empty text is one empty line.
     """
     maps = stored(maps, "bitmaps")
-    side = F.broadcast(maps) if small(maps, FEW_MAPS) else maps
+    side = beside(maps, FEW_MAPS)
     carry = [c for c in docs.columns if c.lower() != "lines"]
     # a carried text goes through a shuffle once, inside its row
     inside = text_col in carry

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import documents, map_batches, stored
+from .common import documents, map_batches, shuffled, stored
 
 #: Items that are packed together; islands that work on each such block, their
 #: solutions, the epochs between which elites migrate, and generations an epoch.
@@ -218,7 +218,7 @@ def best_bins(blocks: DataFrame, capacity: int) -> DataFrame:
     islands = stored(_epoch(islands.repartition(parts, "block", "island"), capacity, 0), "islands")
     for k in range(1, EPOCHS):
         elites = islands.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elite").alias("guest"))
-        met = islands.join(elites, ["block", "island"]).withColumn("people", F.array_append("people", F.col("guest")))
+        met = islands.join(shuffled(elites), ["block", "island"]).withColumn("people", F.array_append("people", F.col("guest")))
         islands = stored(_epoch(met, capacity, k), "islands")
     best = islands.groupBy("block").agg(F.max_by("elite", F.struct(-F.col("bins"), F.col("fill"), -F.col("island"))).alias("elite"))
 
@@ -248,7 +248,7 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
     )
     ranked = stored(ranked, "ranked")
     sizes = ranked.groupBy("block").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("sizes"))
-    at = ranked.join(best_bins(sizes, capacity), "block").withColumn("bin", F.element_at("bins", F.col("rank"))).drop("bins")
+    at = ranked.join(shuffled(best_bins(sizes, capacity)), "block").withColumn("bin", F.element_at("bins", F.col("rank"))).drop("bins")
     before = Window.partitionBy("block", "bin").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     at = at.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("bigint")))
     at = at.withColumn("sequence_id", F.shiftleft("block", 32).bitwiseOR(F.col("bin").cast("bigint")))

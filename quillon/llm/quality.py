@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import map_batches, stored, utf8
+from .common import map_batches, shuffled, stored, utf8
 
 log = logging.getLogger(__name__)
 
@@ -205,7 +205,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     known = labels.select(F.col(id_col).cast("bigint").alias("id"), F.col(label_col).cast("int").alias("good")).where(
         "id is not null and good in (0, 1)"
     )
-    known = known.distinct().join(docs.select(F.col(id_col).cast("bigint").alias("id")), "id", "left_semi")
+    known = known.distinct().join(shuffled(docs.select(F.col(id_col).cast("bigint").alias("id"))), "id", "left_semi")
     order = (F.xxhash64("id", F.lit(2)), F.col("id"))
     picked = [known.where(F.col("good") == g).orderBy(*order).limit(sample) for g in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import coordinates
-from .common import documents, map_batches, map_groups, small, stored, utf8
+from .common import beside, documents, map_batches, map_groups, shuffled, stored, utf8
 from .components import components
 
 #: A trie node with at most so many fingerprints is joined inside one task.
@@ -172,8 +172,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
             ends.where("a <> b").select("turn", F.col("b").alias("node"), F.lit(1).alias("side"), "pair")
         )
         if not leaves.isEmpty():
-            side = F.broadcast(ends) if small(ends, FEW_PAIRS) else ends
-            found = both.withColumn("node", _prefix(F.col("value"), depth)).join(side, ["turn", "node"])
+            found = both.withColumn("node", _prefix(F.col("value"), depth)).join(beside(ends, FEW_PAIRS), ["turn", "node"])
             found = found.select("pair", "side", "value")
             rows = found if rows is None else rows.unionByName(found)
         heavy = pairs.where(big)
@@ -186,7 +185,7 @@ def links(fps: DataFrame, most: int = 3) -> DataFrame:
         )
         left = kids.select("turn", F.col("up").alias("a"), F.col("kid").alias("ka"), F.col("n").alias("ma"))
         right = kids.select("turn", F.col("up").alias("b"), F.col("kid").alias("kb"), F.col("n").alias("mb"))
-        grown = heavy.join(left, ["turn", "a"]).join(right, ["turn", "b"])
+        grown = beside(heavy, FEW_PAIRS).join(left, ["turn", "a"]).join(shuffled(right), ["turn", "b"])
         grown = grown.where((F.col("a") != F.col("b")) | (F.col("ka") <= F.col("kb")))
         # the parents' bits are equal in number to used; only the new bits are added
         new_bits = F.bit_count(F.col("ka").bitwiseXOR(F.col("kb")).bitwiseAND((1 << STEP) - 1))
@@ -248,8 +247,8 @@ def near_copies(
     some = classes.where("n > 0")
     sets = coordinates.set_reader(docs, classes, id_col, text_col, shingle)
     hubs = stored(some.groupBy(F.col("more").alias("fp")).agg(F.min("cls").alias("hub")), "hubs")
-    equal = some.join(hubs, F.col("more") == F.col("fp")).where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
-    end = lambda x: hubs.select(F.col("fp").alias(f"fp_{x}"), F.col("hub").alias(x))
+    equal = some.join(shuffled(hubs), F.col("more") == F.col("fp")).where("cls <> hub").select(F.col("hub").alias("u"), F.col("cls").alias("v"))
+    end = lambda x: shuffled(hubs).select(F.col("fp").alias(f"fp_{x}"), F.col("hub").alias(x))
     tied = links(hubs.select("fp"), most).select(F.col("u").alias("fp_u"), F.col("v").alias("fp_v"))
     close = tied.join(end("u"), "fp_u").join(end("v"), "fp_v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     edges = coordinates.confirmed(equal.unionByName(close), classes.select("cls", "n"), sets, percent)

@@ -1,10 +1,11 @@
-"""No join of op11 sends a side to the driver by Spark's own guess of its size."""
+"""No join of op11 or the pipeline sends a side to the driver by Spark's own guess of its size."""
 
 import pytest
 
-from quillon.llm import components, coordinates
+from quillon.llm import components, coordinates, lines, packing, simhash
 
-BOUNDS = [(coordinates, "FEW"), (components, "FEW_EDGES")]
+pipeline = pytest.importorskip("corpus_pipeline")
+BOUNDS = [(coordinates, "FEW"), (components, "FEW_EDGES"), (simhash, "FEW_PAIRS"), (lines, "FEW_LINES"), (lines, "FEW_MAPS"), (pipeline, "FEW_IDS")]
 
 
 @pytest.fixture
@@ -21,7 +22,7 @@ def plans(monkeypatch):
 
     for module, bound in BOUNDS:
         monkeypatch.setattr(module, bound, -1)
-    for module in (coordinates, components):
+    for module in (coordinates, components, simhash, lines, packing, pipeline):
         monkeypatch.setattr(module, "stored", watched(module.stored))
     return seen
 
@@ -37,6 +38,12 @@ def test_op11(spark, data, plans):
     assert len(plans) > 10 and not broadcasts(plans)
 
 
+def test_pipeline(spark, data, plans):
+    found = pipeline.run(spark, data)
+    plans.append(("result", found._jdf.queryExecution().executedPlan().toString()))
+    assert len(plans) > 20 and not broadcasts(plans)
+
+
 def test_small_sides_are_broadcast(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     classes = coordinates.classes_of(coordinates.sketches(docs, "doc_id", "text", 2))
