@@ -7,7 +7,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 
-from .nucleotides import AMBIGUOUS, COMPLEMENTS, LETTERS
+from .nucleotides import AMBIGUOUS, COMPLEMENTS, LETTERS, RANKED
 
 #: The longest word that a signed 64-bit number holds.
 LONGEST = 31
@@ -63,6 +63,19 @@ def matching(word: str) -> list[int]:
     return out
 
 
+def wider(base: str, alphabet: str) -> list[str]:
+    """The base, and the ambiguous letters of the alphabet that stand for it."""
+    if alphabet == "nucleotide":
+        return [base]
+    codes = {"n": "acgt"} if alphabet == "gapped-nucleotide" else AMBIGUOUS
+    return [base, *(c for c, bases in codes.items() if base in bases)]
+
+
+def order_key(word: str) -> list[int]:
+    """Sorts words in the alphabet's order, where n comes after t."""
+    return [RANKED.index(c) for c in word]
+
+
 def images(word: str, spec) -> set[str]:
     """The word and what the spec's maps lead to."""
     flip = str.maketrans(LETTERS, COMPLEMENTS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from functools import reduce
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..functions import nucleotides as nt
 from ..functions import packed
@@ -19,6 +20,8 @@ from .dataset import joined_sources
 
 #: Letters of a part of a sequence; classes up to whose number a dictionary goes to all executors.
 CHUNK, FEW = 100_000, 500_000
+#: Bound of a table of words and their patterns for classes that are counted within parts; samples whose counts are spread out at once.
+ENTRIES, SAMPLES = 1 << 14, 1000
 
 
 def kmer_counts(sequences: DataFrame, spec: KmerSpec) -> DataFrame:
@@ -28,10 +31,15 @@ def kmer_counts(sequences: DataFrame, spec: KmerSpec) -> DataFrame:
     a whole chromosome's words are never in one row. Plain words are counted within each
     part before they are shuffled, and per sample before they are widened to patterns and
     merged into classes: these expressions run once a word and sample, not once a place.
+    Lengths whose words and patterns fit a table are counted by classes in the parts, and a
+    part's counts are shuffled as one row.
     """
-    plain = plain_counts(sequences, range(spec.shortest, spec.longest + 1))
-    found = []
-    for k in range(spec.shortest, spec.longest + 1):
+    lengths = range(spec.shortest, spec.longest + 1)
+    tables = {k: t for k in lengths if (t := class_table(k, spec))}
+    found = [table_counts(sequences, tables)] if tables else []
+    left = [k for k in lengths if k not in tables]
+    plain = plain_counts(sequences, range(left[0], left[-1] + 1)) if left else None
+    for k in left:
         most, own = spec.ambiguous_at(k), plain.where(F.col("k") == k)
         if most > 0:
             own = own.select("sample_id", "k", F.explode(nt.patterns(F.col("w"), k, spec.alphabet, most)).alias("w"), "n")
@@ -73,6 +81,86 @@ def _regrouped(pieces: DataFrame, reach: int, size: int) -> DataFrame:
     return joined.select("sample_id", "n", F.col("part").cast("int").alias("part"), F.array_join(F.transform("x", lambda x: x["s"]), "").alias("s"))
 
 
+def class_table(k: int, spec: KmerSpec) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+    """(classes, codes, starts) of words of k letters, or None if that is over ENTRIES: class i has the words codes[starts[i]:starts[i + 1]], one as often as patterns lead from it to the class."""
+    most = spec.ambiguous_at(k)
+    letters = [packed.wider(c, spec.alphabet) for c in "acgt"]
+    if k < 1 or 4**k * (max(map(len, letters)) ** max(k - 2, 0) if most > 0 else 1) > ENTRIES:
+        return None
+    of: dict[str, list[int]] = {}
+    for code, word in enumerate(map("".join, itertools.product("acgt", repeat=k))):
+        inner = [letters["acgt".index(c)] if most > 0 and 0 < i < k - 1 else [c] for i, c in enumerate(word)]
+        for pattern in map("".join, itertools.product(*inner)):
+            if sum(c not in "acgt" for c in pattern) <= max(most, 0):
+                of.setdefault(min(packed.images(pattern, spec), key=packed.order_key), []).append(code)
+    sizes = [len(x) for x in of.values()]
+    return list(of), np.array([c for x in of.values() for c in x]), np.cumsum([0, *sizes[:-1]])
+
+
+def table_counts(sequences: DataFrame, tables: dict[int, tuple[list[str], np.ndarray, np.ndarray]]) -> DataFrame:
+    """(sample_id, k, kmer, n) of the classes of tables, by length.
+
+    Counts of a sample's parts that follow each other in a task are one row of arrays, and
+    rows are merged by sample: no word is shuffled by itself.
+    """
+    size, longest = CHUNK, max(tables)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, n, part = b.column("sample_id"), b.column("n").to_pylist(), b.column("part").to_pylist()
+            texts = [packed.plain(s) for s in b.column("s").to_pylist()]
+            first = [i for i in range(len(n)) if not (i and part[i] and ids[i] == ids[i - 1])]
+            for k, (_, codes, starts) in tables.items():
+                which, many = [], []
+                for lo, hi in zip(first, [*first[1:], len(n)], strict=True):
+                    total = np.zeros(4**k, np.int64)
+                    for i in range(lo, hi):
+                        places, own = packed.rolling(texts[i], k)
+                        if part[i] < max(n[i] - longest, 0) // size:  # what begins further on is the next part's
+                            own = own[places < size]
+                        total += np.bincount(own, minlength=4**k)
+                    total = np.add.reduceat(total[codes], starts)
+                    there = np.flatnonzero(total)
+                    which.append(there.astype("<i4").tobytes())
+                    many.append(total[there].astype("<i8").tobytes())
+                names = ["sample_id", "k", "which", "many"]
+                yield pa.record_batch([ids.take(pa.array(first, pa.int64())), pa.array(np.full(len(first), k, np.int32)), pa.array(which, pa.binary()), pa.array(many, pa.binary())], names=names)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = {k: pa.array(classes, pa.string()) for k, (classes, _, _) in tables.items()}
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SAMPLES):
+                b = batch.slice(lo, SAMPLES)
+                ids, lengths = b.column("sample_id"), b.column("k").to_numpy()
+                rows = b.column("rows").to_pylist()
+                for k in np.unique(lengths):
+                    own = np.flatnonzero(lengths == k)
+                    counts = [_merged(rows[i], len(words[k])) for i in own]
+                    at = np.repeat(own, [len(x) for x, _ in counts])
+                    which, many = (np.concatenate(x) for x in zip(*counts, strict=True))
+                    yield pa.record_batch([ids.take(pa.array(at)), pa.array(np.full(len(at), k, np.int32)), words[k].take(pa.array(which)), pa.array(many)], names=["sample_id", "k", "kmer", "n"])
+
+    ship(sequences.sparkSession)
+    fields = [sequences.schema["sample_id"], StructField("k", IntegerType())]
+    rows = parts_of(sequences, longest, size).mapInArrow(count, StructType([*fields, StructField("which", BinaryType()), StructField("many", BinaryType())]))
+    rows = rows.groupBy("sample_id", "k").agg(F.collect_list(F.struct("which", "many")).alias("rows"))
+    return rows.mapInArrow(spread, StructType([*fields, StructField("kmer", StringType()), StructField("n", LongType())]))
+
+
+def _merged(rows: list[dict[str, bytes]], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(which, many) of a sample's rows in sum."""
+    read = [(np.frombuffer(x["which"], "<i4"), np.frombuffer(x["many"], "<i8")) for x in rows]
+    if len(read) == 1:
+        return read[0]
+    total = np.zeros(size, np.int64)
+    for which, many in read:
+        total[which] += many
+    there = np.flatnonzero(total)
+    return there.astype("<i4"), total[there]
+
+
 def plain_counts(sequences: DataFrame, lengths: range) -> DataFrame:
     """(sample_id, k, w, n) of the words over acgt of the given lengths, whatever the case."""
     size, longest = CHUNK, lengths[-1]
