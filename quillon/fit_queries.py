@@ -14,6 +14,7 @@ from .queries import (  # noqa: I001
     MODEL, _GENOMIC, _LABELLED, _LONG, _LP, _SCALED_Z, _SCORES, _STEP, _WINDOW, _counts_sql, _fit_rows, _folder, _genomic_scores, _labelled, _rc, _rounded, _score_data, _seq_sql, _sequences,
     _spec, _window_model, _words_sql, query,
 )
+from .session import stored
 from .sources import readers, writers
 from .spec import KmerSpec, Member, Model, Options
 
@@ -129,8 +130,10 @@ _WIDE = f"""{_seq_sql()}, {_words_sql(3, name='words3')}, {_words_sql(4, name='w
 )
 def related_patterns(spark, d):
     spec = KmerSpec(3, 4, revcomp=True, alphabet="gapped-nucleotide")
-    features, known = kmers.kmer_features(_sequences(spark, d), spec)
-    theta = features.groupBy("feature_id").agg(F.round((F.count("*") - 300) / 100, 3).alias("theta"))
+    counts = kmers.kmer_counts(_sequences(spark, d), spec)
+    held = stored(counts.groupBy("k", "kmer").agg(F.count("*").alias("samples")), "held")
+    known = stored(kmers.dictionary(held, spec), "dictionary")
+    theta = known.join(held, ["k", "kmer"]).withColumn("theta", F.round((F.col("samples") - 300) / 100, 3))
     return report.related(known, theta.select(F.col("feature_id").alias("a"), F.col("feature_id").alias("b"), "theta"))
 
 

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
+from quillon import queries
 from quillon.operators import kmers
+from quillon.session import tables_written
 from quillon.spec import KmerSpec
 
 SPECS = [
@@ -38,3 +40,11 @@ def test_words_are_not_shuffled(spark):
     df = spark.createDataFrame([(1, "acgt" * 100), (2, "ggta")], "sample_id bigint, sequence string")
     found = kmers.kmer_counts(df, KmerSpec(5, 5, revcomp=True))
     assert exchanged(found) == 1 and "collect_list" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_related_patterns_store_no_counts(spark, data):
+    """How many samples have a class is one aggregation; counts by sample aren't written."""
+    before = len(tables_written(spark))
+    assert queries.queries()["related_patterns"](spark, data).count()
+    names = [p.rsplit("/", 1)[-1].rsplit("-", 1)[0] for p in tables_written(spark)[before:]]
+    assert "held" in names and "counts" not in names
