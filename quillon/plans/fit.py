@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import logging
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType, _parse_datatype_string
 from pyspark.storagelevel import StorageLevel
 
 from ..operators import gram
@@ -35,6 +35,8 @@ from .solver import Design, Hook, Problem, dense, minimise
 MOST_EPOCHS = 30
 
 log = logging.getLogger(__name__)
+#: A sample's features by their ids, and by their places in a choice.
+OWN, ITEMS = "array<struct<i:bigint,v:double>>", "array<struct<i:int,v:double>>"
 
 
 @dataclass
@@ -89,7 +91,7 @@ class Fits:
         marked = samples.select("sample_id", "label", F.array(*uses).alias("uses"), F.array(*scaled_by).alias("scaled")).persist(StorageLevel.MEMORY_AND_DISK)
         many, scales = len(uses), len(scaled_by)
         counted = [F.count_if(F.col("uses")[k] & c) for k in range(many) for c in (F.lit(True), F.col("label"))]
-        row = marked.agg(*counted, *(F.count_if(F.col("scaled")[t]) for t in range(scales))).first()
+        row = marked.agg(*counted, *(F.count_if(F.col("scaled")[t]) for t in range(scales)), F.count("*")).first()
         self.n = [row[2 * k] for k in range(many)]
         self.labelled = [row[2 * k + 1] for k in range(many)]
         if not all(self.n):
@@ -99,19 +101,22 @@ class Fits:
             F.when(F.col("uses")[k], F.when(F.col("label"), F.lit(w[1] / n)).otherwise(F.lit(w[0] / n))).otherwise(F.lit(0.0))
             for k, (n, w) in enumerate(zip(self.n, self.weights, strict=True))
         ]
-        self.samples = marked.select("sample_id", "label", F.array(*weight).alias("w")).persist(StorageLevel.MEMORY_AND_DISK)
-        self.features = features.join(marked.select("sample_id"), "sample_id", "left_semi").persist(StorageLevel.MEMORY_AND_DISK)
+        self.samples = marked.select("sample_id", "label", F.array(*weight).alias("w"))
+        # a row is a sample with all of its features: choices, residuals and gradients shuffle no value
+        own = features.groupBy("sample_id").agg(F.collect_list(F.struct(F.col("feature_id").cast("bigint").alias("i"), F.col("value").cast("double").alias("v"))).alias("own"))
+        self.packed = self.samples.join(own, "sample_id", "left").withColumn("own", F.coalesce("own", F.array().cast(OWN))).persist(StorageLevel.MEMORY_AND_DISK)
+        self.features = self.packed.select("sample_id", F.inline("own")).withColumnsRenamed({"i": "feature_id", "v": "value"})
         self.candidates, self.pairs = candidates, options.cooccurrence and candidates is None
         self.values = single_values(self.features)
         if candidates is not None:  # products arise for the candidates only
             wanted = candidates.select("a", "b").distinct()
             self.values = feature_values(self.features, F.broadcast(wanted) if small(wanted, FEW) else wanted)
-        self.kept = [marked, self.samples, self.features]
+        self.kept = [marked, self.packed]
         self.transform, self._scales = None, {}
         if transform is not None:
             self.transform = transform.select("a", "b", F.array("offset").alias("offset"), F.array("scale").alias("scale"))
         elif options.transform != "none":
-            self.transform = self._fit_transform(marked, [row[2 * many + t] for t in range(scales)])
+            self.transform = self._fit_transform(marked, [row[2 * many + t] for t in range(scales)], row[-1])
         if self.transform is not None:
             self.transform = self.transform.persist(StorageLevel.MEMORY_AND_DISK)
             self.kept.append(self.transform)
@@ -128,11 +133,11 @@ class Fits:
         for df in self.kept:
             df.unpersist()
 
-    def _fit_transform(self, marked: DataFrame, n: list[int]) -> DataFrame:
+    def _fit_transform(self, marked: DataFrame, n: list[int], every: int) -> DataFrame:
         """(a, b, offset array, scale array): an entry for each set of samples that transforms are made of."""
         found = []
         for t, many in enumerate(n):
-            own = lambda df, t=t: df.join(marked.where(F.col("scaled")[t]).select("sample_id"), "sample_id", "left_semi")
+            own = lambda df, t=t, many=many: df if many == every else df.join(marked.where(F.col("scaled")[t]).select("sample_id"), "sample_id", "left_semi")
             s = statistics(own(self.values), many)
             if self.pairs:
                 s = s.unionByName(gram.pair_statistics(own(self.features), many))
@@ -155,19 +160,41 @@ class Fits:
         own = [(o[t], s[t]) for o, s in (self._scales.get(f, ([0.0] * (t + 1), [1.0] * (t + 1))) for f in features)]
         return np.array([o for o, _ in own], float), np.array([s for _, s in own], float)
 
+    def _picked(self, features: list[Pair], keep: list[str]) -> DataFrame:
+        """The columns keep of packed with items, for features that are no products: within each sample's row."""
+        ids = np.array([a for a, _ in features], np.int64)
+        order = np.argsort(ids)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own = b.column("own")
+                ends, flat = own.offsets.to_numpy(), own.flatten()
+                i, v = (flat.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                at = np.minimum(np.searchsorted(ids, i, sorter=order), max(len(ids) - 1, 0))
+                place = order[at] if len(ids) else at
+                hit = (ids[place] == i) & (v != 0) if len(ids) else np.zeros(len(i), bool)
+                offsets = np.concatenate([[0], np.cumsum(hit)])[ends - ends[0]].astype(np.int32)
+                items = pa.StructArray.from_arrays([pa.array(place[hit].astype(np.int32)), pa.array(v[hit])], names=["i", "v"])
+                yield pa.record_batch([*(b.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(offsets), items)], names=[*keep, "items"])
+
+        ship(self.samples.sparkSession)
+        used = self.packed.select(*dict.fromkeys([*keep, "own"]))
+        fields = [used.schema[c] for c in keep]
+        return used.mapInArrow(run, StructType([*fields, StructField("items", _parse_datatype_string(ITEMS))]))
+
     def _rows(self, features: list[Pair]) -> DataFrame:
         """(sample_id, label, w, items): the samples with their values of the features, by the features' places."""
-        items = F.lit(None).cast("array<struct<i:int,v:double>>")
-        if not features:
-            return self.samples.withColumn("items", F.coalesce(items, F.array().cast("array<struct<i:int,v:double>>")))
+        if all(a == b for a, b in features):
+            return self._picked(features, ["sample_id", "label", "w"])
+        items = F.lit(None).cast(ITEMS)
         spark = self.samples.sparkSession
         defs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(features)], "i int, a bigint, b bigint")
         hits = feature_values(self.features, F.broadcast(defs.select("a", "b"))).join(F.broadcast(defs), ["a", "b"])
         own = hits.groupBy("sample_id").agg(F.collect_list(F.struct("i", F.col("value").alias("v"))).alias("items"))
-        return self.samples.join(own, "sample_id", "left").withColumn("items", F.coalesce("items", F.array().cast("array<struct<i:int,v:double>>")))
+        return self.samples.join(own, "sample_id", "left").withColumn("items", F.coalesce("items", F.array().cast(ITEMS)))
 
-    def residuals(self) -> DataFrame:
-        """(sample_id, w array<double>): for each fit the derivative of its loss by the sample's score, at its coefficients."""
+    def _scored(self) -> tuple[list[Pair], Callable[[pa.RecordBatch], np.ndarray]]:
+        """The active features, and what gives a batch's residuals by fit out of columns label, w and items."""
         active = in_order({f for s in self.states for f in s.active()})
         place = {f: i + 1 for i, f in enumerate(active)}
         raw = np.zeros((len(active) + 1, len(self.states)))
@@ -176,14 +203,23 @@ class Fits:
             p = Problem([place[f] - 1 for f in own], 0.0, np.zeros(0), *self.scales(own, k))
             raw[[0, *(place[f] for f in own)], k] = p.raw() @ np.array([s.member.bias, *(s.member.theta[f] for f in own)])
 
+        def of(b: pa.RecordBatch) -> np.ndarray:
+            y = b.column("label").to_numpy(zero_copy_only=False).astype(float)[:, None]
+            w = b.column("w").flatten().to_numpy().reshape(b.num_rows, -1)
+            z = dense(b.column("items"), len(raw) - 1) @ raw[1:] + raw[0]
+            return (np.exp(np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))) - y) * w
+
+        return active, of
+
+    def residuals(self) -> DataFrame:
+        """(sample_id, w array<double>): for each fit the derivative of its loss by the sample's score, at its coefficients."""
+        active, of = self._scored()
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 if not b.num_rows:
                     continue
-                y = b.column("label").to_numpy(zero_copy_only=False).astype(float)[:, None]
-                w = b.column("w").flatten().to_numpy().reshape(b.num_rows, -1)
-                z = dense(b.column("items"), len(raw) - 1) @ raw[1:] + raw[0]
-                r = (np.exp(np.minimum(z, 0) - np.log1p(np.exp(-np.abs(z)))) - y) * w
+                r = of(b)
                 lists = pa.ListArray.from_arrays(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32), pa.array(r.ravel()))
                 yield pa.record_batch([b.column("sample_id"), lists], names=["sample_id", "w"])
 
@@ -191,17 +227,48 @@ class Fits:
         rows = self._rows(active)
         return rows.mapInArrow(run, StructType([rows.schema["sample_id"], StructField("w", ArrayType(DoubleType()))]))
 
+    def _sums_by_feature(self) -> DataFrame | None:
+        """(a, g array<double>): for each fit the sum of residuals times a feature's values, and of residuals alone where a is null; None if products are active."""
+        active, of = self._scored()
+        if any(a != b for a, b in active):
+            return None
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                r, own = of(b), b.column("own")
+                flat = own.flatten()
+                ids, at = np.unique(flat.field(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                row = np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy()))
+                v = flat.field(1).to_numpy(zero_copy_only=False)
+                g = np.column_stack([np.concatenate([np.bincount(at, v * r[row, k], len(ids)), [r[:, k].sum()]]) for k in range(r.shape[1])])
+                lists = pa.ListArray.from_arrays(np.arange(0, g.size + 1, g.shape[1], dtype=np.int32), pa.array(g.ravel()))
+                yield pa.record_batch([pa.array([*ids.tolist(), None], pa.int64()), lists], names=["a", "g"])
+
+        ship(self.samples.sparkSession)
+        parts = self._picked(active, ["label", "w", "own"]).mapInArrow(run, "a bigint, g array<double>")
+        return parts.groupBy("a").agg(F.array(*(F.sum(F.col("g")[k]) for k in range(len(self.states)))).alias("g"))
+
     def every_gradient(self) -> DataFrame:
         """(a, b, g array<double>) of each fit's unpenalised loss by every feature that may be chosen, at its coefficients."""
-        r = self.residuals().persist(StorageLevel.MEMORY_AND_DISK)
-        self.kept.append(r)
         many = range(len(self.states))
+        sums = self._sums_by_feature() if self.candidates is None and not self.pairs else None
+        r = (self.residuals() if sums is None else sums).persist(StorageLevel.MEMORY_AND_DISK)
+        self.kept.append(r)
+        if sums is not None:
+            found = r.where("a is not null").select("a", F.col("a").alias("b"), "g")
+            return found if self.transform is None else self._moved(found, r.where("a is null").first().g)
         found = self.values.join(r, "sample_id").groupBy("a", "b").agg(F.array(*(F.sum(F.col("value") * F.col("w")[k]) for k in many)).alias("g"))
         if self.pairs:
             found = found.unionByName(gram.pair_sums(self.features, r).select("a", "b", F.col("sums").alias("g")))
         if self.transform is None:
             return found
-        total = r.agg(*(F.sum(F.col("w")[k]) for k in many)).first()
+        return self._moved(found, r.agg(*(F.sum(F.col("w")[k]) for k in many)).first())
+
+    def _moved(self, found: DataFrame, total: Sequence[float]) -> DataFrame:
+        """Sums (a, b, g) by the features' transforms, given the sums of residuals."""
+        many = range(len(self.states))
         one = lambda k: F.col("scale")[self.scale_of[k]] * (F.col("g")[k] - F.col("offset")[self.scale_of[k]] * F.lit(float(total[k])))
         return found.join(self.transform, ["a", "b"]).select("a", "b", F.array(*(one(k) for k in many)).alias("g"))
 
